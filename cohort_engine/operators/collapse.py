@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.dates import quarter_of_month
 from ..functions.missing import as_flag
-from .keys import as_list
+from .keys import as_list, literal_rows
 from .ordering import nulls_last, percentiles, running_total
 
 
@@ -99,7 +99,7 @@ def summarize_detail(df: DataFrame, col: str, cond: Column | None = None) -> Dat
     stats += [(f"p{p}", x) for p, x in pcts.items()]
     stats += [(f"smallest_{i}", x) for i, x in enumerate(smallest, 1)]
     stats += [(f"largest_{i}", x) for i, x in enumerate(largest, 1)]
-    return df.sparkSession.createDataFrame(stats, "stat string, value double")
+    return literal_rows(df.sparkSession, stats, [("stat", "string"), ("value", "double")])
 
 
 def dedupe(df: DataFrame, keys: str | Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PREFIX = "__r_"
 
@@ -45,3 +47,16 @@ def members(df: DataFrame, keys_of: DataFrame, keys: str | Sequence[str],
     wanted = prefixed(keys_of.select(*keys).distinct(), keys)
     how = "left_semi" if inside else "left_anti"
     return df.join(wanted, match_on(keys, null_safe), how)
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: Sequence[tuple[str, str]]) -> DataFrame:
+    """A short table written as constants, so that Spark knows its size. `schema` is
+    `(name, type)` pairs."""
+    def value(x: Any, kind: str) -> Column:
+        return F.lit(x).cast(kind)
+
+    entries = [F.struct(*[value(x, kind).alias(name) for x, (name, kind) in zip(row, schema)]) for row in rows]
+    one = spark.range(1)
+    if not entries:
+        return one.limit(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in schema])
+    return one.select(F.inline(F.array(*entries)))

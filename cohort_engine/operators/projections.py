@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.missing import as_flag, truth
 from ..functions.text import code_list, null_marker
-from .keys import as_list, attach
+from .keys import as_list, attach, literal_rows
 from .ordering import global_index
 
 
@@ -131,6 +131,6 @@ def encode(df: DataFrame, col: str, out: str, max_labels: int = 1_000) -> tuple[
     if len(found) > max_labels:
         raise ValueError(f"{col} has more than {max_labels} distinct values; use group_id")
     labels = {i: v for i, v in enumerate(sorted(r[0] for r in found), start=1)}
-    codes = df.sparkSession.createDataFrame([(v, i) for i, v in labels.items()],
-                                            f"{col} string, {out} int")
+    codes = literal_rows(df.sparkSession, [(v, i) for i, v in labels.items()],
+                         [(col, "string"), (out, "int")])
     return attach(df, codes, col, null_safe=False), labels

@@ -67,12 +67,14 @@ def first_flag(df: DataFrame, by: str | Sequence[str], order: Sequence[str],
 
 
 def nth_dates(df: DataFrame, key: str | Sequence[str], date: str, wanted: Mapping[str, tuple],
-              status: str | None = None, tie_break: Sequence[str] = ()) -> DataFrame:
+              status: str | None = None, tie_break: Sequence[str] = (),
+              extra: Mapping[str, Column] | None = None) -> DataFrame:
     """n-th date of each status, one row per key.
 
     `wanted` is `{output: (status value, n)}`; without `status` all rows are one series
     and the value is ignored. Every key keeps its row even if nothing is found. One
-    numbering pass limited to the largest n, then one conditional aggregate.
+    numbering pass limited to the largest n, then one conditional aggregate. `extra`
+    adds aggregates to it that depend only on which statuses a key has.
     """
     key = as_list(key)
     group = key + ([status] if status else [])
@@ -84,4 +86,5 @@ def nth_dates(df: DataFrame, key: str | Sequence[str], date: str, wanted: Mappin
         return cond & (F.col(status) == value) if status else cond
 
     return numbered.groupBy(*key).agg(
-        *[F.min(F.when(pick(v, n), F.col(date))).alias(o) for o, (v, n) in wanted.items()])
+        *[F.min(F.when(pick(v, n), F.col(date))).alias(o) for o, (v, n) in wanted.items()],
+        *[a.alias(o) for o, a in (extra or {}).items()])
