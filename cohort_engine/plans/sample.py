@@ -14,6 +14,7 @@ from ..operators.collapse import dedupe
 from ..operators.filters import exclude, trim_by_sd
 from ..operators.keys import attach
 from ..operators.merge import lookup, map_to_person, merge_keep_or, merge_tables
+from ..session import stable
 
 
 def reconcile_conditions(linked: DataFrame, profile: DataFrame, person: str,
@@ -98,7 +99,8 @@ def build_sample(flags: DataFrame, patient: DataFrame, linked: DataFrame, index:
     df = attach(df, death_quarter(patient, person), person, "inner")
     if p.excluded_quarter is not None:
         df = df.filter(~F.col("first_enrol_q").eqNullSafe(F.lit(p.excluded_quarter)))
-    df = df.withColumn("age", age_in(p.year, "yob"))
+    # the outlier rule reads the sample twice, for its bound and for its rows
+    df = stable(df.withColumn("age", age_in(p.year, "yob")))
     return trim_by_sd(df, "age", person, F.col("treated") == 1, p.sd_limit, lower=True, round_out=True)
 
 

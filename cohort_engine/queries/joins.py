@@ -112,8 +112,8 @@ def link_sides(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 def linked_pairs(t: Tables) -> DataFrame:
     """Exact linkage on a composite key of one type on both sides."""
     a, b, _ = link_sides(t)
-    padded = b.withColumn("band", X.to_text("band", 4))
-    return L.link_exact(a, L.normalise_keys(padded, {"band": lambda c: X.to_number(c, kind="int")}), LINK)
+    padded = b.withColumn("c_nationkey", X.to_text("c_nationkey", 2))
+    return L.link_exact(a, L.normalise_keys(padded, {"c_nationkey": lambda c: X.to_number(c, kind="int")}), LINK)
 
 
 @query(f"""WITH {ROSTER_SQL}, p1 AS (SELECT a_key, b_key, 1 AS link_pass FROM a JOIN b USING (c_nationkey, c_mktsegment, band)),
