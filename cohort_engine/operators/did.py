@@ -117,13 +117,11 @@ def cohort_cells(cohorts: DataFrame, effects: int, placebo: int,
     """Each cohort in each (switch period, horizon) cell it serves, as switcher or
     control. Horizon l > 0 is an effect, l < 0 a placebo."""
     lo, hi = periods
-    horizons = [*range(1, effects + 1), *range(-placebo, 0)]
+    rows = cohorts.withColumn("sf", F.explode(F.sequence(F.lit(lo + 1), F.lit(hi))))
+    rows = rows.withColumn("l", F.explode(F.sequence(F.lit(-placebo), F.lit(effects)))).filter("l <> 0")
     # where the horizon ends, and the period up to which a control must be untreated
-    grid = [(sf, l, sf - 1 + l, sf - 1 + abs(l)) for sf in range(lo + 1, hi + 1) for l in horizons
-            if lo <= sf - 1 + l <= hi and sf - 1 + abs(l) <= hi]
-    cells = F.array(*[F.struct(F.lit(sf).alias("sf"), F.lit(l).alias("l"), F.lit(t2).alias("t2"),
-                               F.lit(until).alias("until")) for sf, l, t2, until in grid])
-    rows = cohorts.withColumn("__c", F.explode(cells)).select("*", "__c.*").drop("__c")
+    rows = rows.withColumns({"t2": F.col("sf") - 1 + F.col("l"), "until": F.col("sf") - 1 + F.abs("l")})
+    rows = rows.filter((F.col("t2") >= lo) & (F.col("until") <= hi))
     t1 = F.col("sf") - 1
     observed = F.array_contains("seen", t1) & F.array_contains("seen", F.col("t2"))
     switcher = F.col("f") == F.col("sf")
@@ -138,98 +136,94 @@ def cohort_cells(cohorts: DataFrame, effects: int, placebo: int,
 
 
 def cell_stats(cells: DataFrame) -> DataFrame:
-    """Usable cells: switchers and their controls, with counts and sums of changes."""
-    sw, co = F.col("role") == "switcher", F.col("role") == "control"
-    stats = cells.groupBy(*MODEL, "d1", "sf", "l").agg(
-        F.coalesce(F.sum(F.when(sw, F.col("n"))), F.lit(0)).alias("n_s"),
-        F.coalesce(F.sum(F.when(sw, F.col("n") * F.col("s"))), F.lit(0.0)).alias("sign_s"),
-        F.sum(F.when(sw, F.col("s") * F.col("dy"))).alias("dy_s"),
-        F.sum(F.when(sw, F.col("dose"))).alias("dose_s"),
-        F.coalesce(F.sum(F.when(co, F.col("n"))), F.lit(0)).alias("n_c"),
-        F.sum(F.when(co, F.col("dy"))).alias("dy_c"))
-    stats = stats.filter((F.col("n_s") > 0) & (F.col("n_c") > 0))
-    # a placebo counts only where the effect at the same horizon is estimated
-    cell = [*MODEL, "d1", "sf"]
-    pair = stats.groupBy(*cell, F.abs("l").alias("h")).agg(
-        F.max(F.when(F.col("l") > 0, 1)).alias("has_effect"),
-        F.collect_list(F.struct("l", "n_s", "sign_s", "dy_s", "dose_s", "n_c", "dy_c")).alias("e"))
-    rows = pair.filter("has_effect = 1").select(*cell, F.inline("e"))
-    return rows
+    """Usable cells (switchers with controls): counts and sums of changes, for units
+    whose treatment rose (`up`) and fell (`down`) and for controls. A placebo is usable
+    only where the effect at the same horizon is, so both are aggregated in one row."""
+    def sums(effect: bool) -> list[Column]:
+        side = (F.col("l") > 0) if effect else (F.col("l") < 0)
+        tests = {"up": (F.col("role") == "switcher") & (F.col("s") > 0),
+                 "down": (F.col("role") == "switcher") & (F.col("s") < 0), "c": F.col("role") == "control"}
+        out = [F.struct(*[
+            F.coalesce(F.sum(F.when(side & test, F.col(c))), F.lit(0)).cast("double").alias(f"{short}_{name}")
+            for name, test in tests.items() for short, c in (("n", "n"), ("dy", "dy"), ("dose", "dose"))])]
+        return [out[0].alias("e" if effect else "p")]
+
+    h = F.abs("l").alias("h")
+    pair = cells.groupBy(*MODEL, "d1", "sf", h).agg(*sums(True), *sums(False))
+
+    def usable(e: str) -> Column:
+        return (F.col(f"{e}.n_up") + F.col(f"{e}.n_down") > 0) & (F.col(f"{e}.n_c") > 0)
+
+    entries = F.array_compact(F.array(
+        F.struct(F.col("h").alias("l"), F.col("e").alias("x")),
+        F.when(usable("p"), F.struct((-F.col("h")).alias("l"), F.col("p").alias("x")))))
+    rows = pair.filter(usable("e")).select(*MODEL, "d1", "sf", F.inline(entries))
+    return rows.select(*MODEL, "d1", "sf", "l", "x.*")
 
 
 def _estimates(stats: DataFrame) -> DataFrame:
-    did = F.sum(F.col("dy_s") - F.col("sign_s") * F.col("dy_c") / F.col("n_c"))
-    return stats.groupBy(*MODEL, "l").agg(
-        did.alias("total"), F.sum("n_s").alias("n_switchers"),
-        (F.sum("n_s") + F.sum("n_c")).alias("n_obs"), F.sum("dose_s").alias("dose"))
-
-
-def _average(estimates: DataFrame) -> DataFrame:
-    """All effects together per unit of treatment received, as horizon 0."""
-    return estimates.filter("l > 0").groupBy(*MODEL).agg(
-        F.sum("total").alias("total"), F.sum("n_switchers").alias("n_switchers"),
-        F.sum("n_obs").alias("n_obs"), F.sum("dose").alias("dose"))
-
-
-def cohort_coefficients(cells: DataFrame, stats: DataFrame, estimates: DataFrame,
-                        average: DataFrame, periods: tuple[int, int]) -> DataFrame:
+    """Total effect of the switchers by horizon, and over all effects as horizon 0."""
+    change = F.col("dy_up") - F.col("dy_down")
+    sign = F.col("n_up") - F.col("n_down")
+    rows = stats.select(*MODEL, F.explode(F.when(F.col("l") > 0, F.array("l", F.lit(0))).otherwise(F.array("l"))).alias("l"),
+                        (change - sign * F.col("dy_c") / F.col("n_c")).alias("total"),
+                        (F.col("n_up") + F.col("n_down")).alias("n_s"), "n_c", (F.col("dose_up") + F.col("dose_down")).alias("dose"))
+    sums = rows.groupBy(*MODEL, "l").agg(F.sum("total").alias("total"), F.sum("n_s").alias("n_switchers"),
+                                         (F.sum("n_s") + F.sum("n_c")).alias("n_obs"), F.sum("dose").alias("dose"))
+    # an effect is per switcher, the average effect per unit of treatment received
+    return sums.withColumn("per", F.when(F.col("l") == 0, F.col("dose")).otherwise(F.col("n_switchers"))).withColumn(
+        "estimate", F.col("total") / F.col("per"))
+
+
+def cohort_coefficients(cells: DataFrame, stats: DataFrame, estimates: DataFrame) -> DataFrame:
     """Per cohort, an array over the horizons of the coefficients that turn a unit's
     outcomes into its influence on the estimate (0 stands for the average effect),
     scaled so that the variance is the sum of squares over clusters."""
-    lo, hi = periods
-    cell = [*MODEL, "d1", "sf", "l"]
-    # mean change of a switcher cohort, whatever periods its units were seen in
-    cohort_mean = cells.filter("role = 'switcher'").groupBy(*cell, "s", "role").agg(
-        F.sum("n").alias("n_coh"), (F.sum("dy") / F.sum("n")).alias("mean_coh"))
-    base = cells.select(*COHORT, "sf", "l", "t2", "role")
-    base = base.join(stats.select(*cell, "n_c", "sign_s", "dy_c"), cell)
-    base = base.join(estimates.select(*MODEL, "l", F.col("n_switchers").alias("n_l")), [*MODEL, "l"])
-    base = base.join(cohort_mean, [*cell, "s", "role"], "left")
-
-    def dof(n: Column) -> Column:
-        return F.when(n > 1, F.sqrt(n / (n - 1))).otherwise(F.lit(1.0))
-
-    is_switcher = F.col("role") == "switcher"
-    share = (F.when(is_switcher, F.col("s") * dof(F.col("n_coh")))
-             .otherwise(-F.col("sign_s") / F.col("n_c") * dof(F.col("n_c")))) / F.col("n_l")
-    # a cohort of one is not centred: its deviation from its own mean is always 0
-    centre = (F.when(is_switcher, F.when(F.col("n_coh") > 1, F.col("mean_coh")))
-              .otherwise(F.when(F.col("n_c") > 1, F.col("dy_c") / F.col("n_c"))))
-    base = base.withColumns({"k": share, "shift": share * F.coalesce(centre, F.lit(0.0)),
-                             "t1": F.col("sf") - 1})
-    slots = [f"a{t}" for t in range(lo, hi + 1)]
-    by_horizon = base.groupBy(*COHORT, "l", "n_l").agg(
-        F.sum("shift").alias("shift"),
-        *[F.sum(F.when(F.col("t2") == t, F.col("k")).when(F.col("t1") == t, -F.col("k"))
-                .otherwise(0.0)).alias(f"a{t}") for t in range(lo, hi + 1)])
-    # the average effect weighs the horizons by switchers over treatment received
-    weight = F.col("n_l") / F.col("all_dose")
-    overall = (by_horizon.filter("l > 0")
-               .join(average.select(*MODEL, F.col("dose").alias("all_dose")), MODEL)
-               .groupBy(*COHORT).agg(*[F.sum(F.col(c) * weight).alias(c) for c in ("shift", *slots)])
-               .withColumn("l", F.lit(0)))
-    rows = by_horizon.drop("n_l").unionByName(overall)
-    return rows.groupBy(*COHORT).agg(F.collect_list(
-        F.struct("l", "shift", F.array(*[F.col(c) for c in slots]).alias("a"))).alias("coefs"))
-
-
-def influence(units: DataFrame, coefs: DataFrame, periods: tuple[int, int],
+    def scaled(n: Column, dy: Column, sign: Column) -> Column:
+        # centred on the mean change of the group, with its degrees of freedom; a group
+        # of one is not centred, as its deviation from its own mean is always 0
+        k = sign * F.when(n > 1, F.sqrt(n / (n - 1))).otherwise(F.lit(1.0))
+        return F.struct(k.alias("k"), F.when(n > 1, k * dy / n).otherwise(F.lit(0.0)).alias("shift"))
+
+    balance = (F.col("n_up") - F.col("n_down")) / F.col("n_c")
+    cell = ["d1", "sf", "l"]
+    by_cell = stats.select(
+        *MODEL, *cell, scaled(F.col("n_up"), F.col("dy_up"), F.lit(1.0)).alias("up"),
+        scaled(F.col("n_down"), F.col("dy_down"), F.lit(-1.0)).alias("down"),
+        scaled(F.col("n_c"), F.col("dy_c"), -balance).alias("control"))
+    role = (F.when(F.col("role") == "control", F.col("control")).when(F.col("s") > 0, F.col("up"))
+            .otherwise(F.col("down")))
+    rows = cells.select(*COHORT, "sf", "l", "t2", "role").join(by_cell, [*MODEL, *cell])
+    rows = rows.select(*COHORT, "t2", (F.col("sf") - 1).alias("t1"), role.alias("w"),
+                       F.explode(F.when(F.col("l") > 0, F.array("l", F.lit(0))).otherwise(F.array("l"))).alias("l"))
+    rows = rows.join(estimates.select(*MODEL, "l", "per"), [*MODEL, "l"])
+    k, shift = F.col("w.k") / F.col("per"), F.col("w.shift") / F.col("per")
+    ends = F.array(F.struct(F.col("t2").alias("t"), k.alias("k"), shift.alias("shift")),
+                   F.struct(F.col("t1").alias("t"), (-k).alias("k"), F.lit(0.0).alias("shift")))
+    # a cohort has at most a row per cell; brought together once, it is then grouped
+    # three times without another exchange
+    parts = rows.repartition(*COHORT).select(*COHORT, "l", F.inline(ends))
+    terms = parts.groupBy(*COHORT, "l", "t").agg(F.sum("k").alias("k"), F.sum("shift").alias("shift"))
+    by_horizon = terms.groupBy(*COHORT, "l").agg(
+        F.sum("shift").alias("shift"), F.collect_list(F.struct("t", "k")).alias("terms"))
+    return by_horizon.groupBy(*COHORT).agg(
+        F.collect_list(F.struct("l", "shift", "terms")).alias("coefs"))
+
+
+def influence(units: DataFrame, coefs: DataFrame, periods: tuple[int, int], small: bool,
               clustered: bool) -> DataFrame:
     """Per cluster, an array `v` of the influence `u` on each horizon `l`."""
-    lo, hi = periods
-    coefs = stable(coefs)
-    found = coefs.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("coefs")), F.lit(0))).first()
-    size = found[0] * (found[1] * (hi - lo + 4) * 8 + 500)
+    lo, _ = periods
     renamed = coefs.withColumnsRenamed({c: f"__k_{c}" for c in COHORT})
     on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) if c in ("f", "s") else F.col(c) == F.col(f"__k_{c}")
           for c in COHORT]
-    # the never-switched cohort can be most units; beyond the limit its rows are split
-    # by adaptive execution instead
-    joined = units.join(F.broadcast(renamed) if size <= BROADCAST_BYTES else renamed, on)
+    # the never-switched cohort can be most units; where the coefficients are too large
+    # to broadcast, its rows are split by adaptive execution instead
+    joined = units.join(F.broadcast(renamed) if small else renamed, on)
 
     def value(c: Column) -> Column:
-        terms = F.zip_with(c["a"], F.col("y"), lambda a, y: F.coalesce(a * y, F.lit(0.0)))
-        dot = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+        y = F.col("y")
+        dot = F.aggregate(c["terms"], F.lit(0.0), lambda acc, x: acc + x["k"] * F.get(y, x["t"] - lo))
         return F.struct(c["l"].alias("l"), (dot - c["shift"]).alias("u"))
 
     values = joined.select(*MODEL, "__cluster", F.transform("coefs", value).alias("v"))
@@ -243,8 +237,8 @@ def influence(units: DataFrame, coefs: DataFrame, periods: tuple[int, int],
 class DidPlan:
     """The frames of one batch.
 
-    With errors, the unit rows and the cohort sums are each read more than once, so
-    they are checkpointed; everything after the cohort sums is small.
+    With errors, the unit rows, the cohort sums and the cell sums are each read more than
+    once, so they are checkpointed. The cohort sums bound the size of what is broadcast.
     """
 
     def __init__(self, panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str,
@@ -260,15 +254,17 @@ class DidPlan:
         self.clustered = cluster is not None and cluster != id
         profiles = keep(unit_profiles(panel, outcomes, id, t, d, cluster, specs, periods))
         self.units = unit_models(profiles, outcomes, periods)
-        cohorts = keep(cohort_sums(self.units, periods))
-        self.cells = cohort_cells(cohorts, effects, placebo, periods)
-        self.stats = cell_stats(self.cells)
+        self.cohorts = keep(cohort_sums(self.units, periods))
+        self.cells = cohort_cells(self.cohorts, effects, placebo, periods)
+        self.stats = keep(cell_stats(self.cells))
         self.estimates = _estimates(self.stats)
-        self.average = _average(self.estimates)
+        # bytes of a cohort's coefficients: one term per period for each horizon
+        self.cohort_bytes = (effects + placebo + 1) * (periods[1] - periods[0] + 3) * 16 + 500
 
     def influence(self) -> DataFrame:
-        coefs = cohort_coefficients(self.cells, self.stats, self.estimates, self.average, self.periods)
-        return influence(self.units, coefs, self.periods, self.clustered)
+        coefs = cohort_coefficients(self.cells, self.stats, self.estimates)
+        small = self.cohorts.count() * self.cohort_bytes <= BROADCAST_BYTES
+        return influence(self.units, coefs, self.periods, small, self.clustered)
 
 
 def did_batch(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str,
@@ -283,8 +279,7 @@ def did_batch(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str
     estimate, error, 95% interval, switchers and observations used.
     """
     plan = DidPlan(panel, outcomes, id, t, d, effects, placebo, cluster, specs, periods, errors)
-    points = plan.estimates.withColumn("estimate", F.col("total") / F.col("n_switchers")).unionByName(
-        plan.average.withColumns({"estimate": F.col("total") / F.col("dose"), "l": F.lit(0)}))
+    points = plan.estimates
     if errors:
         squares = (plan.influence().select(*MODEL, F.inline("v"))
                    .groupBy(*MODEL, "l").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("se")))
@@ -343,8 +338,7 @@ def did_joint_tests(panel: DataFrame, outcomes: Sequence[str], id: str, t: str,
              .select(*MODEL, "a", F.explode("v").alias("b")).filter(same_kind)
              .groupBy(*MODEL, kind.alias("kind"), F.col("a.l").alias("i"), F.col("b.l").alias("j"))
              .agg(F.sum(F.col("a.u") * F.col("b.u")).alias("cov")))
-    points = plan.estimates.select(*MODEL, F.col("l").alias("i"),
-                                   (F.col("total") / F.col("n_switchers")).alias("estimate"))
+    points = plan.estimates.select(*MODEL, F.col("l").alias("i"), "estimate")
     table = pairs.join(points, [*MODEL, "i"])
     schema = T.StructType([
         *[T.StructField(c, T.StringType()) for c in [*MODEL, "kind"]],

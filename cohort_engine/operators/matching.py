@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stable
 from .keys import attach
 
 
@@ -25,14 +26,13 @@ def cut_bin(col: Column, cuts: Sequence[float]) -> Column:
 def sturges_bin(df: DataFrame, name: str) -> Column:
     """Equal-width bins, as many as Sturges' rule gives. The range is a scalar subquery."""
     v = F.col(name)
-    width = df.agg(F.struct(
+    shape = df.agg(F.struct(
         F.min(v).cast("double").alias("low"),
         ((F.max(v) - F.min(v)) / F.ceil(F.log2(F.count(v)) + 1)).cast("double").alias("width"),
         F.ceil(F.log2(F.count(v)) + 1).cast("int").alias("bins"),
-    ).alias("s"))
-    low, step, bins = (width.select(f"s.{f}").scalar() for f in ("low", "width", "bins"))
-    at = F.floor((v - low) / F.nullif(step, F.lit(0.0)))
-    return F.when(v.isNotNull(), F.least(F.coalesce(at, F.lit(0)), bins - 1)).cast("int")
+    ).alias("s")).scalar()
+    at = F.floor((v - shape["low"]) / F.nullif(shape["width"], F.lit(0.0)))
+    return F.when(v.isNotNull(), F.least(F.coalesce(at, F.lit(0)), shape["bins"] - 1)).cast("int")
 
 
 def coarsen(df: DataFrame, cuts: Mapping[str, Sequence[float]], exact: Sequence[str] = (),
@@ -59,6 +59,7 @@ def cem(df: DataFrame, treatment: str, cuts: Mapping[str, Sequence[float]],
     of the whole matched sample; unmatched rows 0.
     """
     binned, bins = coarsen(df, cuts, exact, auto)
+    binned = stable(binned)  # read for the stratum counts, their totals and the rows
     counts = strata(binned, bins, treatment)
     both = counts.filter((F.col("m_t") > 0) & (F.col("m_c") > 0))
     ratio = both.agg((F.sum("m_c") / F.sum("m_t")).alias("r")).scalar()
@@ -77,7 +78,6 @@ def imbalance_l1(df: DataFrame, treatment: str, bins: Sequence[str],
     t = F.col(treatment)
     shares = df.groupBy(*bins).agg(F.sum(F.when(t == 1, w).otherwise(0.0)).alias("wt"),
                                    F.sum(F.when(t == 0, w).otherwise(0.0)).alias("wc"))
-    totals = shares.agg(F.struct(F.sum("wt").alias("t"), F.sum("wc").alias("c")).alias("s"))
-    all_t, all_c = (totals.select(f"s.{f}").scalar() for f in "tc")
-    distance = F.abs(F.col("wt") / all_t - F.col("wc") / all_c)
+    totals = shares.agg(F.struct(F.sum("wt").alias("t"), F.sum("wc").alias("c")).alias("s")).scalar()
+    distance = F.abs(F.col("wt") / totals["t"] - F.col("wc") / totals["c"])
     return shares.agg((F.sum(distance) / 2).alias("l1"), F.count(F.lit(1)).alias("n_strata"))
