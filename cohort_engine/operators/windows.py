@@ -12,6 +12,8 @@ from .ordering import global_index, nulls_last
 
 # Groups up to this many rows are sorted within one task.
 GROUP_ROWS = 5_000_000
+# Largest k for which Spark limits groups ahead of a window by default.
+LIMITED_ROWS = 1_000
 
 
 def first_in_group(df: DataFrame, by: str | Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -20,7 +22,10 @@ def first_in_group(df: DataFrame, by: str | Sequence[str], order: Sequence[str])
 
 def first_k(df: DataFrame, by: str | Sequence[str], order: Sequence[str], k: int,
             out: str = "seq") -> DataFrame:
-    """The first k rows of each group with their number; limited before the shuffle."""
+    """The first k rows of each group with their number. Up to `LIMITED_ROWS` a group is
+    cut to k rows in each map task before the shuffle."""
+    if k > LIMITED_ROWS:
+        return seq_in_group(df, by, order, out).filter(F.col(out) <= k)
     w = W.partitionBy(*as_list(by)).orderBy(*nulls_last(order))
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.missing import as_flag
 from ..operators.merge import map_to_person
+from .events import dated
 
 
 def condition_profile(diagnoses: DataFrame, patient: DataFrame, site_key: str, person: str,
-                      category: str, month: str, sets: Mapping[str, Sequence[str]],
+                      category: str, when: str, sets: Mapping[str, Sequence[str]],
                       eligible: Sequence[str] | None = None, window: tuple[int, int] | None = None,
                       encoded_first: str | None = None) -> DataFrame:
     """Per person: `has_<name>` flags and `first_<name>` months for each category set.
@@ -21,10 +22,8 @@ def condition_profile(diagnoses: DataFrame, patient: DataFrame, site_key: str, p
     only persons with at least one of those conditions stay. `encoded_first` names an
     extra set for the label that sorts first of all categories present.
     """
-    rows = diagnoses
-    if window:
-        rows = rows.filter(F.col(month).between(*window))
-    brief = rows.groupBy(site_key, category).agg(F.min(month).alias(month))
+    month = "month"
+    brief = dated(diagnoses, when, window).groupBy(site_key, category).agg(F.min(month).alias(month))
     mapped = map_to_person(brief, patient, site_key, person)
     tests: dict[str, Column] = {name: F.col(category).isin(*values) for name, values in sets.items()}
     if encoded_first:

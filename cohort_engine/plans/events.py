@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.dates import quarter_of_month
+from ..functions.dates import month_index, quarter_of_month
 from ..functions.missing import as_flag
 from ..functions.text import has_letters, to_number
 from ..operators.collapse import collapse_sum, distinct_count, rollup_periods
+from ..operators.filters import in_window
 from ..operators.keys import as_list
 from ..operators.merge import map_to_person
 from ..operators.projections import explode_codes, set_flags
@@ -23,6 +24,17 @@ def sample_map(patient: DataFrame, sample: DataFrame, site_key: str, person: str
                          list(columns) or [person]).filter(F.col(site_key).isNotNull())
 
 
+def dated(events: DataFrame, when: str, window: tuple[int, int] | None, month: str = "month") -> DataFrame:
+    """Events of the window with their month number. On a date or timestamp column the
+    window is applied as day bounds, which the reader can use to skip data; a column of
+    month numbers is filtered as it is."""
+    rows = in_window(events, when, *window) if window else events
+    kind = events.schema[when].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return rows.withColumn(month, month_index(when))
+    return rows.withColumn(month, F.col(when))
+
+
 def clean_codes(events: DataFrame, code: str, code_range: tuple[int, int], sep: str = "/",
                 out: str = "code_num") -> DataFrame:
     """Drop codes holding letters and the code 0, split joined codes into rows, read them
@@ -34,14 +46,14 @@ def clean_codes(events: DataFrame, code: str, code_range: tuple[int, int], sep:
 
 
 def clean_events(events: DataFrame, people: DataFrame, site_key: str, person: str | Sequence[str],
-                 code: str, month: str, window: tuple[int, int], code_range: tuple[int, int],
+                 code: str, when: str, window: tuple[int, int], code_range: tuple[int, int],
                  sep: str = "/") -> DataFrame:
-    """Events in the window of mapped persons, one row per valid code.
+    """Events in the window of mapped persons, one row per valid code, with their month.
 
     Row filters run before the join; codes are split after it, so that the join moves
     the unsplit rows.
     """
-    rows = events.filter(F.col(month).between(*window)).filter(~has_letters(code))
+    rows = dated(events, when, window).filter(~has_letters(code))
     return clean_codes(map_to_person(rows, people, site_key, person), code, code_range, sep)
 
 
@@ -60,7 +72,7 @@ def event_counts(events: DataFrame, by: Sequence[str], code: str,
                                  *[distinct_count(c).alias(o) for o, c in entities.items()])
 
 
-def category_counts(events: DataFrame, people: DataFrame, site_key: str, person: str, month: str,
+def category_counts(events: DataFrame, people: DataFrame, site_key: str, person: str, when: str,
                     tests: Mapping[str, Column], window: tuple[int, int] | None = None,
                     quarter: str = "q") -> DataFrame:
     """Counts of events meeting each test per person and quarter, by way of months.
@@ -68,21 +80,18 @@ def category_counts(events: DataFrame, people: DataFrame, site_key: str, person:
     Events are summed per site key and month before the join to persons, which then
     moves one row per key and month instead of one per event.
     """
-    rows = events
-    if window:
-        rows = rows.filter(F.col(month).between(*window))
     names = list(tests)
-    brief = rows.groupBy(site_key, month).agg(*[F.sum(as_flag(t)).alias(n) for n, t in tests.items()])
+    brief = dated(events, when, window).groupBy(site_key, "month").agg(*[F.sum(as_flag(t)).alias(n) for n, t in tests.items()])
     mapped = map_to_person(brief, people, site_key, person)
-    return rollup_periods(mapped, person, month, names, quarter)
+    return rollup_periods(mapped, person, "month", names, quarter)
 
 
-def any_class_count(events: DataFrame, people: DataFrame, site_key: str, person: str, month: str,
+def any_class_count(events: DataFrame, people: DataFrame, site_key: str, person: str, when: str,
                     letter: Column, letters: Sequence[str], out: str = "pres_any",
                     window: tuple[int, int] | None = None, quarter: str = "q") -> DataFrame:
     """Events in the listed classes per person and quarter (0 for a quarter that only
     has other classes)."""
-    return category_counts(events, people, site_key, person, month, {out: letter.isin(*letters)},
+    return category_counts(events, people, site_key, person, when, {out: letter.isin(*letters)},
                            window, quarter)
 
 

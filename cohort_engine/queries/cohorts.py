@@ -115,10 +115,9 @@ WITH d AS (SELECT o_custkey, p_type, {sql_month('l_shipdate')} AS m FROM lineite
 SELECT * FROM p WHERE has_cardio + has_resp > 0""")
 def condition_profile(t: Tables) -> DataFrame:
     """Flags and first months of conditions per person, eligible persons only."""
-    rows = found(t).select(F.concat_ws("-", "l_suppkey", "o_custkey").alias("site_key"), "o_custkey", "p_type",
-                           D.month_index("l_shipdate").alias("m"))
+    rows = found(t).select(F.concat_ws("-", "l_suppkey", "o_custkey").alias("site_key"), "o_custkey", "p_type", "l_shipdate")
     patient = rows.select("site_key", F.col("o_custkey").alias("person")).distinct()
-    return build_profile(rows.drop("o_custkey"), patient, "site_key", "person", "p_type", "m",
+    return build_profile(rows.drop("o_custkey"), patient, "site_key", "person", "p_type", "l_shipdate",
                          {"cardio": ["PROMO"], "resp": ["SMALL"], "other": ["LARGE", "MEDIUM"]}, ["cardio", "resp"],
                          (D.ym(1996, 1), D.ym(1999, 12)), "lowest")
 

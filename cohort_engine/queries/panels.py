@@ -34,7 +34,7 @@ def person_events(t: Tables) -> tuple[DataFrame, DataFrame]:
             .when((F.col("l_returnflag") == "N") & (F.col("l_quantity") > 45), F.col("p_brand"))
             .when(F.col("l_quantity") == 1, F.lit(None)).otherwise(number))
     events = rows.select(site_key, F.col("l_suppkey").alias("practice"), F.nullif("l_partkey", F.lit(500)).alias("provider"),
-                         D.month_index("l_shipdate").alias("m"), code.alias("code"), F.col("p_type").alias("kind"))
+                         "l_shipdate", code.alias("code"), F.col("p_type").alias("kind"))
     patient = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
                .select(site_key, F.col("o_custkey").alias("person")).distinct())
     sample = t.customer.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("person"))
@@ -43,13 +43,14 @@ def person_events(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def clean_part_events(t: Tables) -> DataFrame:
     events, people = person_events(t)
-    return E.clean_events(events, people, "site_key", "person", "code", "m", WINDOW, (1, 1900))
+    return E.clean_events(events, people, "site_key", "person", "code", "l_shipdate", WINDOW, (1, 1900))
 
 
 @query(f"WITH {EVENTS_SQL} SELECT person, practice, provider, m, code_num, CAST(count(*) AS BIGINT) AS n FROM clean GROUP BY ALL")
 def cleaned_events(t: Tables) -> DataFrame:
     """Windowed events of sampled persons, one row per valid code."""
-    return C.count_by(clean_part_events(t), ["person", "practice", "provider", "m", "code_num"])
+    events = clean_part_events(t).withColumnRenamed("month", "m")
+    return C.count_by(events, ["person", "practice", "provider", "m", "code_num"])
 
 
 @query(f"""WITH {EVENTS_SQL} SELECT person, CAST(m // 3 AS INTEGER) AS q, """ + ", ".join(
@@ -58,7 +59,7 @@ def cleaned_events(t: Tables) -> DataFrame:
   CAST(count(DISTINCT provider) + max(CASE WHEN provider IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS prov_num FROM clean GROUP BY ALL""")
 def service_counts(t: Tables) -> DataFrame:
     """Counts by code set and distinct practices and providers per person-quarter (C11)."""
-    events = clean_part_events(t).withColumn("q", D.quarter_of_month("m"))
+    events = clean_part_events(t).withColumn("q", D.quarter_of_month("month"))
     return E.event_counts(events, ["person", "q"], "code_num", PART_SETS, {"prac_num": "practice", "prov_num": "provider"})
 
 
@@ -73,11 +74,11 @@ SELECT o_custkey AS person, {sql_quarter('o_orderdate')} AS q, """ + ", ".join(
 def referral_counts(t: Tables) -> DataFrame:
     """Counts by category, month then quarter."""
     key = F.concat_ws("-", "o_orderstatus", "o_custkey").alias("site_key")
-    events = t.orders.select(key, "o_orderpriority", D.month_index("o_orderdate").alias("m"))
+    events = t.orders.select(key, "o_orderpriority", "o_orderdate")
     patient = t.orders.select(key, F.col("o_custkey").alias("person")).distinct()
     people = E.sample_map(patient, t.customer.filter("c_mktsegment <> 'HOUSEHOLD'").withColumnRenamed("c_custkey", "person"), "site_key", "person")
     tests = {n: F.lit(True) if v is None else F.col("o_orderpriority").isin(*v) for n, v in REFERRALS.items()}
-    return E.category_counts(events, people, "site_key", "person", "m", tests, WINDOW)
+    return E.category_counts(events, people, "site_key", "person", "o_orderdate", tests, WINDOW)
 
 
 LETTERS = ["E", "L", "M", "P", "S"]
@@ -93,14 +94,14 @@ def class_counts(t: Tables) -> DataFrame:
     """Counts by first letter of the class, month then quarter."""
     events, people = person_events(t)
     letter = F.substring("kind", 1, 1)
-    return E.category_counts(events, people, "site_key", "person", "m", {f"class_{x}": letter == x for x in LETTERS}, WINDOW)
+    return E.category_counts(events, people, "site_key", "person", "l_shipdate", {f"class_{x}": letter == x for x in LETTERS}, WINDOW)
 
 
 @query(f"WITH {SCRIPTS_SQL} SELECT person, q, CAST(count(*) FILTER (letter <> 'S') AS BIGINT) AS any_class FROM sc GROUP BY ALL")
 def any_class_counts(t: Tables) -> DataFrame:
     """Quarterly total of the listed classes, one letter left out (C14)."""
     events, people = person_events(t)
-    return E.any_class_count(events, people, "site_key", "person", "m", F.substring("kind", 1, 1), LETTERS[:-1], "any_class", WINDOW)
+    return E.any_class_count(events, people, "site_key", "person", "l_shipdate", F.substring("kind", 1, 1), LETTERS[:-1], "any_class", WINDOW)
 
 
 def order_facts(t: Tables) -> list[tuple[DataFrame, list[str]]]:
