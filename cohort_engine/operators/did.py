@@ -60,9 +60,14 @@ def unit_profiles(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d:
     length. Columns used by `by`, `where` and `cluster` must not vary within a unit.
     """
     lo, hi = periods
+
+    def outcome(name: str) -> Column:
+        value = F.col(name).cast("double")
+        return F.when(~F.isnan(value), value)  # not a number counts as missing
+
     obs = F.array_sort(F.collect_list(F.struct(
         F.col(t).cast("int").alias("t"), F.col(d).cast("double").alias("d"),
-        *[F.col(y).cast("double").alias(f"y{i}") for i, y in enumerate(outcomes)])))
+        *[outcome(y).alias(f"y{i}") for i, y in enumerate(outcomes)])))
     known = panel.filter(F.col(t).isNotNull() & F.col(d).isNotNull() & F.col(t).between(lo, hi))
     # a condition may name any column, so all are offered; unused ones are pruned
     used = {s["by"] for s in specs.values() if s.get("by")} | ({cluster} - {None, id})
@@ -179,18 +184,21 @@ def cohort_coefficients(cells: DataFrame, stats: DataFrame, estimates: DataFrame
     """Per cohort, an array over the horizons of the coefficients that turn a unit's
     outcomes into its influence on the estimate (0 stands for the average effect),
     scaled so that the variance is the sum of squares over clusters."""
-    def scaled(n: Column, dy: Column, sign: Column) -> Column:
-        # centred on the mean change of the group, with its degrees of freedom; a group
-        # of one is not centred, as its deviation from its own mean is always 0
-        k = sign * F.when(n > 1, F.sqrt(n / (n - 1))).otherwise(F.lit(1.0))
-        return F.struct(k.alias("k"), F.when(n > 1, k * dy / n).otherwise(F.lit(0.0)).alias("shift"))
+    def scaled(n: str, dy: str, sign: Column, others: Sequence[str]) -> Column:
+        """Weight of a group's members and their centre: the group's mean change, with
+        its degrees of freedom; a group of one is centred on the mean of the whole cell."""
+        alone = F.col(n) == 1
+        count = F.when(alone, sum((F.col(f"n_{o}") for o in others), F.col(n))).otherwise(F.col(n))
+        mean = F.when(alone, sum((F.col(f"dy_{o}") for o in others), F.col(dy))).otherwise(F.col(dy)) / count
+        k = sign * F.sqrt(count / (count - 1))
+        return F.when(F.col(n) > 0, F.struct(k.alias("k"), (k * mean).alias("shift")))
 
     balance = (F.col("n_up") - F.col("n_down")) / F.col("n_c")
     cell = ["d1", "sf", "l"]
     by_cell = stats.select(
-        *MODEL, *cell, scaled(F.col("n_up"), F.col("dy_up"), F.lit(1.0)).alias("up"),
-        scaled(F.col("n_down"), F.col("dy_down"), F.lit(-1.0)).alias("down"),
-        scaled(F.col("n_c"), F.col("dy_c"), -balance).alias("control"))
+        *MODEL, *cell, scaled("n_up", "dy_up", F.lit(1.0), ["c"]).alias("up"),
+        scaled("n_down", "dy_down", F.lit(-1.0), ["c"]).alias("down"),
+        scaled("n_c", "dy_c", -balance, ["up", "down"]).alias("control"))
     role = (F.when(F.col("role") == "control", F.col("control")).when(F.col("s") > 0, F.col("up"))
             .otherwise(F.col("down")))
     rows = cells.select(*COHORT, "sf", "l", "t2", "role").join(by_cell, [*MODEL, *cell])

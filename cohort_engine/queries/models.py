@@ -89,15 +89,15 @@ ob AS (SELECT un.*, gr.sf, gr.l, coalesce(un.f = gr.sf, false) AS sw, b.y - a.y
   LEFT JOIN pm e ON e.outcome = un.outcome AND e.spec = un.spec AND e.subgroup = un.subgroup AND e.id = un.id AND e.t = gr.til
   WHERE NOT coalesce(un.f = gr.sf, false) OR gr.l > 0 OR e.y IS NOT NULL),
 c0 AS (SELECT outcome, spec, subgroup, d1, sf, l, count(*) FILTER (sw) AS ns, coalesce(sum(s) FILTER (sw), 0) AS ss, coalesce(sum(s * dy) FILTER (sw), 0) AS dys,
-  sum(dose) FILTER (sw) AS dose, count(*) FILTER (NOT sw) AS nc, sum(dy) FILTER (NOT sw) AS dyc FROM ob GROUP BY ALL HAVING ns > 0 AND nc > 0),
+  coalesce(sum(dy) FILTER (sw), 0) AS dyr, sum(dose) FILTER (sw) AS dose, count(*) FILTER (NOT sw) AS nc, sum(dy) FILTER (NOT sw) AS dyc FROM ob GROUP BY ALL HAVING ns > 0 AND nc > 0),
 ce AS (SELECT * FROM c0 WHERE l > 0 OR EXISTS (SELECT 1 FROM c0 z WHERE z.outcome = c0.outcome AND z.spec = c0.spec AND z.subgroup = c0.subgroup
   AND z.d1 = c0.d1 AND z.sf = c0.sf AND z.l = -c0.l)),
 es AS (SELECT outcome, spec, subgroup, l, sum(dys - ss * dyc / nc) AS total, sum(ns) AS n_switchers, sum(ns + nc) AS n_obs, sum(dose) AS dose FROM ce GROUP BY ALL),
 av AS (SELECT outcome, spec, subgroup, 0 AS l, sum(total) AS total, sum(n_switchers) AS n_switchers, sum(n_obs) AS n_obs, sum(dose) AS dose FROM es WHERE l > 0 GROUP BY ALL),
-co AS (SELECT outcome, spec, subgroup, d1, sf, l, s, count(*) AS n, avg(dy) AS mean FROM ob WHERE sw GROUP BY ALL),
+co AS (SELECT outcome, spec, subgroup, d1, sf, l, s, count(*) AS n, sum(dy) AS sdy FROM ob WHERE sw GROUP BY ALL),
 iv AS (SELECT ob.outcome, ob.spec, ob.subgroup, ob.cl, ob.l, CASE WHEN sw
-    THEN ob.s * CASE WHEN co.n > 1 THEN sqrt(co.n / (co.n - 1.0)) * (dy - co.mean) ELSE dy END
-    ELSE -ce.ss / ce.nc * CASE WHEN ce.nc > 1 THEN sqrt(ce.nc / (ce.nc - 1.0)) * (dy - ce.dyc / ce.nc) ELSE dy END END AS u
+    THEN ob.s * CASE WHEN co.n > 1 THEN sqrt(co.n / (co.n - 1.0)) * (dy - co.sdy / co.n) ELSE sqrt((1.0 + ce.nc) / ce.nc) * (dy - (co.sdy + ce.dyc) / (1 + ce.nc)) END
+    ELSE -ce.ss / ce.nc * CASE WHEN ce.nc > 1 THEN sqrt(ce.nc / (ce.nc - 1.0)) * (dy - ce.dyc / ce.nc) ELSE sqrt((1.0 + ce.ns) / ce.ns) * (dy - (ce.dyc + ce.dyr) / (1 + ce.ns)) END END AS u
   FROM ob JOIN ce USING (outcome, spec, subgroup, d1, sf, l) LEFT JOIN co USING (outcome, spec, subgroup, d1, sf, l, s)),
 uc AS (SELECT iv.outcome, iv.spec, iv.subgroup, iv.cl, iv.l, sum(u) / any_value(n_switchers) AS u, sum(u) AS raw
   FROM iv JOIN es USING (outcome, spec, subgroup, l) GROUP BY iv.outcome, iv.spec, iv.subgroup, iv.cl, iv.l),

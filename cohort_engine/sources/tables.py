@@ -26,7 +26,13 @@ def read_csv_strict(spark: SparkSession, path: str, schema: T.StructType | None
     return reader.csv(path)
 
 
-CANDIDATE_TYPES = (T.LongType(), T.DoubleType(), T.DateType(), T.TimestampNTZType())
+# Candidate types in order, with the shape a text must have to be read as one.
+CANDIDATE_TYPES = (
+    (T.LongType(), r"^[+-]?\d+$"),
+    (T.DoubleType(), NUMBER_PATTERN),
+    (T.DateType(), r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    (T.TimestampNTZType(), r"^\d{4}-\d{1,2}-\d{1,2}[ T]"),
+)
 
 
 def infer_schema(spark: SparkSession, path: str, rows: int = 50_000) -> T.StructType:
@@ -36,17 +42,13 @@ def infer_schema(spark: SparkSession, path: str, rows: int = 50_000) -> T.Struct
     tests = []
     for i, name in enumerate(head.columns):
         text = F.nullif(F.trim(F.col(name)), F.lit(""))
-        for j, kind in enumerate(CANDIDATE_TYPES):
-            readable = text.try_cast(kind).isNotNull()
-            if j < 2:
-                readable = text.rlike(NUMBER_PATTERN) & readable
-            if j == 0:
-                readable = readable & text.rlike(r"^[+-]?\d+$")
+        for j, (kind, shape) in enumerate(CANDIDATE_TYPES):
+            readable = text.rlike(shape) & text.try_cast(kind).isNotNull()
             tests.append(F.min(F.when(text.isNotNull(), readable)).alias(f"t{i}_{j}"))
     verdict = head.agg(*tests).first()
     fields = []
     for i, name in enumerate(head.columns):
-        kinds = (k for j, k in enumerate(CANDIDATE_TYPES) if verdict[f"t{i}_{j}"])
+        kinds = (kind for j, (kind, _) in enumerate(CANDIDATE_TYPES) if verdict[f"t{i}_{j}"])
         fields.append(T.StructField(name, next(kinds, T.StringType())))
     return T.StructType(fields)
 
