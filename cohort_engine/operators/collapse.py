@@ -66,10 +66,10 @@ def freq_table(df: DataFrame, col: str) -> DataFrame:
     """Count, percent and cumulative percent of each value in sorted order. Missing
     values are left out of the table."""
     counts = count_by(df.filter(F.col(col).isNotNull()), col, "freq")
-    total = counts.agg(F.sum("freq").cast("double")).first()[0] or 0.0
     out = running_total(counts, col, "freq", "__cum")
-    return out.select(col, "freq", (100 * F.col("freq") / F.lit(total)).alias("percent"),
-                      (100 * F.col("__cum") / F.lit(total)).alias("cum_percent"))
+    total = out.agg(F.max("__cum").cast("double")).scalar()
+    return out.select(col, "freq", (100 * F.col("freq") / total).alias("percent"),
+                      (100 * F.col("__cum") / total).alias("cum_percent"))
 
 
 def summarize(df: DataFrame, col: str, cond: Column | None = None) -> DataFrame:
@@ -92,9 +92,11 @@ def summarize_detail(df: DataFrame, col: str, cond: Column | None = None) -> Dat
         F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("variance"),
         F.skewness(v).alias("skewness"), (F.kurtosis(v) + 3).alias("kurtosis"),
     ).first().asDict()
-    pcts = percentiles(rows, "v", DETAIL_PERCENTS)
-    smallest = [r["v"] for r in rows.orderBy("v").limit(4).collect()]
-    largest = [r["v"] for r in rows.orderBy(F.desc("v")).limit(4).collect()]
+    pcts = percentiles(rows, "v", DETAIL_PERCENTS, n=int(moments["n"]))
+    ends = rows.orderBy("v").limit(4).withColumn("end", F.lit(0)).unionAll(
+        rows.orderBy(F.desc("v")).limit(4).withColumn("end", F.lit(1))).collect()
+    smallest = sorted(r["v"] for r in ends if r["end"] == 0)
+    largest = sorted((r["v"] for r in ends if r["end"] == 1), reverse=True)
     stats = [(k, x) for k, x in moments.items()]
     stats += [(f"p{p}", x) for p, x in pcts.items()]
     stats += [(f"smallest_{i}", x) for i, x in enumerate(smallest, 1)]

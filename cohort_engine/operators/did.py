@@ -111,10 +111,9 @@ def cohort_sums(units: DataFrame, periods: tuple[int, int]) -> DataFrame:
     n = hi - lo + 1
     sums = units.groupBy(*COHORT).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.get("y", F.lit(k))).alias(f"ys{k}") for k in range(n)],
-        *[F.sum(F.get("dd", F.lit(k))).alias(f"ds{k}") for k in range(n)])
-    return sums.select(*COHORT, "n", F.array(*[F.col(f"ys{k}") for k in range(n)]).alias("ysum"),
-                       F.array(*[F.col(f"ds{k}") for k in range(n)]).alias("dsum"))
+        *[F.expr(f"sum({c}[{k}]) AS {c}{k}") for c in ("y", "dd") for k in range(n)])
+    arrays = [f"array({', '.join(f'{c}{k}' for k in range(n))}) AS {out}" for c, out in (("y", "ysum"), ("dd", "dsum"))]
+    return sums.selectExpr(*COHORT, "n", *arrays)
 
 
 def cohort_cells(cohorts: DataFrame, effects: int, placebo: int,
@@ -180,10 +179,13 @@ def _estimates(stats: DataFrame) -> DataFrame:
         "estimate", F.col("total") / F.col("per"))
 
 
-def cohort_coefficients(cells: DataFrame, stats: DataFrame, estimates: DataFrame) -> DataFrame:
+def cohort_coefficients(cells: DataFrame, stats: DataFrame, estimates: DataFrame,
+                        periods: tuple[int, int]) -> DataFrame:
     """Per cohort, an array over the horizons of the coefficients that turn a unit's
     outcomes into its influence on the estimate (0 stands for the average effect),
     scaled so that the variance is the sum of squares over clusters."""
+    lo, hi = periods
+
     def scaled(n: str, dy: str, sign: Column, others: Sequence[str]) -> Column:
         """Weight of a group's members and their centre: the group's mean change, with
         its degrees of freedom; a group of one is centred on the mean of the whole cell."""
@@ -213,33 +215,29 @@ def cohort_coefficients(cells: DataFrame, stats: DataFrame, estimates: DataFrame
     parts = rows.repartition(*COHORT).select(*COHORT, "l", F.inline(ends))
     terms = parts.groupBy(*COHORT, "l", "t").agg(F.sum("k").alias("k"), F.sum("shift").alias("shift"))
     by_horizon = terms.groupBy(*COHORT, "l").agg(
-        F.sum("shift").alias("shift"), F.collect_list(F.struct("t", "k")).alias("terms"))
-    return by_horizon.groupBy(*COHORT).agg(
-        F.collect_list(F.struct("l", "shift", "terms")).alias("coefs"))
+        F.sum("shift").alias("shift"), F.map_from_entries(F.collect_list(F.struct("t", "k"))).alias("k"))
+    dense = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda t: F.coalesce(F.try_element_at("k", t), F.lit(0.0)))
+    return by_horizon.withColumn("a", dense).groupBy(*COHORT).agg(
+        F.collect_list(F.struct("l", "shift", "a")).alias("coefs"))
 
 
 def influence(units: DataFrame, coefs: DataFrame, periods: tuple[int, int], small: bool,
               clustered: bool) -> DataFrame:
-    """Per cluster, an array `v` of the influence `u` on each horizon `l`."""
-    lo, _ = periods
+    """Influence `u` of each cluster on each horizon `l`."""
+    lo, hi = periods
     renamed = coefs.withColumnsRenamed({c: f"__k_{c}" for c in COHORT})
     on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) if c in ("f", "s") else F.col(c) == F.col(f"__k_{c}")
           for c in COHORT]
     # the never-switched cohort can be most units; where the coefficients are too large
     # to broadcast, its rows are split by adaptive execution instead
     joined = units.join(F.broadcast(renamed) if small else renamed, on)
-
-    def value(c: Column) -> Column:
-        y = F.col("y")
-        dot = F.aggregate(c["terms"], F.lit(0.0), lambda acc, x: acc + x["k"] * F.get(y, x["t"] - lo))
-        return F.struct(c["l"].alias("l"), (dot - c["shift"]).alias("u"))
-
-    values = joined.select(*MODEL, "__cluster", F.transform("coefs", value).alias("v"))
+    rows = joined.select(*MODEL, "__cluster", "y", F.inline("coefs"))
+    # written out by period, the dot product is compiled instead of interpreted
+    dot = F.expr(" + ".join(f"coalesce(a[{i}] * y[{i}], 0D)" for i in range(hi - lo + 1)))
+    values = rows.select(*MODEL, "__cluster", "l", (dot - F.col("shift")).alias("u"))
     if not clustered:  # a unit is its own cluster
         return values
-    return (values.select(*MODEL, "__cluster", F.inline("v"))
-            .groupBy(*MODEL, "__cluster", "l").agg(F.sum("u").alias("u"))
-            .groupBy(*MODEL, "__cluster").agg(F.collect_list(F.struct("l", "u")).alias("v")))
+    return values.groupBy(*MODEL, "__cluster", "l").agg(F.sum("u").alias("u"))
 
 
 class DidPlan:
@@ -270,7 +268,7 @@ class DidPlan:
         self.cohort_bytes = (effects + placebo + 1) * (periods[1] - periods[0] + 3) * 16 + 500
 
     def influence(self) -> DataFrame:
-        coefs = cohort_coefficients(self.cells, self.stats, self.estimates)
+        coefs = cohort_coefficients(self.cells, self.stats, self.estimates, self.periods)
         small = self.cohorts.count() * self.cohort_bytes <= BROADCAST_BYTES
         return influence(self.units, coefs, self.periods, small, self.clustered)
 
@@ -289,8 +287,7 @@ def did_batch(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str
     plan = DidPlan(panel, outcomes, id, t, d, effects, placebo, cluster, specs, periods, errors)
     points = plan.estimates
     if errors:
-        squares = (plan.influence().select(*MODEL, F.inline("v"))
-                   .groupBy(*MODEL, "l").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("se")))
+        squares = (plan.influence().groupBy(*MODEL, "l").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("se")))
         points = points.join(squares, [*MODEL, "l"], "left")
     else:
         points = points.withColumn("se", F.lit(None).cast("double"))
@@ -342,7 +339,8 @@ def did_joint_tests(panel: DataFrame, outcomes: Sequence[str], id: str, t: str,
     kind = F.when(F.col("a.l") > 0, "effect").otherwise("placebo")
     # at most (effects + placebos) squared products per cluster, summed on the map side
     same_kind = (F.col("a.l") * F.col("b.l")) > 0
-    pairs = (plan.influence().select(*MODEL, "v", F.explode("v").alias("a"))
+    vectors = plan.influence().groupBy(*MODEL, "__cluster").agg(F.collect_list(F.struct("l", "u")).alias("v"))
+    pairs = (vectors.select(*MODEL, "v", F.explode("v").alias("a"))
              .select(*MODEL, "a", F.explode("v").alias("b")).filter(same_kind)
              .groupBy(*MODEL, kind.alias("kind"), F.col("a.l").alias("i"), F.col("b.l").alias("j"))
              .agg(F.sum(F.col("a.u") * F.col("b.u")).alias("cov")))

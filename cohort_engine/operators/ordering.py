@@ -165,9 +165,13 @@ def percentile_ranks(n: int, percents: Sequence[float]) -> dict[float, tuple[int
     return out
 
 
-def percentiles(df: DataFrame, col: str, percents: Sequence[float]) -> dict[float, float | None]:
-    """Exact percentiles of the non-missing values, by the averaging rule above."""
-    n = df.filter(F.col(col).isNotNull()).count()
+def percentiles(df: DataFrame, col: str, percents: Sequence[float],
+                n: int | None = None) -> dict[float, float | None]:
+    """Exact percentiles of the non-missing values, by the averaging rule above. `df` is
+    read several times: store it first if it is costly. `n` is the number of values, if
+    known."""
+    if n is None:
+        n = df.filter(F.col(col).isNotNull()).count()
     if n == 0:
         return {p: None for p in percents}
     pairs = percentile_ranks(n, percents)

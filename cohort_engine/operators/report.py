@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stable
 from .collapse import dedupe, distinct_count, summarize_detail
 
 
@@ -24,6 +25,7 @@ def duration_summary(panel: DataFrame, person: str, duration: str,
     """Detailed summary of a person-level duration in each named group."""
     people = dedupe(panel.select(person, duration, *[c.alias(f"__g_{n}") for n, c in groups.items()]),
                     person, [duration])
+    people = stable(people)  # one row per person, read several times per group
     out = None
     for name in groups:
         part = summarize_detail(people, duration, F.col(f"__g_{name}"))

@@ -13,6 +13,7 @@ from ..operators.collapse import collapse_sum
 from ..operators.merge import append, cross_panel, merge_tables
 from ..operators.ordering import xtile
 from ..operators.projections import group_id, zero_fill
+from ..session import stable
 
 
 def build_panel(sample: DataFrame, start: int, end: int, facts: Sequence[tuple[DataFrame, Sequence[str]]],
@@ -73,8 +74,9 @@ def derive_strata(panel: DataFrame, index: str, age: str, duration: Column, age_
 
     Halves are by value over the rows of the panel. With `sex_values`, rows of other
     values are dropped, after the area halves are cut and before the duration halves.
+    The panel is stored first, as each cut reads it several times.
     """
-    out = xtile(panel, index, 2, "index_half")
+    out = xtile(stable(panel), index, 2, "index_half")
     if sex_values:
         out = out.filter(F.col(sex).isin(*sex_values))
     out = out.withColumns({"age_high": as_flag(ge(age, age_cut)), "duration_days": duration})

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import dates as D, missing as M
 from ..operators import collapse as C, filters as FL, report
 from ..plans import events as E, panel as P
+from ..session import stable
 from .base import PART_SETS, PART_SETS_SQL, Tables, query, rounded, sql_month, sql_quarter, sql_rounded
 from .cohorts import SAMPLE_SQL, study_sample
 
@@ -231,8 +232,8 @@ SELECT c_custkey, q, CAST(dense_rank() OVER (ORDER BY c_custkey) AS BIGINT) AS u
 FROM kept LEFT JOIN tq USING (c_custkey)""")
 def event_study_columns(t: Tables) -> DataFrame:
     """Unit and period numbers, event time and lagged treatment."""
-    panel = followed_panel(t).join(first_treatment(t), "c_custkey", "left")
-    return P.event_study_columns(panel, "c_custkey", "q", "first_q").select("c_custkey", "q", "unit", "tvar", "trel", "treat")
+    panel = followed_panel(t).join(first_treatment(t), "c_custkey", "left").select("c_custkey", "q", "first_q")
+    return P.event_study_columns(stable(panel), "c_custkey", "q", "first_q").select("c_custkey", "q", "unit", "tvar", "trel", "treat")
 
 
 def _percentile_sql(p: int) -> str:
