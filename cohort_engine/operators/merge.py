@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.missing import truth
-from .keys import PREFIX, as_list, match_on, members, prefixed
+from .keys import PREFIX, as_list, match_on, members, prefixed, with_known_keys
 
 LEFT_ONLY, RIGHT_ONLY, MATCHED = 1, 2, 3
 KINDS = ("1:1", "1:m", "m:1")
@@ -57,12 +57,17 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str | Sequence[str], kin
     keep = set(keep)
     extra = [c for c in right.columns if c not in left.columns]
     shared = set(right.columns) & set(left.columns)
-    cond = match_on(on, null_safe)
+    cond = match_on(on)
 
-    lhs = left.withColumn("__l", F.lit(1))
-    rhs = prefixed(right, right.columns).withColumn("__r", F.lit(1))
-    lhs_keys = left.select(*on).distinct()
-    rhs_keys = prefixed(right.select(*on).distinct(), on)
+    def matchable(df: DataFrame) -> DataFrame:
+        """The side looked up in: without null-safe keys, rows missing one match nothing."""
+        return df if null_safe else with_known_keys(df, on)
+
+    def as_left(df: DataFrame) -> DataFrame:
+        return df.withColumn("__l", F.lit(1))
+
+    def as_right(df: DataFrame) -> DataFrame:
+        return prefixed(df, df.columns).withColumn("__r", F.lit(1))
 
     def finish(df: DataFrame, how: str) -> DataFrame:
         """Project a join result; `how` names the sides a row can come from."""
@@ -87,13 +92,17 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str | Sequence[str], kin
         return df.select(*out)
 
     def left_rest() -> DataFrame:
-        return finish(lhs.join(rhs_keys, cond, "left_anti"), "left")
+        keys = matchable(right.select(*on)).distinct()
+        return finish(as_left(left).join(prefixed(keys, on), cond, "left_anti"), "left")
 
     def right_rest() -> DataFrame:
-        return finish(rhs.join(lhs_keys, cond, "left_anti"), "right")
+        keys = matchable(left.select(*on)).distinct()
+        return finish(as_right(right).join(keys, cond, "left_anti"), "right")
 
     if kind == "1:1" and {LEFT_ONLY, RIGHT_ONLY} <= keep:
-        full = finish(lhs.join(rhs, cond, "full"), "any")
+        # no key can be hot here; plain equality reuses the partitioning the sides have
+        plain = [F.col(k) == F.col(PREFIX + k) for k in on]
+        full = finish(as_left(left).join(as_right(right), cond if null_safe else plain, "full"), "any")
         if MATCHED in keep:
             return full
         return left_rest().unionByName(right_rest())
@@ -102,11 +111,12 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str | Sequence[str], kin
     probe_only = LEFT_ONLY if many_left else RIGHT_ONLY
     if MATCHED in keep and probe_only in keep:
         # the probing side is the one whose hot keys can be split
-        joined = lhs.join(rhs, cond, "left") if many_left else rhs.join(lhs, cond, "left")
+        joined = (as_left(left).join(as_right(matchable(right)), cond, "left") if many_left
+                  else as_right(right).join(as_left(matchable(left)), cond, "left"))
         parts.append(finish(joined, "any"))
         keep -= {MATCHED, probe_only}
     if MATCHED in keep:
-        parts.append(finish(lhs.join(rhs, cond, "inner"), "both"))
+        parts.append(finish(as_left(left).join(as_right(matchable(right)), cond, "inner"), "both"))
     if LEFT_ONLY in keep:
         parts.append(left_rest())
     if RIGHT_ONLY in keep:
