@@ -34,6 +34,7 @@ from ..functions.missing import truth
 from ..session import stable
 
 BROADCAST_BYTES = 128 * 1024 * 1024
+COMPILED_PERIODS = 200
 Z95 = 1.959963984540054
 MODEL = ["outcome", "spec", "subgroup"]
 COHORT = [*MODEL, "d1", "f", "s", "seen"]
@@ -232,8 +233,11 @@ def influence(units: DataFrame, coefs: DataFrame, periods: tuple[int, int], smal
     # to broadcast, its rows are split by adaptive execution instead
     joined = units.join(F.broadcast(renamed) if small else renamed, on)
     rows = joined.select(*MODEL, "__cluster", "y", F.inline("coefs"))
-    # written out by period, the dot product is compiled instead of interpreted
-    dot = F.expr(" + ".join(f"coalesce(a[{i}] * y[{i}], 0D)" for i in range(hi - lo + 1)))
+    if hi - lo < COMPILED_PERIODS:  # written out, the dot product is compiled
+        dot = F.expr(" + ".join(f"coalesce(a[{i}] * y[{i}], 0D)" for i in range(hi - lo + 1)))
+    else:
+        terms = F.zip_with("a", "y", lambda a, y: F.coalesce(a * y, F.lit(0.0)))
+        dot = F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
     values = rows.select(*MODEL, "__cluster", "l", (dot - F.col("shift")).alias("u"))
     if not clustered:  # a unit is its own cluster
         return values

@@ -25,11 +25,13 @@ DEFAULT_RULES: Mapping[str, Callable[[Column], Column]] = {
 def link_rosters(rosters: Mapping[str, DataFrame], pools: Sequence[DataFrame], keys: Sequence[str],
                  rules: Mapping[str, Callable[[Column], Column]] = DEFAULT_RULES,
                  decisions: DataFrame | None = None, person: str = "person_id",
-                 keep_columns: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+                 keep_columns: Sequence[str] = (),
+                 keep_unless_refused: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Link each roster to the pools in turn; returns (linked persons, pairs to review).
 
     Pairs of the first pass stand. Later passes found weaker candidates: they form the
-    review queue, and only those a decision keeps are added to the linked persons.
+    review queue, and only those a decision keeps are added to the linked persons. For
+    the rosters in `keep_unless_refused`, pairs stay unless a decision refuses them.
     """
     def typed(df: DataFrame) -> DataFrame:
         return normalise_keys(df, {k: rules[k] for k in keys if k in rules})
@@ -39,8 +41,12 @@ def link_rosters(rosters: Mapping[str, DataFrame], pools: Sequence[DataFrame], k
     for name, roster in rosters.items():
         hits, _ = link_cascade(typed(roster), sides, keys)
         hits = hits.withColumn("roster", F.lit(name))
+        weak = hits.filter("link_pass > 1")
         linked.append(hits.filter("link_pass = 1"))
-        queue.append(hits.filter("link_pass > 1"))
-    review = append(*queue)
-    approved = apply_review(review, decisions, person) if decisions is not None else review.limit(0)
-    return append(*linked, approved), review
+        queue.append(weak)
+        lenient = name in keep_unless_refused
+        if decisions is not None:
+            linked.append(apply_review(weak, decisions, person, default_keep=lenient))
+        elif lenient:
+            linked.append(weak)
+    return append(*linked), append(*queue)

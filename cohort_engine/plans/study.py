@@ -112,7 +112,7 @@ def sample_stage(tables: Mapping[str, DataFrame], params: StudyParams) -> dict[s
     profile = conditions(tables, params)
     linked, review = link_rosters(
         {"a": roster_a(tables, params), "b": roster_b(tables, params)}, pools(tables, params),
-        values.LINK_KEYS, decisions=tables.get("decisions"), person=PERSON)
+        values.LINK_KEYS, decisions=tables.get("decisions"), person=PERSON, keep_unless_refused=("b",))
     linked = reconcile_conditions(linked, profile, PERSON, {
         "cardio": ("has_cardio", ["cardio_a", "cardio_b"]),
         "resp": ("has_respiratory", ["resp_a", "resp_b"]),

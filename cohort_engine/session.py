@@ -24,7 +24,8 @@ def build_session(app_name: str = "cohort_engine", master: str | None = None,
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.sql.session.timeZone", "UTC")
+    builder = (builder.config("spark.sql.session.timeZone", "UTC")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

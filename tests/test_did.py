@@ -150,8 +150,9 @@ def test_partitions_do_not_matter(spark, panel, partitions):
         assert got[h]["estimate"] == pytest.approx(estimate, abs=1e-10) and got[h]["se"] == pytest.approx(se, abs=1e-10)
 
 
-def test_without_broadcast(spark, panel, monkeypatch):
+def test_without_broadcast_and_compiled_product(spark, panel, monkeypatch):
     monkeypatch.setattr(did, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(did, "COMPILED_PERIODS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         got = by_horizon(did.did_dynamic(spark.createDataFrame(panel), "y", "id", "t", "d", 2, 1).collect())

@@ -33,8 +33,11 @@ def test_linkage(source, sample_frames):
     assert is_unique(linked, "person_id")
     passes = {r["link_pass"]: r["count"] for r in linked.groupBy("link_pass").count().collect()}
     assert passes[1] > 20 and passes[2] > 5
-    kept = {r[0] for r in source["decisions"].filter("keep = 1").collect()}
-    assert {r[0] for r in linked.filter("link_pass = 2").select("person_id").collect()} <= kept
+    verdicts = {r["person_id"]: r["keep"] for r in source["decisions"].collect()}
+    late = [(r["roster"], verdicts.get(r["person_id"])) for r in linked.filter("link_pass = 2").collect()]
+    # one roster needs approval, the other only must not be refused
+    assert all(keep == 1 for roster, keep in late if roster == "a") and all(keep != 0 for _, keep in late)
+    assert sample_frames["review"].count() > len(late)
     # persons at an excluded site never enter a pool
     sites = {r[0] for r in linked.select("practice_id").distinct().collect()}
     assert "14" not in sites
