@@ -68,7 +68,7 @@ def running_total(df: DataFrame, order: str | Sequence[str | Column], value: str
     return snapshot.withColumn(out, local + starts).drop("__pos")
 
 
-def order_stats(df: DataFrame, col: str, ranks: Sequence[int], collect_limit: int = 20_000,
+def order_stats(df: DataFrame, col: str, ranks: Sequence[int], collect_limit: int = 100_000,
                 accuracy: int = 10_000) -> dict[int, Any]:
     """Exact values at the given ranks (1-based) of the non-missing values of `col`.
 
@@ -79,77 +79,82 @@ def order_stats(df: DataFrame, col: str, ranks: Sequence[int], collect_limit: in
     """
     values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     v = F.col("v")
-    open_ranks = {r: (None, None, 0) for r in ranks}  # low, high, rows below
     found: dict[int, Any] = {}
+    # bracket (low, high, rows below) -> ranks to be found inside; no bounds at first
+    brackets: dict[tuple, list[int]] = {(None, None, 0): sorted(set(ranks))}
 
-    def inside(low, high):
-        if low is None:
-            return F.lit(True)
-        return v.between(low, high)
+    def inside(low, high) -> Column:
+        return F.lit(True) if low is None else v.between(low, high)
 
-    while open_ranks:
+    while brackets:
         sizes = []
-        for i, (lo, hi, _) in enumerate(open_ranks.values()):
-            within = F.when(inside(lo, hi), v)
-            sizes += [F.count(within).alias(f"n{i}"),
-                      F.approx_count_distinct(within, 0.02).alias(f"k{i}")]
+        for i, (low, high, _) in enumerate(brackets):
+            within = F.when(inside(low, high), v)
+            sizes += [F.count(within).alias(f"n{i}"), F.approx_count_distinct(within, 0.02).alias(f"k{i}")]
         counts = values.agg(*sizes).first()
         small, large = [], []
-        for i, (rank, (lo, hi, below)) in enumerate(open_ranks.items()):
-            n = counts[f"n{i}"]
-            if not below < rank <= below + n:
-                raise ValueError(f"rank {rank} is outside the {n} values of {col}")
-            settle = counts[f"k{i}"] <= collect_limit
-            (small if settle else large).append((rank, lo, hi, below, n))
+        for i, (bracket, wanted) in enumerate(brackets.items()):
+            n, below = counts[f"n{i}"], bracket[2]
+            if not below < wanted[0] <= wanted[-1] <= below + n:
+                raise ValueError(f"ranks {wanted} are outside the {n} values of {col}")
+            (small if counts[f"k{i}"] <= collect_limit else large).append((bracket, wanted, n))
         if small:
-            reach = small[0][1:3]
-            cond = inside(*reach)
-            for _, lo, hi, _, _ in small[1:]:
-                cond = cond | inside(lo, hi)
-            tally = sorted((r["v"], r["n"]) for r in
-                           values.filter(cond).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect())
-            for rank, lo, hi, below, _ in small:
-                seen = below
-                for value, n in tally:
-                    if lo is not None and not lo <= value <= hi:
-                        continue
-                    seen += n
-                    if seen >= rank:
-                        found[rank] = value
-                        break
-        if not large:
-            break
-        probes = []
-        for i, (rank, lo, hi, below, n) in enumerate(large):
-            p, slack = (rank - below) / n, 2.0 / accuracy
-            span = [max(0.0, p - slack), min(1.0, p + slack)]
-            probes.append(F.percentile_approx(F.when(inside(lo, hi), v), span, accuracy).alias(f"b{i}"))
-        brackets = values.agg(*probes).first()
-        checks = []
-        for i, (rank, lo, hi, below, n) in enumerate(large):
-            new_lo, new_hi = brackets[f"b{i}"]
-            checks += [F.count(F.when(v < new_lo, v)).alias(f"below{i}"),
-                       F.count(F.when(v <= new_hi, v)).alias(f"upto{i}")]
-        checked = values.agg(*checks).first()
-        open_ranks = {}
-        for i, (rank, lo, hi, below, n) in enumerate(large):
-            new_lo, new_hi = brackets[f"b{i}"]
-            under, upto = checked[f"below{i}"], checked[f"upto{i}"]
-            if not under < rank <= upto:  # the sketch missed: keep the sound half
-                new_lo, new_hi, under, upto = ((lo, new_lo, below, under) if rank <= under
-                                               else (new_hi, hi, upto, below + n))
-                if new_lo is None or new_hi is None:
-                    edge = values.agg(F.min(v), F.max(v)).first()
-                    new_lo = edge[0] if new_lo is None else new_lo
-                    new_hi = edge[1] if new_hi is None else new_hi
-                under = values.filter(v < new_lo).count()
-            if new_lo == new_hi:
-                found[rank] = new_lo
-            else:
-                open_ranks[rank] = (new_lo, new_hi, under)
+            _settle(values, small, inside, found)
+        if large:
+            brackets = _narrow(values, large, inside, accuracy, found)
+        else:
+            brackets = {}
     return found
 
 
+def _settle(values: DataFrame, small: list, inside, found: dict) -> None:
+    """Find the ranks of brackets whose distinct values are few, from their counts."""
+    reach = inside(*small[0][0][:2])
+    for (low, high, _), _, _ in small[1:]:
+        reach = reach | inside(low, high)
+    counted = values.filter(reach).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()
+    tally = sorted((r["v"], r["n"]) for r in counted)
+    for (low, high, below), wanted, _ in small:
+        seen, left = below, list(wanted)
+        for value, n in tally:
+            if low is not None and not low <= value <= high:
+                continue
+            seen += n
+            while left and left[0] <= seen:
+                found[left.pop(0)] = value
+
+
+def _narrow(values: DataFrame, large: list, inside, accuracy: int, found: dict) -> dict[tuple, list[int]]:
+    """Smaller brackets around each rank, from one sketch per bracket and exact counts."""
+    v, slack = F.col("v"), 2.0 / accuracy
+    probes = []
+    for i, ((low, high, below), wanted, n) in enumerate(large):
+        at = [(rank - below) / n for rank in wanted]
+        points = [min(1.0, max(0.0, p + d)) for p in at for d in (-slack, slack)]
+        probes += [F.percentile_approx(F.when(inside(low, high), v), points, accuracy).alias(f"b{i}"),
+                   F.min(F.when(inside(low, high), v)).alias(f"min{i}"), F.max(F.when(inside(low, high), v)).alias(f"max{i}")]
+    sketch = values.agg(*probes).first()
+    edges = sorted({x for i in range(len(large)) for x in (*sketch[f"b{i}"], sketch[f"min{i}"], sketch[f"max{i}"])})
+    exact = values.agg(*[f(F.when(c, v)).alias(f"{name}{j}") for j, x in enumerate(edges)
+                         for name, f, c in (("lt", F.count, v < x), ("le", F.count, v <= x))]).first()
+    lt = {x: exact[f"lt{j}"] for j, x in enumerate(edges)}
+    le = {x: exact[f"le{j}"] for j, x in enumerate(edges)}
+    brackets: dict[tuple, list[int]] = {}
+    for i, (_, wanted, _) in enumerate(large):
+        spans = sketch[f"b{i}"]
+        for j, rank in enumerate(wanted):
+            low, high = spans[2 * j], spans[2 * j + 1]
+            if rank <= lt[low]:  # the sketch missed: take the side that holds the rank
+                low, high = sketch[f"min{i}"], low
+            elif rank > le[high]:
+                low, high = high, sketch[f"max{i}"]
+            if low == high:
+                found[rank] = low
+            else:
+                brackets.setdefault((low, high, lt[low]), []).append(rank)
+    return {bracket: sorted(wanted) for bracket, wanted in brackets.items()}
+
+
 def percentile_ranks(n: int, percents: Sequence[float]) -> dict[float, tuple[int, int]]:
     """Ranks whose mean is the p-th percentile: when n*p/100 is whole, that rank and the
     next; otherwise the next whole rank alone."""
