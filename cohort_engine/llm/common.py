@@ -171,7 +171,8 @@ def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
 
     def run(batches):
         for batch in batches:
-            yield from fn(batch)
+            if batch.num_rows:
+                yield from fn(batch)
 
     return df.mapInArrow(run, schema)
 
@@ -179,3 +180,14 @@ def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
 def spread(keys: dict[str, np.ndarray | list], counts: list[int]) -> dict[str, pa.Array]:
     """Repeat per-document values for the rows that each document yields."""
     return {name: pa.array(np.repeat(np.asarray(values, np.int64), counts)) for name, values in keys.items()}
+
+
+def attach(docs: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
+    """One row of `docs`, packed as `doc`, for each row of `found` (`k_id`, `k_text`, `n_rows`
+    and more), which has one row per key; `n_rows` says how many rows of `docs` have the key.
+
+    Keys of a single row are joined as they are; only repeated rows are reduced to one first.
+    """
+    packed = docs.select(F.struct("*").alias("doc"), key_id(id_col).alias("k_id"), key_text(id_col, text_col).alias("k_text"))
+    joined = packed.join(found, ["k_id", "k_text"])
+    return joined.filter("n_rows = 1").unionByName(joined.filter("n_rows > 1").dropDuplicates(["k_id", "k_text"]))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import simhash
+from . import lines, mixing, simhash, substrings, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,68 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark item that covers each document most, and the verdict."""
+    return tiling.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 34, 0) + 1)) AS i FROM d),
+    h AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS x FROM s),
+    r AS (SELECT x FROM h GROUP BY x HAVING count(*) > 1),
+    g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM h SEMI JOIN r USING (x)),
+    p AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+           sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+               [w[j] for j in list_sort(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)))] END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN p USING (doc_id)""")
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stay when repeated passages of 35 words go."""
+    return substrings.deduplicate(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x, i: {'i': i, 'x': x}) AS l FROM documents),
+    c AS (SELECT doc_id, text, l, list_filter(l, lambda x: regexp_matches(x.x, '[^ \t-\r]')) AS k FROM d),
+    w AS (SELECT doc_id, k, unnest(range(1, greatest(len(k) - 2, 0) + 1)) AS p FROM c),
+    h AS (SELECT doc_id, p, k[p].i AS a, k[p + 1].i AS b, k[p + 2].i AS e,
+                 row_number() OVER (PARTITION BY k[p].x, k[p + 1].x, k[p + 2].x ORDER BY doc_id, p) AS o FROM w),
+    g AS (SELECT doc_id, unnest([a, b, e]) AS i FROM h WHERE o > 1),
+    q AS (SELECT doc_id, list_distinct(list(i)) AS gone FROM g GROUP BY doc_id)
+    SELECT doc_id, CAST(len(k) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+           sha256(CASE WHEN gone IS NULL THEN coalesce(text, '') ELSE
+               array_to_string([x.x for x in list_filter(l, lambda x: NOT list_contains(gone, x.i))], chr(10)) END) AS kept_sha256
+    FROM c LEFT JOIN q USING (doc_id)""")
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document that stay when repeated runs of three lines go."""
+    return lines.deduplicate(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')) AS BIGINT) AS size,
+                      md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS u FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+    r AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS ratio FROM w),
+    l AS (SELECT *, CAST((SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                    / CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+          FROM r WINDOW o AS (ORDER BY ratio, source NULLS LAST)),
+    v AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
+    t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM v) * weight) AS target FROM l),
+    q AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target,
+           CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size))
+                + greatest(0, least(size, floor(target) - before - 2 * source_size)) AS BIGINT) AS taken
+    FROM q""")
+def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    docs = table(spark, folder, "documents")
+    rows = mixing.shares(docs)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, key_id, key_text, keyed, over_texts, pieces, raw, signed
+from .common import attach, checkpoint, keyed, over_texts, pieces, raw, signed
 from .components import components
 
 SEED = 42
@@ -254,9 +254,4 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .select(F.col("o.k_id").alias("k_id"), F.col("o.k_text").alias("k_text")))
     copies = found.groupBy("k_id", "k_text").agg(F.count(F.lit(1)).alias("n_rows"))
     stay = stay.join(copies, ["k_id", "k_text"])
-    packed = docs.select(F.struct("*").alias("doc"), key_id(id_col).alias("k_id"),
-                         key_text(id_col, text_col).alias("k_text"))
-    kept = packed.join(stay, ["k_id", "k_text"])
-    single = kept.filter("n_rows = 1").select("doc.*")
-    repeated = kept.filter("n_rows > 1").dropDuplicates(["k_id", "k_text"]).select("doc.*")
-    return single.unionByName(repeated)
+    return attach(docs, id_col, text_col, stay).select("doc.*")
