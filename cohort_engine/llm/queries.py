@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import lines, mixing, simhash, substrings, tiling
+from . import lines, mixing, simhash, substrings, tiling, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,31 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = mixing.shares(docs)
     return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer that the token queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, length and checksum of every document's token ids, read back from files."""
+    return tokens.round_trip(table(spark, folder, "documents"), tokenizer_path())
+
+
+# Base 32 of a SHA-1, five hex digits (20 bits) at a time.
+BASE32_SQL = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '')"""
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
+    g AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS least FROM p)
+    SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, {BASE32_SQL} AS payload_digest,
+           CASE WHEN page_id IS NOT DISTINCT FROM least THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to FROM g""")
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of archives just written from all pages."""
+    return warc.round_trip(table(spark, folder, "pages"))
