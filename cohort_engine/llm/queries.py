@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import lines, mixing, simhash, substrings, tiling, tokens, warc
+from . import lines, mixing, quality, simhash, substrings, tiling, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,27 @@ def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return tiling.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+                      list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS l FROM documents),
+    s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 0) + 1)) AS i FROM d),
+    h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM s),
+    p AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM h WHERE c > 1),
+    r AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+    q AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                 CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                 CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines
+          FROM d LEFT JOIN r USING (doc_id)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR n_symbols > 0.25 * n_words OR n_dup_lines > 0.7 * n_lines
+                OR word_chars < 2.0 * n_words OR word_chars > 20.0 * n_words) AS kept FROM b""")
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality.assess(table(spark, folder, "documents")).drop("rejected_by")
+
+
 @query("""
     WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
     s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 34, 0) + 1)) AS i FROM d),
