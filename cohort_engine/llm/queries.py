@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import lines, mixing, quality, simhash, substrings, tiling, tokens, warc
+from . import language, lines, mixing, pii, quality, simhash, substrings, tiling, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,12 +36,25 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, by classifiers fitted on those that are not held out."""
+    return language.identify(table(spark, folder, "documents"))
+
+
 @query()
 def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """The benchmark item that covers each document most, and the verdict."""
     return tiling.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query()
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the patterns' spans, and all spans."""
+    return pii.find(table(spark, folder, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 @query("""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                       list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w,
