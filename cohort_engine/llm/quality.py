@@ -137,6 +137,6 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """The rows of `docs`, with their columns, that no rule rejects."""
     order = ordered(docs, rules or default_rules(), id_col, text_col)
-    packed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    packed = packed.withColumn("words", words_of(F.col("text")))
-    return packed.filter(verdict(order, F.col("text"), F.col("words")).isNull()).select("doc.*")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # Words are bound inside the condition: a column of its own would be computed again at each use.
+    return docs.filter(let(words_of(text), lambda words: verdict(order, text, words)).isNull())
