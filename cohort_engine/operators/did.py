@@ -16,7 +16,7 @@ How it is laid out for Spark, for all outcomes, specifications and subgroups at
 3. `cell_stats`: cohorts, not units, are paired into (switch period, horizon) cells.
 4. The influence value of a unit is linear in its outcomes, with coefficients that
    depend on its cohort alone. So standard errors need the coefficients of its cohort
-   on every unit (broadcast after a check of their size) and one dot product per
+   on every unit (a join that adaptive execution plans by measured size) and one dot product per
    horizon, summed where the unit is.
 
 No step pairs units with units, so the work is linear in the rows of the panel.
@@ -33,8 +33,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.missing import truth
 from ..session import stable
 
-BROADCAST_BYTES = 128 * 1024 * 1024
-COMPILED_PERIODS = 200
 Z95 = 1.959963984540054
 MODEL = ["outcome", "spec", "subgroup"]
 COHORT = [*MODEL, "d1", "f", "s", "seen"]
@@ -43,22 +41,26 @@ COHORT = [*MODEL, "d1", "f", "s", "seen"]
 def _models(specs: Mapping[str, Mapping[str, Any]]) -> Column:
     """The (spec, subgroup) pairs a unit belongs to."""
     entries = []
-    for name, spec in specs.items():
-        where, by = spec.get("where"), spec.get("by")
-        subgroup = F.col(by).cast("string") if by else F.lit("all")
+    for i, (name, spec) in enumerate(specs.items()):
+        subgroup = F.col(f"__by{i}") if spec.get("by") else F.lit("all")
         entry = F.struct(F.lit(name).alias("spec"), subgroup.alias("subgroup"))
-        cond = subgroup.isNotNull() if where is None else truth(where) & subgroup.isNotNull()
+        cond = subgroup.isNotNull() if spec.get("where") is None else F.col(f"__where{i}") & subgroup.isNotNull()
         entries.append(F.when(cond, entry))
     return F.array_compact(F.array(*entries))
 
 
+def _fail(message: str) -> Column:
+    return F.raise_error(F.lit(message)).cast("boolean")
+
+
 def unit_profiles(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str,
                   cluster: str | None, specs: Mapping[str, Mapping[str, Any]],
                   periods: tuple[int, int]) -> DataFrame:
     """One row per unit: d1, switch period f, sign s, observations by period, models.
 
-    A unit has one row per period, so the collected list is bounded by the panel
-    length. Columns used by `by`, `where` and `cluster` must not vary within a unit.
+    Rows without an id are left out. The query fails if a unit has a period twice, so the
+    collected list is bounded by the panel length, or if what `by`, `where` or `cluster`
+    name varies within a unit.
     """
     lo, hi = periods
 
@@ -69,21 +71,27 @@ def unit_profiles(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d:
     obs = F.array_sort(F.collect_list(F.struct(
         F.col(t).cast("int").alias("t"), F.col(d).cast("double").alias("d"),
         *[outcome(y).alias(f"y{i}") for i, y in enumerate(outcomes)])))
-    known = panel.filter(F.col(t).isNotNull() & F.col(d).isNotNull() & F.col(t).between(lo, hi))
-    # a condition may name any column, so all are offered; unused ones are pruned
-    used = {s["by"] for s in specs.values() if s.get("by")} | ({cluster} - {None, id})
-    if any(s.get("where") is not None for s in specs.values()):
-        used |= {c for c in panel.columns if c not in {id, t, d, *outcomes}}
-    units = known.groupBy(F.col(id).alias("__id")).agg(
-        obs.alias("obs"), *[F.max(c).alias(c) for c in sorted(used)])
+    known = panel.filter(F.col(id).isNotNull() & F.col(t).isNotNull() & F.col(d).isNotNull() & F.col(t).between(lo, hi))
+    fixed = {f"__by{i}": F.col(s["by"]).cast("string") for i, s in enumerate(specs.values()) if s.get("by")}
+    fixed |= {f"__where{i}": truth(s["where"]) for i, s in enumerate(specs.values()) if s.get("where") is not None}
+    if cluster and cluster != id:
+        fixed["__cl"] = F.col(cluster)
+    rows = F.count(F.lit(1))
+    units = known.withColumns(fixed).groupBy(F.col(id).alias("__id")).agg(
+        obs.alias("obs"), *[F.max(c).alias(c) for c in fixed],
+        *[((F.count(c) == 0) | (F.count(c) == rows) & (F.min(c) == F.max(c))).alias(f"__same{c}") for c in fixed])
+    times = F.transform("obs", lambda x: x["t"])
+    ok = F.when(F.size(F.array_distinct(times)) < F.size(times), _fail("a unit has a period twice"))
+    for c in fixed:
+        ok = ok.when(~F.col(f"__same{c}"), _fail("what by, where or cluster name varies within a unit"))
+    units = units.filter(ok.otherwise(F.lit(True)))
 
     base = F.get("obs", F.lit(0))["d"]
     switch = F.get(F.filter("obs", lambda x: x["d"] != F.get("obs", F.lit(0))["d"]), F.lit(0))
     by_t = F.map_from_entries(F.transform("obs", lambda x: F.struct(x["t"], x)))
-    dense = F.when(F.size("obs") == hi - lo + 1, F.col("obs")).otherwise(
-        F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda k: F.try_element_at(by_t, k)))
+    dense = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda k: F.try_element_at(by_t, k))
     return units.select(
-        "__id", (F.col(cluster) if cluster and cluster != id else F.col("__id")).alias("__cluster"),
+        "__id", (F.col("__cl") if "__cl" in fixed else F.col("__id")).alias("__cluster"),
         base.alias("d1"), switch["t"].alias("f"), F.signum(switch["d"] - base).alias("s"),
         dense.alias("dense"), _models(specs).alias("models"))
 
@@ -222,22 +230,17 @@ def cohort_coefficients(cells: DataFrame, stats: DataFrame, estimates: DataFrame
         F.collect_list(F.struct("l", "shift", "a")).alias("coefs"))
 
 
-def influence(units: DataFrame, coefs: DataFrame, periods: tuple[int, int], small: bool,
-              clustered: bool) -> DataFrame:
+def influence(units: DataFrame, coefs: DataFrame, periods: tuple[int, int], clustered: bool) -> DataFrame:
     """Influence `u` of each cluster on each horizon `l`."""
     lo, hi = periods
     renamed = coefs.withColumnsRenamed({c: f"__k_{c}" for c in COHORT})
     on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) if c in ("f", "s") else F.col(c) == F.col(f"__k_{c}")
           for c in COHORT]
-    # the never-switched cohort can be most units; where the coefficients are too large
-    # to broadcast, its rows are split by adaptive execution instead
-    joined = units.join(F.broadcast(renamed) if small else renamed, on)
+    # the never-switched cohort can be most units; its rows are split by adaptive execution
+    joined = units.join(renamed, on)
     rows = joined.select(*MODEL, "__cluster", "y", F.inline("coefs"))
-    if hi - lo < COMPILED_PERIODS:  # written out, the dot product is compiled
-        dot = F.expr(" + ".join(f"coalesce(a[{i}] * y[{i}], 0D)" for i in range(hi - lo + 1)))
-    else:
-        terms = F.zip_with("a", "y", lambda a, y: F.coalesce(a * y, F.lit(0.0)))
-        dot = F.aggregate(terms, F.lit(0.0), lambda total, term: total + term)
+    # written out, the dot product is compiled
+    dot = F.expr(" + ".join(f"coalesce(a[{i}] * y[{i}], 0D)" for i in range(hi - lo + 1)))
     values = rows.select(*MODEL, "__cluster", "l", (dot - F.col("shift")).alias("u"))
     if not clustered:  # a unit is its own cluster
         return values
@@ -268,13 +271,10 @@ class DidPlan:
         self.cells = cohort_cells(self.cohorts, effects, placebo, periods)
         self.stats = keep(cell_stats(self.cells))
         self.estimates = _estimates(self.stats)
-        # bytes of a cohort's coefficients: one term per period for each horizon
-        self.cohort_bytes = (effects + placebo + 1) * (periods[1] - periods[0] + 3) * 16 + 500
 
     def influence(self) -> DataFrame:
         coefs = cohort_coefficients(self.cells, self.stats, self.estimates, self.periods)
-        small = self.cohorts.count() * self.cohort_bytes <= BROADCAST_BYTES
-        return influence(self.units, coefs, self.periods, small, self.clustered)
+        return influence(self.units, coefs, self.periods, self.clustered)
 
 
 def did_batch(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str,

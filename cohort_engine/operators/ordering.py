@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import stable
 from .keys import as_list
@@ -68,91 +68,56 @@ def running_total(df: DataFrame, order: str | Sequence[str | Column], value: str
     return snapshot.withColumn(out, local + starts).drop("__pos")
 
 
-def order_stats(df: DataFrame, col: str, ranks: Sequence[int], collect_limit: int = 100_000,
-                accuracy: int = 10_000) -> dict[int, Any]:
-    """Exact values at the given ranks (1-based) of the non-missing values of `col`.
+def known(col: str, kind: T.DataType) -> Column:
+    """Whether a value counts: it is not missing, nor NaN, which counts as missing."""
+    value = F.col(col)
+    return value.isNotNull() & ~F.isnan(value) if isinstance(kind, (T.DoubleType, T.FloatType)) else value.isNotNull()
 
-    Each round brackets every open rank between two approximate percentiles and counts
-    the rows below and inside the bracket: one-row aggregates, no shuffle of the data.
-    A bracket shrinks by a factor of thousands per round; when few enough distinct
-    values are left inside, their counts settle the rank exactly.
-    """
-    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    v = F.col("v")
-    found: dict[int, Any] = {}
-    # bracket (low, high, rows below) -> ranks to be found inside; no bounds at first
-    brackets: dict[tuple, list[int]] = {(None, None, 0): sorted(set(ranks))}
-
-    def inside(low, high) -> Column:
-        return F.lit(True) if low is None else v.between(low, high)
-
-    while brackets:
-        sizes = []
-        for i, (low, high, _) in enumerate(brackets):
-            within = F.when(inside(low, high), v)
-            sizes += [F.count(within).alias(f"n{i}"), F.approx_count_distinct(within, 0.02).alias(f"k{i}")]
-        counts = values.agg(*sizes).first()
-        small, large = [], []
-        for i, (bracket, wanted) in enumerate(brackets.items()):
-            n, below = counts[f"n{i}"], bracket[2]
-            if not below < wanted[0] <= wanted[-1] <= below + n:
-                raise ValueError(f"ranks {wanted} are outside the {n} values of {col}")
-            (small if counts[f"k{i}"] <= collect_limit else large).append((bracket, wanted, n))
-        if small:
-            _settle(values, small, inside, found)
-        if large:
-            brackets = _narrow(values, large, inside, accuracy, found)
-        else:
-            brackets = {}
-    return found
 
+def order_stats(df: DataFrame, col: str, ranks: Sequence[int], accuracy: int = 10_000) -> dict[int, Any]:
+    """Exact values at the given ranks (1-based) of the known values of `col`, in its own type.
 
-def _settle(values: DataFrame, small: list, inside, found: dict) -> None:
-    """Find the ranks of brackets whose distinct values are few, from their counts."""
-    reach = inside(*small[0][0][:2])
-    for (low, high, _), _, _ in small[1:]:
-        reach = reach | inside(low, high)
-    counted = values.filter(reach).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()
-    tally = sorted((r["v"], r["n"]) for r in counted)
-    for (low, high, below), wanted, _ in small:
-        seen, left = below, list(wanted)
-        for value, n in tally:
-            if low is not None and not low <= value <= high:
-                continue
-            seen += n
-            while left and left[0] <= seen:
-                found[left.pop(0)] = value
-
-
-def _narrow(values: DataFrame, large: list, inside, accuracy: int, found: dict) -> dict[tuple, list[int]]:
-    """Smaller brackets around each rank, from one sketch per bracket and exact counts."""
-    v, slack = F.col("v"), 2.0 / accuracy
-    probes = []
-    for i, ((low, high, below), wanted, n) in enumerate(large):
-        at = [(rank - below) / n for rank in wanted]
-        points = [min(1.0, max(0.0, p + d)) for p in at for d in (-slack, slack)]
-        probes += [F.percentile_approx(F.when(inside(low, high), v), points, accuracy).alias(f"b{i}"),
-                   F.min(F.when(inside(low, high), v)).alias(f"min{i}"), F.max(F.when(inside(low, high), v)).alias(f"max{i}")]
-    sketch = values.agg(*probes).first()
-    edges = sorted({x for i in range(len(large)) for x in (*sketch[f"b{i}"], sketch[f"min{i}"], sketch[f"max{i}"])})
-    exact = values.agg(*[f(F.when(c, v)).alias(f"{name}{j}") for j, x in enumerate(edges)
-                         for name, f, c in (("lt", F.count, v < x), ("le", F.count, v <= x))]).first()
-    lt = {x: exact[f"lt{j}"] for j, x in enumerate(edges)}
-    le = {x: exact[f"le{j}"] for j, x in enumerate(edges)}
-    brackets: dict[tuple, list[int]] = {}
-    for i, (_, wanted, _) in enumerate(large):
-        spans = sketch[f"b{i}"]
-        for j, rank in enumerate(wanted):
-            low, high = spans[2 * j], spans[2 * j + 1]
-            if rank <= lt[low]:  # the sketch missed: take the side that holds the rank
-                low, high = sketch[f"min{i}"], low
-            elif rank > le[high]:
-                low, high = high, sketch[f"max{i}"]
-            if low == high:
-                found[rank] = low
-            else:
-                brackets.setdefault((low, high, lt[low]), []).append(rank)
-    return {bracket: sorted(wanted) for bracket, wanted in brackets.items()}
+    Each round looks between the bounds of every open rank: two approximate percentiles
+    around it, the least and the greatest value (and, for whole numbers, the middle) are
+    counted exactly over all rows. The rank is one of them, or lies strictly between two, which are
+    the next bounds. A round is two one-row aggregates without a shuffle of the data; it shrinks what is
+    between the bounds by a factor of thousands, and always by its least and greatest value.
+    """
+    kind = df.schema[col].dataType
+    whole = isinstance(kind, T.IntegralType)
+    values, v = df.filter(known(col, kind)).select(F.col(col).alias("v")), F.col("v")
+    total, found = values.count(), {}
+    if not all(1 <= r <= total for r in ranks):
+        raise ValueError(f"ranks {sorted(ranks)} are outside the {total} values of {col}")
+    # (value below, value above) -> (number of values at or below the first, number between, open ranks)
+    open_ranks = {(None, None): (0, total, sorted(set(ranks)))} if ranks else {}
+    while open_ranks:
+        probes = []
+        for i, ((low, high), (below, n, wanted)) in enumerate(open_ranks.items()):
+            inside = (F.lit(True) if low is None else v > low) & (F.lit(True) if high is None else v < high)
+            within, slack = F.when(inside, v), 2.0 / accuracy
+            points = [min(1.0, max(0.0, (r - below) / n + d)) for r in wanted for d in (-slack, slack)]
+            probes += [F.percentile_approx(within, points, accuracy).alias(f"p{i}"), F.min(within).alias(f"a{i}"), F.max(within).alias(f"b{i}")]
+        seen = values.agg(*probes).first()
+        edges = set()
+        for i in range(len(open_ranks)):
+            edges |= {*seen[f"p{i}"], seen[f"a{i}"], seen[f"b{i}"]} | ({(seen[f"a{i}"] + seen[f"b{i}"]) // 2} if whole else set())
+        edges = sorted(edges)
+        exact = values.agg(*(F.count(F.when(test, v)).alias(f"{name}{j}") for j, x in enumerate(edges)
+                             for name, test in (("lt", v < x), ("le", v <= x)))).first()
+        after: dict[tuple, tuple] = {}
+        for (low, high), (below, n, wanted) in open_ranks.items():
+            marks = [(low, below, below)] + [(x, exact[f"lt{j}"], exact[f"le{j}"]) for j, x in enumerate(edges)
+                                             if (low is None or x > low) and (high is None or x < high)] + [(high, below + n, below + n)]
+            for rank in wanted:
+                at = next(j for j, (_, _, le) in enumerate(marks[1:], start=1) if rank <= le)
+                if rank > marks[at][1]:
+                    found[rank] = marks[at][0]
+                else:
+                    first, last = marks[at - 1], marks[at]
+                    after.setdefault((first[0], last[0]), (first[2], last[1] - first[2], []))[2].append(rank)
+        open_ranks = after
+    return found
 
 
 def percentile_ranks(n: int, percents: Sequence[float]) -> dict[float, tuple[int, int]]:
@@ -176,32 +141,33 @@ def percentiles(df: DataFrame, col: str, percents: Sequence[float],
     read several times: store it first if it is costly. `n` is the number of values, if
     known."""
     if n is None:
-        n = df.filter(F.col(col).isNotNull()).count()
+        n = df.filter(known(col, df.schema[col].dataType)).count()
     if n == 0:
         return {p: None for p in percents}
     pairs = percentile_ranks(n, percents)
     values = order_stats(df, col, sorted({r for pair in pairs.values() for r in pair}))
-    return {p: (values[a] + values[b]) / 2 for p, (a, b) in pairs.items()}
+    # whole numbers stay whole where they can: beyond 2^53 a double would lose digits
+    return {p: values[a] if values[a] == values[b] else (values[a] + values[b]) / 2 for p, (a, b) in pairs.items()}
 
 
 def xtile(df: DataFrame, col: str, n: int, out: str) -> DataFrame:
-    """Quantile class 1..n by value: ties stay together, missing stays missing."""
+    """Quantile class 1..n by value: ties stay together, missing (and NaN) stays missing."""
     cuts = percentiles(df, col, [100 * i / n for i in range(1, n)])
     value = F.col(col)
     above = [F.when(value > F.lit(c), 1).otherwise(0) for c in cuts.values() if c is not None]
     total = F.lit(1)
     for step in above:
         total = total + step
-    return df.withColumn(out, F.when(value.isNotNull(), total).cast("int"))
+    return df.withColumn(out, F.when(known(col, df.schema[col].dataType), total).cast("int"))
 
 
 def ntile_by(df: DataFrame, col: str, n: int, tie_break: Sequence[str], out: str) -> DataFrame:
     """Rank class 1..n: equal-sized classes, larger ones first, ties split by
     `tie_break` (which must complete the order); missing stays missing."""
-    known = df.filter(F.col(col).isNotNull())
-    total = known.count()
+    present = df.filter(F.col(col).isNotNull())
+    total = present.count()
     base, extra = divmod(total, n)
-    ranked = global_index(known, [col, *as_list(tie_break)], out="__rank")
+    ranked = global_index(present, [col, *as_list(tie_break)], out="__rank")
     rank = F.col("__rank")
     wide = extra * (base + 1)  # rows in the classes that hold one more
     tile = F.when(rank < wide, F.floor(rank / (base + 1)) + 1)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.missing import as_flag, truth
 from ..functions.text import code_list, null_marker
-from .keys import as_list, attach, literal_rows
+from .keys import as_list, attach
 from .ordering import global_index
 
 
@@ -120,17 +120,9 @@ def group_id(df: DataFrame, by: str | Sequence[str], out: str = "id") -> DataFra
     return attach(df, numbered, by, null_safe=False)
 
 
-def encode(df: DataFrame, col: str, out: str, max_labels: int = 1_000) -> tuple[DataFrame, dict]:
-    """Integer code of a text column in alphabetical order, and the label of each code.
-
-    For labelled categories, a small vocabulary by definition; more than `max_labels`
-    distinct values is an error, and `group_id` the operator to use.
-    """
-    found = (df.select(col).filter(F.col(col).isNotNull()).distinct()
-             .limit(max_labels + 1).collect())
-    if len(found) > max_labels:
-        raise ValueError(f"{col} has more than {max_labels} distinct values; use group_id")
-    labels = {i: v for i, v in enumerate(sorted(r[0] for r in found), start=1)}
-    codes = literal_rows(df.sparkSession, [(v, i) for i, v in labels.items()],
-                         [(col, "string"), (out, "int")])
-    return attach(df, codes, col, null_safe=False), labels
+def encode(df: DataFrame, col: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """Integer code of a text column in alphabetical order, and the labels as a table of `out`
+    and `col`. Missing texts have no code."""
+    labels = global_index(df.select(col).filter(F.col(col).isNotNull()).distinct(), col, out="__code")
+    labels = labels.select((F.col("__code") + 1).cast("int").alias(out), col)
+    return attach(df, labels, col, null_safe=False), labels

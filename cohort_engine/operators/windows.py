@@ -7,47 +7,33 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .collapse import dedupe
-from .keys import as_list, attach, members
+from .keys import as_list, attach
 from .ordering import global_index, nulls_last
 
-# Groups up to this many rows are sorted within one task.
-GROUP_ROWS = 5_000_000
-# Largest k for which Spark limits groups ahead of a window by default.
-LIMITED_ROWS = 1_000
-
-
 def first_in_group(df: DataFrame, by: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     return dedupe(df, by, order)
 
 
 def first_k(df: DataFrame, by: str | Sequence[str], order: Sequence[str], k: int,
             out: str = "seq") -> DataFrame:
-    """The first k rows of each group with their number. Up to `LIMITED_ROWS` a group is
-    cut to k rows in each map task before the shuffle."""
-    if k > LIMITED_ROWS:
-        return seq_in_group(df, by, order, out).filter(F.col(out) <= k)
+    """The first k rows of each group with their number. Spark cuts groups to k rows in
+    each map task before the shuffle, if k is not above its own limit for that."""
     w = W.partitionBy(*as_list(by)).orderBy(*nulls_last(order))
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
 def seq_in_group(df: DataFrame, by: str | Sequence[str], order: Sequence[str],
-                 out: str = "seq", group_rows: int = GROUP_ROWS) -> DataFrame:
+                 out: str = "seq") -> DataFrame:
     """Number from 1 of every row in its group, missing values last.
 
-    Groups of at most `group_rows` rows use one window. Larger ones are numbered by a
-    range-partitioned sort over (group, order), which spreads a hot group over many
-    tasks, less the number at which the group starts. `order` must be total.
+    A range-partitioned sort over (group, order) numbers all rows, and each row's number less
+    the one at which its group starts is its place; a hot group is spread over many tasks. `order`
+    must be total.
     """
     by, order = as_list(by), list(order)
-    w = W.partitionBy(*by).orderBy(*nulls_last(order))
-    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > group_rows)
-    if large.isEmpty():
-        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    cold = members(df, large, by, inside=False).withColumn(out, F.row_number().over(w).cast("bigint"))
-    hot = global_index(members(df, large, by), [*by, *order], out="__ix")
-    starts = hot.groupBy(*by).agg(F.min("__ix").alias("__start"))
-    hot = attach(hot, starts, by).withColumn(out, F.col("__ix") - F.col("__start") + 1)
-    return cold.unionByName(hot.drop("__ix", "__start"))
+    numbered = global_index(df, [*by, *order], out="__ix")
+    starts = numbered.groupBy(*by).agg(F.min("__ix").alias("__start"))
+    return attach(numbered, starts, by).withColumn(out, F.col("__ix") - F.col("__start") + 1).drop("__ix", "__start")
 
 
 def group_stats(df: DataFrame, by: str | Sequence[str], stats: Mapping[str, Column],

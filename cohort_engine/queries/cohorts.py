@@ -14,8 +14,7 @@ from .joins import LINK, ROSTER_SQL, link_sides
 PEOPLE_SQL = """
 people AS (SELECT c_custkey, c_nationkey, c_mktsegment AS sex, CAST(round(c_acctbal / 1000) AS INTEGER) AS post_code,
   DATE '1930-01-01' + CAST(c_custkey * 37 % 20000 AS INTEGER) AS birth_date FROM customer),
-found AS (SELECT o_custkey, p_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-  WHERE l_returnflag = 'R' AND l_quantity > 45)"""
+found AS (SELECT o_custkey, p_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
 def people(t: Tables) -> DataFrame:
@@ -25,9 +24,8 @@ def people(t: Tables) -> DataFrame:
 
 
 def found(t: Tables) -> DataFrame:
-    """Conditions of persons: types of the large returned lines of their orders."""
-    lines = t.lineitem.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
-    return (lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    """Conditions of persons: types of the lines of their orders."""
+    return (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
             .select("o_custkey", "p_type", "l_suppkey", "l_shipdate"))
 
@@ -108,7 +106,7 @@ def roster_first_enrolment(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH d AS (SELECT o_custkey, p_type, {sql_month('l_shipdate')} AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 45),
+    JOIN part ON l_partkey = p_partkey),
   w AS (SELECT * FROM d WHERE m BETWEEN 432 AND 479),
   p AS (SELECT o_custkey AS person, {', '.join(f"CAST(max(CASE WHEN p_type IN ({v}) THEN 1 ELSE 0 END) AS INTEGER) AS has_{n}, min(m) FILTER (p_type IN ({v})) AS first_{n}"
     for n, v in {"cardio": "'PROMO'", "resp": "'SMALL'", "other": "'LARGE', 'MEDIUM'", "lowest": "'ECONOMY'"}.items())} FROM w GROUP BY 1)

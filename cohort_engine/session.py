@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on. Joins back to a hot key are split by
@@ -42,12 +40,12 @@ def stable(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder, so later passes see the same rows in
     the same partitions whatever executors are lost in between.
 
-    The folder is the one the session names in `spark.checkpoint.dir`; a temporary
-    one is used only when none is set.
+    The folder is the one the session names in `spark.checkpoint.dir`, else one in the
+    warehouse: both are shared by driver and executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cohort-checkpoint-"))
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)

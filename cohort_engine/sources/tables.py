@@ -12,15 +12,16 @@ from ..functions.text import NUMBER_PATTERN
 
 
 def read_csv_strict(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                    multiline: bool = True) -> DataFrame:
-    """Quoted CSV in which a quoted field may hold delimiters, quotes and newlines.
+                    multiline: bool = False) -> DataFrame:
+    """Quoted CSV in which a quoted field may hold delimiters and quotes.
 
-    Without a schema every column is text; typing is a separate step. A file whose
-    quoted fields may hold newlines cannot be split, so ship such extracts as many
-    files; set `multiline=False` for a large file known to have none.
+    Without a schema every column is text; typing is a separate step. A cell that its type
+    cannot hold, a row of too few or too many cells and a header unlike the schema make the read fail.
+    `multiline` allows newlines in quoted fields; no reader can split such a file,
+    so ship such extracts as many files.
     """
     reader = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-              .option("multiLine", multiline).option("enforceSchema", False))
+              .option("multiLine", multiline).option("enforceSchema", False).option("mode", "FAILFAST"))
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)
@@ -35,10 +36,10 @@ CANDIDATE_TYPES = (
 )
 
 
-def infer_schema(spark: SparkSession, path: str, rows: int = 50_000) -> T.StructType:
-    """Column types guessed from the first `rows` rows: the first candidate type that
-    every non-blank value of the column can be read as, else text."""
-    head = read_csv_strict(spark, path).limit(rows)
+def infer_schema(spark: SparkSession, path: str, multiline: bool = False) -> T.StructType:
+    """Column types from all rows, in one aggregate: the first candidate type that every
+    non-blank value of the column can be read as, else text."""
+    head = read_csv_strict(spark, path, multiline=multiline)
     tests = []
     for i, name in enumerate(head.columns):
         text = F.nullif(F.trim(F.col(name)), F.lit(""))
@@ -65,25 +66,25 @@ def _stem(path: str) -> str:
 
 
 def ingest_csv_files(spark: SparkSession, paths: Iterable[str], dst: str,
-                     schemas: Mapping[str, T.StructType] | None = None) -> list[str]:
+                     schemas: Mapping[str, T.StructType] | None = None, multiline: bool = False) -> list[str]:
     """Store each CSV file as a Parquet table of the same name; returns the names."""
     names = []
     for path in paths:
         name = _stem(path)
-        df = read_csv_strict(spark, path, (schemas or {}).get(name))
+        df = read_csv_strict(spark, path, (schemas or {}).get(name), multiline)
         write_table(df, f"{dst}/{name}")
         names.append(name)
     return names
 
 
 def ingest_csv_dir(spark: SparkSession, src: str, dst: str,
-                   schemas: Mapping[str, T.StructType] | None = None) -> list[str]:
-    return ingest_csv_files(spark, list_csv(spark, src), dst, schemas)
+                   schemas: Mapping[str, T.StructType] | None = None, multiline: bool = False) -> list[str]:
+    return ingest_csv_files(spark, list_csv(spark, src), dst, schemas, multiline)
 
 
 def ingest_csv_list(spark: SparkSession, src: str, names: Sequence[str], dst: str,
-                    schemas: Mapping[str, T.StructType] | None = None) -> list[str]:
-    return ingest_csv_files(spark, [f"{src}/{n}.csv" for n in names], dst, schemas)
+                    schemas: Mapping[str, T.StructType] | None = None, multiline: bool = False) -> list[str]:
+    return ingest_csv_files(spark, [f"{src}/{n}.csv" for n in names], dst, schemas, multiline)
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

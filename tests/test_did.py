@@ -150,9 +150,25 @@ def test_partitions_do_not_matter(spark, panel, partitions):
         assert got[h]["estimate"] == pytest.approx(estimate, abs=1e-10) and got[h]["se"] == pytest.approx(se, abs=1e-10)
 
 
-def test_without_broadcast_and_compiled_product(spark, panel, monkeypatch):
-    monkeypatch.setattr(did, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(did, "COMPILED_PERIODS", 0)
+def test_repeated_periods_and_varying_columns_fail(spark, panel):
+    unit = panel["id"].iloc[0]
+    df = spark.createDataFrame(panel)
+    twice = df.unionByName(df.filter((F.col("id") == int(unit)) & (F.col("t") == int(panel["t"].min()))))
+    gap = twice.filter(~((F.col("id") == int(unit)) & (F.col("t") == int(panel["t"].max()))))
+    for bad in (twice, gap):
+        with pytest.raises(Exception, match="a period twice"):
+            did.did_dynamic(bad, "y", "id", "t", "d", 2, 1).collect()
+    varying = df.withColumn("g", F.when(F.col("t") > int(panel["t"].min()), "b").otherwise("a"))
+    for kwargs in ({"by": "g"}, {"cluster": "g"}, {"where": F.col("g") == "a"}):
+        with pytest.raises(Exception, match="varies within a unit"):
+            did.did_dynamic(varying, "y", "id", "t", "d", 2, 1, **kwargs).collect()
+    lost = df.unionByName(df.withColumn("id", F.lit(None).cast(df.schema["id"].dataType)))
+    want = by_horizon(did.did_dynamic(df, "y", "id", "t", "d", 2, 1).collect())
+    got = by_horizon(did.did_dynamic(lost, "y", "id", "t", "d", 2, 1).collect())
+    assert all(got[h]["estimate"] == pytest.approx(want[h]["estimate"]) for h in want)
+
+
+def test_without_broadcast(spark, panel):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         got = by_horizon(did.did_dynamic(spark.createDataFrame(panel), "y", "id", "t", "d", 2, 1).collect())

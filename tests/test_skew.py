@@ -70,7 +70,7 @@ def test_hot_groups_in_reductions(skewed):
 
 
 def test_sequence_of_a_hot_group_uses_many_tasks(skewed):
-    out = W.seq_in_group(skewed, "k", ["d", "id"], group_rows=1_000)
+    out = W.seq_in_group(skewed, "k", ["d", "id"])
     hot = out.filter("k = -1")
     assert hot.agg(F.count("*"), F.min("seq"), F.max("seq"), F.count_distinct("seq")).first() == (N // 3, 1, N // 3, N // 3)
     assert out.filter("k <> -1").agg(F.max("seq")).first()[0] <= 16

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from cohort_engine.sources import tables as S
@@ -12,13 +13,26 @@ CSV = 'id,note,day\n1,"a, ""quoted""\nline",2022-01-05\n2,plain,2022-02-01\n3,,\
 
 def test_strict_csv_keeps_quoted_newlines(spark, tmp_path):
     (tmp_path / "t.csv").write_text(CSV)
-    df = S.read_csv_strict(spark, str(tmp_path / "t.csv"))
+    df = S.read_csv_strict(spark, str(tmp_path / "t.csv"), multiline=True)
     assert rows(df) == [("1", 'a, "quoted"\nline', "2022-01-05"), ("2", "plain", "2022-02-01"), ("3", None, None)]
-    typed = S.read_csv_strict(spark, str(tmp_path / "t.csv"), T.StructType.fromDDL("id int, note string, day date"))
+    typed = S.read_csv_strict(spark, str(tmp_path / "t.csv"), T.StructType.fromDDL("id int, note string, day date"), multiline=True)
     assert typed.schema["day"].dataType == T.DateType() and typed.agg(F.sum("id")).first()[0] == 6
 
 
-def test_schema_of_a_bounded_sample(spark, tmp_path):
+@pytest.mark.parametrize("bad", ["x,plain,2022-01-05", "1,plain,someday", "1,plain", "1,plain,2022-01-05,more"])
+def test_unreadable_cells_and_ragged_rows_fail(spark, tmp_path, bad):
+    (tmp_path / "t.csv").write_text("id,note,day\n1,plain,2022-01-05\n" + bad + "\n")
+    schema = T.StructType.fromDDL("id int, note string, day date")
+    with pytest.raises(Exception, match="MALFORMED"):
+        S.read_csv_strict(spark, str(tmp_path / "t.csv"), schema).collect()
+
+
+def test_schema_sees_late_values(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a\n" + "1\n" * 60_000 + "late\n")
+    assert S.infer_schema(spark, str(tmp_path / "t.csv"))["a"].dataType == T.StringType()
+
+
+def test_schema_of_all_rows(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b,c,d,e\n1,1.5,2022-01-05,12d,2022-01-05 10:00:00\n2,3,2022-01-06,4,2022-01-05 11:00:00\n,,,,\n")
     kinds = [f.dataType.simpleString() for f in S.infer_schema(spark, str(tmp_path / "t.csv"))]
     assert kinds == ["bigint", "double", "date", "string", "timestamp_ntz"]
@@ -30,8 +44,8 @@ def test_ingest_folder_and_list(spark, tmp_path):
     for name in ("one", "two"):
         (src / f"{name}.csv").write_text(CSV)
     (src / "skip.txt").write_text("x")
-    assert S.ingest_csv_dir(spark, str(src), dst) == ["one", "two"]
-    assert S.ingest_csv_list(spark, str(src), ["two"], dst, {"two": T.StructType.fromDDL("id int, note string, day date")}) == ["two"]
+    assert S.ingest_csv_dir(spark, str(src), dst, multiline=True) == ["one", "two"]
+    assert S.ingest_csv_list(spark, str(src), ["two"], dst, {"two": T.StructType.fromDDL("id int, note string, day date")}, multiline=True) == ["two"]
     assert S.read_table(spark, f"{dst}/two").schema["id"].dataType == T.IntegerType()
     slim = S.read_table(spark, f"{dst}/one", ["id"])
     assert slim.columns == ["id"] and "ReadSchema: struct<id:string>" in slim._jdf.queryExecution().executedPlan().toString()
