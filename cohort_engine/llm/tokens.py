@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 
 import numpy as np
@@ -18,8 +19,7 @@ from .common import keyed, opened, pieces, raw, scratch, ship
 SKIPPABLE, SEEKABLE, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME_BYTES = 1 << 20  # a frame is closed when it holds as much
-CACHE_WORDS = 300_000  # words whose ids a worker keeps
-SEPARATOR = "<|startoftext|>"  # a special token: parts between are encoded apart
+CACHE_WORDS = 700_000  # words whose ids a worker keeps
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -27,47 +27,72 @@ _encoders: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """Encodes texts through a cache of words.
 
-    The tokenizer drops white space and no token reaches over it, so a text's ids are those of
-    its words, split at ASCII white space, one after the other. A worker keeps the ids of
-    words it has met; new ones are encoded together, set apart by a special token.
+    The tokenizer lower-cases, drops white space, and cuts texts into runs of letters, single digits
+    and runs of other marks, which it encodes apart. So a text's ids are those of its parts, cut
+    at white space, one after the other, and a part may be cut again where such a run ends. Texts
+    of ASCII and Latin letters are lower-cased as a whole and cut before each full stop and comma
+    too, if none stands next to another mark; any other text is cut at ASCII white space. A worker keeps
+    the ids of parts it has met. New runs of letters are encoded together, and their ids told
+    apart by the tokens that end a run; other new parts are encoded one by one.
     """
 
+    ODD = re.compile("[^\t-\r -~\u00c0-\u00ff]")
+    MARKS = r"[!-/:-@\[-`{-~\u00d7\u00f7]"
+    JOINED = re.compile(f"[.,]{MARKS}|{MARKS}[.,]")
+    LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)" f"({MARKS}*)")
+    END = "</w>"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.cache: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(self.END)]] = True
+        self.cache: dict[str | bytes, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        if plain:
-            ids = self.ids(SEPARATOR.join(w.decode() for w in plain))
-            cuts = np.flatnonzero(ids == self.separator) * 4
+    def learn(self, parts: set[str] | set[bytes]) -> None:
+        split = {}  # parts of a text cut at white space that are letters with marks behind
+        for p in parts:
+            if isinstance(p, bytes) and (m := self.LETTERS.fullmatch(p.decode())):
+                split[p] = m[1].lower(), m[2]
+        runs = [p for p in parts if isinstance(p, str) and p.isalpha()]
+        runs += {run for run, _ in split.values()}.difference(self.cache)
+        if runs:
+            ids = self.ids(" ".join(runs))
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) != len(runs) or cuts[-1] != 4 * len(ids):
+                raise ValueError("the tokenizer does not encode words apart from each other")
             flat, start = ids.tobytes(), 0
-            for w, cut in zip(plain, [*cuts.tolist(), len(flat)]):
-                self.cache[w] = flat[start:cut]
-                start = cut + 4
-        for w in words:
-            if b"<|" in w:
-                self.cache[w] = self.ids(w.decode()).tobytes()
+            for run, cut in zip(runs, cuts):
+                self.cache[run] = flat[start:cut]
+                start = cut
+        for p, (run, marks) in split.items():
+            if marks not in self.cache:
+                self.cache[marks] = self.ids(marks).tobytes()
+            self.cache[p] = self.cache[run] + self.cache[marks]
+        for p in parts.difference(self.cache):
+            self.cache[p] = self.ids(p if isinstance(p, str) else p.decode()).tobytes()
+
+    def parts(self, text: bytes) -> list[str] | list[bytes]:
+        whole = text.decode()
+        if self.ODD.search(whole) or self.JOINED.search(whole):
+            return text.split()
+        return whole.lower().replace(".", " .").replace(",", " ,").split()
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         out = []
-        for words in map(bytes.split, pieces(text)):
-            try:
-                out.append(b"".join([self.cache[w] for w in words]))
-            except KeyError:
-                new = set(words).difference(self.cache)
-                if len(self.cache) + len(new) > CACHE_WORDS:
+        for parts in map(self.parts, pieces(text)):
+            got = list(map(self.cache.get, parts))
+            if None in got:
+                if len(self.cache) > CACHE_WORDS:
                     self.cache.clear()
-                    new = set(words)
-                self.learn(list(new))
-                out.append(b"".join([self.cache[w] for w in words]))
+                self.learn(set(parts).difference(self.cache))
+                got = map(self.cache.__getitem__, parts)
+            out.append(b"".join(got))
         return b"".join(out)
 
 
