@@ -10,16 +10,15 @@ How it is laid out for Spark, for all outcomes, specifications and subgroups at
 1. `unit_profiles`: one aggregate per unit turns the long panel into one row holding
    the first treatment, the switch period and the outcomes by period. This is the only
    shuffle of the panel.
-2. `cohort_sums`: units of one cohort (first treatment, switch period, sign, periods
-   seen) are summed per period. This is the only pass that feeds the point estimates,
-   it reduces on the map side, and the result has as many rows as there are cohorts.
-3. `cell_stats`: cohorts, not units, are paired into (switch period, horizon) cells.
-4. The influence value of a unit is linear in its outcomes, with coefficients that
-   depend on its cohort alone. So standard errors need the coefficients of its cohort
-   on every unit (a join that adaptive execution plans by measured size) and one dot product per
-   horizon, summed where the unit is.
-
-No step pairs units with units, so the work is linear in the rows of the panel.
+2. `unit_cells`: each unit in each (switch period, horizon) cell that it serves as
+   switcher or control, and where its outcome is seen at both ends. `cell_stats` sums them per
+   cell in one aggregate that reduces on the map side; its result is bounded by the numbers of
+   periods, horizons and models, whatever outcomes are missing.
+3. A unit's influence is a sum over its cells, with coefficients that depend on the cell alone. So
+   standard errors need the cells of a model on every unit (a join that adaptive execution
+   plans by measured size and splits) and one more pass over `unit_cells`.
+
+No step pairs units with units, so the work is the rows of the panel times the horizons.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from ..session import stable
 
 Z95 = 1.959963984540054
 MODEL = ["outcome", "spec", "subgroup"]
-COHORT = [*MODEL, "d1", "f", "s", "seen"]
+CELL = ["d1", "sf", "l"]
 
 
 def _models(specs: Mapping[str, Mapping[str, Any]]) -> Column:
@@ -96,56 +95,42 @@ def unit_profiles(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d:
         dense.alias("dense"), _models(specs).alias("models"))
 
 
-def unit_models(profiles: DataFrame, outcomes: Sequence[str], periods: tuple[int, int]) -> DataFrame:
+def unit_models(profiles: DataFrame, outcomes: Sequence[str]) -> DataFrame:
     """A row per unit, outcome, specification and subgroup, with arrays by period of
-    the outcome and of |d - d1|, and the periods in which the outcome is seen."""
-    lo, hi = periods
-
+    the outcome and of |d - d1|."""
     def entry(i: int, name: str) -> Column:
         return F.struct(F.lit(name).alias("outcome"), F.transform("dense", lambda x: x[f"y{i}"]).alias("y"))
 
     entries = [entry(i, name) for i, name in enumerate(outcomes)]
-    seen = F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda k: F.get("y", k - lo).isNotNull())
     gaps = F.transform("dense", lambda x: F.abs(x["d"] - F.col("d1")))
     rows = profiles.select("__id", "__cluster", "d1", "f", "s", gaps.alias("dd"), "models",
                            F.inline(F.array(*entries)))
-    rows = rows.withColumn("seen", seen)
-    return rows.select("__id", "__cluster", "outcome", F.inline("models"), "d1", "f", "s",
-                       "seen", "y", "dd")
+    return rows.select("__id", "__cluster", "outcome", F.inline("models"), "d1", "f", "s", "y", "dd")
 
 
-def cohort_sums(units: DataFrame, periods: tuple[int, int]) -> DataFrame:
-    """Units of each cohort, with the sums of y and of |d - d1| by period."""
-    lo, hi = periods
-    n = hi - lo + 1
-    sums = units.groupBy(*COHORT).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.expr(f"sum({c}[{k}]) AS {c}{k}") for c in ("y", "dd") for k in range(n)])
-    arrays = [f"array({', '.join(f'{c}{k}' for k in range(n))}) AS {out}" for c, out in (("y", "ysum"), ("dd", "dsum"))]
-    return sums.selectExpr(*COHORT, "n", *arrays)
-
-
-def cohort_cells(cohorts: DataFrame, effects: int, placebo: int,
-                 periods: tuple[int, int]) -> DataFrame:
-    """Each cohort in each (switch period, horizon) cell it serves, as switcher or
-    control. Horizon l > 0 is an effect, l < 0 a placebo."""
+def with_roles(rows: DataFrame, lo: int) -> DataFrame:
+    """Rows of units in cells `sf`, `l` (horizon l > 0 is an effect, l < 0 a placebo) that the unit
+    serves, with its `role`, its change `dy` and its `dose`."""
+    def at(array: str, period: Column) -> Column:
+        return F.get(array, period - lo)
+
+    # where the horizon starts and ends, and the period up to which a control must be untreated
+    t1, t2, until = F.col("sf") - 1, F.col("sf") - 1 + F.col("l"), F.col("sf") - 1 + F.abs("l")
+    # a placebo needs the switcher's effect at the same horizon to exist
+    effect_too = (F.col("l") > 0) | at("y", until).isNotNull()
+    switcher = truth(F.col("f") == F.col("sf")) & effect_too
+    control = F.col("f").isNull() | (F.col("f") > until)
+    role = F.when(switcher, F.when(F.col("s") > 0, "up").otherwise("down")).when(control, "c")
+    return rows.withColumns({"role": role, "dy": at("y", t2) - at("y", t1), "dose": at("dd", t2)}).filter(
+        "role IS NOT NULL AND dy IS NOT NULL")
+
+
+def unit_cells(units: DataFrame, effects: int, placebo: int, periods: tuple[int, int]) -> DataFrame:
+    """Each unit in each cell that lies within the periods and that it serves."""
     lo, hi = periods
-    rows = cohorts.withColumn("sf", F.explode(F.sequence(F.lit(lo + 1), F.lit(hi))))
+    rows = units.withColumn("sf", F.explode(F.sequence(F.lit(lo + 1), F.lit(hi))))
     rows = rows.withColumn("l", F.explode(F.sequence(F.lit(-placebo), F.lit(effects)))).filter("l <> 0")
-    # where the horizon ends, and the period up to which a control must be untreated
-    rows = rows.withColumns({"t2": F.col("sf") - 1 + F.col("l"), "until": F.col("sf") - 1 + F.abs("l")})
-    rows = rows.filter((F.col("t2") >= lo) & (F.col("until") <= hi))
-    t1 = F.col("sf") - 1
-    observed = F.array_contains("seen", t1) & F.array_contains("seen", F.col("t2"))
-    switcher = F.col("f") == F.col("sf")
-    # a placebo needs the switcher's effect at the same horizon to exist
-    effect_too = (F.col("l") > 0) | F.array_contains("seen", F.col("until"))
-    control = F.col("f").isNull() | (F.col("f") > F.col("until"))
-    role = F.when(truth(switcher) & effect_too, "switcher").when(control, "control")
-    change = F.get("ysum", F.col("t2") - lo) - F.get("ysum", t1 - lo)
-    dose = F.get("dsum", F.col("t2") - lo)
-    return (rows.filter(observed).withColumn("role", role).filter(F.col("role").isNotNull())
-            .withColumns({"dy": change, "dose": dose}))
+    return with_roles(rows.filter((F.col("sf") - 1 + F.col("l") >= lo) & (F.col("sf") - 1 + F.abs("l") <= hi)), lo)
 
 
 def cell_stats(cells: DataFrame) -> DataFrame:
@@ -154,12 +139,10 @@ def cell_stats(cells: DataFrame) -> DataFrame:
     only where the effect at the same horizon is, so both are aggregated in one row."""
     def sums(effect: bool) -> list[Column]:
         side = (F.col("l") > 0) if effect else (F.col("l") < 0)
-        tests = {"up": (F.col("role") == "switcher") & (F.col("s") > 0),
-                 "down": (F.col("role") == "switcher") & (F.col("s") < 0), "c": F.col("role") == "control"}
-        out = [F.struct(*[
-            F.coalesce(F.sum(F.when(side & test, F.col(c))), F.lit(0)).cast("double").alias(f"{short}_{name}")
-            for name, test in tests.items() for short, c in (("n", "n"), ("dy", "dy"), ("dose", "dose"))])]
-        return [out[0].alias("e" if effect else "p")]
+        return [F.struct(*[
+            F.coalesce(F.sum(F.when(side & (F.col("role") == role), value)), F.lit(0)).cast("double").alias(f"{name}_{role}")
+            for role in ("up", "down", "c") for name, value in (("n", F.lit(1)), ("dy", F.col("dy")), ("dose", F.col("dose")))
+        ]).alias("e" if effect else "p")]
 
     h = F.abs("l").alias("h")
     pair = cells.groupBy(*MODEL, "d1", "sf", h).agg(*sums(True), *sums(False))
@@ -188,13 +171,10 @@ def _estimates(stats: DataFrame) -> DataFrame:
         "estimate", F.col("total") / F.col("per"))
 
 
-def cohort_coefficients(cells: DataFrame, stats: DataFrame, estimates: DataFrame,
-                        periods: tuple[int, int]) -> DataFrame:
-    """Per cohort, an array over the horizons of the coefficients that turn a unit's
-    outcomes into its influence on the estimate (0 stands for the average effect),
-    scaled so that the variance is the sum of squares over clusters."""
-    lo, hi = periods
-
+def cell_coefficients(stats: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Per model and first treatment, the cells with the coefficients that turn a unit's change
+    into its influence on the estimate of the horizon (`per`) and on the average effect (`per_0`, for
+    effects), scaled so that the variance is the sum of squares over clusters."""
     def scaled(n: str, dy: str, sign: Column, others: Sequence[str]) -> Column:
         """Weight of a group's members and their centre: the group's mean change, with
         its degrees of freedom; a group of one is centred on the mean of the whole cell."""
@@ -205,54 +185,35 @@ def cohort_coefficients(cells: DataFrame, stats: DataFrame, estimates: DataFrame
         return F.when(F.col(n) > 0, F.struct(k.alias("k"), (k * mean).alias("shift")))
 
     balance = (F.col("n_up") - F.col("n_down")) / F.col("n_c")
-    cell = ["d1", "sf", "l"]
     by_cell = stats.select(
-        *MODEL, *cell, scaled("n_up", "dy_up", F.lit(1.0), ["c"]).alias("up"),
+        *MODEL, *CELL, scaled("n_up", "dy_up", F.lit(1.0), ["c"]).alias("up"),
         scaled("n_down", "dy_down", F.lit(-1.0), ["c"]).alias("down"),
-        scaled("n_c", "dy_c", -balance, ["up", "down"]).alias("control"))
-    role = (F.when(F.col("role") == "control", F.col("control")).when(F.col("s") > 0, F.col("up"))
-            .otherwise(F.col("down")))
-    rows = cells.select(*COHORT, "sf", "l", "t2", "role").join(by_cell, [*MODEL, *cell])
-    rows = rows.select(*COHORT, "t2", (F.col("sf") - 1).alias("t1"), role.alias("w"),
-                       F.explode(F.when(F.col("l") > 0, F.array("l", F.lit(0))).otherwise(F.array("l"))).alias("l"))
-    rows = rows.join(estimates.select(*MODEL, "l", "per"), [*MODEL, "l"])
-    k, shift = F.col("w.k") / F.col("per"), F.col("w.shift") / F.col("per")
-    ends = F.array(F.struct(F.col("t2").alias("t"), k.alias("k"), shift.alias("shift")),
-                   F.struct(F.col("t1").alias("t"), (-k).alias("k"), F.lit(0.0).alias("shift")))
-    # a cohort has at most a row per cell; brought together once, it is then grouped
-    # three times without another exchange
-    parts = rows.repartition(*COHORT).select(*COHORT, "l", F.inline(ends))
-    terms = parts.groupBy(*COHORT, "l", "t").agg(F.sum("k").alias("k"), F.sum("shift").alias("shift"))
-    by_horizon = terms.groupBy(*COHORT, "l").agg(
-        F.sum("shift").alias("shift"), F.map_from_entries(F.collect_list(F.struct("t", "k"))).alias("k"))
-    dense = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda t: F.coalesce(F.try_element_at("k", t), F.lit(0.0)))
-    return by_horizon.withColumn("a", dense).groupBy(*COHORT).agg(
-        F.collect_list(F.struct("l", "shift", "a")).alias("coefs"))
-
-
-def influence(units: DataFrame, coefs: DataFrame, periods: tuple[int, int], clustered: bool) -> DataFrame:
+        scaled("n_c", "dy_c", -balance, ["up", "down"]).alias("c"))
+    average = estimates.filter("l = 0").select(*MODEL, F.col("per").alias("per_0"))
+    rows = by_cell.join(estimates.select(*MODEL, "l", "per"), [*MODEL, "l"]).join(average, MODEL)
+    # at most a row per switch period and horizon
+    return rows.groupBy(*MODEL, "d1").agg(F.collect_list(F.struct(
+        "sf", "l", "up", "down", "c", "per", F.when(F.col("l") > 0, F.col("per_0")).alias("per_0"))).alias("cells"))
+
+
+def influence(units: DataFrame, coefs: DataFrame, lo: int) -> DataFrame:
     """Influence `u` of each cluster on each horizon `l`."""
-    lo, hi = periods
-    renamed = coefs.withColumnsRenamed({c: f"__k_{c}" for c in COHORT})
-    on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) if c in ("f", "s") else F.col(c) == F.col(f"__k_{c}")
-          for c in COHORT]
-    # the never-switched cohort can be most units; its rows are split by adaptive execution
-    joined = units.join(renamed, on)
-    rows = joined.select(*MODEL, "__cluster", "y", F.inline("coefs"))
-    # written out, the dot product is compiled
-    dot = F.expr(" + ".join(f"coalesce(a[{i}] * y[{i}], 0D)" for i in range(hi - lo + 1)))
-    values = rows.select(*MODEL, "__cluster", "l", (dot - F.col("shift")).alias("u"))
-    if not clustered:  # a unit is its own cluster
-        return values
-    return values.groupBy(*MODEL, "__cluster", "l").agg(F.sum("u").alias("u"))
+    keys = [*MODEL, "d1"]
+    renamed = coefs.withColumnsRenamed({c: f"__k_{c}" for c in keys})
+    # most units can have one first treatment; their rows are split by adaptive execution
+    joined = units.join(renamed, [F.col(c) == F.col(f"__k_{c}") for c in keys])
+    rows = with_roles(joined.select(*MODEL, "__cluster", "f", "s", "y", "dd", F.inline("cells")), lo)
+    w = F.when(F.col("role") == "up", F.col("up")).when(F.col("role") == "down", F.col("down")).otherwise(F.col("c"))
+    rows = rows.select(*MODEL, "__cluster", "l", "per", "per_0", (w["k"] * F.col("dy") - w["shift"]).alias("u"))
+    sums = rows.groupBy(*MODEL, "__cluster", "l").agg(F.sum(F.col("u") / F.col("per")).alias("u"), F.sum(F.col("u") / F.col("per_0")).alias("u_0"))
+    both = F.array(F.struct("l", "u"), F.when(F.col("l") > 0, F.struct(F.lit(0).alias("l"), F.col("u_0").alias("u"))))
+    return (sums.select(*MODEL, "__cluster", F.inline(F.array_compact(both)))
+            .groupBy(*MODEL, "__cluster", "l").agg(F.sum("u").alias("u")))
 
 
 class DidPlan:
-    """The frames of one batch.
-
-    With errors, the unit rows, the cohort sums and the cell sums are each read more than
-    once, so they are checkpointed. The cohort sums bound the size of what is broadcast.
-    """
+    """The frames of one batch. With errors, the unit rows and the sums of cells are read more
+    than once, so they are checkpointed."""
 
     def __init__(self, panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str,
                  effects: int, placebo: int, cluster: str | None,
@@ -261,20 +222,17 @@ class DidPlan:
         if periods is None:
             edge = panel.agg(F.min(t), F.max(t)).first()
             periods = (int(edge[0]), int(edge[1]))
-        specs = specs or {"baseline": {}}
         keep = stable if errors else (lambda df: df)
-        self.periods = periods
-        self.clustered = cluster is not None and cluster != id
-        profiles = keep(unit_profiles(panel, outcomes, id, t, d, cluster, specs, periods))
-        self.units = unit_models(profiles, outcomes, periods)
-        self.cohorts = keep(cohort_sums(self.units, periods))
-        self.cells = cohort_cells(self.cohorts, effects, placebo, periods)
-        self.stats = keep(cell_stats(self.cells))
+        profiles = unit_profiles(panel, outcomes, id, t, d, cluster, specs or {"baseline": {}}, periods)
+        # the profiles are small next to the work on their cells, so their number of tasks is kept
+        tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.lo = periods[0]
+        self.units = unit_models(keep(profiles.repartition(tasks, "__id")), outcomes)
+        self.stats = keep(cell_stats(unit_cells(self.units, effects, placebo, periods)))
         self.estimates = _estimates(self.stats)
 
     def influence(self) -> DataFrame:
-        coefs = cohort_coefficients(self.cells, self.stats, self.estimates, self.periods)
-        return influence(self.units, coefs, self.periods, self.clustered)
+        return influence(self.units, cell_coefficients(self.stats, self.estimates), self.lo)
 
 
 def did_batch(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str,
@@ -340,16 +298,18 @@ def did_joint_tests(panel: DataFrame, outcomes: Sequence[str], id: str, t: str,
     small matrix, one per model and kind, reaches the test itself.
     """
     plan = DidPlan(panel, outcomes, id, t, d, effects, placebo, cluster, specs, periods)
-    kind = F.when(F.col("a.l") > 0, "effect").otherwise("placebo")
-    # at most (effects + placebos) squared products per cluster, summed on the map side
-    same_kind = (F.col("a.l") * F.col("b.l")) > 0
-    vectors = plan.influence().groupBy(*MODEL, "__cluster").agg(F.collect_list(F.struct("l", "u")).alias("v"))
-    pairs = (vectors.select(*MODEL, "v", F.explode("v").alias("a"))
-             .select(*MODEL, "a", F.explode("v").alias("b")).filter(same_kind)
-             .groupBy(*MODEL, kind.alias("kind"), F.col("a.l").alias("i"), F.col("b.l").alias("j"))
-             .agg(F.sum(F.col("a.u") * F.col("b.u")).alias("cov")))
+    horizons = [h for h in range(-placebo, effects + 1) if h]
+    pairs = [(i, j) for i in horizons for j in horizons if i <= j and i * j > 0]
+    # one row per cluster with a column per horizon, then all products in one aggregate
+    vectors = plan.influence().groupBy(*MODEL, "__cluster").agg(
+        *[F.sum(F.when(F.col("l") == h, F.col("u")).otherwise(0.0)).alias(f"u{n}") for n, h in enumerate(horizons)])
+    at = {h: F.col(f"u{n}") for n, h in enumerate(horizons)}
+    sums = vectors.groupBy(*MODEL).agg(*[F.sum(at[i] * at[j]).alias(f"c{n}") for n, (i, j) in enumerate(pairs)])
+    entries = [F.struct(F.lit("effect" if i > 0 else "placebo").alias("kind"), F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"c{n}").alias("cov"))
+               for n, (i, j) in enumerate(pairs) for a, b in {(i, j), (j, i)}]
     points = plan.estimates.select(*MODEL, F.col("l").alias("i"), "estimate")
-    table = pairs.join(points, [*MODEL, "i"])
+    table = (sums.select(*MODEL, F.inline(F.array(*entries))).join(points, [*MODEL, "i"])
+             .join(points.select(*MODEL, F.col("i").alias("j")), [*MODEL, "j"], "left_semi"))
     schema = T.StructType([
         *[T.StructField(c, T.StringType()) for c in [*MODEL, "kind"]],
         T.StructField("df", T.IntegerType()), T.StructField("chi2", T.DoubleType()),

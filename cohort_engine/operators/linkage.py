@@ -27,7 +27,8 @@ def link_exact(left: DataFrame, right: DataFrame, keys: str | Sequence[str],
     """
     left = left if left_unique else keep_unique_keys(left, keys)
     right = right if right_unique else keep_unique_keys(right, keys)
-    return merge_tables(left, right, keys, "1:1", keep=(3,), indicator=None)
+    # both sides hold only keys that occur once
+    return merge_tables(left, right, keys, "1:1", keep=(3,), indicator=None, validate=False)
 
 
 def link_cascade(source: DataFrame, pools: Sequence[DataFrame], keys: str | Sequence[str],

@@ -24,9 +24,15 @@ def is_unique(df: DataFrame, keys: str | Sequence[str]) -> bool:
     return counts.filter("__n > 1").isEmpty()
 
 
-def assert_unique(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """The same rows, in a plan that fails at run time if a key repeats."""
+def assert_unique(df: DataFrame, keys: str | Sequence[str], null_safe: bool = True) -> DataFrame:
+    """The same rows, in a plan that fails at run time if a key repeats. Without `null_safe`,
+    rows that miss a part of their key match nothing and may repeat."""
     keys = as_list(keys)
+    if not null_safe:
+        missing = F.lit(False)
+        for k in keys:
+            missing = missing | F.col(k).isNull()
+        return assert_unique(df.filter(~missing), keys).unionByName(df.filter(missing))
     rest = [c for c in df.columns if c not in keys]
     row = F.any_value(F.struct(*rest)).alias("__row") if rest else F.any_value(F.lit(0)).alias("__row")
     grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), row)
@@ -38,12 +44,12 @@ def assert_unique(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
 def merge_tables(left: DataFrame, right: DataFrame, on: str | Sequence[str], kind: str,
                  keep: Sequence[int] = (LEFT_ONLY, RIGHT_ONLY, MATCHED),
                  using: Sequence[str] | None = None, indicator: str | None = "_merge",
-                 validate: bool = False, null_safe: bool = True) -> DataFrame:
+                 validate: bool = True, null_safe: bool = True) -> DataFrame:
     """Merge on equal keys; the status is 1 left only, 2 right only, 3 matched.
 
     A column both sides have keeps the left value, except in right-only rows. `using`
-    takes only those right columns. `validate` makes the query fail if a side said to
-    be unique is not; leave it off where the side is unique by construction.
+    takes only those right columns. The query fails if a side said to be unique is not;
+    turn `validate` off only where the sides were just grouped by the key.
     """
     on = as_list(on)
     if kind not in KINDS:
@@ -51,9 +57,9 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str | Sequence[str], kin
     if using is not None:
         right = right.select(*on, *[c for c in using if c not in on])
     if validate and kind[0] == "1":
-        left = assert_unique(left, on)
+        left = assert_unique(left, on, null_safe)
     if validate and kind[2] == "1":
-        right = assert_unique(right, on)
+        right = assert_unique(right, on, null_safe)
     keep = set(keep)
     extra = [c for c in right.columns if c not in left.columns]
     shared = set(right.columns) & set(left.columns)
@@ -146,8 +152,8 @@ def merge_keep_or(left: DataFrame, right: DataFrame, on: str | Sequence[str], co
 
 def lookup(df: DataFrame, table: DataFrame, key: str | Sequence[str],
            columns: Sequence[str] | None = None, required: bool = True,
-           null_safe: bool = False, validate: bool = False) -> DataFrame:
-    """Columns of a table that holds one row per key. Spark broadcasts the table when
+           null_safe: bool = False, validate: bool = True) -> DataFrame:
+    """Columns of a table that holds one row per key, which is checked. Spark broadcasts the table when
     its measured size allows; otherwise hot keys of `df` are split."""
     keep = (MATCHED,) if required else (LEFT_ONLY, MATCHED)
     return merge_tables(df, table, key, "m:1", keep=keep, using=columns, indicator=None,
@@ -155,7 +161,7 @@ def lookup(df: DataFrame, table: DataFrame, key: str | Sequence[str],
 
 
 def map_to_person(df: DataFrame, patient: DataFrame, site_key: str, person: str | Sequence[str],
-                  validate: bool = False) -> DataFrame:
+                  validate: bool = True) -> DataFrame:
     """Person columns of a site-level key; rows with an unknown key drop out."""
     return lookup(df, patient, site_key, as_list(person), validate=validate)
 

@@ -15,13 +15,23 @@ def _whole(col: Column) -> Column:
     return to_number(col, kind="int")
 
 
-# "03" and 3, or text and number, are the same key; unreadable text is a missing key.
+# "03" and 3, or text and number, are the same key; unreadable text has no key.
 DEFAULT_RULES: Mapping[str, Callable[[Column], Column]] = {
     "post_code": _whole, "yob": _whole, "mob": _whole,
     "practice_id": lambda c: F.trim(c.cast("string")), "sex": lambda c: F.trim(c),
 }
 
 
+def one_row_each(linked: DataFrame, person: str, order: Sequence[str]) -> DataFrame:
+    """One row per person: of several, each column has its first known value by `order` and
+    then by size. A person that two rosters found so keeps the columns of both."""
+    def first(c: str) -> Column:
+        at = F.struct(*order, F.col(c))
+        return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c)
+
+    return linked.groupBy(person).agg(*[first(c) for c in linked.columns if c != person])
+
+
 def link_rosters(rosters: Mapping[str, DataFrame], pools: Sequence[DataFrame], keys: Sequence[str],
                  rules: Mapping[str, Callable[[Column], Column]] = DEFAULT_RULES,
                  decisions: DataFrame | None = None, person: str = "person_id",
@@ -34,7 +44,12 @@ def link_rosters(rosters: Mapping[str, DataFrame], pools: Sequence[DataFrame], k
     the rosters in `keep_unless_refused`, pairs stay unless a decision refuses them.
     """
     def typed(df: DataFrame) -> DataFrame:
-        return normalise_keys(df, {k: rules[k] for k in keys if k in rules})
+        """Keys by their rules, without rows of a key that cannot be read: such text equals nothing."""
+        used = {k: rules[k] for k in keys if k in rules}
+        for k, rule in used.items():
+            text = F.nullif(F.trim(F.col(k).cast("string")), F.lit(""))
+            df = df.filter(text.isNull() | rule(F.col(k)).isNotNull())
+        return normalise_keys(df, used)
 
     sides = [typed(p).select(*dict.fromkeys([person, *keys, *keep_columns])) for p in pools]
     linked, queue = [], []

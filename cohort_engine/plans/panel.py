@@ -10,15 +10,16 @@ from ..functions.dates import days_between, event_time, parse_date_dmy, quarter_
 from ..functions.missing import as_flag, ge, truth
 from ..functions.scalars import log_plus, row_sum
 from ..operators.collapse import collapse_sum
-from ..operators.merge import append, cross_panel, merge_tables
+from ..operators.merge import append, assert_unique, cross_panel, merge_tables
 from ..operators.ordering import xtile
 from ..operators.projections import group_id, zero_fill
 from ..session import stable
 
 
 def build_panel(sample: DataFrame, start: int, end: int, facts: Sequence[tuple[DataFrame, Sequence[str]]],
-                person: str, period: str = "q", keep_outside: bool = True) -> DataFrame:
-    """Every sampled person in every period, with the counts and 0 where there are none.
+                person: str, period: str = "q", keep_outside: bool = True, fill: Sequence[str] | None = None) -> DataFrame:
+    """Every sampled person in every period, with the counts and 0 where there are none (in
+    the columns `fill`, all by default).
 
     The fact tables (one row per person and period each) are stacked and summed, so
     that the panel is joined once. Facts outside the panel are kept as rows, as a merge
@@ -26,11 +27,12 @@ def build_panel(sample: DataFrame, start: int, end: int, facts: Sequence[tuple[D
     """
     columns = [c for _, cols in facts for c in cols]
     stacked = append(*[df.select(person, period, *cols) for df, cols in facts])
-    counts = collapse_sum(stacked, [person, period], columns) if len(facts) > 1 else stacked
-    panel = cross_panel(sample, start, end, period)
+    counts = collapse_sum(stacked, [person, period], columns) if len(facts) > 1 else assert_unique(stacked, [person, period])
+    panel = cross_panel(assert_unique(sample, person), start, end, period)
     keep = (1, 2, 3) if keep_outside else (1, 3)
-    merged = merge_tables(panel, counts, [person, period], "1:1", keep=keep, indicator=None, null_safe=False)
-    return zero_fill(merged, columns)
+    # the persons were checked before their periods were made, the counts are one row per key
+    merged = merge_tables(panel, counts, [person, period], "1:1", keep=keep, indicator=None, null_safe=False, validate=False)
+    return zero_fill(merged, columns if fill is None else fill)
 
 
 def end_of_followup(panel: DataFrame, died_on: Column, other_end: Column, registry_quarter: Column,

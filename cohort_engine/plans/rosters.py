@@ -75,7 +75,7 @@ def roster_profile(roster: DataFrame, conditions: DataFrame, spec: RosterSpec) -
         df = dedupe(df, spec.repeat_keys, [c for c in rest if c not in spec.repeat_keys])
     first = dedupe(df, key, [*spec.first_by, *[c for c in rest if c not in spec.first_by]])
     dates = series_dates(df, key, spec.series, spec.suffix)
-    people = merge_tables(first, dates, key, "1:1", keep=(3,), indicator=None)
+    people = merge_tables(first, dates, key, "1:1", keep=(3,), indicator=None, validate=False)  # both one row per key
     people = people.withColumns({"yob": F.year(spec.birth_date), "mob": F.month(spec.birth_date)})
 
     flags = {f"{name}{spec.suffix}": F.col(spec.condition).isin(*values)
@@ -83,7 +83,7 @@ def roster_profile(roster: DataFrame, conditions: DataFrame, spec: RosterSpec) -
     source = conditions.withColumnRenamed(spec.condition_key or key, key)
     found = any_by(source, key, flags)
     keep = (1, 2, 3) if spec.keep_unknown else (1, 3)
-    merged = merge_tables(people, found, key, "1:1", keep=keep, indicator="__m")
+    merged = merge_tables(people, found, key, "1:1", keep=keep, indicator="__m", validate=False)  # both one row per key
     filled: dict[str, Column] = {f: F.coalesce(F.col(f), F.lit(0)) for f in flags}
     filled[f"diag_miss{spec.suffix}"] = (F.col("__m") == 1).cast("int")
     merged = merged.withColumns(filled)

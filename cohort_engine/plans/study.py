@@ -22,7 +22,7 @@ from ..operators.merge import append, merge_tables
 from . import values
 from .conditions import condition_profile
 from .events import any_class_count, category_counts, clean_events, event_counts, sample_map
-from .linking import link_rosters
+from .linking import link_rosters, one_row_each
 from .panel import (build_panel, derive_outcomes, derive_strata, died_on, end_of_followup,
                     event_study_columns, spell_days, text_end)
 from .rosters import RosterSpec, roster_profile
@@ -113,6 +113,7 @@ def sample_stage(tables: Mapping[str, DataFrame], params: StudyParams) -> dict[s
     linked, review = link_rosters(
         {"a": roster_a(tables, params), "b": roster_b(tables, params)}, pools(tables, params),
         values.LINK_KEYS, decisions=tables.get("decisions"), person=PERSON, keep_unless_refused=("b",))
+    linked = one_row_each(linked, PERSON, ["link_pass", "roster"])
     linked = reconcile_conditions(linked, profile, PERSON, {
         "cardio": ("has_cardio", ["cardio_a", "cardio_b"]),
         "resp": ("has_respiratory", ["resp_a", "resp_b"]),
@@ -125,7 +126,7 @@ def sample_stage(tables: Mapping[str, DataFrame], params: StudyParams) -> dict[s
                                  ("frailty", "has_muscul")],
                      excluded_quarter=period(params.excluded_quarter)),
         tables.get("excluded_sites"))
-    matched = cem(sample, "treated", {"age": values.AGE_CUTS},
+    matched = cem(sample.filter(F.col("sex").isin("Male", "Female")), "treated", {"age": values.AGE_CUTS},
                   exact=["sex", "post_code", "cardio", "resp", "frailty"]).filter("cem_matched = 1")
     return {"profile": profile, "linked": linked, "review": review, "sample": sample, "matched": matched}
 
@@ -168,7 +169,9 @@ def panel_stage(tables: Mapping[str, DataFrame], sample: DataFrame, params: Stud
         return [c for c in df.columns if c not in by]
 
     facts = [(df, cols(df)) for df in (service_counts, script_counts, referral_counts, any_counts)]
-    return build_panel(sample, *params.span, facts, PERSON)
+    # numbers of practices and providers stay missing where there was no service
+    fill = [c for _, counted in facts for c in counted if c not in ("prac_num", "prov_num")]
+    return build_panel(sample, *params.span, facts, PERSON, fill=fill)
 
 
 def analysis_panel(panel: DataFrame, params: StudyParams) -> DataFrame:

@@ -168,6 +168,16 @@ def test_repeated_periods_and_varying_columns_fail(spark, panel):
     assert all(got[h]["estimate"] == pytest.approx(want[h]["estimate"]) for h in want)
 
 
+def test_missing_outcomes_do_not_multiply_cells(spark, panel):
+    df = spark.createDataFrame(panel).withColumn("y", F.when(F.xxhash64("id", "t") % 3 != 0, F.col("y")))
+    full = did.DidPlan(spark.createDataFrame(panel), ["y"], "id", "t", "d", 2, 1, None, None, None)
+    thin = did.DidPlan(df, ["y"], "id", "t", "d", 2, 1, None, None, None)
+    assert 0 < thin.stats.count() <= full.stats.count() <= 2 * PERIODS * 3
+    got = by_horizon(did.did_dynamic(df, "y", "id", "t", "d", 2, 1).collect())
+    for h, (estimate, se, _) in brute_force(df.toPandas(), 2, 1).items():
+        assert got[h]["estimate"] == pytest.approx(estimate, abs=1e-10) and got[h]["se"] == pytest.approx(se, abs=1e-10)
+
+
 def test_without_broadcast(spark, panel):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
