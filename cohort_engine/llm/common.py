@@ -67,7 +67,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again."""
     folder = scratch(df.sparkSession, what)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

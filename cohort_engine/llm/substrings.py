@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ODD_2, Ranges, gram_hashes, keyed, over_texts, pieces, raw, signed, spread, stored, word_hashes
 
 SEED_WORDS = 8  # words of a seed; every window of a phrase holds the phrase's seed
+SHIFT = 16  # bits of a packed place that count the starts after the first
 BLOCK = 1 << 18  # windows of a text that are looked at together
 
 
@@ -34,26 +35,36 @@ def phrases(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def packed(s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
+    """First and last window start of a phrase as one long."""
+    return (s0 << SHIFT) | (s1 - s0)
+
+
+def unpacked(at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.asarray(at, np.int64)
+    return both >> SHIFT, (both >> SHIFT) + (both & ((1 << SHIFT) - 1))
+
+
 def index(docs: DataFrame, window: int) -> DataFrame:
-    """All phrases of `docs` (of `keyed`): `seed`, `phrase`, `k_id`, `k_text`, `s0`, `s1`."""
+    """All phrases of `docs` (of `keyed`): `seed`, `phrase`, `k_id`, `k_text`, `at` (packed starts)."""
     def scan(batch):
         found = [phrases(word_hashes(t), window) for t in raw(batch.column(3))]
         counts = [len(f[0]) for f in found]
         keys = spread({"k_id": batch.column(0).to_numpy(), "k_text": batch.column(1).to_numpy()}, counts)
         seed, phrase, s0, s1 = (np.concatenate(x) for x in zip(*found))
-        yield pa.RecordBatch.from_arrays([signed(seed), signed(phrase), *keys.values(), pa.array(s0), pa.array(s1)],
-                                         ["seed", "phrase", "k_id", "k_text", "s0", "s1"])
+        yield pa.RecordBatch.from_arrays([signed(seed), signed(phrase), *keys.values(), pa.array(packed(s0, s1))],
+                                         ["seed", "phrase", "k_id", "k_text", "at"])
 
-    return over_texts(docs, scan, "seed long, phrase long, k_id long, k_text long, s0 long, s1 long")
+    return over_texts(docs, scan, "seed long, phrase long, k_id long, k_text long, at long")
 
 
 def boundary_windows(docs: DataFrame, open_phrases: DataFrame, window: int) -> DataFrame:
     """Hashes of the windows of the phrases to check: `h1`, `h2`, `k_id`, `k_text`, `start`."""
     def scan(batch):
         out = []
-        for t, starts in zip(raw(batch.column("text")), batch.column("ranges").to_pylist()):
+        for t, ranges in zip(raw(batch.column("text")), batch.column("ranges").to_pylist()):
             words = word_hashes(t)
-            at = np.unique(np.concatenate([np.arange(r["s0"], r["s1"] + 1) for r in starts]))
+            at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(*unpacked(ranges))]))
             out.append((Ranges(words).hashes(at, at + window), Ranges(words, ODD_2).hashes(at, at + window), at))
         keys = spread({"k_id": batch.column("k_id").to_numpy(), "k_text": batch.column("k_text").to_numpy()},
                       [len(o[0]) for o in out])
@@ -61,34 +72,35 @@ def boundary_windows(docs: DataFrame, open_phrases: DataFrame, window: int) -> D
         yield pa.RecordBatch.from_arrays([signed(h1), signed(h2), *keys.values(), pa.array(at)],
                                          ["h1", "h2", "k_id", "k_text", "start"])
 
-    wanted = open_phrases.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("s0", "s1")).alias("ranges"))
+    wanted = open_phrases.groupBy("k_id", "k_text").agg(F.collect_set("at").alias("ranges"))
     some = docs.join(wanted, ["k_id", "k_text"]).select("k_id", "k_text", "text", "ranges")
     return over_texts(some, scan, "h1 long, h2 long, k_id long, k_text long, start long")
 
 
 def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
-    """`k_id`, `k_text`, `s0`, `s1`: starts of windows whose words start anywhere else too."""
+    """`k_id`, `k_text`, `at` (packed starts): windows whose words start anywhere else too."""
     phrase = stored(index(docs, window), "phrases")
+    # Any one place stands for a phrase; which one it is makes no difference.
     entry = phrase.groupBy("seed", "phrase").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("k_id", "k_text", "s0", "s1")).alias("one"))
+        F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("k_id", "k_text", "at")))
     copied = entry.filter("n > 1").select("seed", "phrase")
-    whole = phrase.join(copied, ["seed", "phrase"]).select("k_id", "k_text", "s0", "s1")
+    whole = phrase.join(copied, ["seed", "phrase"]).select("k_id", "k_text", "at")
     # A seed with different phrases around it: their windows may still agree in part.
     differs = entry.groupBy("seed").agg(F.count(F.lit(1)).alias("n_phrases")).filter("n_phrases > 1").select("seed")
-    unsure = entry.join(differs, "seed").select("one.*")
+    unsure = entry.join(differs, "seed").select("k_id", "k_text", "at")
     windows = stored(boundary_windows(docs, unsure, window), "windows")
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    part = windows.join(again, ["h1", "h2"]).select("k_id", "k_text", F.col("start").alias("s0"), F.col("start").alias("s1"))
+    part = windows.join(again, ["h1", "h2"]).select("k_id", "k_text", F.shiftleft("start", SHIFT).alias("at"))
     return whole.unionByName(part)
 
 
-def factors(ranges: np.ndarray, window: int) -> np.ndarray:
+def factors(s0: np.ndarray, s1: np.ndarray, window: int) -> np.ndarray:
     """Maximal factors (start, end in words) from ranges of window starts, taken greedily
     from left to right: a factor goes on while the next repeated window overlaps it."""
-    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
-    ends = np.maximum.accumulate(ranges[:, 1] + window)
-    new = np.flatnonzero(np.append(True, ranges[1:, 0] > ends[:-1]))
-    return np.column_stack([ranges[new, 0], ends[np.append(new[1:], len(ranges)) - 1]])
+    order = np.argsort(s0, kind="stable")
+    s0, ends = s0[order], np.maximum.accumulate(s1[order] + window)
+    new = np.flatnonzero(np.append(True, s0[1:] > ends[:-1]))
+    return np.column_stack([s0[new], ends[np.append(new[1:], len(s0)) - 1]])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
@@ -106,13 +118,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = keyed(docs, id_col, text_col)
     spans = (repeated_spans(texts, window).groupBy("k_id", "k_text")
-             .agg(F.collect_set(F.struct("s0", "s1")).alias("ranges")))
+             .agg(F.collect_set("at").alias("ranges")))
 
     def apply(batch):
         out = []
         for t, ranges in zip(raw(batch.column("text")), batch.column("ranges").to_pylist()):
             words = [w for p in pieces(t) for w in p.split()]
-            spans = factors(np.array([(r["s0"], r["s1"]) for r in ranges], np.int64), window) if ranges else []
+            spans = factors(*unpacked(ranges), window) if ranges else []
             kept, at = [], 0
             for start, end in spans:
                 kept += words[at:start]
