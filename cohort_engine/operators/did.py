@@ -67,7 +67,7 @@ def unit_profiles(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d:
         value = F.col(name).cast("double")
         return F.when(~F.isnan(value), value)  # not a number counts as missing
 
-    obs = F.array_sort(F.collect_list(F.struct(
+    obs = F.sort_array(F.collect_list(F.struct(
         F.col(t).cast("int").alias("t"), F.col(d).cast("double").alias("d"),
         *[outcome(y).alias(f"y{i}") for i, y in enumerate(outcomes)])))
     known = panel.filter(F.col(id).isNotNull() & F.col(t).isNotNull() & F.col(d).isNotNull() & F.col(t).between(lo, hi))
@@ -87,8 +87,10 @@ def unit_profiles(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d:
 
     base = F.get("obs", F.lit(0))["d"]
     switch = F.get(F.filter("obs", lambda x: x["d"] != F.get("obs", F.lit(0))["d"]), F.lit(0))
-    by_t = F.map_from_entries(F.transform("obs", lambda x: F.struct(x["t"], x)))
-    dense = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda k: F.try_element_at(by_t, k))
+    # bound as the element of an array, the map is built once for a unit and not once for a period
+    by_t = F.array(F.map_from_entries(F.transform("obs", lambda x: F.struct(x["t"], x))))
+    dense = F.get(F.transform(by_t, lambda m: F.transform(
+        F.sequence(F.lit(lo), F.lit(hi)), lambda k: F.try_element_at(m, k))), F.lit(0))
     return units.select(
         "__id", (F.col("__cl") if "__cl" in fixed else F.col("__id")).alias("__cluster"),
         base.alias("d1"), switch["t"].alias("f"), F.signum(switch["d"] - base).alias("s"),
