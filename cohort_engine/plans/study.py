@@ -210,6 +210,6 @@ def model_stage(analysis: DataFrame, params: StudyParams, outcomes: Sequence[str
                      cluster=PERSON, specs=specs or model_specs())
 
 
-def swap_sample(panel: DataFrame, sample: DataFrame) -> DataFrame:
+def swap_sample(panel: DataFrame, sample: DataFrame, person: str = PERSON) -> DataFrame:
     """The panel of another sample of the same persons, e.g. the matched one."""
-    return merge_tables(panel, sample.select(PERSON), PERSON, "m:1", keep=(3,), indicator=None)
+    return merge_tables(panel, sample.select(person), person, "m:1", keep=(3,), indicator=None)

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import did, matching
+from ..plans.study import swap_sample
 from .base import Tables, query, rounded, sql_rounded
 from .panels import ENDS_SQL, FIRST_Q, FIRST_SQL, LAST_Q, PANEL_SQL, first_treatment, followed_panel
 
 CUTS = [0, 1000, 2500, 5000, 7500, 9000]
 _BIN = " + ".join(f"(c_acctbal >= {c})::INTEGER" for c in CUTS)
-MATCH_SQL = f"""
+
+
+def match_sql(where: str = "true") -> str:
+    return f"""
 n AS (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1),
 x AS (SELECT c_custkey, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS treated, {_BIN} AS bal, c_nationkey AS nation, n_orders
-  FROM customer JOIN n ON c_custkey = o_custkey),
+  FROM customer JOIN n ON c_custkey = o_custkey WHERE {where}),
 w AS (SELECT min(n_orders) AS lo, ceil(log2(count(*)) + 1) AS k, (max(n_orders) - min(n_orders)) / ceil(log2(count(*)) + 1) AS step FROM x),
 b AS (SELECT x.*, CAST(least(floor((n_orders - lo) / step), k - 1) AS INTEGER) AS nb FROM x, w),
 s AS (SELECT bal, nation, nb, sum(treated) AS m_t, sum(1 - treated) AS m_c FROM b GROUP BY ALL),
@@ -22,21 +26,21 @@ m AS (SELECT b.*, CAST(m_t > 0 AND m_c > 0 AS INTEGER) AS cem_matched, CASE WHEN
     WHEN treated = 1 THEN 1.0 ELSE (all_c / all_t) * m_t / m_c END AS cem_weight FROM b JOIN s USING (bal, nation, nb), tot)"""
 
 
-def match_input(t: Tables) -> DataFrame:
+def match_input(t: Tables, where: str = "true") -> DataFrame:
     counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
-    return t.customer.join(counts, "c_custkey").select(
+    return t.customer.filter(where).join(counts, "c_custkey").select(
         "c_custkey", (F.col("c_mktsegment") == "BUILDING").cast("int").alias("treated"), "c_acctbal",
         F.col("c_nationkey").alias("nation"), "n_orders")
 
 
-@query(f"WITH {MATCH_SQL} SELECT c_custkey, treated, cem_matched, {sql_rounded('cem_weight')} AS cem_weight FROM m")
+@query(f"WITH {match_sql()} SELECT c_custkey, treated, cem_matched, {sql_rounded('cem_weight')} AS cem_weight FROM m")
 def coarsened_matching(t: Tables) -> DataFrame:
     """Coarsened exact matching: cut points, exact and automatic bins, weights."""
     out = matching.cem(match_input(t), "treated", {"c_acctbal": CUTS}, exact=["nation"], auto=["n_orders"])
     return out.select("c_custkey", "treated", "cem_matched", rounded("cem_weight").alias("cem_weight"))
 
 
-@query(f"""WITH {MATCH_SQL},
+@query(f"""WITH {match_sql()},
 i AS (SELECT 'before' AS sample, bal, nation, nb, treated, 1.0 AS wt FROM m UNION ALL SELECT 'after', bal, nation, nb, treated, cem_weight FROM m WHERE cem_matched = 1),
 g AS (SELECT sample, bal, nation, nb, sum(wt) FILTER (treated = 1) AS t, sum(wt) FILTER (treated = 0) AS c FROM i GROUP BY ALL),
 a AS (SELECT sample, sum(t) AS sum_t, sum(c) AS sum_c FROM g GROUP BY 1)
@@ -69,13 +73,14 @@ def study_panel(t: Tables) -> DataFrame:
         F.when(F.col("c_nationkey") < 12, "low").otherwise("high").alias("area"))
 
 
-def did_sql(models: list[tuple[str, str, str, str]], effects: int, placebo: int, cluster: str = "id") -> str:
-    """Brute force by joining units to periods: `models` is (outcome, spec, subgroup, condition)."""
+def did_sql(models: list[tuple[str, str, str, str]], effects: int, placebo: int, cluster: str = "id", before: str = "") -> str:
+    """Brute force by joining units to periods: `models` is (outcome, spec, subgroup, condition),
+    `before` names further tables for the conditions."""
     rows = " UNION ALL ".join(
         f"SELECT '{o}' AS outcome, '{s}' AS spec, {g} AS subgroup, id, {cluster} AS cl, t, d, {o} AS y FROM study WHERE {c}"
         for o, s, g, c in models)
     return f"""
-WITH {ATTRIBUTES_SQL},
+WITH {ATTRIBUTES_SQL},{before}
 pm AS ({rows}),
 f0 AS (SELECT outcome, spec, subgroup, id, any_value(cl) AS cl, arg_min(d, t) AS d1 FROM pm GROUP BY ALL),
 un AS (SELECT f0.outcome, f0.spec, f0.subgroup, f0.id, f0.cl, f0.d1, min(t) FILTER (d <> d1) AS f, sign(arg_min(d, t) FILTER (d <> d1) - any_value(d1)) AS s
@@ -165,3 +170,17 @@ def event_study_joint_tests(t: Tables) -> DataFrame:
     out = did.did_joint_tests(study_panel(t), ["n_orders"], "id", "t", "d", 2, 2, specs={"baseline": {}, "area": {"by": "area"}},
                               periods=(FIRST_Q, LAST_Q))
     return out.withColumns({"chi2": rounded("chi2"), "p_value": rounded("p_value")})
+
+
+THREE_SEGMENTS = "c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE')"
+
+
+@query(did_sql([("n_orders", "baseline", "'all'", "id IN (SELECT c_custkey FROM m WHERE cem_matched = 1)")], 6, 3,
+               before=match_sql(THREE_SEGMENTS) + ",") + RESULT_SQL)
+def matched_event_study(t: Tables) -> DataFrame:
+    """The event study on the matched sample: other segments leave before the matching, and the
+    panel keeps the persons that it matched (C8, C9, C20)."""
+    people = matching.cem(match_input(t, THREE_SEGMENTS), "treated", {"c_acctbal": CUTS}, exact=["nation"], auto=["n_orders"])
+    matched = people.filter("cem_matched = 1").withColumnRenamed("c_custkey", "id")
+    panel = swap_sample(study_panel(t), matched, "id")
+    return shown(did.did_dynamic(panel, "n_orders", "id", "t", "d", 6, 3, cluster="id", periods=(FIRST_Q, LAST_Q)))

@@ -100,3 +100,13 @@ def test_analysis_and_model(panel):
     assert len(specs) == 2 * len(study.model_specs())
     assert all(r["se"] > 0 for r in results if r["n_switchers"] > 5)
     assert study.graduates_only(analysis).count() < analysis.count()
+
+
+def test_swapped_sample(panel, sample_frames):
+    """The panel of the matched persons keeps all their rows and no others."""
+    matched = sample_frames["matched"]
+    swapped = study.swap_sample(panel, matched)
+    assert sorted(swapped.columns) == sorted(panel.columns)
+    expected = panel.join(matched.select("person_id"), "person_id", "left_semi")
+    assert swapped.count() == expected.count() > 0
+    assert swapped.select("person_id").distinct().count() == matched.count()
