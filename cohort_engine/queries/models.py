@@ -59,6 +59,7 @@ ATTRIBUTES_SQL = f"""
 {PANEL_SQL}, {ENDS_SQL}, {FIRST_SQL},
 study AS (SELECT c_custkey AS id, c_nationkey AS cl, q AS t, CAST(coalesce(q - first_q >= -4, false) AS INTEGER) AS d,
   CAST(n_orders AS DOUBLE) AS n_orders, ln(n_orders + 0.1) AS log_orders, CAST(n_lines AS DOUBLE) AS n_lines, c_acctbal > 4500 AS rich,
+  CASE WHEN (c_custkey + q) % 3 <> 0 THEN CAST(n_orders AS DOUBLE) END AS seen_orders,
   CASE WHEN c_nationkey < 12 THEN 'low' ELSE 'high' END AS area FROM kept LEFT JOIN tq USING (c_custkey))"""
 
 
@@ -69,7 +70,8 @@ def study_panel(t: Tables) -> DataFrame:
     return panel.select(
         F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("cl"), F.col("q").alias("t"),
         F.coalesce((F.col("q") - F.col("first_q") >= -4).cast("int"), F.lit(0)).alias("d"), "n_orders",
-        F.log(F.col("n_orders") + 0.1).alias("log_orders"), "n_lines", (F.col("c_acctbal") > 4500).alias("rich"),
+        F.log(F.col("n_orders") + 0.1).alias("log_orders"), "n_lines",
+        F.when((F.col("c_custkey") + F.col("q")) % 3 != 0, F.col("n_orders")).alias("seen_orders"), (F.col("c_acctbal") > 4500).alias("rich"),
         F.when(F.col("c_nationkey") < 12, "low").otherwise("high").alias("area"))
 
 
@@ -92,7 +94,7 @@ ob AS (SELECT un.*, gr.sf, gr.l, coalesce(un.f = gr.sf, false) AS sw, b.y - a.y
   JOIN pm a ON a.outcome = un.outcome AND a.spec = un.spec AND a.subgroup = un.subgroup AND a.id = un.id AND a.t = gr.t1
   JOIN pm b ON b.outcome = un.outcome AND b.spec = un.spec AND b.subgroup = un.subgroup AND b.id = un.id AND b.t = gr.t2
   LEFT JOIN pm e ON e.outcome = un.outcome AND e.spec = un.spec AND e.subgroup = un.subgroup AND e.id = un.id AND e.t = gr.til
-  WHERE NOT coalesce(un.f = gr.sf, false) OR gr.l > 0 OR e.y IS NOT NULL),
+  WHERE b.y - a.y IS NOT NULL AND (NOT coalesce(un.f = gr.sf, false) OR gr.l > 0 OR e.y IS NOT NULL)),
 c0 AS (SELECT outcome, spec, subgroup, d1, sf, l, count(*) FILTER (sw) AS ns, coalesce(sum(s) FILTER (sw), 0) AS ss, coalesce(sum(s * dy) FILTER (sw), 0) AS dys,
   coalesce(sum(dy) FILTER (sw), 0) AS dyr, sum(dose) FILTER (sw) AS dose, count(*) FILTER (NOT sw) AS nc, sum(dy) FILTER (NOT sw) AS dyc FROM ob GROUP BY ALL HAVING ns > 0 AND nc > 0),
 ce AS (SELECT * FROM c0 WHERE l > 0 OR EXISTS (SELECT 1 FROM c0 z WHERE z.outcome = c0.outcome AND z.spec = c0.spec AND z.subgroup = c0.subgroup
@@ -135,6 +137,12 @@ def event_study_clustered(t: Tables) -> DataFrame:
     return shown(did.did_dynamic(study_panel(t), "n_lines", "id", "t", "d", 6, 3, cluster="cl", periods=(FIRST_Q, LAST_Q)))
 
 
+@query(did_sql([("seen_orders", "baseline", "'all'", "true")], 6, 3) + RESULT_SQL)
+def event_study_with_gaps(t: Tables) -> DataFrame:
+    """An outcome that is missing in a third of the rows (C20)."""
+    return shown(did.did_dynamic(study_panel(t), "seen_orders", "id", "t", "d", 6, 3, cluster="id", periods=(FIRST_Q, LAST_Q)))
+
+
 @query(did_sql([("n_orders", "area", "area", "true")], 6, 3) + RESULT_SQL)
 def event_study_by_group(t: Tables) -> DataFrame:
     """The same by subgroup."""
