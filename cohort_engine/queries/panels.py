@@ -145,15 +145,15 @@ followed AS (SELECT panel.*, CASE WHEN c_mktsegment <> 'BUILDING' AND registry I
 kept AS (SELECT * FROM followed WHERE (q_dead IS NULL OR q < q_dead) AND (q_dead IS NULL OR q_dead >= 150))"""
 
 
-def followed_panel(t: Tables) -> DataFrame:
-    """The panel censored at the end of each person's follow-up."""
+def followed_panel(t: Tables, panel: DataFrame | None = None) -> DataFrame:
+    """The panel, built here or before, censored at the end of each person's follow-up."""
     day = F.date_format("o_orderdate", "d/M/yyyy")
     low, dear = F.col("o_orderpriority") == "5-LOW", F.col("o_totalprice")
     ends = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.max(F.when((F.col("o_orderstatus") == "F") & low, D.to_day("o_orderdate"))).alias("withdrawn"),
         F.max_by(day, F.when((F.col("o_orderstatus") == "P") & (dear > 450000), F.col("o_orderdate"))).alias("left_text"),
         D.quarter_index(F.max(F.when(dear > 480000, F.col("o_orderdate")))).alias("registry"))
-    merged = order_panel(t).join(ends.withColumn("reason", F.lit("Died")), "c_custkey", "left")
+    merged = (order_panel(t) if panel is None else panel).join(ends.withColumn("reason", F.lit("Died")), "c_custkey", "left")
     out = P.end_of_followup(merged, P.died_on("reason", "withdrawn"), P.text_end("left_text"), F.col("registry"),
                             F.col("c_mktsegment") != "BUILDING")
     return FL.censor_after(out, "q", "q_dead", 150)
@@ -268,5 +268,6 @@ SELECT CAST(step AS INTEGER) AS step, name, CAST(n_rows AS BIGINT) AS n_rows, CA
   UNION ALL SELECT 3, 'sample', count(*), count(DISTINCT person) FROM u, bound WHERE age >= lo)""")
 def attrition(t: Tables) -> DataFrame:
     """Rows and persons after each step."""
-    return report.attrition({"panel": order_panel(t), "followed": followed_panel(t),
+    panel = stable(order_panel(t).select("c_custkey", "q", "c_mktsegment"))  # counted, and read again by the next stage
+    return report.attrition({"panel": panel, "followed": followed_panel(t, panel),
                              "sample": study_sample(t).withColumnRenamed("person", "c_custkey")}, "c_custkey")
