@@ -7,6 +7,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.keys import members
 from .common import ODD_2, Ranges, gram_hashes, keyed, over_texts, pieces, raw, signed, spread, stored, word_hashes
 
 SEED_WORDS = 8  # words of a seed; every window of a phrase holds the phrase's seed
@@ -84,13 +85,14 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     entry = phrase.groupBy("seed", "phrase").agg(
         F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("k_id", "k_text", "at")))
     copied = entry.filter("n > 1").select("seed", "phrase")
-    whole = phrase.join(copied, ["seed", "phrase"]).select("k_id", "k_text", "at")
+    # A common passage gives very many rows of one key: `members` lets adaptive execution split them.
+    whole = members(phrase, copied, ["seed", "phrase"]).select("k_id", "k_text", "at")
     # A seed with different phrases around it: their windows may still agree in part.
     differs = entry.groupBy("seed").agg(F.count(F.lit(1)).alias("n_phrases")).filter("n_phrases > 1").select("seed")
     unsure = entry.join(differs, "seed").select("k_id", "k_text", "at")
     windows = stored(boundary_windows(docs, unsure, window), "windows")
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    part = windows.join(again, ["h1", "h2"]).select("k_id", "k_text", F.shiftleft("start", SHIFT).alias("at"))
+    part = members(windows, again, ["h1", "h2"]).select("k_id", "k_text", F.shiftleft("start", SHIFT).alias("at"))
     return whole.unionByName(part)
 
 
