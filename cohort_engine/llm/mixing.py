@@ -11,7 +11,8 @@ from .common import attach, checkpoint, key_id, key_text
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 LIMIT = 3  # times that a document may be taken at most
-BUCKET_ROWS = 50_000  # documents of a source whose order one task works out
+BUCKET_ROWS = 50_000  # documents of a source whose order one task works out, about
+FEWEST_DIGITS = 2  # so that even in small tables no task holds a whole source
 
 
 def word_count(text_col: str) -> Column:
@@ -58,8 +59,8 @@ def queued(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     source, sums of rows within a bucket, so no task holds a whole source.
     """
     n = rows.count()
-    digits = max(0, math.ceil(math.log(max(n / BUCKET_ROWS, 1), 16)))
-    rows = rows.withColumn("bucket", F.substring("u", 1, digits) if digits else F.lit(""))
+    digits = max(FEWEST_DIGITS, math.ceil(math.log(max(n / BUCKET_ROWS, 1), 16)))
+    rows = rows.withColumn("bucket", F.substring("u", 1, digits))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = (rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
                .withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))))
