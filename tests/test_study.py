@@ -103,10 +103,10 @@ def test_analysis_and_model(panel):
 
 
 def test_swapped_sample(panel, sample_frames):
-    """The panel of the matched persons keeps all their rows and no others."""
-    matched = sample_frames["matched"]
-    swapped = study.swap_sample(panel, matched)
+    """The panel of some of the sample's persons keeps all their rows and no others."""
+    some = sample_frames["sample"].filter("treated = 1")
+    swapped = study.swap_sample(panel, some)
     assert sorted(swapped.columns) == sorted(panel.columns)
-    expected = panel.join(matched.select("person_id"), "person_id", "left_semi")
+    expected = panel.join(some.select("person_id"), "person_id", "left_semi")
     assert swapped.count() == expected.count() > 0
-    assert swapped.select("person_id").distinct().count() == matched.count()
+    assert swapped.select("person_id").distinct().count() == some.count()
