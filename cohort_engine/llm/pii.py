@@ -20,6 +20,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 ANCHOR = re.compile(r"[0-9@]")
+LIKELY = r"@|\+[0-9]|[0-9]([ .-]?[0-9]){6}"  # documents that a pattern may match in, about
+
+SPLIT = re.compile(r"[0-9]+[\x20().-]+[0-9][\x20().0-9-]*[0-9]")  # digits in groups
 
 WINDOW, STEP = 96, 48  # characters of a window, and from one to the next
 TRAIN_DOCS = 1_500  # documents that training windows are taken from, at most
@@ -280,24 +283,35 @@ def varied(windows: np.ndarray, tags: np.ndarray, seed: int = 11) -> tuple[np.nd
     return np.concatenate([windows, windows_2]), np.concatenate([tags, tags_2])
 
 
+def unclear(window: np.ndarray, tags: np.ndarray) -> bool:
+    """Whether a window holds digits in groups that may be a phone number in a form without a
+    pattern. To train on it would teach that such forms are none."""
+    rest = np.where(tags > 0, ord("x"), window).astype(np.uint8).tobytes().decode("latin-1")
+    return any(7 <= sum(c.isdigit() for c in m[0]) <= 15 for m in SPLIT.finditer(rest))
+
+
 def train(docs: DataFrame) -> Tagger | None:
-    """Fit on windows of about TRAIN_DOCS documents (of `keyed`) that hold a digit or an @, chosen by a
-    hash; labels are the patterns' spans. At most TRAIN_WINDOWS windows a kind, and as many without
-    a span, come to the driver, as codes. None if there are no such windows."""
+    """Fit on windows of about TRAIN_DOCS documents (of `keyed`) that hold a digit or an @, and of as many
+    of those that a pattern may match in (else most windows hold no span), chosen by a hash; labels are
+    the patterns' spans, unclear windows are left out. At most TRAIN_WINDOWS windows a kind, and as many
+    without a span, come to the driver, as codes. None if there are no such windows."""
     marked = docs.filter(F.col("text").rlike(ANCHOR.pattern))
-    n = marked.count()
-    share = min((1 << 62) - 1, int((1 << 62) * TRAIN_DOCS / max(n, 1)))
+    sizes = marked.agg(F.count(F.lit(1)), F.count_if(F.col("text").rlike(LIKELY))).first()
+    share, likely_share = (min((1 << 62) - 1, int((1 << 62) * TRAIN_DOCS / max(n, 1))) for n in sizes)
 
     def scan(batch):
         rows = []
         for text in batch.column(3).to_pylist():
             starts = window_starts(text)
             for w, t in zip(cut_windows(text, starts), tagged(text, base_spans(text)[0], starts)):
-                rows.append((hashlib.blake2b(w.tobytes(), digest_size=8).hexdigest(), int(t.max() + 1) // 2, w.tobytes(), t.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary()))],
-                                         ["h", "kind", "codes", "tags"])
-
-    some = marked.filter(F.xxhash64(F.lit("pii"), "k_id", "k_text").bitwiseAND((1 << 62) - 1) <= share)
+                if not unclear(w, t):
+                    rows.append((hashlib.blake2b(w.tobytes(), digest_size=8).hexdigest(), int(t.max() + 1) // 2, w.tobytes(), t.tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary()))],
+                                             ["h", "kind", "codes", "tags"])
+
+    draw = F.xxhash64(F.lit("pii"), "k_id", "k_text").bitwiseAND((1 << 62) - 1)
+    some = marked.filter((draw <= share) | ((draw <= likely_share) & F.col("text").rlike(LIKELY)))
     found = over_texts(some, scan, "h string, kind int, codes binary, tags binary")
     rows = [r for kind in range(len(KINDS) + 1)
             for r in found.filter(F.col("kind") == kind).orderBy("h", "codes").limit(TRAIN_WINDOWS).collect()]
@@ -309,6 +323,8 @@ def train(docs: DataFrame) -> Tagger | None:
 
 def plausible(text: str, kind: int) -> bool:
     digits = sum(c in "0123456789" for c in text)
+    if kind == 2 and not luhn("".join(c for c in text if c in "0123456789")):
+        return False
     return ("@" in text[1:-1] if kind == 0 else text.count(".") == 3 and digits >= 4 if kind == 1
             else 14 <= digits <= 19 if kind == 2 else 7 <= digits <= 15)
 
@@ -318,7 +334,8 @@ def reconcile(text: str, starts: list[int], found: list[list[tuple[int, int, int
 
     A span that touches the edge of a window is joined with the same kind's spans over it from
     the next window. Longer spans go before shorter, then earlier ones; what overlaps a span
-    that went before, a pattern's match, or a match that a check refused, is left out.
+    that went before or a pattern's match is left out, and so is a match that a check of the
+    same kind refused. A run of digits that is no card may still be a phone number.
     """
     pieces = sorted((s + at, k, e + at, s == 0 and at > 0, e == WINDOW and at + e < len(text))
                     for at, spans in zip(starts, found) for s, k, e in spans)
@@ -330,9 +347,9 @@ def reconcile(text: str, starts: list[int], found: list[list[tuple[int, int, int
                 break
         else:
             joined.append([s, k, e, left, right])
-    taken, out = [(s, e) for s, _, e in [*base, *refused]], []
+    taken, wrong, out = [(s, e) for s, _, e in base], set(refused), []
     for s, k, e, left, right in sorted(joined, key=lambda x: (x[0] - x[2], x[0])):
-        if not left and not right and e <= len(text) and plausible(text[s:e], k) and all(e <= a or s >= b for a, b in taken):
+        if not left and not right and e <= len(text) and (s, k, e) not in wrong and plausible(text[s:e], k) and all(e <= a or s >= b for a, b in taken):
             taken.append((s, e))
             out.append((s, k, e))
     return out

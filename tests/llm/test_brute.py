@@ -190,6 +190,28 @@ def test_tagger_on_held_out_windows(spark):
     assert wanted > 30 and right >= 0.85 * found and right >= 0.6 * wanted
 
 
+def test_refusals_veto_their_kind_only():
+    text = "Call (555) 123-4567 or 1234 5678 9012 3456 now"
+    base, refused = pii.base_spans(text)
+    assert base == [] and {k for _, k, _ in refused} == {2}
+    marked = [[(5, 3, 19), (23, 2, 42)]]
+    assert pii.reconcile(text, [0], marked, base, refused) == [(5, 3, 19)]
+
+
+def test_op4_adds_forms_that_no_pattern_finds(spark, tmp_path):
+    docs, draw, planted = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), random.Random(4), {}
+    for i in range(40):
+        phone = f"({draw.randrange(200, 999)}) {draw.randrange(100, 999)}-{draw.randrange(1000, 9999)}"
+        lead = draw.choice(["Call me at ", "You can reach the office on ", "Contact: "])
+        planted[10_000_000 + i] = (lead + phone + " for more, and then some words follow here.", f"phone:{len(lead)}:{len(lead) + len(phone)}")
+    more = spark.createDataFrame([(i, t) for i, (t, _) in planted.items()], "doc_id long, text string")
+    docs.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op4_personal_data"](spark, str(tmp_path)).filter("doc_id >= 10000000").collect()}
+    assert all(r["n_phone"] == 0 for r in got.values())
+    right = sum(got[i]["spans"] == want and got[i]["n_added"] == 1 for i, (_, want) in planted.items())
+    assert right >= 30
+
+
 def test_phrases_share_seeds():
     words = np.random.default_rng(4).integers(0, 1 << 62, 300).astype(np.uint64)
     one, two = np.concatenate([words[:50], words[100:180]]), np.concatenate([words[200:230], words[100:180], words[60:90]])
