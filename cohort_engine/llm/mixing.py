@@ -115,17 +115,22 @@ def stream(docs: DataFrame, **settings) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                    n_chars_col: str = "n_chars", weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
+                    n_chars_col: str = "n_chars", weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", whole: bool = False) -> DataFrame:
     """The mix as rows of `docs`, with their columns: a row for each copy taken.
 
     A copy of which the mix takes a part keeps its first words (joined by one space), and
-    `n_chars_col`, if there is such a column, follows.
+    `n_chars_col`, if there is such a column, follows. With `whole` no text is cut: the copy
+    that a source has under way at its target is taken whole if at least half of its words
+    lie within the target, else left out.
     """
     found = stream(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, seed=seed)
     per = found.groupBy("k_id", "k_text").agg(F.collect_list("words").alias("turns"))
     rows = docs.select(key_id(id_col).alias("k_id"), key_text(id_col, text_col).alias("k_text")).groupBy("k_id", "k_text").agg(
         F.count(F.lit(1)).alias("n_rows"))
     copies = attach(docs, id_col, text_col, per.join(rows, ["k_id", "k_text"])).select("doc", F.explode("turns").alias("words"))
+    if whole:
+        size = word_count("text_whole")
+        return (copies.withColumn("text_whole", F.col("doc").getField(text_col)).filter(2 * F.col("words") >= size).select("doc.*"))
     words = F.array_remove(F.split(F.col("doc").getField(text_col), SPACE), "")
     text = F.when(F.size(words) > F.col("words"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(
         F.col("doc").getField(text_col))

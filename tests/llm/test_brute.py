@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from cohort_engine.llm import language, pii, quality, simhash, substrings, tiling
+from cohort_engine.llm import language, mixing, pii, quality, simhash, substrings, tiling
 from cohort_engine.llm.queries import ORACLES, QUERIES, tokenizer_path
 from compare import differences, duck
 
@@ -256,6 +256,15 @@ def test_pipeline_stages(spark, docs, texts):
     assert {r["doc_id"] for r in left.collect()} == set(label.values())
 
 
+def test_pipeline_mixes_whole_texts(spark, docs, texts):
+    mixed = corpus_pipeline.mixture(spark, docs, FOLDER).collect()
+    assert mixed and all(r["text"] == texts[r["doc_id"]] for r in mixed)
+    per = {r["source"]: r["target"] for r in mixing.shares(docs).select("source", "target").distinct().collect()}
+    for source, target in per.items():
+        sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in mixed if r["source"] == source]
+        assert abs(sum(sizes) - target) <= 0.5 * max(len(t.split()) for t in texts.values()) + 1
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
