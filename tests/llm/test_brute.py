@@ -256,6 +256,30 @@ def test_pipeline_stages(spark, docs, texts):
     assert {r["doc_id"] for r in left.collect()} == set(label.values())
 
 
+def test_pipeline_drops_similar_texts_only(spark):
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    near, far = words.copy(), words.copy()
+    for i in (50, 120, 200, 250):
+        near[i] = "changed"
+    for i in range(4, 300, 12):
+        far[i] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows[:2]]
+    assert (prints[0] ^ prints[1]).bit_count() > 4
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3}
+
+
+def test_nearest_offers_links_within_the_radius():
+    draw = np.random.default_rng(2)
+    center = draw.integers(0, 1 << 63, 150, dtype=np.uint64)
+    moved = center ^ sum((np.uint64(1) << b.astype(np.uint64) for b in draw.permuted(np.tile(np.arange(64), (150, 1)), axis=1)[:, :10].T), np.uint64(0))
+    second = np.tile(center, 2)
+    a, b = simhash.nearest(center, moved, second, 14, 24)
+    assert {(i + 150, i) for i in range(150)} <= set(zip(a.tolist(), b.tolist()))
+
+
 def test_pipeline_mixes_whole_texts(spark, docs, texts):
     mixed = corpus_pipeline.mixture(spark, docs, FOLDER).collect()
     assert mixed and all(r["text"] == texts[r["doc_id"]] for r in mixed)
