@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import language, lines, mixing, pii, quality, simhash, substrings, tiling, tokens, warc
+from . import exact, language, lines, merkle, mixing, periods, pii, quality, simhash, substrings, tiling, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +162,74 @@ BASE32_SQL = """array_to_string(list_transform(range(0, 32), lambda i: substr('A
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The records of archives just written from all pages."""
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents, chosen by id, with their end made periodic."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or not words or h % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words of every document, and what is left when each is cut to its first period."""
+    return periods.digested(periods.periodic_runs(table(spark, folder, "documents"), prepared=repeated_tail))
+
+
+def part_sql(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+# The columns of a leaf, in order.
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def leaf_sql(**changed: str) -> str:
+    return "sha256(" + " || ".join(part_sql(f"CAST({changed.get(c, c)} AS VARCHAR)") for c in LEAF_COLUMNS) + ")"
+
+
+@query(f"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, lang, {leaf_sql()} AS leaf, {leaf_sql(n_chars="(n_chars + 1)")} AS other, list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+               flatten([[CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] for x in string_split(CAST(doc_id AS VARCHAR), '')])),
+               lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))) AS crc FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n,
+                 CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN other ELSE leaf END AS claim FROM d),
+    t AS (SELECT lang, 0 AS lvl, idx, n, leaf AS digest FROM p UNION ALL
+          SELECT lang, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY lang, lvl, idx // 2, n),
+    s AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS m FROM t WHERE n = 1),
+    u AS (SELECT 0 AS lvl, place AS idx, m AS n, subroot AS digest FROM s UNION ALL
+          SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, idx // 2, n),
+    f AS (SELECT doc_id, lang, leaf, 0 AS lvl, idx, n, claim AS digest, '' AS proof FROM p UNION ALL
+          SELECT f.doc_id, f.lang, leaf, f.lvl + 1, f.idx // 2, (f.n + 1) // 2,
+                 sha256(CASE WHEN o.digest IS NULL THEN f.digest WHEN f.idx % 2 = 0 THEN f.digest || o.digest ELSE o.digest || f.digest END),
+                 proof || coalesce(o.digest, '')
+          FROM f LEFT JOIN t o ON f.lang IS NOT DISTINCT FROM o.lang AND f.lvl = o.lvl AND xor(f.idx, 1) = o.idx WHERE f.n > 1),
+    g AS (SELECT doc_id, leaf, subroot, 0 AS lvl, place AS idx, m AS n, digest, proof
+          FROM f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang WHERE f.n = 1 UNION ALL
+          SELECT doc_id, leaf, subroot, g.lvl + 1, g.idx // 2, (g.n + 1) // 2,
+                 sha256(CASE WHEN o.digest IS NULL THEN g.digest WHEN g.idx % 2 = 0 THEN g.digest || o.digest ELSE o.digest || g.digest END),
+                 proof || coalesce(o.digest, '')
+          FROM g LEFT JOIN u o ON g.lvl = o.lvl AND xor(g.idx, 1) = o.idx WHERE g.n > 1)
+    SELECT doc_id, leaf, subroot, u.digest AS root, sha256(proof) AS proof_sha256, g.digest AS folded_root, g.digest = u.digest AS verified
+    FROM g, u WHERE g.n = 1 AND u.n = 1""")
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a copy of it, some changed, is proven."""
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    changed = F.col("n_chars") + hit.cast("int")
+    found = merkle.manifest(table(spark, folder, "documents"), LEAF_COLUMNS, changed={"n_chars": changed})
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("""
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+    FROM d WINDOW w AS (PARTITION BY t)""")
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The row that stays of each document's group of equal texts."""
+    return exact.duplicates(table(spark, folder, "documents")).drop("k_id", "k_text")
