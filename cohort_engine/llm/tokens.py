@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,12 @@ SKIPPABLE, SEEKABLE, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME_BYTES = 1 << 20  # a frame is closed when it holds as much
 CACHE_WORDS = 700_000  # words whose ids a worker keeps
+GROUP = 1 << 20  # bytes of texts whose new words are learned together
+
+PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), 0xC3])  # what UTF-8 has for such texts only
+MARKS = "!-/:-@\\[-`{-~\u00d7\u00f7"
+KINDS = bytes(46 if chr(i) in ".," else 33 if re.match(f"[{MARKS}]", chr(i)) or i in (0x97, 0xB7) else i for i in range(256))
+LETTERS = re.compile(f"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{MARKS}]*)")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -29,23 +37,23 @@ class WordEncoder:
 
     The tokenizer lower-cases, drops white space, and cuts texts into runs of letters, single digits
     and runs of other marks, which it encodes apart. So a text's ids are those of its parts, cut
-    at white space, one after the other, and a part may be cut again where such a run ends. Texts
+    at white space, one after the other, and a part may be cut again where such a run begins. Texts
     of ASCII and Latin letters are lower-cased as a whole and cut before each full stop and comma
-    too, if none stands next to another mark; any other text is cut at ASCII white space. A worker keeps
-    the ids of parts it has met. New runs of letters are encoded together, and their ids told
-    apart by the tokens that end a run; other new parts are encoded one by one.
+    too, if no mark stands before one of them and no special token can be meant; any other text is cut at
+    ASCII white space. A worker keeps the ids of parts it has met. New parts of many texts are
+    learned together: runs of letters in one call, their ids told apart by the tokens that end a
+    run, and all other parts in another.
     """
 
-    ODD = re.compile("[^\t-\r -~\u00c0-\u00ff]")
-    MARKS = r"[!-/:-@\[-`{-~\u00d7\u00f7]"
-    JOINED = re.compile(f"[.,]{MARKS}|{MARKS}[.,]")
-    LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)" f"({MARKS}*)")
     END = "</w>"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = None  # for runs of letters that are in lower case already
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(self.END)]] = True
         self.cache: dict[str | bytes, bytes] = {}
@@ -53,47 +61,70 @@ class WordEncoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, parts: set[str] | set[bytes]) -> None:
+    def learn(self, parts: set[str | bytes]) -> None:
         split = {}  # parts of a text cut at white space that are letters with marks behind
         for p in parts:
-            if isinstance(p, bytes) and (m := self.LETTERS.fullmatch(p.decode())):
+            if isinstance(p, bytes) and (m := LETTERS.fullmatch(p.decode())):
                 split[p] = m[1].lower(), m[2]
         runs = [p for p in parts if isinstance(p, str) and p.isalpha()]
-        runs += {run for run, _ in split.values()}.difference(self.cache)
+        runs += {run for run, _ in split.values()}.difference(self.cache, runs)
         if runs:
-            ids = self.ids(" ".join(runs))
+            ids = np.array(self.letters.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) != len(runs) or cuts[-1] != 4 * len(ids):
                 raise ValueError("the tokenizer does not encode words apart from each other")
-            flat, start = ids.tobytes(), 0
-            for run, cut in zip(runs, cuts):
-                self.cache[run] = flat[start:cut]
-                start = cut
+            flat = ids.tobytes()
+            self.cache.update(zip(runs, map(flat.__getitem__, map(slice, [0, *cuts], cuts))))
+        rest = [*{p for p in parts if p not in split}.union(marks for _, marks in split.values()).difference(self.cache)]
+        for p, found in zip(rest, self.tokenizer.encode_batch_fast([p if isinstance(p, str) else p.decode() for p in rest], add_special_tokens=False)):
+            self.cache[p] = np.array(found.ids, np.uint32).tobytes()
         for p, (run, marks) in split.items():
-            if marks not in self.cache:
-                self.cache[marks] = self.ids(marks).tobytes()
             self.cache[p] = self.cache[run] + self.cache[marks]
-        for p in parts.difference(self.cache):
-            self.cache[p] = self.ids(p if isinstance(p, str) else p.decode()).tobytes()
 
     def parts(self, text: bytes) -> list[str] | list[bytes]:
-        whole = text.decode()
-        if self.ODD.search(whole) or self.JOINED.search(whole):
+        if text.translate(None, PLAIN) or b"<|" in text or b"!." in (kinds := text.translate(KINDS)) or b".." in kinds:
             return text.split()
-        return whole.lower().replace(".", " .").replace(",", " ,").split()
+        return text.decode().lower().replace(".", " .").replace(",", " ,").split()
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        done, new = [], set()
+        for text in texts:
+            for i, piece in enumerate(pieces(text)):
+                parts = self.parts(piece)
+                got = list(map(self.cache.get, parts))
+                unknown = [k for k, ids in enumerate(got) if ids is None]
+                new.update(map(parts.__getitem__, unknown))
+                done.append((i, parts, got, unknown))
+        self.learn(new)
+        out = []
+        for i, parts, got, unknown in done:
+            for k in unknown:
+                got[k] = self.cache[parts[k]]
+            ids = b"".join(got)
+            if i:
+                out[-1] += ids
+            else:
+                out.append(ids)
+        return out
 
     def encode(self, text: bytes) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        out = []
-        for parts in map(self.parts, pieces(text)):
-            got = list(map(self.cache.get, parts))
-            if None in got:
-                if len(self.cache) > CACHE_WORDS:
-                    self.cache.clear()
-                self.learn(set(parts).difference(self.cache))
-                got = map(self.cache.__getitem__, parts)
-            out.append(b"".join(got))
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+
+def grouped(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Texts in lists of at least GROUP bytes but for the last."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= GROUP:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def encoder(path: str) -> WordEncoder:
@@ -172,11 +203,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
         words, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for t in raw(batch.column("text")):
+            for ids in chain.from_iterable(map(words.encode_all, grouped(raw(batch.column("text"))))):
                 if writer is None:
                     system.create_dir(f"{base}/_attempts")
                     writer = FrameWriter(system.open_output_stream(attempt))
-                ids = words.encode(t) + end
+                ids = ids + end
                 frame, place = writer.add(ids)
                 rows.append((part, frame, place // 4, len(ids) // 4, before))
                 before += len(ids) // 4
