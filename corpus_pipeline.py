@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with a 5-word Jaccard similarity of 0.8 or more stays."""
-    return simhash.first_of_similar(docs)
+    """One document of each group that operator 1 links, by its shingle length and bit distance, stays."""
+    return simhash.first_of_each(docs, shingle=4, bits=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
