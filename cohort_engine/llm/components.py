@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import keys
 from .common import checkpoint
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Link every neighbour that is larger (large star), or not larger (small star), to
-    the least node of its neighbourhood. The least is an aggregate with a map-side step
-    and is joined back, so a node with very many neighbours is split over tasks."""
+    the least node of its neighbourhood. The least is an aggregate with a map-side step and is
+    joined back by `keys.attach`, which lets adaptive execution split a node with very many neighbours."""
     if large:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = keys.attach(both.filter("b > a"), least, "a", "inner", null_safe=False).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = (down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = (keys.attach(down, least, "a", "inner", null_safe=False).select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))))
     return moved.filter("a <> b").distinct()
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import keys
 from .common import NULL_ID, ODD, ODD_2, keyed, mixed, over_texts, raw, signed, spread, stored
 
 
@@ -47,13 +48,14 @@ def later_windows(docs: DataFrame, size: int) -> DataFrame:
     """`k_id`, `k_text`, `places`: of each text, the windows that occurred before.
 
     Occurrences are ordered by id (null last), text key and place. The least one per
-    window is an aggregate with a map-side step; it is joined back to the windows.
+    window is an aggregate with a map-side step; it is joined back to the windows, and the rows
+    of a common window can be split there.
     """
     place = F.struct((F.col("k_id") == F.lit(NULL_ID)).alias("n"), "k_id", "k_text", "pos")
     found = stored(windows(docs, size), "windows")
     first = (found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .filter("first <> last").select("h1", "h2", "first"))
-    later = found.join(first, ["h1", "h2"]).filter(place != F.col("first"))
+    later = keys.attach(found, first, ["h1", "h2"], "inner", null_safe=False).filter(place != F.col("first"))
     return later.groupBy("k_id", "k_text").agg(F.collect_set("pos").alias("places"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from itertools import repeat
 
 import numpy as np
@@ -11,11 +10,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import attach, checkpoint, keyed, mixed, over_texts, pieces, raw, signed
+from ..operators import keys
+from .common import attach, checkpoint, keyed, over_texts, pieces, raw, signed
 from .components import components
 
 SEED = 42
 HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
+WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 LANES = (np.arange(8) * 256).astype(np.int64)
 
@@ -77,45 +78,49 @@ def cut(points: np.ndarray, mask: np.uint64):
 
 
 def plant(sample: np.ndarray, mask: np.uint64, leaf: int) -> list[tuple]:
-    """A vantage-point tree over `sample` as a list of nodes: (vantage, radius, inner,
-    outer), or (None, shard, 0, 0) for a leaf of at most `leaf` sampled points."""
+    """A vantage-point tree over `sample` as a list of nodes: (vantage, radius, inner, outer, mask),
+    or (None, shard, 0, 0, mask) for a leaf of at most `leaf` sampled points.
+
+    Points that no radius halves by the bits of `mask` are equal there; all their bits tell them apart.
+    """
     nodes, shards, todo = [None], 0, [(0, np.unique(sample))]
     while todo:
         at, points = todo.pop()
-        split = cut(points, mask) if len(points) > leaf else None
-        if split is None:
-            nodes[at] = (None, shards, 0, 0)
+        if len(points) <= leaf:
+            nodes[at] = (None, shards, 0, 0, mask)
             shards += 1
             continue
-        near = distance(points, split[0], mask) <= split[1]
-        nodes[at] = (split[0], split[1], len(nodes), len(nodes) + 1)
+        split, by = cut(points, mask), mask
+        if split is None:
+            split, by = cut(points, WHOLE), WHOLE
+        near = distance(points, split[0], by) <= split[1]
+        nodes[at] = (split[0], split[1], len(nodes), len(nodes) + 1, by)
         nodes += [None, None]
         todo += [(len(nodes) - 2, points[near]), (len(nodes) - 1, points[~near])]
     return nodes
 
 
-def route(nodes: list[tuple], points: np.ndarray, mask: np.uint64, reach: int, first_guest: int | None = None):
+def route(nodes: list[tuple], points: np.ndarray, reach: int, bits: int):
     """Yield (shard, indices at home there, indices visiting).
 
     A point lives where its distances lead. It also visits a shard if, by the triangle
-    inequality, a point within `reach` may live there. Of two shards that overlap, only
-    the points of the outer one visit, so that each pair meets once. Points from `first_guest`
-    on have no home and only visit.
+    inequality, a point within `reach` by the tree's bits and `bits` by all may live there. Of two
+    shards that overlap, only the points of the outer one visit, so that each pair meets once.
     """
-    n_home = len(points) if first_guest is None else first_guest
-    todo = [(0, np.arange(n_home), np.arange(n_home, len(points)))]
+    todo = [(0, np.arange(len(points)), np.arange(0))]
     while todo:
         at, home, guest = todo.pop()
         if not len(home) and not len(guest):
             continue
-        vantage, radius, inner, outer = nodes[at]
+        vantage, radius, inner, outer, mask = nodes[at]
         if vantage is None:
             yield radius, home, guest
             continue
+        allow = bits if mask == WHOLE else reach
         dh, dg = distance(points[home], vantage, mask), distance(points[guest], vantage, mask)
         todo.append((inner, home[dh <= radius],
-                     np.concatenate([guest[dg <= radius + reach], home[(dh > radius) & (dh <= radius + reach)]])))
-        todo.append((outer, home[dh > radius], guest[dg > radius - reach]))
+                     np.concatenate([guest[dg <= radius + allow], home[(dh > radius) & (dh <= radius + allow)]])))
+        todo.append((outer, home[dh > radius], guest[dg > radius - allow]))
 
 
 class Forest:
@@ -147,7 +152,7 @@ def link_shard(home: np.ndarray, guest: np.ndarray, mask: np.uint64, reach: int,
     each the least index that its links lead to. A tree over the shard's own points
     prunes branches by the same bounds; what is left is compared bit by bit."""
     points, forest = np.concatenate([home, guest]), Forest(len(home) + len(guest))
-    todo, whole = [(np.arange(len(home)), np.arange(len(points)))], np.uint64(0xFFFFFFFFFFFFFFFF)
+    todo = [(np.arange(len(home)), np.arange(len(points)))]
     while todo:
         here, ask = todo.pop()
         if not len(here) or not len(ask):
@@ -156,7 +161,7 @@ def link_shard(home: np.ndarray, guest: np.ndarray, mask: np.uint64, reach: int,
         if len(here) > leaf:
             split = cut(points[here], mask)
             if split is None:  # equal halves: the whole fingerprints still differ
-                split, within, allow = cut(points[here], whole), whole, bits
+                split, within, allow = cut(points[here], WHOLE), WHOLE, bits
         if split is None:
             for i in range(0, len(ask), 1 << 14):
                 block = ask[i:i + (1 << 14)]
@@ -196,9 +201,9 @@ def links(distinct: DataFrame, bits: int = 4, shard_rows: int = 20_000, leaf_sam
 
     def deal(batch):
         points = batch.column(0).to_numpy().view(np.uint64)
-        for t, (mask, nodes) in enumerate(zip(HALVES, trees)):
+        for t, nodes in enumerate(trees):
             shard, point, guest = [], [], []
-            for s, home, visits in route(nodes, points, mask, reach):
+            for s, home, visits in route(nodes, points, reach, bits):
                 n_rows = len(home) + len(visits)
                 shard.append(np.full(n_rows, 2 * s + t))
                 point.append(points[np.concatenate([home, visits])])
@@ -227,7 +232,9 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int
     named = (distinct.join(labels, distinct["fp"] == labels["node"], "left")
              .select("fp", "least", F.coalesce("label", "fp").alias("label")))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return fps.join(named.join(least, "label").select("fp", "label", "component_id"), "fp")
+    # A component may hold a third of the fingerprints: `keys.attach` lets adaptive execution split it.
+    named = keys.attach(named, least, "label", "inner", null_safe=False).select("fp", "label", "component_id")
+    return keys.attach(fps, named, "fp", "inner", null_safe=False)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
@@ -248,173 +255,14 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   bits: int = 4, shard_rows: int = 20_000) -> DataFrame:
     """The rows of `docs`, with their columns, that stay when one of each component does.
 
-    It is the row of the least id (nulls last); of several rows with that id, the one whose
-    text has the least hash; of equal rows, one.
+    Components are those of `near_duplicates`, so texts without a word (null, empty, blank) are one.
+    The row of the least id stays (nulls last); of several rows with that id, the one whose text
+    has the least hash; of equal rows, one. An empty table stays empty.
     """
-    return _firsts(docs, id_col, text_col, grouped(docs, id_col, text_col, shingle, bits, shard_rows))
-
-
-def _firsts(docs: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
-    """The rows of `docs` that are the first of each `label` in `found`."""
+    found = grouped(docs, id_col, text_col, shingle, bits, shard_rows)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "k_id", "k_text")
     stay = (found.groupBy("label").agg(F.min(order).alias("o"))
             .select(F.col("o.k_id").alias("k_id"), F.col("o.k_text").alias("k_text")))
     copies = found.groupBy("k_id", "k_text").agg(F.count(F.lit(1)).alias("n_rows"))
     stay = stay.join(copies, ["k_id", "k_text"])
     return attach(docs, id_col, text_col, stay).select("doc.*")
-
-
-WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
-BAND = math.log(1.2501)  # sets whose sizes are within 4 to 5 are in one band of log sizes or in two next to each other
-NEAREST = 4  # links that a fingerprint offers for checking, at most, besides one to the least that it reaches
-
-
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """Hashes of the distinct shingles of a text in order; of all its words if they are fewer."""
-    parts, rest = [], []
-    for piece in pieces(text):
-        words = rest + piece.lower().split()
-        n = len(words) - shingle + 1
-        if n > 0:
-            grams = map(b" ".join, zip(*(words[j:n + j] for j in range(shingle))))
-            parts.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)))
-        rest = words[max(n, 0):]
-    if not parts:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(rest), SEED)] if rest else [], np.uint64)
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-
-
-def set_print(hashes: np.ndarray) -> int:
-    bits = (_lanes(hashes) @ BITS).ravel() * 2 > len(hashes)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
-
-
-def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """`k_id`, `k_text`, `doc_id`, `node` (hash of the shingle set), `fp` and `fp_2` (SimHashes of the
-    set by two hash functions), `band` (of its size) for every row of `docs`."""
-    def scan(batch):
-        sets = [shingle_set(t, shingle) for t in raw(batch.column(3))]
-        node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
-        fp, fp_2 = (np.fromiter(map(set_print, some), np.uint64, len(sets)) for some in (sets, map(mixed, sets)))
-        band = pa.array([int(math.log(max(1, len(s))) / BAND) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], signed(node), signed(fp), signed(fp_2), band],
-                                         ["k_id", "k_text", "doc_id", "node", "fp", "fp_2", "band"])
-
-    return over_texts(keyed(docs, id_col, text_col), scan, "k_id long, k_text long, doc_id long, node long, fp long, fp_2 long, band long")
-
-
-def nearest(home: np.ndarray, guest: np.ndarray, second: np.ndarray, bits: int, bits_2: int, leaf: int = 64):
-    """Links (indices of points, home first, then guest) to check in a shard: for each point, to
-    the NEAREST of the home points within `bits` (and `bits_2` by `second`) and to the least
-    index that its links lead to. The same search as in `link_shard`, by the whole fingerprint."""
-    points, forest = np.concatenate([home, guest]), Forest(len(home) + len(guest))
-    best = np.full((len(points), NEAREST), 1 << 62, np.int64)  # distance and index
-    todo = [(np.arange(len(home)), np.arange(len(points)))]
-    while todo:
-        here, ask = todo.pop()
-        if not len(here) or not len(ask):
-            continue
-        split = cut(points[here], WHOLE) if len(here) > leaf else None
-        if split is not None:
-            dh, dq = distance(points[here], split[0], WHOLE), distance(points[ask], split[0], WHOLE)
-            todo.append((here[dh <= split[1]], ask[dq <= split[1] + bits]))
-            todo.append((here[dh > split[1]], ask[dq > split[1] - bits]))
-            continue
-        for i in range(0, len(ask), 1 << 14):
-            block = ask[i:i + (1 << 14)]
-            for j in range(0, len(here), leaf):
-                some = here[j:j + leaf]
-                q, h = np.nonzero(np.bitwise_count(points[block][:, None] ^ points[some][None, :]) <= bits)
-                q, h = block[q], some[h]
-                ok = (q != h) & (np.bitwise_count(second[q] ^ second[h]) <= bits_2)
-                q, h = q[ok], h[ok]
-                if not len(q):
-                    continue
-                forest.join(q, h)
-                value = (distance(points[q], points[h], WHOLE).astype(np.int64) << 40) + h
-                order = np.lexsort((value, q))
-                q, value = q[order], value[order]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                q, value, rank = q[rank < NEAREST], value[rank < NEAREST], rank[rank < NEAREST]
-                rows, at = np.unique(q, return_inverse=True)
-                more = np.full((len(rows), NEAREST), 1 << 62, np.int64)
-                more[at, rank] = value
-                best[rows] = np.sort(np.concatenate([best[rows], more], axis=1), axis=1)[:, :NEAREST]
-    root = forest.find(np.arange(len(points)))
-    linked = np.flatnonzero(root != np.arange(len(points)))
-    a, k = np.nonzero(best < 1 << 62)
-    return np.concatenate([linked, a]), np.concatenate([root[linked], best[a, k] & ((1 << 40) - 1)])
-
-
-def candidates(points: DataFrame, bits: int, bits_2: int, shard_rows: int, leaf_sample: int = 16, max_sample: int = 1 << 22) -> DataFrame:
-    """Links `a`, `b` of nodes to check, for `points` (`band`, `fp`, `fp_2`, `node`).
-
-    Points are dealt by the band of their size and, in each band, by a vantage-point tree as in
-    `links`; they also visit the band below, so that sets of similar size meet once. At these
-    distances a half of the bits prunes nothing, so the trees are over all of them.
-    """
-    n = points.count()
-    wanted = min(max_sample, max(64, n * leaf_sample // shard_rows))
-    share = min((1 << 62) - 1, int((1 << 62) * wanted / max(n, 1)))
-    picked, trees = {}, {}
-    for r in points.filter(F.xxhash64("fp").bitwiseAND((1 << 62) - 1) <= share).select("band", "fp").collect():
-        picked.setdefault(r["band"], []).append(r["fp"])
-    for band, some in picked.items():
-        trees[band] = plant(np.sort(np.array(some, np.int64)).view(np.uint64), WHOLE, leaf_sample)
-
-    def deal(batch):
-        band, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        for b in np.unique(np.concatenate([band, band - 1])).tolist():
-            own, above = np.flatnonzero(band == b), np.flatnonzero(band == b + 1)
-            at = np.concatenate([own, above])
-            for s, home, visits in route(trees.get(b, [(None, 0, 0, 0)]), fp[at], WHOLE, bits, len(own)):
-                rows = batch.take(pa.array(at[np.concatenate([home, visits])]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), b), pa.int64()), pa.array(np.full(len(rows), s), pa.int64()), *rows.columns[1:],
-                     pa.array(np.repeat([False, True], [len(home), len(visits)]))], ["band", "shard", "fp", "fp_2", "node", "guest"])
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["guest", "node"])
-        n_home, fp = int((~rows["guest"]).sum()), rows["fp"].to_numpy().view(np.uint64)
-        a, b = nearest(fp[:n_home], fp[n_home:], rows["fp_2"].to_numpy().view(np.uint64), bits, bits_2)
-        node = rows["node"].to_numpy()
-        return pd.DataFrame({"a": node[a], "b": node[b]})
-
-    dealt = over_texts(points.select("band", "fp", "fp_2", "node"), deal, "band long, shard long, fp long, fp_2 long, node long, guest boolean")
-    return dealt.groupBy("band", "shard").applyInPandas(search, "a long, b long")
-
-
-def checked(docs: DataFrame, id_col: str, text_col: str, found: DataFrame, links: DataFrame, shingle: int) -> DataFrame:
-    """The `links` of nodes whose shingle sets have an exact Jaccard similarity of 4/5 or more."""
-    def scan(batch):
-        sets = [shingle_set(t, shingle).view(np.int64) for t in raw(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
-
-    asked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    first = found.groupBy("node").agg(F.min(F.struct("k_id", "k_text")).alias("k")).join(asked, "node").select("node", "k.k_id", "k.k_text")
-    texts = keyed(docs, id_col, text_col).join(first, ["k_id", "k_text"]).select("node", "text").dropDuplicates(["node"])
-    sets = checkpoint(over_texts(texts, scan, "node long, s array<long>"))
-    both = (links.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-            .withColumn("common", F.size(F.array_intersect("x", "y"))))
-    return both.filter(9 * F.col("common") >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-
-
-def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 14,
-                     bits_2: int = 24, shard_rows: int = 20_000) -> DataFrame:
-    """The rows of `docs`, with their columns, that stay when one of each group of similar texts does.
-
-    Texts are linked if the sets of their shingles have a Jaccard similarity of 0.8 or more, which
-    is computed exactly for links that SimHashes of the sets within `bits` (and `bits_2` by a
-    second hash function) propose; texts of equal sets are one. Which row stays is as in
-    `first_of_each`. Texts without a word are equal.
-    """
-    found = checkpoint(described(docs, id_col, text_col, shingle))
-    nodes = checkpoint(found.groupBy("band", "fp", "node").agg(F.min("fp_2").alias("fp_2")))
-    points = checkpoint(nodes.groupBy("band", "fp").agg(F.min(F.struct("node", "fp_2")).alias("p")).select("band", "fp", "p.fp_2", "p.node"))
-    same = nodes.select("band", "fp", F.col("node").alias("a")).join(points.select("band", "fp", F.col("node").alias("b")), ["band", "fp"]).select("a", "b")
-    proposed = candidates(points, bits, bits_2, shard_rows).union(same).filter("a <> b")
-    links = checkpoint(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = components(checked(docs, id_col, text_col, found, links, shingle))
-    found = found.join(labels, found["node"] == labels["node"], "left").select("k_id", "k_text", "doc_id", F.coalesce("label", found["node"]).alias("label"))
-    return _firsts(docs, id_col, text_col, found)

@@ -87,9 +87,9 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     copied = entry.filter("n > 1").select("seed", "phrase")
     # A common passage gives very many rows of one key: `members` lets adaptive execution split them.
     whole = members(phrase, copied, ["seed", "phrase"]).select("k_id", "k_text", "at")
-    # A seed with different phrases around it: their windows may still agree in part.
+    # A seed with different phrases around it: their windows may still agree in part. A common seed can be split too.
     differs = entry.groupBy("seed").agg(F.count(F.lit(1)).alias("n_phrases")).filter("n_phrases > 1").select("seed")
-    unsure = entry.join(differs, "seed").select("k_id", "k_text", "at")
+    unsure = members(entry, differs, "seed", null_safe=False).select("k_id", "k_text", "at")
     windows = stored(boundary_windows(docs, unsure, window), "windows")
     again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
     part = members(windows, again, ["h1", "h2"]).select("k_id", "k_text", F.shiftleft("start", SHIFT).alias("at"))

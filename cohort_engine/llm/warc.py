@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import keys
 from .common import opened, over_texts, scratch, ship, stored
 
 CHUNK = 1 << 18  # bytes of payload in a row
@@ -58,12 +59,13 @@ def kinds(table: DataFrame, min_bytes: int = 0) -> DataFrame:
     """`record`, `total`, `sha1`, `refers_to` (null for a response), `response` per record.
 
     Of payloads with equal digest and length, of `min_bytes` or more, the least page id (null
-    last) is the response. The least is an aggregate, joined back.
+    last) is the response. The least is an aggregate, joined back so that a common payload can be split.
     """
     records = table.filter("last").select("record", "page_id", F.col("size").alias("total"), F.col("digest").alias("sha1"))
     order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("id"))
     least = records.filter(F.col("total") >= min_bytes).groupBy("sha1", "total").agg(F.min(order)["id"].alias("least"), F.count(F.lit(1)).alias("n"))
-    joined = records.join(least.filter("n > 1").select("sha1", "total", "least", F.lit(True).alias("shared")), ["sha1", "total"], "left")
+    least = least.filter("n > 1").select("sha1", "total", "least", F.lit(True).alias("shared"))
+    joined = keys.attach(records, least, ["sha1", "total"], null_safe=False)
     response = F.col("shared").isNull() | F.col("page_id").eqNullSafe(F.col("least"))
     return joined.select("record", "total", "sha1", response.alias("response"), F.when(~response, F.col("least")).alias("refers_to"))
 

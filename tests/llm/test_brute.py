@@ -56,18 +56,36 @@ def test_components(spark, docs, texts):
     assert {tuple(r) for r in simhash.near_duplicates(docs, shard_rows=10).collect()} == want
 
 
+def near_pairs(points):
+    return {(a, b) for a in points.tolist() for b in points.tolist() if a < b and (a ^ b).bit_count() <= 4}
+
+
+def shard_pairs(points, leaf):
+    """Pairs that meet in a shard and the sizes of all shards."""
+    found, sizes = set(), []
+    for mask in simhash.HALVES:
+        for _, home, guest in simhash.route(simhash.plant(points, mask, leaf), points, 2, 4):
+            h, g = points[home].tolist(), points[np.concatenate([home, guest])].tolist()
+            found |= {(min(a, b), max(a, b)) for a in h for b in g if a != b and (a ^ b).bit_count() <= 4}
+            sizes.append(len(home))
+    return found, sizes
+
+
 def test_shards_lose_no_link():
     draw = np.random.default_rng(1)
     centers = draw.integers(0, 1 << 63, 60, dtype=np.uint64)
     points = np.unique(np.concatenate([centers ^ (np.uint64(1) << draw.integers(0, 64, 60).astype(np.uint64)) for _ in range(40)] + [centers]))
-    near = {(a, b) for a in points.tolist() for b in points.tolist() if a < b and (a ^ b).bit_count() <= 4}
-    found = set()
-    for mask in simhash.HALVES:
-        nodes = simhash.plant(points, mask, 8)
-        for _, home, guest in simhash.route(nodes, points, mask, 2):
-            h, g = points[home].tolist(), points[np.concatenate([home, guest])].tolist()
-            found |= {(min(a, b), max(a, b)) for a in h for b in g if a != b and (a ^ b).bit_count() <= 4}
-    assert found == near and len(near) > 1000
+    near = near_pairs(points)
+    assert shard_pairs(points, 8)[0] == near and len(near) > 1000
+
+
+def test_equal_halves_are_split():
+    """Fingerprints that share one half, where no radius by that half splits them."""
+    draw = np.random.default_rng(6)
+    low = draw.choice(1 << 12, 800, replace=False).astype(np.uint64)
+    for points in (low, low << np.uint64(32)):
+        found, sizes = shard_pairs(points, 8)
+        assert found == near_pairs(points) and max(sizes) <= 8
 
 
 def test_tiles():
@@ -256,30 +274,6 @@ def test_pipeline_stages(spark, docs, texts):
     assert {r["doc_id"] for r in left.collect()} == set(label.values())
 
 
-def test_pipeline_drops_similar_texts_only(spark):
-    draw = random.Random(8)
-    words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
-    near, far = words.copy(), words.copy()
-    for i in (50, 120, 200, 250):
-        near[i] = "changed"
-    for i in range(4, 300, 12):
-        far[i] = "changed"
-    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
-    prints = [simhash.fingerprint(t.encode()) for _, t in rows[:2]]
-    assert (prints[0] ^ prints[1]).bit_count() > 4
-    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
-    assert {r["doc_id"] for r in kept.collect()} == {1, 3}
-
-
-def test_nearest_offers_links_within_the_radius():
-    draw = np.random.default_rng(2)
-    center = draw.integers(0, 1 << 63, 150, dtype=np.uint64)
-    moved = center ^ sum((np.uint64(1) << b.astype(np.uint64) for b in draw.permuted(np.tile(np.arange(64), (150, 1)), axis=1)[:, :10].T), np.uint64(0))
-    second = np.tile(center, 2)
-    a, b = simhash.nearest(center, moved, second, 14, 24)
-    assert {(i + 150, i) for i in range(150)} <= set(zip(a.tolist(), b.tolist()))
-
-
 def test_pipeline_mixes_whole_texts(spark, docs, texts):
     mixed = corpus_pipeline.mixture(spark, docs, FOLDER).collect()
     assert mixed and all(r["text"] == texts[r["doc_id"]] for r in mixed)
