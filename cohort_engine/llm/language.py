@@ -11,12 +11,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.keys import attach
+from ..operators.windows import first_k
 from .common import keyed, over_texts, raw
 
 DIMS = 1 << 13  # buckets of the hashed n-grams
 PER_LANG = 400  # rows a language that the classifiers are fitted on, at most
-MAX_ROWS = 4_000  # rows of all languages that they are fitted on, at most
-MAX_LANGS = 1_000  # languages told apart; more is an error
+MAX_ROWS = 4_000  # rows of all languages that they are fitted on, at most, but one a language at least
 LONG = 1 << 21  # bytes of a text whose n-grams are counted at once
 LETTER = regex.compile(r"\p{L}")
 NOT_WORD = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -66,7 +67,8 @@ class Model:
 
     def __init__(self, langs: list[str], x: np.ndarray, label: np.ndarray, rounds: int = 300, rate: float = 8.0, decay: float = 1e-5):
         self.langs, self.code = langs, codebook(len(langs))
-        y = self.code[label]
+        used, dims = np.flatnonzero(x.any(0)), x.shape[1]
+        x, y = x[:, used], self.code[label]  # a bucket that no row has keeps weight zero
         share = np.bincount(label, minlength=len(langs))
         weight = (1 / (len(langs) * share[label]))[:, None].astype(np.float32)
         self.w, self.b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
@@ -74,6 +76,8 @@ class Model:
             slope = -y / (1 + np.exp(np.clip(y * (x @ self.w + self.b), -30, 30))) * weight
             self.w -= rate * (x.T @ slope + decay * self.w)
             self.b -= rate * slope.sum(0)
+        whole = np.zeros((dims, y.shape[1]), np.float32)
+        whole[used], self.w = self.w, whole
 
     def decode(self, x: np.ndarray):
         """(best language, its probability, margin to the second best) for each row of features.
@@ -82,7 +86,8 @@ class Model:
         nearest codeword, and losses give the probabilities.
         """
         margin = x @ self.w + self.b
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]).sum(2) / max(1, self.code.shape[1] / 4)
+        loss = np.logaddexp(0, -margin) @ (self.code > 0).T + np.logaddexp(0, margin) @ (self.code < 0).T
+        loss /= max(1, self.code.shape[1] / 4)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         order = np.sort(p, axis=1)
@@ -90,34 +95,34 @@ class Model:
         return p.argmax(1), order[:, -1], order[:, -1] - second
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model | None:
-    """Fit on at most about `per_lang` rows of each language, chosen by a hash of id; None without any.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG,
+          max_rows: int = MAX_ROWS, rounds: int = 300) -> Model | None:
+    """Fit on `per_lang` rows of each language, fewer where that would be more than `max_rows` in
+    all, but one at least; None without any.
 
-    Counting languages covers all rows; features are made in tasks, so no text leaves them.
+    Rows are those of the least hashes of id and text in their language, so every language that
+    has a row is learned. Choosing covers all rows, with the hashes only; features are made in tasks, so
+    no text leaves them. Rows equal in id and text are one.
     """
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
-                           F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not sizes:
+    labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
+                           F.xxhash64(F.lit("train"), F.col(id_col), F.col(text_col).cast("string")).alias("h")).filter("lang is not null")
+    n = labelled.select("lang").distinct().count()
+    if not n:
         return None
-    langs, per_lang = sorted(sizes), min(per_lang, max(1, MAX_ROWS // len(sizes)))
-    below = F.create_map(*(F.lit(v) for lang in langs for v in (lang, min((1 << 62) - 1, int((1 << 62) * per_lang / sizes[lang])))))
-    chosen = labelled.filter(F.xxhash64(F.lit("train"), "id").bitwiseAND((1 << 62) - 1) <= F.element_at(below, F.col("lang")))
+    wanted = max(1, min(per_lang, max_rows // n))
+    least = first_k(labelled.select("lang", "h"), "lang", ["h"], wanted).groupBy("lang").agg(F.max("h").alias("most"))
+    chosen = attach(labelled, least, "lang", "inner", null_safe=False).filter("h <= most").dropDuplicates(["lang", "h"])
 
     def scan(batch):
         rows = [features(t).astype(np.float16).tobytes() for t in raw(batch.column(0))]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["x", "lang"])
 
     rows = over_texts(chosen.select("text", "lang"), scan, "x binary, lang string").collect()
-    if not rows:
-        return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     langs = sorted({r["lang"] for r in rows})
     place = {lang: i for i, lang in enumerate(langs)}
     x = np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in rows])
-    return Model(langs, x, np.array([place[r["lang"]] for r in rows]))
+    return Model(langs, x, np.array([place[r["lang"]] for r in rows]), rounds)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", doubt: float = 0.2) -> DataFrame:
@@ -148,7 +153,11 @@ def held_out(id_col: str):
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> DataFrame:
     """`doc_id`, `held_out`, `lang_pred`, `score`, `ambiguous`: `predict` for every row by a model
-    fitted on rows that are not held out and have a language. A null id is not held out."""
+    fitted on rows that are not held out and have a language (texts that are null or empty too).
+
+    A null id is not held out. Of languages of equal loss the first in order is taken. Repeated rows get
+    equal answers, whole texts are counted whatever their length, other columns are not
+    read, and an empty table gives no rows."""
     model = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, per_lang)
     return predict(docs, model, id_col, text_col).withColumn("held_out", held_out("doc_id")).select(
         "doc_id", "held_out", "lang_pred", "score", "ambiguous")

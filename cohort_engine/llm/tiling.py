@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import NULL_ID, gram_hashes, key_id, key_text, keyed, over_texts, ship, signed, spread, word_hashes
@@ -14,18 +15,31 @@ BITMAP_BITS = 25  # 4 MB, whatever the size of the benchmark
 TABLE = bytes(x if x > 127 or chr(x).isalnum() else 32 for x in range(256))
 
 
+BELOW_CJK = bytes(range(0xE0))  # bytes of UTF-8 that characters of up to two bytes have
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
+
+
 def normal(text: str | None) -> bytes:
-    """Lower case, ASCII punctuation as white space."""
-    return (text or "").lower().encode().translate(TABLE)
+    """Lower case, ASCII punctuation as white space; in scripts that are written without spaces
+    each character is a word."""
+    out = (text or "").lower().encode().translate(TABLE)
+    if out.translate(None, BELOW_CJK):
+        out = UNSPACED.sub(r" \g<0> ", out.decode()).encode()
+    return out
+
+
+def size_of_seeds(n_words: int, k: int) -> int:
+    """Words of the seeds of an item: k, or all words of a shorter item."""
+    return max(1, min(k, n_words))
 
 
 def item_seeds(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """`item`, `n_words`, `seeds` (the hash of each k words in order) per benchmark item."""
+    """`item`, `n_words`, `seeds` (the hash of each k words in order, or of all of a shorter item)."""
     def scan(batch):
         words = [word_hashes(normal(t)) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(w) for w in words], pa.int64()),
-             pa.array([gram_hashes(w, k).view(np.int64) for w in words], pa.list_(pa.int64()))],
+             pa.array([gram_hashes(w, size_of_seeds(len(w), k)).view(np.int64) for w in words], pa.list_(pa.int64()))],
             ["item", "n_words", "seeds"])
 
     items = benchmark.select(key_id(id_col).alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
@@ -99,16 +113,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", it
     items = item_seeds(benchmark, item_col, item_text, k)
     by_seed = items.select("item", F.explode("seeds").alias("seed")).distinct()
     known = bitmap(by_seed)
+    sizes = [r[0] for r in items.select(F.least(F.lit(k), "n_words")).distinct().collect()]  # k of them at most
 
     def scan(batch):
         at, seeds, counts = [], [], []
         for t in batch.column(3).to_pylist():
-            s = gram_hashes(word_hashes(normal(t)), k)
-            place = s >> np.uint64(64 - BITMAP_BITS)
-            hit = np.flatnonzero((known[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
-            at.append(hit)
-            seeds.append(s[hit])
-            counts.append(len(hit))
+            words, n = word_hashes(normal(t)), 0
+            for size in sizes:
+                s = gram_hashes(words, size)
+                place = s >> np.uint64(64 - BITMAP_BITS)
+                hit = np.flatnonzero((known[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                at.append(hit)
+                seeds.append(s[hit])
+                n += len(hit)
+            counts.append(n)
+        if not sizes:
+            return
         keys = spread({"k_id": batch.column(0).to_numpy(), "k_text": batch.column(1).to_numpy()}, counts)
         yield pa.RecordBatch.from_arrays([*keys.values(), pa.array(np.concatenate(at)), signed(np.concatenate(seeds))],
                                          ["k_id", "k_text", "at", "seed"])
@@ -120,7 +140,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", it
     def tile(batch):
         n_tiles, coverage = [], []
         for hits_of, seeds, n in zip(*(batch.column(c).to_pylist() for c in ("hits", "seeds", "n_words"))):
-            found = tiles([(h["at"], h["seed"]) for h in hits_of], seeds, n, k)
+            found = tiles([(h["at"], h["seed"]) for h in hits_of], seeds, n, size_of_seeds(n, k))
             n_tiles.append(len(found))
             coverage.append(sum(t[2] for t in found) / n)
         yield pa.RecordBatch.from_arrays(
@@ -144,8 +164,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     `coverage`, `n_tiles` of that item, `contaminated` (coverage of `threshold` or more).
 
     Words are compared in lower case without ASCII punctuation. Reordered passages are caught,
-    as tiles may lie in any order. Items of fewer than k words have no seed and match
-    nothing. Null texts count as empty; a null item id is an id like any other, the last in order.
+    as tiles may lie in any order. An item of fewer than k words is one seed, so it is found where all its
+    words stand together; an item without a word matches nothing. Null texts count as empty; a null item id is an id like any other, the last in order.
     Rows equal in id and text get the same answer; an empty benchmark flags nothing.
     """
     texts = keyed(docs, id_col, text_col)
@@ -159,7 +179,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_col: str = "item_id", item_text: str = "text", k: int = 5, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with their columns, that `contamination` does not flag."""
+    """The rows of `docs`, with their columns, that `contamination` does not flag.
+
+    Null and empty texts stay, repeated rows stay or go together, and an empty benchmark or table
+    changes nothing."""
     leaks = (best_matches(keyed(docs, id_col, text_col), benchmark, item_col, item_text, k)
              .filter(F.col("coverage") >= threshold).select("k_id", "k_text"))
     packed = docs.select(F.struct("*").alias("doc"), key_id(id_col).alias("k_id"), key_text(id_col, text_col).alias("k_text"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohort_engine.llm import language, mixing, pii, quality, simhash, substrings, tiling
@@ -118,6 +121,65 @@ def test_tiles():
         assert len(places) == len(set(places))
 
 
+def plain_words(text):
+    text = "".join(" " if ord(c) < 128 and not c.isalnum() else c for c in text.lower())
+    return regex.sub(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", r" \g<0> ", text).split()
+
+
+def plain_tiling(doc, item, k):
+    """Words in tiles and their number: the longest match of unmarked words again and again, by looking at all."""
+    in_doc, in_item, covered, n_tiles = set(), set(), 0, 0
+    while True:
+        best = None
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while (d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and d + n not in in_doc and i + n not in in_item):
+                    n += 1
+                if n >= k and (best is None or (-n, i, d - i) < best):
+                    best = (-n, i, d - i)
+        if best is None:
+            return covered, n_tiles
+        n, i, d = -best[0], best[1], best[2] + best[1]
+        in_doc |= set(range(d, d + n))
+        in_item |= set(range(i, i + n))
+        covered, n_tiles = covered + n, n_tiles + 1
+
+
+def plain_contamination(texts, items, size=5):
+    out = set()
+    for i, t in texts.items():
+        doc, found = plain_words(t or ""), []
+        grams = {m: {tuple(doc[j:j + m]) for j in range(len(doc) - m + 1)} for m in range(1, size + 1)}
+        for item_id, text in items:
+            item = plain_words(text or "")
+            k = min(size, len(item))
+            if item and any(tuple(item[j:j + k]) in grams[k] for j in range(len(item) - k + 1)):
+                covered, n_tiles = plain_tiling(doc, item, k)
+                found.append((-covered / len(item), item_id, n_tiles))
+        c, item_id, n_tiles = min(found, default=(0.0, None, 0))
+        out.add((i, len(found), item_id, -c, n_tiles, -c >= 0.5))
+    return out
+
+
+def test_op3_against_all_pairs(spark, texts):
+    items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
+    got = {tuple(r) for r in QUERIES["op3_benchmark_decontamination"](spark, FOLDER).collect()}
+    assert got == plain_contamination(texts, items) and sum(r[-1] for r in got) >= 3
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Answer is forty two"), (2, "\u5317\u4eac\u662f\u4e2d\u56fd\u7684\u9996\u90fd"), (3, "one"), (4, ""), (5, "a b c d e f g h i j")]
+    docs = {1: "well, the answer is forty two!", 2: "\u6211\u77e5\u9053\u5317\u4eac\u662f\u4e2d\u56fd\u7684\u9996\u90fd\u3002", 3: "answer forty is two",
+            4: "f g h i j and a b c d e", 5: "\u5317\u4eac", 6: "", 7: "One"}
+    given = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {tuple(r) for r in tiling.contamination(given, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain_contamination(docs, items)
+    assert {r[0] for r in got if r[-1]} == {1, 2, 4, 7}
+    kept = tiling.decontaminated(given, spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(9)).withColumn("k_id", F.lit("x")))
+    assert {r["doc_id"] for r in kept.collect()} == {3, 5, 6}
+
+
 def test_contamination_finds_reordered_passages(spark, docs):
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     some = items.orderBy("item_id").limit(5).collect()
@@ -139,6 +201,55 @@ def test_language_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held) > 0
 
 
+def plain_features(text):
+    """Roots of the shares of hashed 1 to 3-byte grams, a gram at a time."""
+    part = "".join(" " if ord(c) < 128 and not c.isalpha() else c for c in text)
+    b, counts = (" " + re.sub(" +", " ", part).lower() + " ").encode(), {}
+    for i, x in enumerate(b):
+        places = [x]
+        if i + 1 < len(b):
+            pair = x * 257 + b[i + 1]
+            places.append(256 + pair * 2654435761 % 2**32 % 2816)
+        if i + 2 < len(b):
+            places.append(3072 + ((pair * 263 + b[i + 2]) % 2**32 * 2654435761 % 2**32 >> 7) % (language.DIMS - 3072))
+        for p in places:
+            counts[p] = counts.get(p, 0) + 1
+    total = sum(counts.values())
+    return {p: math.sqrt(c / total) for p, c in counts.items()}
+
+
+def test_op2_against_plain_decoding(spark, docs, texts):
+    """Bits and loss-weighted decoding of every row, one by one, by the model that the query fits."""
+    model = language.train(docs.filter(~language.held_out("doc_id")))
+    got = {r["doc_id"]: r for r in QUERIES["op2_language_id"](spark, FOLDER).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        x = plain_features(t)
+        margin = [sum(v * float(model.w[p, k]) for p, v in x.items()) + float(model.b[k]) for k in range(model.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margin, code)) / max(1, len(code) / 4) for code in model.code.tolist()]
+        best = min(range(len(loss)), key=loss.__getitem__)
+        p = [math.exp(loss[best] - x) for x in loss]
+        assert got[i]["lang_pred"] == model.langs[best] and got[i]["score"] == pytest.approx(1 / sum(p), abs=2e-3)
+        others = sorted(p)[-2] / sum(p) if len(p) > 1 else 0
+        if abs(1 / sum(p) - others - 0.2) > 0.01:
+            assert got[i]["ambiguous"] == (1 / sum(p) - others < 0.2)
+
+
+def test_many_languages_are_all_learned(spark):
+    """1,500 languages, some of a single row and one of half of all rows, with few rows in all."""
+    rows = spark.range(0, 9_000, 1, 4).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'l0' ELSE concat('l', id % 1500) END AS lang",
+                                                  "concat('text ', id % 1500, ' of words') AS text").unionByName(
+        spark.range(1500).selectExpr("id + 10000 AS doc_id", "concat('l', id) AS lang", "concat('more ', id) AS text"))
+    model = language.train(rows, max_rows=2_000, rounds=2)
+    assert len(model.langs) == 1500 and model.code.shape[0] == 1500
+    found = language.predict(rows.limit(50), model).collect()
+    assert len(found) == 50 and all(r["lang_pred"] in model.langs and 0 <= r["score"] <= 1 for r in found)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 6, 7, 40])
 def test_codebook(n):
     code = language.codebook(n)
