@@ -62,11 +62,14 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, parts: set[str | bytes]) -> None:
-        split = {}  # parts of a text cut at white space that are letters with marks behind
+        split, rest, runs = {}, [], []  # split: letters with marks behind, as run and marks
         for p in parts:
-            if isinstance(p, bytes) and (m := LETTERS.fullmatch(p.decode())):
+            if p.isalpha() and isinstance(p, str):
+                runs.append(p)
+            elif m := LETTERS.fullmatch(p if isinstance(p, str) else p.decode()):
                 split[p] = m[1].lower(), m[2]
-        runs = [p for p in parts if isinstance(p, str) and p.isalpha()]
+            else:
+                rest.append(p)
         runs += {run for run, _ in split.values()}.difference(self.cache, runs)
         if runs:
             ids = np.array(self.letters.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, np.uint32)
@@ -75,7 +78,7 @@ class WordEncoder:
                 raise ValueError("the tokenizer does not encode words apart from each other")
             flat = ids.tobytes()
             self.cache.update(zip(runs, map(flat.__getitem__, map(slice, [0, *cuts], cuts))))
-        rest = [*{p for p in parts if p not in split}.union(marks for _, marks in split.values()).difference(self.cache)]
+        rest += {marks for _, marks in split.values()}.difference(self.cache, rest)
         for p, found in zip(rest, self.tokenizer.encode_batch_fast([p if isinstance(p, str) else p.decode() for p in rest], add_special_tokens=False)):
             self.cache[p] = np.array(found.ids, np.uint32).tobytes()
         for p, (run, marks) in split.items():
