@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.dates import quarter_of_month
 from ..functions.missing import as_flag
-from .keys import as_list, literal_rows
-from .ordering import nulls_last, percentiles, running_total
+from ..session import stable
+from .keys import as_list
+from .ordering import group_percentiles, known, middle, nulls_last, running_total
 
 
 def collapse_sum(df: DataFrame, by: str | Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -65,9 +66,9 @@ def unique_report(df: DataFrame, key: str, cond: Column | None = None) -> DataFr
 def freq_table(df: DataFrame, col: str) -> DataFrame:
     """Count, percent and cumulative percent of each value in sorted order. Missing
     values are left out of the table."""
-    counts = count_by(df.filter(F.col(col).isNotNull()), col, "freq")
+    counts = stable(count_by(df.filter(F.col(col).isNotNull()), col, "freq"))  # a row per value
     out = running_total(counts, col, "freq", "__cum")
-    total = out.agg(F.max("__cum").cast("double")).scalar()
+    total = counts.agg(F.sum("freq").cast("double")).scalar()
     return out.select(col, "freq", (100 * F.col("freq") / total).alias("percent"),
                       (100 * F.col("__cum") / total).alias("cum_percent"))
 
@@ -80,28 +81,43 @@ def summarize(df: DataFrame, col: str, cond: Column | None = None) -> DataFrame:
 
 
 DETAIL_PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
+EXTREMES = 4  # values shown at each end
+
+
+def summarize_groups(df: DataFrame, by: str | Sequence[str], col: str) -> DataFrame:
+    """Percentiles, moments and the four smallest and largest values of every group, as `by`,
+    `stat`, `value` (double) and `exact`: values of the column itself in its own type, so whole numbers
+    beyond 2^53 keep their digits. Missing and NaN values do not count.
+
+    All groups and statistics come from the same few aggregates and nothing runs before
+    the result is used; `df` is read four times, so store it first if it is costly.
+    """
+    by, kind = as_list(by), df.schema[col].dataType
+    rows = df.select(*by, F.when(known(col, kind), F.col(col)).alias("v"))
+    v = F.col("v").cast("double")
+    moments = {"n": F.count(v).cast("double"), "sum": F.sum(v), "mean": F.avg(v), "sd": F.stddev_samp(v), "variance": F.var_samp(v),
+               "skewness": F.skewness(v), "kurtosis": F.kurtosis(v) + 3}
+    wide = rows.groupBy(*by).agg(*[a.alias(n) for n, a in moments.items()])
+    long = wide.select(*by, F.explode(F.map_from_arrays(F.array(*map(F.lit, moments)), F.array(*moments))).alias("stat", "value"))
+    no_value = F.lit(None).cast(kind)
+    parts = group_percentiles(rows, by, "v", DETAIL_PERCENTS)
+    name = F.concat(F.lit("p"), F.col("percent").cast("int").cast("string"))
+    parts = parts.select(*by, name.alias("stat"), middle(F.col("low"), F.col("high")).alias("value"),
+                         F.when(F.col("low") == F.col("high"), F.col("low")).alias("exact"))
+    out = long.select(*by, "stat", "value", no_value.alias("exact")).unionByName(parts)
+    for end, order in (("smallest", F.col("v").asc()), ("largest", F.col("v").desc())):
+        w = W.partitionBy(*by).orderBy(order)
+        ends = rows.filter(F.col("v").isNotNull()).withColumn("i", F.row_number().over(w)).filter(F.col("i") <= EXTREMES)
+        out = out.unionByName(ends.select(*by, F.concat(F.lit(end + "_"), F.col("i").cast("string")).alias("stat"),
+                                          v.alias("value"), F.col("v").alias("exact")))
+    return out
 
 
 def summarize_detail(df: DataFrame, col: str, cond: Column | None = None) -> DataFrame:
-    """Percentiles, moments and the four smallest and largest values, as (stat, value)."""
-    rows = (df if cond is None else df.filter(cond)).select(F.col(col).cast("double").alias("v"))
-    rows = rows.filter(F.col("v").isNotNull())
-    v = F.col("v")
-    moments = rows.agg(
-        F.count(v).cast("double").alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("sd"), F.var_samp(v).alias("variance"),
-        F.skewness(v).alias("skewness"), (F.kurtosis(v) + 3).alias("kurtosis"),
-    ).first().asDict()
-    pcts = percentiles(rows, "v", DETAIL_PERCENTS, n=int(moments["n"]))
-    ends = rows.orderBy("v").limit(4).withColumn("end", F.lit(0)).unionAll(
-        rows.orderBy(F.desc("v")).limit(4).withColumn("end", F.lit(1))).collect()
-    smallest = sorted(r["v"] for r in ends if r["end"] == 0)
-    largest = sorted((r["v"] for r in ends if r["end"] == 1), reverse=True)
-    stats = [(k, x) for k, x in moments.items()]
-    stats += [(f"p{p}", x) for p, x in pcts.items()]
-    stats += [(f"smallest_{i}", x) for i, x in enumerate(smallest, 1)]
-    stats += [(f"largest_{i}", x) for i, x in enumerate(largest, 1)]
-    return literal_rows(df.sparkSession, stats, [("stat", "string"), ("value", "double")])
+    """`stat`, `value`, `exact` as in `summarize_groups`, for all rows that meet the condition. Statistics
+    of no values are left out, but for their number and sum."""
+    rows = (df if cond is None else df.filter(cond)).select(F.lit(0).alias("__all"), col)
+    return summarize_groups(rows, "__all", col).drop("__all")
 
 
 def dedupe(df: DataFrame, keys: str | Sequence[str], order: Sequence[str | Column]) -> DataFrame:

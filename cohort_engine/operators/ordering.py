@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..session import stable
-from .keys import as_list
+from .keys import as_list, attach
 
-POSITION_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
+COARSE = 16  # cuts that a row is compared with at once; slices are COARSE times as many
+SLICES = COARSE * COARSE
+SAMPLE_ROWS = 20 * SLICES  # rows that the cuts are chosen from, about
 
 
 def nulls_last(order: Sequence[str | Column]) -> list[Column]:
@@ -28,44 +28,98 @@ def first_rows(df: DataFrame, k: int, order: str | Sequence[str]) -> DataFrame:
     return sort_rows(df, order).limit(k)
 
 
-def _partition_starts(snapshot: DataFrame, value: Column) -> Column:
-    """Running start of each range partition, as a literal lookup on the position.
+def place(order: Sequence[str]) -> Column:
+    """A row's place in an order with missing values last, as one value to compare."""
+    return F.struct(*[x for i, o in enumerate(order) for x in (F.col(o).isNull().alias(f"n{i}"), F.col(o).alias(f"v{i}"))])
 
-    Only one number per partition reaches the driver, never one per row or key.
+
+class Slices:
+    """A frame cut into at most SLICES slices of a total order.
+
+    The cuts come from a sample and are stored in the plan as literals, so a row's slice is a
+    function of its values: rows themselves are never stored, and every pass over the frame, in whatever
+    partitions, finds the same slices. A pass that counts per slice gives each slice what lies before
+    it. `by` names the first columns of the order if rows are to be placed within groups.
     """
-    pid = F.shiftright(F.col("__pos"), POSITION_BITS).cast("int")
-    totals = snapshot.groupBy(pid.alias("pid")).agg(value.alias("v")).collect()
-    by_pid = {row["pid"]: row["v"] or 0 for row in totals}
+
+    def __init__(self, df: DataFrame, order: Sequence[str], by: Sequence[str] = ()):
+        self.order = [*by, *order]
+        share = min(1.0, SAMPLE_ROWS / max(1, df.count()))
+        spot, group = place(self.order), F.xxhash64(*[F.col(b) for b in by]) if by else F.lit(0).cast("long")
+        some = df.filter(F.rand(11) < share).agg(F.sort_array(F.collect_list(F.struct(spot.alias("p"), group.alias("g")))).alias("a"))
+        picked = F.expr(f"array_distinct(transform(sequence(1, {SLICES - 1}), i -> a[cast(i * size(a) div {SLICES} as int)]))")
+        chosen = some.select(F.when(F.size("a") > 0, picked).otherwise(F.slice("a", 1, 0)).alias("c"))
+        kind = chosen.schema["c"].dataType.elementType["p"].dataType
+        row = chosen.select(F.to_json("c.p").alias("p"), "c.g").first()
+        self.groups, self.n = row["g"], len(row["g"])
+        cuts = F.from_json(F.lit(row["p"]), T.ArrayType(kind))
+        coarse = F.filter(cuts, lambda c, i: i % COARSE == COARSE - 1)
+        rows = df.withColumns({"__place": spot, "__group": group})
+        rows = rows.withColumn("__coarse", F.size(F.filter(coarse, lambda c: c <= F.col("__place"))) * COARSE)
+        near = F.slice(cuts, F.col("__coarse") + 1, F.lit(COARSE))
+        self.df = rows.withColumn("__slice", F.col("__coarse") + F.size(F.filter(near, lambda c: c <= F.col("__place"))))
+
+    def in_group_of(self, number: Column) -> Column:
+        """Whether a row is in the group in which cut `number` falls."""
+        return F.coalesce(F.col("__group") == F.get(F.lit(self.groups or [0]), number), F.lit(False))
+
+    def totals(self, **aggregates: Column) -> dict[str, list]:
+        """Aggregates per slice, in the order of slices; 0 where there is no row."""
+        out = {name: [0] * (SLICES + 1) for name in aggregates}
+        for row in self.df.groupBy("__slice").agg(*[a.alias(n) for n, a in aggregates.items()]).collect():
+            for name in aggregates:
+                out[name][row["__slice"]] = row[name] or 0
+        return out
+
+    def window(self, *by: str):
+        return W.partitionBy("__slice", *by).orderBy(*nulls_last(self.order))
+
+    def done(self) -> list[str]:
+        return ["__place", "__group", "__coarse", "__slice"]
+
+
+def _before(totals: list) -> Column:
+    """What lies before a row's slice."""
     starts = [0]
-    for i in range(max(by_pid, default=0)):
-        starts.append(starts[-1] + by_pid.get(i, 0))
-    return F.get(F.lit(starts), pid)
+    for x in totals[:-1]:
+        starts.append(starts[-1] + x)
+    return F.get(F.lit(starts), F.col("__slice"))
 
 
-def global_index(df: DataFrame, order: str | Sequence[str | Column], out: str = "index") -> DataFrame:
+def global_index(df: DataFrame, order: str | Sequence[str], out: str = "index") -> DataFrame:
     """Row number from 0 in the total order given, over the whole frame.
 
-    A range-partitioned sort, so every task holds one slice of the order; the slice is
-    checkpointed because its boundaries come from sampling and are read twice.
+    Rows are shuffled once, by slice, and numbered there. `df` is read three times (for its size and the
+    cuts, for the rows per slice, for the result): store it first if it is costly.
     """
-    order = [order] if isinstance(order, (str, Column)) else list(order)
-    ranged = sort_rows(df, order).withColumn("__pos", F.monotonically_increasing_id())
-    snapshot = stable(ranged)
-    local = F.col("__pos").bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
-    starts = _partition_starts(snapshot, F.count(F.lit(1)))
-    return snapshot.withColumn(out, (starts + local).cast("bigint")).drop("__pos")
+    slices = Slices(df, as_list(order))
+    before = _before(slices.totals(n=F.count(F.lit(1)))["n"])
+    return slices.df.withColumn(out, (before + F.row_number().over(slices.window()) - 1).cast("bigint")).drop(*slices.done())
+
 
+def group_index(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], out: str = "index") -> DataFrame:
+    """Row number from 1 in each group, in a total order of its rows.
 
-def running_total(df: DataFrame, order: str | Sequence[str | Column], value: str,
-                  out: str) -> DataFrame:
+    Rows are numbered within group and slice, so a hot group is dealt to as many tasks as it has
+    slices. Only the group in which a slice begins can have rows in slices before it; the pass that counts per
+    slice counts the rows of that group, and of the one in which the slice ends.
+    """
+    slices = Slices(df, as_list(order), as_list(by))
+    here, number = slices.in_group_of, F.col("__slice")
+    counted = slices.totals(first=F.count_if(here(number - 1)), last=F.count_if(here(number)))
+    ahead = [0]
+    for i in range(slices.n):  # slice i + 1 begins at cut i
+        within = i and slices.groups[i - 1] == slices.groups[i]  # slice i lies in one group
+        ahead.append(ahead[-1] + counted["first"][i] if within else counted["last"][i])
+    begun = F.when(here(number - 1), F.get(F.lit(ahead), number)).otherwise(0)
+    return slices.df.withColumn(out, (begun + F.row_number().over(slices.window(*as_list(by)))).cast("bigint")).drop(*slices.done())
+
+
+def running_total(df: DataFrame, order: str | Sequence[str], value: str, out: str) -> DataFrame:
     """Inclusive running sum of `value` in a total order over the whole frame."""
-    order = [order] if isinstance(order, (str, Column)) else list(order)
-    ranged = sort_rows(df, order).withColumn("__pos", F.monotonically_increasing_id())
-    snapshot = stable(ranged)
-    starts = _partition_starts(snapshot, F.sum(value))
-    slice_ = W.partitionBy(F.shiftright(F.col("__pos"), POSITION_BITS)).orderBy("__pos")
-    local = F.sum(value).over(slice_.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return snapshot.withColumn(out, local + starts).drop("__pos")
+    slices = Slices(df, as_list(order))
+    local = F.sum(value).over(slices.window().rowsBetween(W.unboundedPreceding, W.currentRow))
+    return slices.df.withColumn(out, local + _before(slices.totals(s=F.sum(value))["s"])).drop(*slices.done())
 
 
 def known(col: str, kind: T.DataType) -> Column:
@@ -74,104 +128,82 @@ def known(col: str, kind: T.DataType) -> Column:
     return value.isNotNull() & ~F.isnan(value) if isinstance(kind, (T.DoubleType, T.FloatType)) else value.isNotNull()
 
 
-def order_stats(df: DataFrame, col: str, ranks: Sequence[int], accuracy: int = 10_000) -> dict[int, Any]:
-    """Exact values at the given ranks (1-based) of the known values of `col`, in its own type.
+def group_percentiles(df: DataFrame, by: str | Sequence[str], col: str, percents: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """`by`, `percent`, `n` (known values), `low`, `high` per group and percent: exact values, in the
+    column's own type, at the two ranks whose mean is the percentile (n * percent / 100 and the
+    next if that is whole, else the next whole rank twice). Nothing runs before the result is used.
 
-    Each round looks between the bounds of every open rank: two approximate percentiles
-    around it, the least and the greatest value (and, for whole numbers, the middle) are
-    counted exactly over all rows. The rank is one of them, or lies strictly between two, which are
-    the next bounds. A round is two one-row aggregates without a shuffle of the data; it shrinks what is
-    between the bounds by a factor of thousands, and always by its least and greatest value.
+    One aggregate brackets each percentile of each group: two approximate percentiles (error n / accuracy) with it
+    in between. A second counts each row by value where it lies in a bracket, and with all others
+    below the same bracket where it does not, so that a few rows in `accuracy` are left of any group
+    and running sums over them give ranks. Groups of up to 4 * accuracy values are a bracket as a whole.
     """
-    kind = df.schema[col].dataType
-    whole = isinstance(kind, T.IntegralType)
-    values, v = df.filter(known(col, kind)).select(F.col(col).alias("v")), F.col("v")
-    total, found = values.count(), {}
-    if not all(1 <= r <= total for r in ranks):
-        raise ValueError(f"ranks {sorted(ranks)} are outside the {total} values of {col}")
-    # (value below, value above) -> (number of values at or below the first, number between, open ranks)
-    open_ranks = {(None, None): (0, total, sorted(set(ranks)))} if ranks else {}
-    while open_ranks:
-        probes = []
-        for i, ((low, high), (below, n, wanted)) in enumerate(open_ranks.items()):
-            inside = (F.lit(True) if low is None else v > low) & (F.lit(True) if high is None else v < high)
-            within, slack = F.when(inside, v), 2.0 / accuracy
-            points = [min(1.0, max(0.0, (r - below) / n + d)) for r in wanted for d in (-slack, slack)]
-            probes += [F.percentile_approx(within, points, accuracy).alias(f"p{i}"), F.min(within).alias(f"a{i}"), F.max(within).alias(f"b{i}")]
-        seen = values.agg(*probes).first()
-        edges = set()
-        for i in range(len(open_ranks)):
-            edges |= {*seen[f"p{i}"], seen[f"a{i}"], seen[f"b{i}"]} | ({(seen[f"a{i}"] + seen[f"b{i}"]) // 2} if whole else set())
-        edges = sorted(edges)
-        exact = values.agg(*(F.count(F.when(test, v)).alias(f"{name}{j}") for j, x in enumerate(edges)
-                             for name, test in (("lt", v < x), ("le", v <= x)))).first()
-        after: dict[tuple, tuple] = {}
-        for (low, high), (below, n, wanted) in open_ranks.items():
-            marks = [(low, below, below)] + [(x, exact[f"lt{j}"], exact[f"le{j}"]) for j, x in enumerate(edges)
-                                             if (low is None or x > low) and (high is None or x < high)] + [(high, below + n, below + n)]
-            for rank in wanted:
-                at = next(j for j, (_, _, le) in enumerate(marks[1:], start=1) if rank <= le)
-                if rank > marks[at][1]:
-                    found[rank] = marks[at][0]
-                else:
-                    first, last = marks[at - 1], marks[at]
-                    after.setdefault((first[0], last[0]), (first[2], last[1] - first[2], []))[2].append(rank)
-        open_ranks = after
-    return found
-
-
-def percentile_ranks(n: int, percents: Sequence[float]) -> dict[float, tuple[int, int]]:
-    """Ranks whose mean is the p-th percentile: when n*p/100 is whole, that rank and the
-    next; otherwise the next whole rank alone."""
-    out = {}
-    for p in percents:
-        at = n * p / 100
-        low = math.floor(at + 1e-9)
-        if abs(at - low) < 1e-9 and 1 <= low < n:
-            out[p] = (low, low + 1)
-        else:
-            rank = min(max(math.ceil(at - 1e-9), 1), n)
-            out[p] = (rank, rank)
-    return out
-
-
-def percentiles(df: DataFrame, col: str, percents: Sequence[float],
-                n: int | None = None) -> dict[float, float | None]:
-    """Exact percentiles of the non-missing values, by the averaging rule above. `df` is
-    read several times: store it first if it is costly. `n` is the number of values, if
-    known."""
-    if n is None:
-        n = df.filter(known(col, df.schema[col].dataType)).count()
-    if n == 0:
-        return {p: None for p in percents}
-    pairs = percentile_ranks(n, percents)
-    values = order_stats(df, col, sorted({r for pair in pairs.values() for r in pair}))
-    # whole numbers stay whole where they can: beyond 2^53 a double would lose digits
-    return {p: values[a] if values[a] == values[b] else (values[a] + values[b]) / 2 for p, (a, b) in pairs.items()}
-
-
-def xtile(df: DataFrame, col: str, n: int, out: str) -> DataFrame:
-    """Quantile class 1..n by value: ties stay together, missing (and NaN) stays missing."""
-    cuts = percentiles(df, col, [100 * i / n for i in range(1, n)])
-    value = F.col(col)
-    above = [F.when(value > F.lit(c), 1).otherwise(0) for c in cuts.values() if c is not None]
-    total = F.lit(1)
-    for step in above:
-        total = total + step
-    return df.withColumn(out, F.when(known(col, df.schema[col].dataType), total).cast("int"))
+    by, percents = as_list(by), sorted(percents)
+    value, d = F.col("__v"), F.col("__v").cast("double")
+    rows = df.filter(known(col, df.schema[col].dataType)).select(*by, F.col(col).alias("__v"))
+    slack = 2.0 / accuracy
+    points = [min(1.0, max(0.0, p / 100 + s)) for p in percents for s in (-slack, slack)]
+    near = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(d).alias("least"), F.max(d).alias("most"),
+                                 F.percentile_approx(d, points, accuracy).alias("at"))
+
+    def bracket(i: int, p: float) -> Column:
+        share, few = F.col("n") * F.lit(p) / 100, F.col("n") < 4 * accuracy
+        whole = F.abs(share - F.round(share)) < 1e-9
+        rank = F.greatest(F.lit(1), F.least(F.col("n"), F.when(whole, F.round(share)).otherwise(F.ceil(share)).cast("bigint")))
+        nth = F.when(whole & (F.round(share) >= 1) & (rank < F.col("n")), rank + 1).otherwise(rank)
+        return F.struct(F.lit(float(p)).alias("percent"), rank.alias("rank"), nth.alias("next"),
+                        F.when(few, F.col("least")).otherwise(F.get("at", F.lit(2 * i))).alias("lo"),
+                        F.when(few, F.col("most")).otherwise(F.get("at", F.lit(2 * i + 1))).alias("hi"))
+
+    near = near.select(*by, "n", F.array(*[bracket(i, p) for i, p in enumerate(percents)]).alias("b"))
+    inside = F.exists("b", lambda b: (b["lo"] <= d) & (d <= b["hi"]))
+    above = F.array_min(F.transform(F.filter("b", lambda b: b["lo"] > d), lambda b: b["lo"]))
+    counted = (attach(rows, near.drop("n"), by, "inner").withColumn("in", inside)
+               .select(*by, F.when(F.col("in"), d).otherwise(above).alias("edge"), "in", F.when(F.col("in"), value).alias("x"))
+               .filter(F.col("edge").isNotNull()).groupBy(*by, "edge", "in", "x").agg(F.count(F.lit(1)).alias("c")))
+    upto = F.sum("c").over(W.partitionBy(*by).orderBy("edge", "in", "x").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counted.withColumn("upto", upto).filter("in").select(*by, "edge", "x", "upto")
+    each = attach(ranked, near, by, "inner").select(*by, "n", "edge", "x", "upto", F.explode("b").alias("t")).filter("t.lo <= edge AND edge <= t.hi")
+    return each.groupBy(*by, F.col("t.percent").alias("percent")).agg(
+        F.first("n").alias("n"), F.min(F.when(F.col("upto") >= F.col("t.rank"), F.col("x"))).alias("low"),
+        F.min(F.when(F.col("upto") >= F.col("t.next"), F.col("x"))).alias("high"))
+
+
+def middle(low: Column, high: Column) -> Column:
+    """The mean of two values as a double. Of equal ones it is their value."""
+    return F.when(low == high, low.cast("double")).otherwise((low.cast("double") + high.cast("double")) / 2)
+
+
+def percentiles(df: DataFrame, col: str, percents: Sequence[float]) -> dict[float, Any]:
+    """Exact percentiles of the known values of a column, by the averaging rule above."""
+    rows = group_percentiles(df.withColumn("__all", F.lit(0)), "__all", col, percents).collect()
+    found = {r["percent"]: r["low"] if r["low"] == r["high"] else (r["low"] + r["high"]) / 2 for r in rows}
+    return {p: found.get(float(p)) for p in percents}
+
+
+def xtile(df: DataFrame, col: str, n: int, out: str, cuts_from: DataFrame | None = None) -> DataFrame:
+    """Quantile class 1..n by value: ties stay together, missing (and NaN) stays missing.
+
+    A value is above a cut if it is above the lower of the two values whose mean the cut is, as none lies in
+    between; so it is compared in its own type. The cuts are a scalar subquery. They come
+    from `cuts_from`, if given: the same rows, stored and with fewer columns.
+    """
+    rows = (df if cuts_from is None else cuts_from).withColumn("__all", F.lit(0))
+    cuts = group_percentiles(rows, "__all", col, [100 * i / n for i in range(1, n)]).agg(F.collect_list("low")).scalar()
+    number = F.lit(1)
+    for i in range(n - 1):
+        number = number + F.coalesce((F.col(col) > F.get(cuts, F.lit(i))).cast("int"), F.lit(0))
+    return df.withColumn(out, F.when(known(col, df.schema[col].dataType), number).cast("int"))
 
 
 def ntile_by(df: DataFrame, col: str, n: int, tie_break: Sequence[str], out: str) -> DataFrame:
     """Rank class 1..n: equal-sized classes, larger ones first, ties split by
     `tie_break` (which must complete the order); missing stays missing."""
-    present = df.filter(F.col(col).isNotNull())
-    total = present.count()
-    base, extra = divmod(total, n)
-    ranked = global_index(present, [col, *as_list(tie_break)], out="__rank")
-    rank = F.col("__rank")
+    order = [col, *as_list(tie_break)]
+    slices = Slices(df, order)
+    counted = slices.totals(n=F.count(F.lit(1)), known=F.count(col))
+    base, extra = divmod(sum(counted["known"]), n)
+    rank = _before(counted["n"]) + F.row_number().over(slices.window()) - 1  # missing values are last, so they shift none
     wide = extra * (base + 1)  # rows in the classes that hold one more
-    tile = F.when(rank < wide, F.floor(rank / (base + 1)) + 1)
-    tile = tile.otherwise(F.floor((rank - wide) / max(base, 1)) + extra + 1)
-    ranked = ranked.withColumn(out, tile.cast("int")).drop("__rank")
-    rest = df.filter(F.col(col).isNull()).withColumn(out, F.lit(None).cast("int"))
-    return ranked.unionByName(rest)
+    tile = F.when(rank < wide, F.floor(rank / (base + 1)) + 1).otherwise(F.floor((rank - wide) / max(base, 1)) + extra + 1)
+    return slices.df.withColumn(out, F.when(F.col(col).isNotNull(), tile).cast("int")).drop(*slices.done())

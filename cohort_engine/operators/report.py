@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stable
-from .collapse import dedupe, distinct_count, summarize_detail
+from .collapse import dedupe, distinct_count, summarize_groups
 
 
 def attrition(steps: Mapping[str, DataFrame], person: str) -> DataFrame:
@@ -22,13 +22,12 @@ def attrition(steps: Mapping[str, DataFrame], person: str) -> DataFrame:
 
 def duration_summary(panel: DataFrame, person: str, duration: str,
                      groups: Mapping[str, Column]) -> DataFrame:
-    """Detailed summary of a person-level duration in each named group."""
-    people = dedupe(panel.select(person, duration, *[c.alias(f"__g_{n}") for n, c in groups.items()]),
-                    person, [duration])
-    people = stable(people)  # one row per person, read several times per group
-    out = None
-    for name in groups:
-        part = summarize_detail(people, duration, F.col(f"__g_{name}"))
-        part = part.select(F.lit(name).alias("group"), "stat", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Detailed summary of a person-level duration in each named group (`group`, `stat`, `value`, `exact`).
+
+    A person may be in several groups. Persons are stored once, with a row for each group
+    they are in, and all groups are summarised together.
+    """
+    inside = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in groups.items()]), lambda g: g.isNotNull())
+    people = dedupe(panel.select(person, duration, inside.alias("__groups")), person, [duration])
+    people = stable(people.select(F.explode("__groups").alias("group"), duration))
+    return summarize_groups(people, "group", duration)

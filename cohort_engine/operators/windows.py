@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .collapse import dedupe
 from .keys import as_list, attach
-from .ordering import global_index, nulls_last
+from .ordering import group_index, nulls_last
 
 def first_in_group(df: DataFrame, by: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     return dedupe(df, by, order)
@@ -24,16 +24,9 @@ def first_k(df: DataFrame, by: str | Sequence[str], order: Sequence[str], k: int
 
 def seq_in_group(df: DataFrame, by: str | Sequence[str], order: Sequence[str],
                  out: str = "seq") -> DataFrame:
-    """Number from 1 of every row in its group, missing values last.
-
-    A range-partitioned sort over (group, order) numbers all rows, and each row's number less
-    the one at which its group starts is its place; a hot group is spread over many tasks. `order`
-    must be total.
-    """
-    by, order = as_list(by), list(order)
-    numbered = global_index(df, [*by, *order], out="__ix")
-    starts = numbered.groupBy(*by).agg(F.min("__ix").alias("__start"))
-    return attach(numbered, starts, by).withColumn(out, F.col("__ix") - F.col("__start") + 1).drop("__ix", "__start")
+    """Number from 1 of every row in its group, missing values last. `order` must be total
+    in the group. A hot group is spread over many tasks."""
+    return group_index(df, by, order, out)
 
 
 def group_stats(df: DataFrame, by: str | Sequence[str], stats: Mapping[str, Column],

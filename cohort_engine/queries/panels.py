@@ -257,7 +257,8 @@ def duration_summaries(t: Tables) -> DataFrame:
     people = spells(t).withColumn("days", spell_length())
     out = report.duration_summary(people, "c_custkey", "days", {
         "all": F.lit(True), "urgent_only": F.col("sa").isNotNull() & F.col("sb").isNull(), "other": F.col("sb").isNotNull()})
-    return out.filter(~F.col("stat").isin("sum", "variance", "skewness", "kurtosis")).withColumn("value", F.round("value", 4))
+    out = out.filter(~F.col("stat").isin("sum", "variance", "skewness", "kurtosis"))
+    return out.select("group", "stat", F.round("value", 4).alias("value"))
 
 
 @query(f"""

@@ -145,21 +145,30 @@ def test_group_statistics_with_missing_keys(spark):
     assert rows(W.group_stats(df, "k", {"lo": F.min("v"), "n": F.count("*")})) == [(None, 1, 1, 2), (None, 5, 1, 2), (2, None, None, 1)]
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 20])
-def test_order_statistics_are_exact(spark, accuracy):
+@pytest.mark.parametrize("accuracy", [10_000, 50, 10])
+def test_percentiles_of_groups_are_exact(spark, accuracy):
+    """Groups of all sizes and with heavy ties, one of them hot, in and beyond the brackets of an approximate percentile."""
     rnd = random.Random(5)
-    values = [rnd.choice([81, 82, 82.5]) if rnd.random() < 0.7 else rnd.random() * 200 for _ in range(999)] + [None] * 5
-    df = spark.createDataFrame([(v if v is None else float(v),) for v in values], "v double")
-    known = sorted(v for v in values if v is not None)
-    ranks = [1, 2, 250, 499, 500, 501, 750, 998, 999]
-    got = O.order_stats(df, "v", ranks, accuracy=accuracy)
-    assert got == {r: known[r - 1] for r in ranks}
-
-
-def test_order_statistics_of_large_whole_numbers(spark):
+    data = [(rnd.choice("aaaaab"), rnd.choice([81.0, 82.0, 82.5]) if rnd.random() < 0.5 else rnd.random() * 200) for _ in range(3_000)]
+    data += [("c", 7.0)] * 500 + [("d", 1.0), (None, 3.0), (None, 4.0), ("e", None), ("e", float("nan"))]
+    df = spark.createDataFrame(data, "g string, v double").repartition(7)
+    percents, want = [0.5, 1, 25, 33, 50, 75, 99, 100], set()
+    for g in {g for g, _ in data}:
+        values = sorted(v for k, v in data if k == g and v is not None and not math.isnan(v))
+        for p in percents if values else ():
+            at = len(values) * p / 100
+            low = max(1, math.ceil(at - 1e-9))
+            high = low + 1 if abs(at - round(at)) < 1e-9 and 1 <= round(at) < len(values) else low
+            want.add((g, float(p), len(values), values[low - 1], values[high - 1]))
+    assert {tuple(r) for r in O.group_percentiles(df, "g", "v", percents, accuracy).collect()} == want
+
+
+def test_percentiles_of_large_whole_numbers(spark):
     base = 1 << 60
-    df = spark.createDataFrame([(base + i,) for i in range(40)], "v bigint")
-    assert O.order_stats(df, "v", [1, 17, 40]) == {1: base, 17: base + 16, 40: base + 39}
+    df = spark.createDataFrame([(base + i,) for i in range(400)], "v bigint").withColumn("g", F.lit(0))
+    for accuracy in (10_000, 20):
+        got = {r["percent"]: (r["low"] - base, r["high"] - base) for r in O.group_percentiles(df, "g", "v", [1, 50, 99.9], accuracy).collect()}
+        assert got == {1.0: (3, 4), 50.0: (199, 200), 99.9: (399, 399)}
     classes = [r["c"] for r in O.xtile(spark.createDataFrame([(base + i,) for i in range(5)], "v bigint"), "v", 2, "c").orderBy("v").collect()]
     assert classes == [1, 1, 1, 2, 2]
 
@@ -216,12 +225,33 @@ def test_summaries(spark):
     stats = {r["stat"]: r["value"] for r in C.summarize_detail(df, "v").collect()}
     assert stats["p50"] == 5.5 and stats["p25"] == 3.0 and stats["smallest_1"] == 1.0 and stats["largest_4"] == 7.0
     assert stats["skewness"] == pytest.approx(0) and stats["kurtosis"] == pytest.approx(1.7757575757)
+    with_nan = df.unionByName(spark.createDataFrame([(float("nan"), 0), (None, 1)], "v double, odd int"))
+    assert {r["stat"]: r["value"] for r in C.summarize_detail(with_nan, "v").collect()} == pytest.approx(stats)
     freq = C.freq_table(df, "odd").orderBy("odd").collect()
     assert [tuple(r) for r in freq] == [(0, 5, 50.0, 50.0), (1, 5, 50.0, 100.0)]
     steps = report.attrition({"all": df.withColumn("id", F.col("v") % 4), "odd": df.filter("odd = 1").withColumn("id", F.lit(None))}, "id")
     assert rows(steps) == [(1, "all", 10, 4), (2, "odd", 5, 1)]
 
 
+def test_whole_numbers_keep_their_digits_in_summaries(spark):
+    base = (1 << 53) + 1
+    df = spark.createDataFrame([(base + i, i % 2) for i in range(8)], "v bigint, g int")
+    exact = {r["stat"]: r["exact"] for r in C.summarize_detail(df, "v").collect()}
+    assert (exact["smallest_1"], exact["largest_1"], exact["p1"], exact["mean"], exact["p50"]) == (base, base + 7, base, None, None)
+    by_group = {(r["g"], r["stat"]): r["exact"] for r in C.summarize_groups(df, "g", "v").collect()}
+    assert by_group[0, "smallest_2"] == base + 2 and by_group[1, "largest_4"] == base + 1
+    nothing = {r["stat"]: r["value"] for r in C.summarize_detail(df.filter("v < 0"), "v").collect()}
+    assert nothing == {}
+
+
+def test_percentiles_run_nothing_before_they_are_used(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.raise_error(F.lit("read")).cast("double").alias("v"))
+    lazy = C.summarize_groups(df, "g", "v"), O.xtile(df, "v", 3, "c")
+    for out in lazy:
+        with pytest.raises(Exception, match="read"):
+            out.collect()
+
+
 def test_cascade_is_disjoint_and_complete(spark):
     rnd = random.Random(11)
 
