@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import days_between
 from .filters import keep_unique_keys
-from .keys import as_list, members, prefixed
-from .merge import append, merge_tables
+from .keys import as_list, members
+from .merge import merge_tables
 
 
 def normalise_keys(df: DataFrame, rules: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
@@ -37,17 +37,32 @@ def link_cascade(source: DataFrame, pools: Sequence[DataFrame], keys: str | Sequ
 
     Returns (linked rows with the pass that found them, source rows never linked). The
     two are disjoint, and together hold every source row with an unambiguous key.
+
+    Source and pools are stacked and shuffled once, by the link key. One aggregate knows for each key how
+    often every side has it, and so whether it is ambiguous there and which pass is the first to
+    match. A column that several sides have keeps the value of the source, or of the pool that matched.
     """
-    keys = as_list(keys)
-    rest = keep_unique_keys(source, keys)
-    linked = []
-    for number, pool in enumerate(pools, start=1):
-        pool = keep_unique_keys(pool, keys)
-        hits = link_exact(rest, pool, keys, left_unique=True, right_unique=True)
-        linked.append(hits.withColumn(pass_column, F.lit(number)))
-        rest = rest.join(prefixed(pool.select(*keys), keys),
-                         [F.col(k).eqNullSafe(F.col("__r_" + k)) for k in keys], "left_anti")
-    return append(*linked), rest
+    keys, sides = as_list(keys), [source, *pools]
+    stacked = None
+    for i, side in enumerate(sides):
+        own = F.struct(F.lit(i).alias("__side"), *[F.col(c) for c in side.columns if c not in keys])
+        part = side.select(*keys, F.lit(i).alias("__side"), own.alias(f"__row{i}"))
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    counts = [F.count_if(F.col("__side") == i).alias(f"__n{i}") for i in range(len(sides))]
+    found = stacked.groupBy(*keys).agg(*counts, *[F.any_value(f"__row{i}", True).alias(f"__row{i}") for i in range(len(sides))]).filter("__n0 = 1")
+    number = F.coalesce(*[F.when(F.col(f"__n{i}") == 1, F.lit(i)) for i in range(1, len(sides))])
+    found = found.withColumn(pass_column, number)
+
+    def left(c: str) -> Column:
+        return F.col(c) if c in keys else F.col("__row0")[c].alias(c)
+
+    def right(c: str) -> Column:
+        return F.coalesce(*[F.when(F.col(pass_column) == i, F.col(f"__row{i}")[c]) for i, p in enumerate(pools, start=1) if c in p.columns]).alias(c)
+
+    kept = list(source.columns)
+    added = list(dict.fromkeys(c for p in pools for c in p.columns if c not in kept))
+    linked = found.filter(F.col(pass_column).isNotNull()).select(*map(left, kept), *map(right, added), pass_column)
+    return linked, found.filter(F.col(pass_column).isNull()).select(*map(left, kept))
 
 
 def review_candidates(pairs: DataFrame, date_pairs: Mapping[str, tuple[str, str]]) -> DataFrame:

@@ -75,14 +75,15 @@ def derive_strata(panel: DataFrame, index: str, age: str, duration: Column, age_
     """Area-index halves, age class and programme-duration halves (3 = never treated).
 
     Halves are by value over the rows of the panel. With `sex_values`, rows of other
-    values are dropped, after the area halves are cut and before the duration halves.
-    The panel is stored first, as each cut reads it several times.
+    values are dropped, after the area halves are cut and before the duration halves. Only the
+    columns that the cuts need are stored; the panel itself is read once.
     """
-    out = xtile(stable(panel), index, 2, "index_half")
+    cut = stable(panel.select(F.col(index).alias("index"), duration.alias("days"), F.col(sex).alias("sex")))
+    out = xtile(panel, index, 2, "index_half", cut.select(F.col("index").alias(index)))
     if sex_values:
-        out = out.filter(F.col(sex).isin(*sex_values))
+        out, cut = out.filter(F.col(sex).isin(*sex_values)), cut.filter(F.col("sex").isin(*sex_values))
     out = out.withColumns({"age_high": as_flag(ge(age, age_cut)), "duration_days": duration})
-    out = xtile(out, "duration_days", 2, "duration_half")
+    out = xtile(out, "duration_days", 2, "duration_half", cut.select(F.col("days").alias("duration_days")))
     return out.withColumn("duration_half", F.coalesce(F.col("duration_half"), F.lit(3)))
 
 

@@ -14,6 +14,7 @@ from ..operators.collapse import dedupe
 from ..operators.filters import exclude, trim_by_sd
 from ..operators.keys import attach
 from ..operators.merge import lookup, map_to_person, merge_keep_or, merge_tables
+from ..operators.report import Attrition
 from ..session import stable
 
 
@@ -62,12 +63,17 @@ class SampleParams:
 
 def build_sample(flags: DataFrame, patient: DataFrame, linked: DataFrame, index: DataFrame,
                  profile: DataFrame, params: SampleParams,
-                 excluded_sites: DataFrame | None = None) -> DataFrame:
+                 excluded_sites: DataFrame | None = None, steps: Attrition | None = None) -> DataFrame:
     """One row per person: every linked (treated) person and every eligible control.
 
-    Flag rows shrink to one per site key before any join.
+    Flag rows shrink to one per site key before any join. With `steps`, persons are counted after each
+    rule, by the job that stores the sample for its outlier rule and the one that uses the result.
     """
     p = params
+
+    def passed(name: str, df: DataFrame) -> DataFrame:
+        return df if steps is None else steps.passed(name, df)
+
     key, person = p.site_key, p.person
     rows = flags.groupBy(key).agg(F.max(as_flag(F.col(p.status) == p.eligible_status)).alias("eligible"))
     rows = rows.withColumn("site", split_key(key, 1))
@@ -83,16 +89,16 @@ def build_sample(flags: DataFrame, patient: DataFrame, linked: DataFrame, index:
     df = df.withColumn("first_enrol", first)
     df = df.withColumn("first_enrol_q", quarter_of_month("first_enrol"))
     df = df.filter(~le(days_between(p.withdrawn, p.enrolled_first), p.early_days))
-    df = dedupe(df, person, [key])
+    df = passed("linked or eligible", dedupe(df, person, [key]))
 
     df = df.withColumn("yob", to_number("yob", kind="int"))
-    df = df.filter(age_in(p.year, "yob") >= p.min_age)
-    df = lookup(df, index, "post_code")
+    df = passed("adults", df.filter(age_in(p.year, "yob") >= p.min_age))
+    df = passed("known area", lookup(df, index, "post_code"))
     df = df.withColumn("treated", F.col("first_enrol").isNotNull().cast("int"))
 
     flags_of = [f for _, f in p.conditions]
     df = merge_tables(df, profile.select(person, *flags_of), person, "1:1", keep=(1, 3), indicator="__m")
-    df = df.filter((F.col("__m") == 3) | (F.col("treated") == 1)).drop("__m")
+    df = passed("with conditions or treated", df.filter((F.col("__m") == 3) | (F.col("treated") == 1)).drop("__m"))
     df = df.withColumns({s: F.when(F.col("treated") == 0, F.col(f)).otherwise(F.col(s))
                          for s, f in p.conditions}).drop(*[f for _, f in p.conditions if f not in
                                                            [s for s, _ in p.conditions]])
@@ -100,8 +106,8 @@ def build_sample(flags: DataFrame, patient: DataFrame, linked: DataFrame, index:
     if p.excluded_quarter is not None:
         df = df.filter(~F.col("first_enrol_q").eqNullSafe(F.lit(p.excluded_quarter)))
     # the outlier rule reads the sample twice, for its bound and for its rows
-    df = stable(df.withColumn("age", age_in(p.year, "yob")))
-    return trim_by_sd(df, "age", person, F.col("treated") == 1, p.sd_limit, lower=True, round_out=True)
+    df = stable(passed("other start quarters", df.withColumn("age", age_in(p.year, "yob"))))
+    return passed("trimmed by age", trim_by_sd(df, "age", person, F.col("treated") == 1, p.sd_limit, lower=True, round_out=True))
 
 
 def death_quarter(patient: DataFrame, person: str, year: str = "yod", month: str = "mod",

@@ -19,6 +19,7 @@ from ..operators.did import did_batch
 from ..operators.filters import censor_after
 from ..operators.matching import cem
 from ..operators.merge import append, merge_tables
+from ..operators.report import Attrition
 from . import values
 from .conditions import condition_profile
 from .events import any_class_count, category_counts, clean_events, event_counts, sample_map
@@ -107,8 +108,9 @@ def pools(tables: Mapping[str, DataFrame], params: StudyParams) -> tuple[DataFra
     return first, second
 
 
-def sample_stage(tables: Mapping[str, DataFrame], params: StudyParams) -> dict[str, DataFrame]:
-    """Profiles, linkage and the study sample, with its matched variant."""
+def sample_stage(tables: Mapping[str, DataFrame], params: StudyParams, steps: Attrition | None = None) -> dict[str, DataFrame]:
+    """Profiles, linkage and the study sample, with its matched variant; `steps` counts persons
+    after each rule of the sample."""
     profile = conditions(tables, params)
     linked, review = link_rosters(
         {"a": roster_a(tables, params), "b": roster_b(tables, params)}, pools(tables, params),
@@ -125,7 +127,7 @@ def sample_stage(tables: Mapping[str, DataFrame], params: StudyParams) -> dict[s
                      conditions=[("cardio", "has_cardio"), ("resp", "has_respiratory"),
                                  ("frailty", "has_muscul")],
                      excluded_quarter=period(params.excluded_quarter)),
-        tables.get("excluded_sites"))
+        tables.get("excluded_sites"), steps)
     matched = cem(sample.filter(F.col("sex").isin("Male", "Female")), "treated", {"age": values.AGE_CUTS},
                   exact=["sex", "post_code", "cardio", "resp", "frailty"]).filter("cem_matched = 1")
     return {"profile": profile, "linked": linked, "review": review, "sample": sample, "matched": matched}

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import dates as D, missing as M, text as X
 from ..operators import collapse as C
 from ..plans import linking, rosters, sample as SP, timelines
+from ..operators.report import Attrition
 from ..plans.conditions import condition_profile as build_profile
+from ..session import stable
 from .base import Tables, query, sql_month, sql_quarter, text
 from .joins import LINK, ROSTER_SQL, link_sides
 
@@ -202,13 +204,14 @@ def linked_rosters(t: Tables) -> DataFrame:
 
 
 CONDITIONS_SQL = """
-prof AS (SELECT o_custkey AS person, CAST(max(o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AS INTEGER) AS has_cardio,
-  CAST(max(o_totalprice > 480000) AS INTEGER) AS has_resp FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)"""
+prof AS (SELECT CASE WHEN o_orderstatus = 'P' OR o_custkey % 5 = 2 THEN o_custkey + 100000000 ELSE o_custkey END AS person,
+  CAST(max(o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AS INTEGER) AS has_cardio, CAST(max(o_totalprice > 480000) AS INTEGER) AS has_resp FROM orders GROUP BY 1)"""
 
 
 def order_profile(t: Tables) -> DataFrame:
-    """Two conditions of the persons who have orders that are not pending."""
-    return C.any_by(t.orders.filter("o_orderstatus <> 'P'").withColumnRenamed("o_custkey", "person"), "person", {
+    """Two conditions per person. Pending orders, and all of a fifth of the customers, are of persons whom no other table has."""
+    other = F.when((F.col("o_orderstatus") == "P") | (F.col("o_custkey") % 5 == 2), F.col("o_custkey") + 100_000_000)
+    return C.any_by(t.orders.withColumn("person", other.otherwise(F.col("o_custkey"))), "person", {
         "has_cardio": (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F"),
         "has_resp": F.col("o_totalprice") > 480000})
 
@@ -254,7 +257,7 @@ u AS (SELECT * FROM s WHERE (profiled OR treated = 1) AND first_enrol_q IS DISTI
 bound AS (SELECT ceil(avg(age) - 1 * stddev_samp(age)) AS lo FROM u WHERE treated = 1)"""
 
 
-def study_sample(t: Tables) -> DataFrame:
+def study_sample(t: Tables, steps: Attrition | None = None) -> DataFrame:
     """The sample from the given tables: lines as flags, orders as spells, customers as
     persons, nations as areas."""
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -282,7 +285,7 @@ def study_sample(t: Tables) -> DataFrame:
     sites = t.supplier.filter("s_nationkey = 7").select(F.col("s_suppkey").cast("string"))
     params = SP.SampleParams(site_key="key", person="person", status="status", demographics=("yob", "post_code", "sex"), conditions=[("cardio", "has_cardio"), ("resp", "has_resp")],
                              excluded_quarter=D.yq(1996, 2), sd_limit=1)
-    return SP.build_sample(flags, patient, linked, index, order_profile(t), params, sites)
+    return SP.build_sample(flags, patient, linked, index, order_profile(t), params, sites, steps)
 
 
 @query(f"""
@@ -296,6 +299,22 @@ def built_sample(t: Tables) -> DataFrame:
                                   "date_death", "age", "cardio", "resp")
 
 
+@query(f"""
+WITH {SAMPLE_SQL}, known AS (SELECT * FROM d JOIN nation ON post_code = n_nationkey WHERE 2025 - yob >= 18)
+SELECT CAST(step AS INTEGER) AS step, name, CAST(n AS BIGINT) AS n_rows, CAST(n AS BIGINT) AS n_persons FROM (
+  SELECT 1 AS step, 'linked or eligible' AS name, count(*) AS n FROM d
+  UNION ALL SELECT 2, 'adults', count(*) FROM d WHERE 2025 - yob >= 18
+  UNION ALL SELECT 3, 'known area', count(*) FROM known
+  UNION ALL SELECT 4, 'with conditions or treated', count(*) FROM known LEFT JOIN prof USING (person) WHERE prof.person IS NOT NULL OR first_enrol IS NOT NULL
+  UNION ALL SELECT 5, 'other start quarters', count(*) FROM u
+  UNION ALL SELECT 6, 'trimmed by age', count(*) FROM u, bound WHERE age >= lo)""")
+def sample_attrition(t: Tables) -> DataFrame:
+    """Persons left after each rule of the study sample, counted while it is built."""
+    steps = Attrition("person")
+    stable(study_sample(t, steps))
+    return steps.table(t.spark)
+
+
 @query("""
 WITH b AS (SELECT o_custkey AS key, o_orderstatus AS born_status, CAST(o_orderdate AS DATE) AS born FROM orders
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1)

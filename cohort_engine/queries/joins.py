@@ -46,11 +46,12 @@ def merged_one_to_many(t: Tables) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, c_custkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey
-LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey""")
+LEFT JOIN nation ON c_nationkey = CASE WHEN n_regionkey = 2 THEN n_nationkey + 100 ELSE n_nationkey END""")
 def inner_and_left(t: Tables) -> DataFrame:
     """A required and an optional lookup."""
     df = M.lookup(t.orders.withColumnRenamed("o_custkey", "c_custkey"), t.customer, "c_custkey", ["c_mktsegment", "c_nationkey"])
-    nations = t.nation.filter("n_regionkey <> 2").withColumnRenamed("n_nationkey", "c_nationkey")
+    other = F.when(F.col("n_regionkey") == 2, F.col("n_nationkey") + 100)  # keys of no customer
+    nations = t.nation.withColumn("c_nationkey", other.otherwise(F.col("n_nationkey")))
     df = M.lookup(df, nations, "c_nationkey", ["n_name"], required=False)
     return df.select("o_orderkey", "c_custkey", "c_mktsegment", "n_name")
 
@@ -91,9 +92,9 @@ def matched_or_condition(t: Tables) -> DataFrame:
 
 ROSTER_SQL = """
 k AS (SELECT c_custkey, c_nationkey, c_mktsegment, CAST(round(c_acctbal / 500) AS INTEGER) AS band FROM customer),
-a0 AS (SELECT c_custkey AS a_key, c_nationkey, c_mktsegment, band FROM k WHERE c_mktsegment <> 'FURNITURE'),
-b0 AS (SELECT c_custkey AS b_key, c_nationkey, c_mktsegment, band FROM k WHERE c_mktsegment <> 'MACHINERY'),
-c0 AS (SELECT c_custkey AS b_key, c_nationkey, c_mktsegment, band FROM k WHERE c_mktsegment <> 'BUILDING'),
+a0 AS (SELECT c_custkey AS a_key, c_nationkey, c_mktsegment, band + CASE WHEN c_mktsegment = 'FURNITURE' THEN 1000 ELSE 0 END AS band FROM k),
+b0 AS (SELECT c_custkey AS b_key, c_nationkey, c_mktsegment, band + CASE WHEN c_mktsegment = 'MACHINERY' THEN 2000 ELSE 0 END AS band FROM k),
+c0 AS (SELECT c_custkey AS b_key, c_nationkey, c_mktsegment, band + CASE WHEN c_mktsegment = 'BUILDING' THEN 3000 ELSE 0 END AS band FROM k),
 a AS (SELECT * FROM a0 QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment, band) = 1),
 b AS (SELECT * FROM b0 QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment, band) = 1),
 c AS (SELECT * FROM c0 QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment, band) = 1)"""
@@ -102,9 +103,14 @@ LINK = ["c_nationkey", "c_mktsegment", "band"]
 
 def link_sides(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     k = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment", (F.round(F.col("c_acctbal") / 500)).cast("int").alias("band"))
-    a = k.filter("c_mktsegment <> 'FURNITURE'").withColumnRenamed("c_custkey", "a_key")
-    b = k.filter("c_mktsegment <> 'MACHINERY'").withColumnRenamed("c_custkey", "b_key")
-    c = k.filter("c_mktsegment <> 'BUILDING'").withColumnRenamed("c_custkey", "b_key")
+
+    def apart(segment: str, by: int) -> DataFrame:
+        """All persons; those of one segment have link keys that no other side has."""
+        return k.withColumn("band", F.when(F.col("c_mktsegment") == segment, F.col("band") + by).otherwise(F.col("band")))
+
+    a = apart("FURNITURE", 1000).withColumnRenamed("c_custkey", "a_key")
+    b = apart("MACHINERY", 2000).withColumnRenamed("c_custkey", "b_key")
+    c = apart("BUILDING", 3000).withColumnRenamed("c_custkey", "b_key")
     return a, b, c
 
 
@@ -157,10 +163,10 @@ def person_periods(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, n_regionkey AS area_value FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey BETWEEN 3 AND 20""")
+SELECT c_custkey, n_regionkey AS area_value FROM customer JOIN nation ON c_nationkey = nullif(n_nationkey, 7)""")
 def area_lookup(t: Tables) -> DataFrame:
-    """Inner lookup of an area value."""
-    index = t.nation.filter("n_nationkey BETWEEN 3 AND 20").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("area_value"))
+    """Inner lookup of an area value; one area's key is missing."""
+    index = t.nation.select(F.nullif("n_nationkey", F.lit(7)).alias("c_nationkey"), F.col("n_regionkey").alias("area_value"))
     return M.lookup(t.customer, index, "c_nationkey").select("c_custkey", "area_value")
 
 

@@ -268,7 +268,9 @@ SELECT CAST(step AS INTEGER) AS step, name, CAST(n_rows AS BIGINT) AS n_rows, CA
   UNION ALL SELECT 2, 'followed', count(*), count(DISTINCT c_custkey) FROM kept
   UNION ALL SELECT 3, 'sample', count(*), count(DISTINCT person) FROM u, bound WHERE age >= lo)""")
 def attrition(t: Tables) -> DataFrame:
-    """Rows and persons after each step."""
-    panel = stable(order_panel(t).select("c_custkey", "q", "c_mktsegment"))  # counted, and read again by the next stage
-    return report.attrition({"panel": panel, "followed": followed_panel(t, panel),
-                             "sample": study_sample(t).withColumnRenamed("person", "c_custkey")}, "c_custkey")
+    """Rows and persons after each step, counted by the jobs that store panel and sample."""
+    steps, first = report.Attrition("c_custkey"), F.col("q") == FIRST_Q  # follow-up ends later, so every person keeps that quarter
+    panel = steps.passed("panel", order_panel(t).select("c_custkey", "q", "c_mktsegment"), first)
+    stable(steps.passed("followed", followed_panel(t, panel), first))
+    stable(steps.passed("sample", study_sample(t)))
+    return steps.table(t.spark)

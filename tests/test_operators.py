@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohort_engine.operators import collapse as C, filters as FL, keys as K, linkage as L, merge as M
 from cohort_engine.operators import matching, ordering as O, projections as P, report, windows as W
+from cohort_engine.session import stable
 from conftest import rows
 
 
@@ -252,6 +253,18 @@ def test_percentiles_run_nothing_before_they_are_used(spark):
             out.collect()
 
 
+def test_attrition_counts_while_a_stage_is_stored(spark):
+    steps = report.Attrition("id")
+    df = spark.range(0, 100, 1, 4).withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    panel = steps.passed("panel", df, F.col("q") == 1)
+    odd = steps.passed("odd", panel.filter("id % 2 = 1 AND q < 3"), F.col("q") == 1)
+    people = steps.passed("people", odd.groupBy("id").count().join(spark.range(0, 100, 5), "id"))
+    kept = stable(people)
+    assert kept.count() == 10
+    assert rows(steps.table(spark)) == [(1, "panel", 300, 100), (2, "odd", 100, 50), (3, "people", 10, 10)]
+    assert rows(report.attrition({"panel": df, "people": kept}, "id")) == [(1, "panel", 300, 100), (2, "people", 10, 10)]
+
+
 def test_cascade_is_disjoint_and_complete(spark):
     rnd = random.Random(11)
 
@@ -261,6 +274,9 @@ def test_cascade_is_disjoint_and_complete(spark):
 
     source, one, two = people(60, "s"), people(40, "p"), people(50, "p")
     linked, rest = L.link_cascade(source, [one, two], ["a", "b"])
+    for out in (linked, rest):
+        assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(a") == 1
     unique = {r["s"] for r in FL.keep_unique_keys(source, ["a", "b"]).collect()}
     found, left = [r["s"] for r in linked.collect()], [r["s"] for r in rest.collect()]
     assert len(found) == len(set(found)) and not set(found) & set(left) and set(found) | set(left) == unique
