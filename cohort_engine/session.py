@@ -36,16 +36,28 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`, else one in the warehouse.
+
+    Fails on a cluster whose warehouse is a folder of each machine: what one executor writes
+    there, no other finds.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if (warehouse.startswith("file:") or ":/" not in warehouse) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/_shared"
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder, so later passes see the same rows in
     the same partitions whatever executors are lost in between.
 
-    The folder is the one the session names in `spark.checkpoint.dir`, else one in the
-    warehouse: both are shared by driver and executors.
+    The folder is that of `shared_folder`.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -3,28 +3,100 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.dates import period
 from ..functions.text import NUMBER_PATTERN
 
 
-def read_csv_strict(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                    multiline: bool = False) -> DataFrame:
+QUOTED = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+
+
+def read_csv_strict(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
+                    multiline: bool = False, source: str | None = None) -> DataFrame:
     """Quoted CSV in which a quoted field may hold delimiters and quotes.
 
     Without a schema every column is text; typing is a separate step. A cell that its type
     cannot hold, a row of too few or too many cells and a header unlike the schema make the read fail.
-    `multiline` allows newlines in quoted fields; no reader can split such a file,
-    so ship such extracts as many files.
+    `multiline` allows newlines in quoted fields too (`read_csv_records`). `source` adds a column
+    with the path of each row's file.
     """
-    reader = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-              .option("multiLine", multiline).option("enforceSchema", False).option("mode", "FAILFAST"))
+    if multiline:
+        return read_csv_records(spark, path, schema, source)
+    reader = spark.read.option("header", True).options(**QUOTED).option("enforceSchema", False)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.csv(path)
+    rows = reader.csv(path)
+    return rows.select("*", F.col("_metadata.file_path").alias(source)) if source else rows
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file on any file system that Spark reads."""
+    jvm, place = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def csv_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """`path`, `record` (number in its file, from 0), `text` of the records of CSV files whose
+    quoted fields may hold newlines; blank records are left out.
+
+    Lines are read from all byte ranges of a file at once. A newline ends a record if the quotes before
+    it are even in number. Quotes are counted per range, so a running sum over the ranges of a
+    file (a row each) tells each range whether it begins inside quotes, and another how many
+    records begin before it; within its range each line is then numbered by itself. Records of one
+    line are done there; only the lines of longer ones are put together, also across ranges.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"),
+        F.monotonically_increasing_id().alias("at"), "value", F.regexp_count("value", F.lit('"')).alias("quotes"))
+    before = W.partitionBy("path").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy("path", "range").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+
+    def ahead(per_range: DataFrame, total: str) -> DataFrame:
+        return per_range.select(F.col("path").alias("p"), F.col("range").alias("r"), F.coalesce(F.sum(total).over(before), F.lit(0)).alias("ahead"))
+
+    def with_ahead(rows: DataFrame, per_range: DataFrame, total: str) -> DataFrame:
+        return rows.join(ahead(per_range, total), (F.col("path") == F.col("p")) & (F.col("range") == F.col("r"))).drop("p", "r")
+
+    quotes = lines.groupBy("path", "range").agg(F.sum("quotes").alias("quotes"))
+    rows = with_ahead(lines, quotes, "quotes")
+    even = (F.col("ahead") + F.coalesce(F.sum("quotes").over(upto), F.lit(0))) % 2 == 0
+    rows = rows.withColumn("begins", even.cast("int")).drop("ahead")
+    begun = rows.groupBy("path", "range").agg(F.sum("begins").alias("begins"))
+    rows = with_ahead(rows, begun, "begins").withColumn("record", F.col("ahead") + F.coalesce(F.sum("begins").over(upto), F.lit(0)) + F.col("begins") - 1)
+    whole = (F.col("begins") == 1) & (F.col("quotes") % 2 == 0)
+    single = rows.filter(whole).select("path", "record", F.col("value").alias("text"))
+    parts = rows.filter(~whole).groupBy("path", "record").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    text = F.rtrim(F.col("text"), F.lit("\r"))
+    return (single.unionByName(parts.select("path", "record", F.array_join("parts.value", "\n").alias("text")))
+            .select("path", "record", text.alias("text")).filter(F.trim("text") != ""))
+
+
+def read_csv_records(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
+                     source: str | None = None) -> DataFrame:
+    """`read_csv_strict` for files whose quoted fields may hold newlines, read in many tasks."""
+    records = csv_records(spark, path)
+    names = schema.names if schema else spark.read.option("header", True).options(**QUOTED).csv(path).columns
+    schema = schema or T.StructType([T.StructField(n, T.StringType()) for n in names])
+    text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    heading = F.from_csv("text", _ddl(text), QUOTED)
+    agrees = F.lit(True)
+    for i, name in enumerate(names):
+        agrees = agrees & heading[f"c{i}"].eqNullSafe(F.lit(name))
+    unlike = F.raise_error(F.concat(F.lit("MALFORMED header, unlike the schema: "), F.col("text"))).cast("boolean")
+    rows = records.filter(F.when(F.col("record") > 0, True).when(agrees, False).otherwise(unlike))
+    return rows.select(F.from_csv("text", _ddl(schema), QUOTED).alias("r"), "path").select("r.*", *([F.col("path").alias(source)] if source else []))
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
 # Candidate types in order, with the shape a text must have to be read as one.
@@ -67,14 +139,31 @@ def _stem(path: str) -> str:
 
 def ingest_csv_files(spark: SparkSession, paths: Iterable[str], dst: str,
                      schemas: Mapping[str, T.StructType] | None = None, multiline: bool = False) -> list[str]:
-    """Store each CSV file as a Parquet table of the same name; returns the names."""
-    names = []
+    """Store each CSV file as a Parquet table of the same name; returns the names.
+
+    Files of one header and schema are read and written together by one job, whose tasks write
+    the rows of each file below its name; the finished folders then take the place of the old tables.
+    """
+    paths = list(paths)
+    groups: dict[tuple, list[str]] = {}
     for path in paths:
-        name = _stem(path)
-        df = read_csv_strict(spark, path, (schemas or {}).get(name), multiline)
-        write_table(df, f"{dst}/{name}")
-        names.append(name)
-    return names
+        schema = (schemas or {}).get(_stem(path))
+        groups.setdefault((first_line(spark, path).rstrip("\r"), schema and schema.json()), []).append(path)
+    for some in groups.values():
+        staged = f"{dst}/_ingest-{uuid.uuid4().hex}"
+        df = read_csv_strict(spark, some, (schemas or {}).get(_stem(some[0])), multiline, source="__path")
+        df.withColumn("__table", F.regexp_extract("__path", r"([^/]*)\.csv$", 1)).drop("__path").write.partitionBy("__table").parquet(staged)
+        place = spark._jvm.org.apache.hadoop.fs.Path
+        files = place(dst).getFileSystem(spark._jsc.hadoopConfiguration())
+        for name in map(_stem, some):
+            own = place(f"{staged}/__table={name}")
+            if not files.exists(own):  # a file without rows
+                read_csv_strict(spark, next(p for p in some if _stem(p) == name), (schemas or {}).get(name)).write.mode("overwrite").parquet(f"{dst}/{name}")
+                continue
+            files.delete(place(f"{dst}/{name}"), True)
+            files.rename(own, place(f"{dst}/{name}"))
+        files.delete(place(staged), True)
+    return [_stem(p) for p in paths]
 
 
 def ingest_csv_dir(spark: SparkSession, src: str, dst: str,
@@ -100,6 +189,35 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
     writer.parquet(path)
 
 
+def write_periods(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Put `df` in the place of the partitions that it has rows of; all others keep their files."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def add_extract(spark: SparkSession, extract: DataFrame, name: str, events: str, counts: str, period: str,
+                count: Callable[[DataFrame], DataFrame]) -> None:
+    """Add a later extract to a stored table of events and bring a table of counts per period up to date.
+
+    Events lie in partitions of period and extract, counts (`count` of the events, which keeps `period`) in
+    partitions of period. Only the periods of the extract are read and counted again, so the work is that of
+    the extract and not of the history. An extract that is added again under its name replaces itself
+    in the periods it has. Rows without a period are in no period and are left out.
+    """
+    rows = extract.filter(F.col(period).isNotNull()).withColumn("extract", F.lit(name))
+    periods = [r[0] for r in rows.select(period).distinct().collect()]  # a few months
+    write_periods(rows, events, [period, "extract"])
+    if periods:
+        touched = spark.read.parquet(events).filter(F.col(period).isin(periods)).drop("extract")
+        write_periods(count(touched), counts, [period])
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int, period: str | None = None) -> None:
+    """A table of the catalog whose rows lie by period and, within, in buckets of the key in its order:
+    windows skip partitions, and joins by the key to a table of as many buckets need no exchange."""
+    writer = df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key)
+    (writer.partitionBy(period) if period else writer).saveAsTable(table)
+
+
 def drop_leading_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """Drop the n rows that come first by `order`, which must identify a row.
 
