@@ -41,6 +41,42 @@ def n_distinct(df: DataFrame, by: str | Sequence[str], entities: Mapping[str, st
     return df.groupBy(*as_list(by)).agg(*[distinct_count(c).alias(o) for o, c in entities.items()])
 
 
+def entity_sets(df: DataFrame, by: str | Sequence[str], number: str) -> DataFrame:
+    """The different entities of each group as sets that can be merged: `by`, `bucket`, `members`, `missing`.
+
+    Entities are dense numbers (see `group_id`). A row holds those of one range of 32,768 numbers as a
+    bitmap of 4 KB, so a group of any size is spread over rows of fixed size, and what is
+    shuffled is bitmaps and not events. `missing` says whether an entity was missing.
+    """
+    n = F.col(number)
+    return df.groupBy(*as_list(by), F.bitmap_bucket_number(n).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("members"), F.max(as_flag(n.isNull())).alias("missing"))
+
+
+def merge_sets(sets: DataFrame, by: str | Sequence[str]) -> DataFrame:
+    """Unions of the sets of `entity_sets` by coarser groups."""
+    return sets.groupBy(*as_list(by), "bucket").agg(F.bitmap_or_agg("members").alias("members"), F.max("missing").alias("missing"))
+
+
+def set_sizes(sets: DataFrame, by: str | Sequence[str], out: str = "n") -> DataFrame:
+    """How many different entities each set has, all missing ones counting as one."""
+    return sets.groupBy(*as_list(by)).agg((F.sum(F.bitmap_count("members")) + F.max("missing")).cast("bigint").alias(out))
+
+
+def distinct_by_period(df: DataFrame, by: str | Sequence[str], month: str, number: str) -> DataFrame:
+    """Different entities per group by month, quarter and year (`by`, `unit`, `period`, `n`). Events are read
+    once: quarters are merged from months and years from quarters, which counts could not be."""
+    by = as_list(by)
+    months = entity_sets(df.withColumn("period", F.col(month)), [*by, "period"], number)
+    quarters = merge_sets(months.withColumn("period", F.floor(F.col("period") / 3).cast("int")), [*by, "period"])
+    years = merge_sets(quarters.withColumn("period", F.floor(F.col("period") / 4).cast("int")), [*by, "period"])
+    out = None
+    for unit, sets in (("month", months), ("quarter", quarters), ("year", years)):
+        part = set_sizes(sets, [*by, "period"]).select(*by, F.lit(unit).alias("unit"), "period", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def any_by(df: DataFrame, by: str | Sequence[str], flags: Mapping[str, Column]) -> DataFrame:
     """1 where any row of the group meets the condition, else 0; `{output: condition}`."""
     return df.groupBy(*as_list(by)).agg(*[F.max(as_flag(c)).alias(o) for o, c in flags.items()])

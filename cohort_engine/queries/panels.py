@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dates as D, missing as M
 from ..operators import collapse as C, filters as FL, report
 from ..plans import events as E, panel as P
-from ..session import stable
+from ..session import shared_folder, stable
+from ..sources import tables as S
 from .base import PART_SETS, PART_SETS_SQL, Tables, query, rounded, sql_month, sql_quarter, sql_rounded
 from .cohorts import SAMPLE_SQL, study_sample
 
@@ -64,6 +67,56 @@ def service_counts(t: Tables) -> DataFrame:
     return E.event_counts(events, ["person", "q"], "code_num", PART_SETS, {"prac_num": "practice", "prov_num": "provider"})
 
 
+MONTHLY_PARTS_SQL = f"""
+ev AS (SELECT c_nationkey, nullif(l_partkey, 500) AS part, {sql_month('l_shipdate')} AS m
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _distinct_sql(unit: str, months: int) -> str:
+    return (f"SELECT c_nationkey, '{unit}' AS unit, CAST(m // {months} AS INTEGER) AS period, "
+            "CAST(count(DISTINCT part) + max(CASE WHEN part IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n FROM ev GROUP BY ALL")
+
+
+@query(f"WITH {MONTHLY_PARTS_SQL} " + " UNION ALL ".join(_distinct_sql(*x) for x in (("month", 1), ("quarter", 3), ("year", 12))))
+def distinct_by_period(t: Tables) -> DataFrame:
+    """Different providers per area by month, quarter and year from one pass (A2, A3)."""
+    rows = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+            .select("c_nationkey", F.nullif("l_partkey", F.lit(500)).alias("part"), D.month_index("l_shipdate").alias("m")))
+    return C.distinct_by_period(rows, "c_nationkey", "m", "part")
+
+
+@query(f"""
+SELECT l_suppkey, {sql_month('l_shipdate')} AS m, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (l_returnflag = 'R') AS BIGINT) AS n_returned
+FROM lineitem GROUP BY ALL""")
+def counts_after_later_extract(t: Tables) -> DataFrame:
+    """Monthly counts of an older extract, brought up to date by a later one that shares a month with it."""
+    cut, folder = D.ym(1999, 6), f"{shared_folder(t.spark)}/extracts-{uuid.uuid4().hex}"
+    rows = t.lineitem.select("l_suppkey", "l_returnflag", "l_linenumber", D.month_index("l_shipdate").alias("m"))
+    older = (F.col("m") < cut) | ((F.col("m") == cut) & (F.col("l_linenumber") % 2 == 0))
+
+    def count(events: DataFrame) -> DataFrame:
+        return events.groupBy("l_suppkey", "m").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"))
+
+    for name, extract in (("older", rows.filter(older)), ("later", rows.filter(~older))):
+        S.add_extract(t.spark, extract, name, f"{folder}/events", f"{folder}/counts", "m", count)
+    return S.read_table(t.spark, f"{folder}/counts").select("l_suppkey", "m", "n", "n_returned")
+
+
+@query(f"""
+SELECT c_mktsegment, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS price
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY ALL""")
+def bucketed_events(t: Tables) -> DataFrame:
+    """Events laid out by period and person, joined to persons laid out alike without an exchange of either."""
+    tag = uuid.uuid4().hex
+    folder = f"{shared_folder(t.spark)}/bucketed-{tag}"
+    events = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_totalprice", F.year("o_orderdate").alias("year"))
+    S.write_bucketed(events, f"events_{tag}", f"{folder}/events", "c_custkey", 8, "year")
+    S.write_bucketed(t.customer.select("c_custkey", "c_mktsegment"), f"persons_{tag}", f"{folder}/persons", "c_custkey", 8)
+    joined = t.spark.table(f"events_{tag}").filter("year BETWEEN 1996 AND 1998").join(t.spark.table(f"persons_{tag}"), "c_custkey")
+    out = joined.groupBy("c_mktsegment", "year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+    return out.select("c_mktsegment", "year", "n", "price")
+
+
 REFERRALS = {"n_all": None, "n_urgent": ["1-URGENT"], "n_soon": ["1-URGENT", "2-HIGH", "3-MEDIUM"], "n_low": ["5-LOW"]}
 
 

@@ -190,8 +190,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
 
 
 def write_periods(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Put `df` in the place of the partitions that it has rows of; all others keep their files."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    """Put `df` in the place of the partitions that it has rows of; all others keep their files.
+    Rows are shuffled by partition first, large ones to several tasks, so files are few."""
+    df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def add_extract(spark: SparkSession, extract: DataFrame, name: str, events: str, counts: str, period: str,

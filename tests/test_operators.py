@@ -106,6 +106,20 @@ def test_month_sums_then_quarter_sums_equal_quarter_sums(spark):
     assert rows(C.rollup_periods(df, "k", "m", ["v"])) == rows(direct)
 
 
+def test_distinct_entities_are_merged_from_one_pass(spark):
+    rnd = random.Random(9)
+    data = [(rnd.randint(1, 3), rnd.randint(740, 790), rnd.choice([None, *range(1, 90_000, 700)])) for _ in range(4_000)]
+    df = spark.createDataFrame(data, "k int, m int, e long")
+    out = C.distinct_by_period(df, "k", "m", "e")
+    want = {}
+    for k, m, e in data:
+        for unit, months in (("month", 1), ("quarter", 3), ("year", 12)):
+            want.setdefault((k, unit, m // months), set()).add(e)
+    assert {(r["k"], r["unit"], r["period"]): r["n"] for r in out.collect()} == {k: len(v) for k, v in want.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("ReusedExchange") >= 2  # events are grouped by month once
+
+
 def test_sequence_puts_missing_last_and_survives_hot_groups(spark):
     data = [(i, "hot" if i % 3 else f"k{i % 7}", None if i % 11 == 0 else i * 37 % 101) for i in range(600)]
     df = spark.createDataFrame(data, "id int, k string, d int")
