@@ -23,6 +23,8 @@ No step pairs units with units, so the work is the rows of the panel times the h
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import math
 from collections.abc import Mapping, Sequence
 from typing import Any
@@ -135,19 +137,22 @@ def unit_cells(units: DataFrame, effects: int, placebo: int, periods: tuple[int,
     return with_roles(rows.filter((F.col("sf") - 1 + F.col("l") >= lo) & (F.col("sf") - 1 + F.abs("l") <= hi)), lo)
 
 
-def cell_stats(cells: DataFrame) -> DataFrame:
+def cell_stats(cells: DataFrame, model: Sequence[str] = MODEL, n: Column | None = None) -> DataFrame:
     """Usable cells (switchers with controls): counts and sums of changes, for units
     whose treatment rose (`up`) and fell (`down`) and for controls. A placebo is usable
-    only where the effect at the same horizon is, so both are aggregated in one row."""
+    only where the effect at the same horizon is, so both are aggregated in one row. Rows may
+    also hold sums over `n` units."""
+    n = F.lit(1) if n is None else n
+
     def sums(effect: bool) -> list[Column]:
         side = (F.col("l") > 0) if effect else (F.col("l") < 0)
         return [F.struct(*[
             F.coalesce(F.sum(F.when(side & (F.col("role") == role), value)), F.lit(0)).cast("double").alias(f"{name}_{role}")
-            for role in ("up", "down", "c") for name, value in (("n", F.lit(1)), ("dy", F.col("dy")), ("dose", F.col("dose")))
+            for role in ("up", "down", "c") for name, value in (("n", n), ("dy", F.col("dy")), ("dose", F.col("dose")))
         ]).alias("e" if effect else "p")]
 
     h = F.abs("l").alias("h")
-    pair = cells.groupBy(*MODEL, "d1", "sf", h).agg(*sums(True), *sums(False))
+    pair = cells.groupBy(*model, "d1", "sf", h).agg(*sums(True), *sums(False))
 
     def usable(e: str) -> Column:
         return (F.col(f"{e}.n_up") + F.col(f"{e}.n_down") > 0) & (F.col(f"{e}.n_c") > 0)
@@ -155,18 +160,18 @@ def cell_stats(cells: DataFrame) -> DataFrame:
     entries = F.array_compact(F.array(
         F.struct(F.col("h").alias("l"), F.col("e").alias("x")),
         F.when(usable("p"), F.struct((-F.col("h")).alias("l"), F.col("p").alias("x")))))
-    rows = pair.filter(usable("e")).select(*MODEL, "d1", "sf", F.inline(entries))
-    return rows.select(*MODEL, "d1", "sf", "l", "x.*")
+    rows = pair.filter(usable("e")).select(*model, "d1", "sf", F.inline(entries))
+    return rows.select(*model, "d1", "sf", "l", "x.*")
 
 
-def _estimates(stats: DataFrame) -> DataFrame:
+def _estimates(stats: DataFrame, model: Sequence[str] = MODEL) -> DataFrame:
     """Total effect of the switchers by horizon, and over all effects as horizon 0."""
     change = F.col("dy_up") - F.col("dy_down")
     sign = F.col("n_up") - F.col("n_down")
-    rows = stats.select(*MODEL, F.explode(F.when(F.col("l") > 0, F.array("l", F.lit(0))).otherwise(F.array("l"))).alias("l"),
+    rows = stats.select(*model, F.explode(F.when(F.col("l") > 0, F.array("l", F.lit(0))).otherwise(F.array("l"))).alias("l"),
                         (change - sign * F.col("dy_c") / F.col("n_c")).alias("total"),
                         (F.col("n_up") + F.col("n_down")).alias("n_s"), "n_c", (F.col("dose_up") + F.col("dose_down")).alias("dose"))
-    sums = rows.groupBy(*MODEL, "l").agg(F.sum("total").alias("total"), F.sum("n_s").alias("n_switchers"),
+    sums = rows.groupBy(*model, "l").agg(F.sum("total").alias("total"), F.sum("n_s").alias("n_switchers"),
                                          (F.sum("n_s") + F.sum("n_c")).alias("n_obs"), F.sum("dose").alias("dose"))
     # an effect is per switcher, the average effect per unit of treatment received
     return sums.withColumn("per", F.when(F.col("l") == 0, F.col("dose")).otherwise(F.col("n_switchers"))).withColumn(
@@ -273,6 +278,86 @@ def did_dynamic(panel: DataFrame, y: str, id: str, t: str, d: str, effects: int
     return did_batch(panel, [y], id, t, d, effects, placebo, cluster, specs, periods, errors)
 
 
+# P(X <= k) of a Poisson variable of mean 1; what is above weighs 10.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+
+
+def poisson_weights(cluster: str, replicates: int, seed: int) -> list[int]:
+    """A cluster's weight in each replicate: Poisson of mean 1, by a hash of the cluster, so that
+    reruns and lost executors change nothing."""
+    draws = (int(hashlib.md5(f"{seed}:{cluster}:{b}".encode()).hexdigest()[:13], 16) / (1 << 52) for b in range(replicates))
+    return [bisect.bisect_right(POISSON, u) for u in draws]
+
+
+def weighted_cells(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Cells of all replicates: `replicate`, and per role the weighted sums `n`, `dy`, `dose`.
+
+    Weights are never a column. Each task adds the weights of its units to arrays beside its sums, one
+    place for a replicate, so the cells are read once for all replicates; a task gives
+    a row per cell and role, whatever its number of units.
+    """
+    keys = [*MODEL, *CELL, "role"]
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in keys}
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+        arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
+        weights: dict[str, list[int]] = {}
+        sums: dict[tuple, Any] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("cluster").dictionary_encode()
+            weights = {c: weights[c] if c in weights else poisson_weights(c, replicates, seed) for c in names.dictionary.to_pylist()}
+            w = np.array([weights[c] for c in names.dictionary.to_pylist()], float)[names.indices.to_numpy()]
+            places: dict[tuple, int] = {}
+            at = np.array([places.setdefault(k, len(places)) for k in zip(*(batch.column(c).to_pylist() for c in keys))])
+            order = np.argsort(at, kind="stable")
+            cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            for value, part in (("n", w), ("dy", w * batch.column("dy").to_numpy()[:, None]), ("dose", w * batch.column("dose").to_numpy()[:, None])):
+                added = np.add.reduceat(part[order], cuts)
+                for key, row in zip(places, added):
+                    own = sums.setdefault(key, {})
+                    own[value] = own[value] + row if value in own else row
+        rows = list(sums)
+        for i in range(0, len(rows), 256):
+            some = rows[i:i + 256]
+            columns = [pa.array(c, arrow[k]) for c, k in zip(zip(*some), kinds.values())]
+            arrays = [pa.array([sums[k][v] for k in some], pa.list_(pa.float64())) for v in ("n", "dy", "dose")]
+            yield pa.RecordBatch.from_arrays([*columns, *arrays], [*keys, "n", "dy", "dose"])
+
+    schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), *(f"{v} array<double>" for v in ("n", "dy", "dose"))])
+    rows = cells.select(*keys, F.coalesce(F.col("__cluster").cast("string"), F.lit("")).alias("cluster"), F.col("dy").cast("double").alias("dy"),
+                        F.coalesce(F.col("dose").cast("double"), F.lit(0.0)).alias("dose"))
+    each = F.posexplode(F.arrays_zip("n", "dy", "dose")).alias("replicate", "x")
+    return rows.mapInArrow(add, schema).select(*keys, each).groupBy(*keys, "replicate").agg(
+        *[F.sum(F.col("x")[v]).alias(v) for v in ("n", "dy", "dose")])
+
+
+def did_bootstrap(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str, effects: int = 10, placebo: int = 5,
+                  cluster: str | None = None, specs: Mapping[str, Mapping[str, Any]] | None = None,
+                  periods: tuple[int, int] | None = None, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """Estimates as in `did_batch` with errors from a cluster bootstrap: a row per model, kind and
+    horizon with `estimate`, `se` (standard deviation over the replicates in which the
+    horizon can be estimated) and `n_replicates` of these.
+
+    A replicate weighs each cluster by an independent Poisson draw, which at scale is a draw of clusters with
+    replacement. All replicates come from one pass over the cells.
+    """
+    if periods is None:
+        edge = panel.agg(F.min(t), F.max(t)).first()
+        periods = (int(edge[0]), int(edge[1]))
+    units = unit_models(stable(unit_profiles(panel, outcomes, id, t, d, cluster, specs or {"baseline": {}}, periods)), outcomes)
+    cells, model = unit_cells(units, effects, placebo, periods), [*MODEL, "replicate"]
+    draws = _estimates(cell_stats(weighted_cells(cells, replicates, seed), model, F.col("n")), model)
+    errors = draws.groupBy(*MODEL, "l").agg(F.stddev_samp("estimate").alias("se"), F.count("estimate").alias("n_replicates"))
+    points = _estimates(cell_stats(cells)).select(*MODEL, "l", "estimate")
+    kind = F.when(F.col("l") > 0, "effect").when(F.col("l") < 0, "placebo").otherwise("average")
+    return points.join(errors, [*MODEL, "l"], "left").select(
+        *MODEL, kind.alias("kind"), F.abs("l").alias("horizon"), "estimate", "se", F.coalesce("n_replicates", F.lit(0)).cast("bigint").alias("n_replicates"))
+
+
 def _chi2_upper(x: float, k: int) -> float:
     """Upper tail of the chi-squared distribution with k degrees of freedom."""
     if x <= 0:

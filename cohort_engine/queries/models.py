@@ -192,3 +192,27 @@ def matched_event_study(t: Tables) -> DataFrame:
     matched = people.filter("cem_matched = 1").withColumnRenamed("c_custkey", "id")
     panel = swap_sample(study_panel(t), matched, "id")
     return shown(did.did_dynamic(panel, "n_orders", "id", "t", "d", 6, 3, cluster="id", periods=(FIRST_Q, LAST_Q)))
+
+
+REPLICATES = 20
+_WEIGHT = " + ".join(f"(u >= {p!r})::INTEGER" for p in did.POISSON)
+
+
+@query(did_sql([("n_orders", "baseline", "'all'", "true"), ("n_orders", "area", "area", "true")], 3, 2) + f""",
+bw AS (SELECT cl, b, {_WEIGHT} AS w FROM (SELECT cl, b, CAST('0x' || substr(md5('1:' || cl || ':' || b), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM (SELECT DISTINCT cl FROM un), (SELECT unnest(range({REPLICATES})) AS b))),
+cb AS (SELECT outcome, spec, subgroup, d1, sf, l, b, sum(w) FILTER (sw) AS ns, sum(s * w) FILTER (sw) AS ss, sum(s * dy * w) FILTER (sw) AS dys,
+  sum(dose * w) FILTER (sw) AS dose, sum(w) FILTER (NOT sw) AS nc, sum(dy * w) FILTER (NOT sw) AS dyc FROM ob JOIN bw USING (cl) GROUP BY ALL HAVING ns > 0 AND nc > 0),
+cu AS (SELECT * FROM cb WHERE l > 0 OR EXISTS (SELECT 1 FROM cb z WHERE z.outcome = cb.outcome AND z.spec = cb.spec AND z.subgroup = cb.subgroup
+  AND z.d1 = cb.d1 AND z.sf = cb.sf AND z.b = cb.b AND z.l = -cb.l)),
+eb AS (SELECT outcome, spec, subgroup, b, l, sum(dys - ss * dyc / nc) / sum(ns) AS est FROM cu GROUP BY ALL
+  UNION ALL SELECT outcome, spec, subgroup, b, 0, sum(dys - ss * dyc / nc) / sum(dose) FROM cu WHERE l > 0 GROUP BY ALL),
+sb AS (SELECT outcome, spec, subgroup, l, stddev_samp(est) AS se, count(est) AS n_replicates FROM eb GROUP BY ALL)
+SELECT outcome, spec, subgroup, CASE WHEN l > 0 THEN 'effect' WHEN l < 0 THEN 'placebo' ELSE 'average' END AS kind, CAST(abs(l) AS INTEGER) AS horizon,
+  {sql_rounded('est')} AS estimate, {sql_rounded('se')} AS se, CAST(coalesce(n_replicates, 0) AS BIGINT) AS n_replicates
+FROM fin LEFT JOIN sb USING (outcome, spec, subgroup, l)""")
+def event_study_bootstrap(t: Tables) -> DataFrame:
+    """Errors by a bootstrap of persons, all replicates in one pass over the cells (C20)."""
+    out = did.did_bootstrap(study_panel(t), ["n_orders"], "id", "t", "d", 3, 2, specs={"baseline": {}, "area": {"by": "area"}},
+                            periods=(FIRST_Q, LAST_Q), replicates=REPLICATES)
+    return out.withColumns({"estimate": rounded("estimate"), "se": rounded("se")})

@@ -201,3 +201,32 @@ def test_joint_test_of_one_horizon_is_a_squared_ratio(spark, panel):
     for kind, h in (("effect", 1), ("placebo", -1)):
         assert tests[kind]["df"] == 1
         assert tests[kind]["chi2"] == pytest.approx((single[h]["estimate"] / single[h]["se"]) ** 2)
+
+
+def test_bootstrap_replicates_are_weighted_panels(spark):
+    """Each replicate equals the plain estimate on a panel in which every cluster's units stand as often as it weighs."""
+    df = simulate(90, 4)
+    panel = spark.createDataFrame(df)
+    units = did.unit_models(did.unit_profiles(panel, ["y"], "id", "t", "d", "cl", {"g": {"by": "g"}}, (1, PERIODS)), ["y"])
+    cells = did.unit_cells(units, 3, 2, (1, PERIODS)).repartition(5)
+    model = [*did.MODEL, "replicate"]
+    draws = did._estimates(did.cell_stats(did.weighted_cells(cells, 4, 1), model, F.col("n")), model).collect()
+    got = {(r["replicate"], r["subgroup"], r["l"]): r["estimate"] for r in draws}
+    want = {}
+    for b in range(4):
+        weights = {c: did.poisson_weights(str(c), 4, 1)[b] for c in df["cl"].unique()}
+        copies = pd.concat([df[df["cl"].map(weights) > k].assign(id=lambda x: x["id"].astype(str) + f"-{k}") for k in range(max(weights.values()))])
+        for r in did.did_batch(spark.createDataFrame(copies), ["y"], "id", "t", "d", 3, 2, specs={"g": {"by": "g"}}, periods=(1, PERIODS), errors=False).collect():
+            want[b, r["subgroup"], r["horizon"] * (-1 if r["kind"] == "placebo" else 1)] = r["estimate"]
+    assert got.keys() == want.keys() and len(got) > 40
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_bootstrap_agrees_with_the_analytic_errors(spark):
+    panel = spark.createDataFrame(simulate(900, 6, gaps=False))
+    boot = did.did_bootstrap(panel, ["y"], "id", "t", "d", 3, 1, cluster="cl", replicates=600).collect()
+    plain = {(r["kind"], r["horizon"]): r for r in did.did_batch(panel, ["y"], "id", "t", "d", 3, 1, cluster="cl").collect()}
+    assert len(boot) == len(plain) == 5
+    for r in boot:
+        assert r["estimate"] == pytest.approx(plain[r["kind"], r["horizon"]]["estimate"]) and r["n_replicates"] == 600
+        assert r["se"] == pytest.approx(plain[r["kind"], r["horizon"]]["se"], rel=0.1)
