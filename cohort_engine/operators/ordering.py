@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -115,11 +115,17 @@ def group_index(df: DataFrame, by: str | Sequence[str], order: str | Sequence[st
     return slices.df.withColumn(out, (begun + F.row_number().over(slices.window(*as_list(by)))).cast("bigint")).drop(*slices.done())
 
 
+def running_totals(df: DataFrame, order: str | Sequence[str], totals: Mapping[str, str]) -> DataFrame:
+    """Inclusive running sums in a total order over the whole frame, `{output: column}`."""
+    slices = Slices(df, as_list(order))
+    counted = slices.totals(**{out: F.sum(value) for out, value in totals.items()})
+    upto = slices.window().rowsBetween(W.unboundedPreceding, W.currentRow)
+    return slices.df.withColumns({out: F.sum(value).over(upto) + _before(counted[out]) for out, value in totals.items()}).drop(*slices.done())
+
+
 def running_total(df: DataFrame, order: str | Sequence[str], value: str, out: str) -> DataFrame:
     """Inclusive running sum of `value` in a total order over the whole frame."""
-    slices = Slices(df, as_list(order))
-    local = F.sum(value).over(slices.window().rowsBetween(W.unboundedPreceding, W.currentRow))
-    return slices.df.withColumn(out, local + _before(slices.totals(s=F.sum(value))["s"])).drop(*slices.done())
+    return running_totals(df, order, {out: value})
 
 
 def known(col: str, kind: T.DataType) -> Column:
