@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..operators.ordering import running_total, running_totals
 from .common import attach, checkpoint, key_id, key_text
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,9 +21,10 @@ def word_count(text_col: str) -> Column:
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    """`k_id`, `k_text`, `doc_id`, `source`, `size`, `u` per row: u is its place in the shuffle,
-    a hash of the seed and the id, so that reruns agree."""
+    """`row` (its number), `k_id`, `k_text`, `doc_id`, `source`, `size`, `u` per row: u is its place in
+    the shuffle, a hash of the seed and the id, so that reruns agree."""
     return checkpoint(docs.select(
+        F.monotonically_increasing_id().alias("row"),
         key_id(id_col).alias("k_id"), key_text(id_col, text_col).alias("k_text"), F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("u")))
@@ -34,21 +36,22 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     Sources in order of code points (null last) have the weights in turn. All shares add up
     to the size of all sources; a share above LIMIT times its source stops there and the rest
     is shared again: the common level is the first, in order of limit per weight, that lies
-    within the next source's limit.
+    within the next source's limit. Ranks and sums over sources are running totals over slices, so there may be
+    as many sources as web domains.
     """
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
+    per = checkpoint(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    ranked = running_total(per.withColumn("one", F.lit(1)), "source", "one", "rank")
     cycle = F.array(*map(F.lit, weights))
-    per = per.withColumn("weight", F.get(cycle, (F.row_number().over(order) - 1) % len(weights)))
-    per = per.withColumn("most", LIMIT * F.col("source_size")).withColumn("ratio", F.col("most").cast("double") / F.col("weight"))
-    fill = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, after = fill.rowsBetween(W.unboundedPreceding, -1), fill.rowsBetween(0, W.unboundedFollowing)
-    left = F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    per = per.withColumn("level", left.cast("double") / F.sum("weight").over(after))
-    level = F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")),
-                     F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull(), "source"))).over(W.partitionBy())
+    per = ranked.withColumn("weight", F.get(cycle, (F.col("rank") - 1) % len(weights))).withColumn("most", LIMIT * F.col("source_size"))
+    per = checkpoint(per.withColumn("ratio", F.col("most").cast("double") / F.col("weight")))
+    filled = running_totals(per, ["ratio", "source"], {"most_upto": "most", "weight_upto": "weight"})
+    whole = per.agg(F.sum("source_size").alias("s"), F.sum("weight").alias("w")).first()
+    left = F.lit(whole["s"]) - (F.col("most_upto") - F.col("most"))
+    level = left.cast("double") / (F.lit(whole["w"]) - (F.col("weight_upto") - F.col("weight")))
+    fits = filled.withColumn("level", level).filter("level <= ratio")
+    first = fits.agg(F.min_by("level", F.struct("ratio", F.col("source").isNull(), "source")).alias("level")).first()["level"]
     return per.select("source", F.col("source_size").cast("long").alias("source_size"),
-                      F.least(F.col("most").cast("double"), level * F.col("weight")).alias("target"))
+                      F.least(F.col("most").cast("double"), F.lit(first).cast("double") * F.col("weight")).alias("target"))
 
 
 def queued(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -72,46 +75,52 @@ def queued(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
             .withColumn("before", F.col("ahead") + F.col("inner")).drop("s", "b", "ahead", "inner", "bucket"))
 
 
-def taken(turn: int) -> Column:
-    """Words that the mix takes in the source's `turn`-th pass over its documents."""
-    start = F.col("before") + turn * F.col("source_size")
-    return F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long")
+def packets(rows: DataFrame) -> DataFrame:
+    """The `queued` rows in up to LIMIT passes, each as a packet, with `copy` (its pass), `words` and `finish`.
 
-
-def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-           weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
-    """`k_id`, `k_text`, `doc_id`, `source`, `size`, `source_size`, `target`, `taken`, and `turns`
-    (the words taken in each pass, and where each pass's copy ends in virtual time).
-
-    A copy's virtual finish time is the words of its source up to its end, over the source's
-    target. All sources come to time 1 together, with the total budget spent. The copy that a
-    source has under way then is taken in part. A source that needs more than it has starts over, up
-    to LIMIT passes. Null texts have no words; sources of no words get nothing; equal
-    rows are shuffled next to each other.
+    A packet's virtual finish time is the words of its source up to its end, over the source's
+    target. The copy that a source has under way at time 1, where its target lies, is two packets, cut there.
     """
-    rows = queued(sized(docs, id_col, text_col, source_col, seed), weights)
-    finish = [(F.col("before") + F.col("size") + p * F.col("source_size")) / F.col("target") for p in range(LIMIT)]
-    turns = F.filter(F.array(*(F.struct(taken(p).alias("words"), F.when(F.col("target") > 0, finish[p]).alias("finish"))
-                               for p in range(LIMIT))), lambda t: t["words"] > 0)
-    return rows.select("k_id", "k_text", "doc_id", "source", "size", "source_size", "target", "u",
-                       sum((taken(p) for p in range(1, LIMIT)), taken(0)).alias("taken"), turns.alias("turns"))
+    start = F.col("before") + F.col("copy") * F.col("source_size")
+    cut = F.greatest(start, F.least(start + F.col("size"), F.floor("target")))
+    parts = F.array(F.when((cut > start) | (F.col("size") == 0), F.struct(start.alias("a"), cut.alias("b"))),
+                    F.when(cut < start + F.col("size"), F.struct(cut.alias("a"), (start + F.col("size")).alias("b"))))
+    each = rows.withColumn("copy", F.explode(F.array(*map(F.lit, range(LIMIT))))).withColumn("p", F.explode(F.array_compact(parts)))
+    finish = F.when(F.col("target") > 0, F.col("p.b") / F.col("target")).otherwise(0.0)
+    return each.withColumns({"words": F.col("p.b") - F.col("p.a"), "finish": finish}).drop("p", "before")
 
 
-def stream(docs: DataFrame, **settings) -> DataFrame:
-    """The mix in its order: `k_id`, `k_text`, `doc_id`, `finish`, `words`, `offset` per copy taken.
+def stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+           weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
+    """The packets in the order of the mix, with `offset` (words ahead) and `taken` (words before the budget is spent).
 
-    Copies are range-sorted by virtual finish time over all tasks; `offset` is the number of
-    words ahead, from one sum per partition and sums within it. The stream ends where the budget does.
+    Packets of all sources are range-sorted by virtual finish time over all tasks; `offset`
+    comes from one sum per task and sums within it. The mix ends where the total budget, the size of all
+    sources, does: there the last packet is taken in part and later ones not at all. As
+    targets add up to the budget, that is at time 1, but for the parts of words that targets may have.
     """
-    rows = shares(docs, **settings)
-    copies = rows.select("k_id", "k_text", "doc_id", "u", F.explode("turns").alias("t"))
-    ordered = checkpoint(copies.select("k_id", "k_text", "doc_id", "u", F.col("t.finish").alias("finish"), F.col("t.words").alias("words"))
-                         .orderBy("finish", "u", "k_id", "k_text").withColumn("part", F.spark_partition_id()))
+    rows = sized(docs, id_col, text_col, source_col, seed)
+    budget = rows.agg(F.sum("size")).first()[0] or 0
+    order = ["finish", "u", "k_id", "k_text", "row", "copy"]
+    ordered = checkpoint(packets(queued(rows, weights)).orderBy(*order).withColumn("part", F.spark_partition_id()))
     sums = ordered.groupBy("part").agg(F.sum("words").alias("w"))
     ahead = sums.select("part", F.coalesce(F.sum("w").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    within = W.partitionBy("part").orderBy("finish", "u", "k_id", "k_text").rowsBetween(W.unboundedPreceding, -1)
-    return (ordered.join(ahead, "part").withColumn("offset", F.col("ahead") + F.coalesce(F.sum("words").over(within), F.lit(0)))
-            .select("k_id", "k_text", "doc_id", "finish", "words", "offset"))
+    within = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    offset = F.col("ahead") + F.coalesce(F.sum("words").over(within), F.lit(0))
+    return (ordered.join(ahead, "part").withColumn("offset", offset).drop("ahead", "part")
+            .withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), F.lit(budget) - F.col("offset"))).cast("long")))
+
+
+def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+           weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
+    """`k_id`, `k_text`, `doc_id`, `source`, `size`, `source_size`, `target`, `taken` per row of `docs`.
+
+    `taken` is what `stream` takes of the row, in all its passes. Null texts have no words;
+    sources of no words get nothing; equal rows are shuffled next to each other. An empty table gives no rows.
+    """
+    found = stream(docs, id_col, text_col, source_col, weights, seed)
+    same = [F.first(c).alias(c) for c in ("k_id", "k_text", "doc_id", "source", "size", "source_size", "target")]
+    return found.groupBy("row").agg(*same, F.sum("taken").cast("long").alias("taken")).drop("row")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -119,12 +128,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix as rows of `docs`, with their columns: a row for each copy taken.
 
     A copy of which the mix takes a part keeps its first words (joined by one space), and
-    `n_chars_col`, if there is such a column, follows. With `whole` no text is cut: the copy
-    that a source has under way at its target is taken whole if at least half of its words
-    lie within the target, else left out.
+    `n_chars_col`, if there is such a column, follows. With `whole` no text is cut: a copy of which
+    the mix takes a part is taken whole if that is at least half of its words, else left
+    out. Texts without a word are not taken; repeated rows are copies of their own.
     """
-    found = stream(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, seed=seed)
-    per = found.groupBy("k_id", "k_text").agg(F.collect_list("words").alias("turns"))
+    found = stream(docs, id_col, text_col, source_col, weights, seed).filter("taken > 0")
+    per = (found.groupBy("k_id", "k_text", "row", "copy").agg(F.sum("taken").alias("words"))
+           .groupBy("k_id", "k_text").agg(F.collect_list("words").alias("turns")))
     rows = docs.select(key_id(id_col).alias("k_id"), key_text(id_col, text_col).alias("k_text")).groupBy("k_id", "k_text").agg(
         F.count(F.lit(1)).alias("n_rows"))
     copies = attach(docs, id_col, text_col, per.join(rows, ["k_id", "k_text"])).select("doc", F.explode("turns").alias("words"))

