@@ -1,4 +1,4 @@
-"""Personal data: fixed patterns, and a character tagger trained on what they find."""
+"""Personal data: fixed patterns, and a character tagger trained on what they find and on forms they miss."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keyed, over_texts
+from ..operators.windows import first_k
+from .common import keyed, over_texts, ship
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns, each applied where a match of it can begin.
@@ -20,14 +21,17 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 ANCHOR = re.compile(r"[0-9@]")
-LIKELY = r"@|\+[0-9]|[0-9]([ .-]?[0-9]){6}"  # documents that a pattern may match in, about
 
 SPLIT = re.compile(r"[0-9]+[\x20().-]+[0-9][\x20().0-9-]*[0-9]")  # digits in groups
 
 WINDOW, STEP = 96, 48  # characters of a window, and from one to the next
-TRAIN_DOCS = 1_500  # documents that training windows are taken from, at most
+TRAIN_DOCS = 8_000  # documents that training windows are taken from, about
 TRAIN_WINDOWS = 200  # windows a kind (and without any) that are trained on, at most
-SURE = 0.7  # least probability of each tag of an added span
+# Forms that training windows are made with; # is any digit. The first two kinds have no pattern.
+FORMS = {3: ("(###) ###-####", "###-###-####", "0### ### ####", "###.###.####", "0## #### ####", "(0###) ######"),
+         2: ("####.####.####.####",)}
+OTHERS = ("####-##-##", "##.##.####", "##/##/####", "####-####", "#,###,###", "##:##:##", "###.##", "#.#.##", "## ###", "#### ####")
+SURE = 0.5  # least probability of each tag of an added span
 
 
 def luhn(digits: str) -> bool:
@@ -111,7 +115,7 @@ class Tagger:
 
     TAGS = 1 + 2 * len(KINDS)
 
-    def __init__(self, size: int = 16, hidden: int = 16, seed: int = 3):
+    def __init__(self, size: int = 16, hidden: int = 24, seed: int = 3):
         draw = np.random.default_rng(seed)
 
         def start(*shape):
@@ -214,7 +218,7 @@ class Tagger:
         np.add.at(grad["embed"], windows.T, dx)
         return {k: g / n for k, g in grad.items()}
 
-    def fit(self, windows, tags, rounds: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 5):
+    def fit(self, windows, tags, rounds: int = 14, batch: int = 64, rate: float = 0.02, seed: int = 5):
         draw, m, v, t = np.random.default_rng(seed), {}, {}, 0
         for r in range(rounds):
             order = draw.permutation(len(windows))
@@ -283,42 +287,98 @@ def varied(windows: np.ndarray, tags: np.ndarray, seed: int = 11) -> tuple[np.nd
     return np.concatenate([windows, windows_2]), np.concatenate([tags, tags_2])
 
 
+def filled(form: str, kind: int, draw) -> str:
+    """A form with random digits; those of a card pass its check."""
+    while True:
+        text = "".join(str(draw.integers(10)) if c == "#" else c for c in form)
+        if kind != 2 or luhn("".join(c for c in text if c.isdigit())):
+            return text
+
+
+def put(window: np.ndarray, tags: np.ndarray, start: int, stop: int, text: str, kind: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The window with `text` in the place of [start, stop), tagged as a span of `kind` or as none."""
+    own = np.zeros(len(text), tags.dtype)
+    if kind is not None:
+        own[:], own[0] = 2 + 2 * kind, 1 + 2 * kind
+    row = np.concatenate([window[:start], codes(text), window[stop:], np.zeros(WINDOW, np.uint8)])[:WINDOW]
+    return row, np.concatenate([tags[:start], own, tags[stop:], np.zeros(WINDOW, tags.dtype)])[:WINDOW]
+
+
+def made(windows: np.ndarray, tags: np.ndarray, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled windows of forms that the patterns miss.
+
+    Each form of FORMS takes the place of the pattern's span in windows of its kind, and stands
+    between the words of windows without a span; there OTHERS, dates and other numbers, stand as none.
+    """
+    draw, out = np.random.default_rng(seed), []
+    first = {kind: [(w, int(np.flatnonzero(t == 1 + 2 * kind)[0])) for w, t in enumerate(tags) if (t == 1 + 2 * kind).any()] for kind in FORMS}
+    plain = [w for w, t in enumerate(tags) if not t.any() and (windows[w] == 32).any()]
+    for kind, forms in FORMS.items():
+        for form in forms:
+            for w, start in (first[kind][i] for i in draw.permutation(len(first[kind]))[:TRAIN_WINDOWS // 4]):
+                stop = start + 1 + int(np.argmax(np.append(tags[w][start + 1:] != 2 + 2 * kind, True)))
+                out.append(put(windows[w], tags[w], start, stop, filled(form, kind, draw), kind))
+    for kind, form in [(k, f) for k, forms in FORMS.items() for f in forms] + [(None, f) for f in OTHERS]:
+        for i in draw.integers(len(plain), size=TRAIN_WINDOWS // (5 if kind is None else 1) if plain else 0):
+            window = windows[plain[i]]
+            spaces = np.flatnonzero(window == 32) + 1
+            if draw.integers(2):  # a text that begins a few words before
+                window = np.append(window[draw.choice(spaces):], np.zeros(WINDOW, np.uint8))[:WINDOW]
+                spaces = np.flatnonzero(window == 32)[:8] + 1
+            start = int(draw.choice(spaces)) if len(spaces) else 0
+            out.append(put(window, tags[plain[i]], start, start, filled(form, kind, draw) + draw.choice([" ", ", ", ". "]), None))
+            if kind is not None:
+                stop = min(WINDOW, start + len(form))
+                out[-1][1][start:stop] = 2 + 2 * kind
+                out[-1][1][start:start + 1] = 1 + 2 * kind
+    if not out:
+        return windows[:0], tags[:0]
+    return np.stack([w for w, _ in out]), np.stack([t for _, t in out])
+
+
 def unclear(window: np.ndarray, tags: np.ndarray) -> bool:
-    """Whether a window holds digits in groups that may be a phone number in a form without a
-    pattern. To train on it would teach that such forms are none."""
+    """Whether a window holds digits in groups that may be a phone or card number in a form without
+    a pattern. To train on it would teach that such forms are none."""
     rest = np.where(tags > 0, ord("x"), window).astype(np.uint8).tobytes().decode("latin-1")
-    return any(7 <= sum(c.isdigit() for c in m[0]) <= 15 for m in SPLIT.finditer(rest))
+    return any(7 <= sum(c.isdigit() for c in m[0]) <= 19 for m in SPLIT.finditer(rest))
 
 
 def train(docs: DataFrame) -> Tagger | None:
-    """Fit on windows of about TRAIN_DOCS documents (of `keyed`) that hold a digit or an @, and of as many
-    of those that a pattern may match in (else most windows hold no span), chosen by a hash; labels are
-    the patterns' spans, unclear windows are left out. At most TRAIN_WINDOWS windows a kind, and as many
-    without a span, come to the driver, as codes. None if there are no such windows."""
-    marked = docs.filter(F.col("text").rlike(ANCHOR.pattern))
-    sizes = marked.agg(F.count(F.lit(1)), F.count_if(F.col("text").rlike(LIKELY))).first()
-    share, likely_share = (min((1 << 62) - 1, int((1 << 62) * TRAIN_DOCS / max(n, 1))) for n in sizes)
+    """Fit on windows of about TRAIN_DOCS documents (of `keyed`), chosen by a hash, that hold a
+    digit or an @. Labels are the patterns' spans and those of the forms put in their place; unclear
+    windows are left out.
 
-    def scan(batch):
-        rows = []
-        for text in batch.column(3).to_pylist():
-            starts = window_starts(text)
-            for w, t in zip(cut_windows(text, starts), tagged(text, base_spans(text)[0], starts)):
-                if not unclear(w, t):
-                    rows.append((hashlib.blake2b(w.tobytes(), digest_size=8).hexdigest(), int(t.max() + 1) // 2, w.tobytes(), t.tobytes()))
+    One pass reads the documents. A task gives the TRAIN_WINDOWS windows of least hash a kind, and as
+    many without a span, and of all tasks' these the same come to the driver, as codes. None if there are none.
+    """
+    share = min((1 << 62) - 1, int((1 << 62) * TRAIN_DOCS / max(docs.count(), 1)))
+
+    def scan(batches):
+        best: dict[int, dict] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                starts = window_starts(text)
+                for w, t in zip(cut_windows(text, starts), tagged(text, base_spans(text)[0], starts)):
+                    if not unclear(w, t):
+                        own = best.setdefault(int(t.max() + 1) // 2, {})
+                        own[hashlib.blake2b(w.tobytes(), digest_size=8).hexdigest()] = w.tobytes(), t.tobytes()
+            for kind, own in best.items():
+                best[kind] = dict(sorted(own.items())[:TRAIN_WINDOWS])
+        rows = [(h, kind, *x) for kind, own in best.items() for h, x in own.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary()))],
                                              ["h", "kind", "codes", "tags"])
 
+    ship(docs.sparkSession)
     draw = F.xxhash64(F.lit("pii"), "k_id", "k_text").bitwiseAND((1 << 62) - 1)
-    some = marked.filter((draw <= share) | ((draw <= likely_share) & F.col("text").rlike(LIKELY)))
-    found = over_texts(some, scan, "h string, kind int, codes binary, tags binary")
-    rows = [r for kind in range(len(KINDS) + 1)
-            for r in found.filter(F.col("kind") == kind).orderBy("h", "codes").limit(TRAIN_WINDOWS).collect()]
+    some = docs.filter(draw <= share).select("text").filter(F.col("text").rlike(ANCHOR.pattern))
+    found = some.mapInArrow(scan, "h string, kind int, codes binary, tags binary").dropDuplicates(["kind", "h"])
+    rows = sorted(first_k(found, "kind", ["h"], TRAIN_WINDOWS).collect(), key=lambda r: (r["kind"], r["h"]))
     if not rows:
         return None
     windows, tags = (np.stack([np.frombuffer(r[c], np.uint8) for r in rows]) for c in ("codes", "tags"))
-    return Tagger().fit(*varied(windows, tags.astype(np.int64)))
+    both = [varied(windows, tags.astype(np.int64)), made(windows, tags.astype(np.int64))]
+    return Tagger().fit(*(np.concatenate(x) for x in zip(*both)))
 
 
 def plausible(text: str, kind: int) -> bool:
@@ -326,7 +386,7 @@ def plausible(text: str, kind: int) -> bool:
     if kind == 2 and not luhn("".join(c for c in text if c in "0123456789")):
         return False
     return ("@" in text[1:-1] if kind == 0 else text.count(".") == 3 and digits >= 4 if kind == 1
-            else 14 <= digits <= 19 if kind == 2 else 7 <= digits <= 15)
+            else 14 <= digits <= 19 if kind == 2 else 9 <= digits <= 15)
 
 
 def reconcile(text: str, starts: list[int], found: list[list[tuple[int, int, int]]], base, refused) -> list[tuple[int, int, int]]:
@@ -364,7 +424,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     matches as kind:start:end), `spans` (they and the tagger's), `n_added` per row.
 
     Positions are code points, ends exclusive. A null text counts as empty. Rows are
-    independent, so repeated ones get equal answers.
+    independent, so repeated ones get equal answers, and rows of a null id are rows like any other. Of the
+    tagger's spans that overlap, the longest stays, then the first. Whole texts are searched in overlapping
+    windows; other columns are not read and an empty table gives no rows.
     """
     texts = keyed(docs, id_col, text_col)
     model = train(texts)

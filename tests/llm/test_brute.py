@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -327,18 +328,41 @@ def test_refusals_veto_their_kind_only():
     assert pii.reconcile(text, [0], marked, base, refused) == [(5, 3, 19)]
 
 
+MISSED = {"(###) ###-####": "phone", "###-###-####": "phone", "0### ### ####": "phone", "####.####.####.####": "card"}
+
+
 def test_op4_adds_forms_that_no_pattern_finds(spark, tmp_path):
-    docs, draw, planted = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), random.Random(4), {}
-    for i in range(40):
-        phone = f"({draw.randrange(200, 999)}) {draw.randrange(100, 999)}-{draw.randrange(1000, 9999)}"
-        lead = draw.choice(["Call me at ", "You can reach the office on ", "Contact: "])
-        planted[10_000_000 + i] = (lead + phone + " for more, and then some words follow here.", f"phone:{len(lead)}:{len(lead) + len(phone)}")
-    more = spark.createDataFrame([(i, t) for i, (t, _) in planted.items()], "doc_id long, text string")
+    """At least 0.8 of each form, with exact bounds, in words that are not those of the training windows; no dates or other numbers."""
+    docs, draw, planted = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), np.random.default_rng(4), {}
+    leads = ["Call me at ", "You can reach the office on ", "Contact: ", "Please note ", "We used ", "Ask for "]
+    for form, kind in MISSED.items():
+        for _ in range(40):
+            lead, text = leads[draw.integers(len(leads))], pii.filled(form, pii.KINDS.index(kind), draw)
+            planted[10_000_000 + len(planted)] = (form, f"{lead}{text} for more, and then some words follow here.", f"{kind}:{len(lead)}:{len(lead) + len(text)}")
+    clean = {20_000_000 + i: f"It began with {pii.filled(('####-##-##', '##.##.####', '##:##', '#,###', '####')[i % 5], 9, draw)}, and nobody could say why so many came."
+             for i in range(100)}
+    more = spark.createDataFrame([*((i, t) for i, (_, t, _) in planted.items()), *clean.items()], "doc_id long, text string")
     docs.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r for r in QUERIES["op4_personal_data"](spark, str(tmp_path)).filter("doc_id >= 10000000").collect()}
-    assert all(r["n_phone"] == 0 for r in got.values())
-    right = sum(got[i]["spans"] == want and got[i]["n_added"] == 1 for i, (_, want) in planted.items())
-    assert right >= 30
+    rows = {r["doc_id"]: r for r in QUERIES["op4_personal_data"](spark, str(tmp_path)).collect()}
+    got = {i: rows[i] for i in planted}
+    assert all(r["n_phone"] == r["n_card"] == 0 for r in got.values())
+    for form in MISSED:
+        right = [got[i]["spans"] == want and got[i]["n_added"] == 1 for i, (f, _, want) in planted.items() if f == form]
+        assert len(right) == 40 and sum(right) >= 32, (form, sum(right))
+    assert sum(rows[i]["n_added"] for i in clean) <= 5
+
+
+def test_op4_against_plain_patterns(spark, texts):
+    """Counts and digest of every row; the tagger adds spans that overlap none and leaves all others."""
+    for r in QUERIES["op4_personal_data"](spark, FOLDER).collect():
+        base = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in plain_spans(texts[r["doc_id"]])]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(b.startswith(k) for b in base) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = [x for x in r["spans"].split(",") if x]
+        assert [x for x in spans if x in set(base)] == base and r["n_added"] == len(spans) - len(base)
+        places = [tuple(map(int, x.split(":")[1:])) for x in spans]
+        added = [p for x, p in zip(spans, places) if x not in set(base)]
+        assert places == sorted(places) and all(a >= d or b <= c for a, b in added for c, d in places if (a, b) != (c, d))
 
 
 def test_phrases_share_seeds():
