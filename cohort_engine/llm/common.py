@@ -14,24 +14,26 @@ import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import shared_folder
+
 NULL_ID = -(1 << 63)
 PIECE = 1 << 22  # bytes of a text that are split into words at once
 ODD = np.uint64(0x9E3779B97F4A7C15)  # base of the rolling hashes
 ODD_2 = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one that `spark.checkpoint.dir`
-    names, else one below the warehouse, which is shared as well."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name in the shared folder."""
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def drop_attempts(folder: str) -> None:
+    """Remove what failed attempts of tasks left beside the files of `folder`."""
+    system, base = opened(folder)
+    if system.get_file_info(f"{base}/_attempts").type == pyarrow.fs.FileType.Directory:
+        system.delete_dir(f"{base}/_attempts")
+
+
 def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system and path of a folder that is given as a path or a URI."""
     return pyarrow.fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")

@@ -15,7 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import keyed, opened, pieces, raw, scratch, ship
+from .common import drop_attempts, keyed, opened, pieces, raw, scratch, ship
 
 # Fixed values of the public seekable zstandard format.
 SKIPPABLE, SEEKABLE, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -226,6 +226,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col:
     rows = keyed(docs, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
     (rows.mapInArrow(run, "doc_id long, part long, frame long, place long, n_tokens long, before long")
      .write.parquet(f"{folder}/index"))
+    drop_attempts(folder)
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:

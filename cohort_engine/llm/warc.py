@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import keys
-from .common import opened, over_texts, scratch, ship, stored
+from .common import drop_attempts, opened, over_texts, scratch, ship, stored
 
 CHUNK = 1 << 18  # bytes of payload in a row
 SPAN = 1 << 25  # bytes of an archive that one row of the manifest covers
@@ -139,6 +139,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 3, **n
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*spans)], ["file", "start", "length"])
 
     rows.mapInArrow(run, "file string, start long, length long").write.parquet(f"{folder}/manifest")
+    drop_attempts(folder)
 
 
 def members(file, start: int, length: int):
