@@ -114,13 +114,6 @@ def quarter_label(quarter: ColumnLike) -> Column:
                     (quarter - year * 4 + 1).cast("string"))
 
 
-def month_label(month: ColumnLike) -> Column:
-    month = as_column(month)
-    year = F.floor(month / 12).cast("int")
-    return F.concat((year + EPOCH_YEAR).cast("string"), F.lit("m"),
-                    (month - year * 12 + 1).cast("string"))
-
-
 def days_between(later: ColumnLike, earlier: ColumnLike) -> Column:
     return F.datediff(as_column(later), as_column(earlier))
 

@@ -40,7 +40,3 @@ def label_values(col: ColumnLike, labels: Mapping[Any, str]) -> Column:
 
 def log_plus(col: ColumnLike, c: float = 0.1) -> Column:
     return F.log(as_column(col) + F.lit(c))
-
-
-def sign_of(col: ColumnLike) -> Column:
-    return F.signum(as_column(col)).cast("int")

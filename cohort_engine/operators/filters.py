@@ -38,10 +38,6 @@ def exclude(df: DataFrame, exclusions: DataFrame, key: str | Sequence[str]) -> D
     return members(df, exclusions, key, null_safe=False, inside=False)
 
 
-def keep_listed(df: DataFrame, listed: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    return members(df, listed, key, null_safe=False)
-
-
 def keep_groups_any(df: DataFrame, keys: str | Sequence[str], cond: Column,
                     null_safe: bool = True) -> DataFrame:
     """Keep every row of the groups in which some row meets the condition."""

@@ -6,12 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.dates import month_index, quarter_of_month
+from ..functions.dates import month_index
 from ..functions.missing import as_flag
 from ..functions.text import has_letters, to_number
-from ..operators.collapse import collapse_sum, distinct_count, rollup_periods
+from ..operators.collapse import distinct_count, rollup_periods
 from ..operators.filters import in_window
-from ..operators.keys import as_list
 from ..operators.merge import map_to_person
 from ..operators.projections import explode_codes, set_flags
 
@@ -93,9 +92,3 @@ def any_class_count(events: DataFrame, people: DataFrame, site_key: str, person:
     has other classes)."""
     return category_counts(events, people, site_key, person, when, {out: letter.isin(*letters)},
                            window, quarter)
-
-
-def quarterly(df: DataFrame, by: str | Sequence[str], month: str, cols: Sequence[str],
-              quarter: str = "q") -> DataFrame:
-    """Sums by quarter straight from rows that hold a month."""
-    return collapse_sum(df.withColumn(quarter, quarter_of_month(month)), [*as_list(by), quarter], cols)

@@ -78,6 +78,7 @@ COMPOSITES = {
         "service_cdm_tca", "service_cdm_mdmp", "service_caseconf", "service_medreview",
         "service_gp_ha", "service_prac_nurse_chronic", "service_cdm_review"],
 }
+# Outcomes, the suffix of their logs, age cut points, link keys and the study's periods.
 OUTCOMES = ["gp_face_tele", "referral_number", "md_services", "md_services2", "pres_any"]
 LOG_SUFFIX = "_LN"
 AGE_CUTS = list(range(15, 111, 5))

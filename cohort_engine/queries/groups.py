@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dates as D
 from ..operators import collapse as C, ordering as O, windows as W
-from .base import Tables, query, rounded, sql_month, sql_quarter, sql_rounded, text
+from .base import Tables, query, rounded, sql_quarter, text
 
 
 @query("""

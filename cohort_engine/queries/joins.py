@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dates as D, text as X
 from ..operators import collapse as C, linkage as L, merge as M
-from .base import Tables, query, sql_quarter, text
+from .base import Tables, query, sql_quarter
 
 # The left side holds many rows per key and missing keys, the right side one row per key
 # of which one is missing.

@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import dates as D, missing as M
+from ..functions import dates as D
 from ..operators import collapse as C, filters as FL, report
 from ..plans import events as E, panel as P
 from ..session import shared_folder, stable
 from ..sources import tables as S
-from .base import PART_SETS, PART_SETS_SQL, Tables, query, rounded, sql_month, sql_quarter, sql_rounded
+from .base import PART_SETS, PART_SETS_SQL, Tables, query, rounded, sql_month, sql_quarter
 from .cohorts import SAMPLE_SQL, study_sample
 
 FIRST_Q, LAST_Q = D.yq(1995, 1), D.yq(2001, 3)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import dates as D, text as X
 from ..operators import collapse, filters as FL, merge, ordering
 from ..sources import tables as S
-from .base import Tables, query, rounded, sql_month, sql_quarter, text
+from .base import Tables, query, sql_month, sql_quarter
 
 
 @query("""

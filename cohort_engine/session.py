@@ -11,6 +11,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # what a Python worker holds at once: texts are long, and executors have several workers
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
