@@ -66,7 +66,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and stay. All occurrences of a window but the first are removed; covered lines of
     overlapping windows are merged. Lines are compared as they stand. Texts of fewer than
     `size` such lines have no window. Null counts as empty. Rows equal in id and text are
-    one document given twice and get the same answer. Equality is that of 128 bits of hashes.
+    one document given twice and get the same answer. Whole texts are read, other columns are not;
+    an empty table gives no rows. Equality is that of 128 bits of hashes.
     """
     texts = keyed(docs, id_col, text_col)
 

@@ -1,4 +1,4 @@
-"""Repeated passages, found by parsing documents against an index of reference phrases."""
+"""Repeated passages, found through an index of phrases that are cut where the words say."""
 
 from __future__ import annotations
 
@@ -108,15 +108,15 @@ def factors(s0: np.ndarray, s1: np.ndarray, window: int) -> np.ndarray:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """`doc_id`, `n_words`, `n_removed`, `n_factors`, `kept` (the kept words joined by one space).
 
-    Relative Lempel-Ziv parsing with the corpus as its own reference. Documents are cut into
-    phrases at content-defined seeds; hash partitions of the phrase table are the reference
-    blocks, and each phrase meets the only block that can hold its copies. A phrase that
-    occurs elsewhere is copied whole. Where a seed occurs with different phrases, a factor
-    may end inside: there, at the boundaries, each window is looked up by itself. Windows
-    found make up the factors; words in factors (`window` words or longer) are removed, in
-    every place where they occur. A text shorter than `window` words, empty or null
-    keeps its words. A repeated row is a second occurrence of all its windows. Equality is
-    that of 128 bits of hashes.
+    Not a Lempel-Ziv parse: to factor each document against every block of the corpus would take its
+    square. Documents are cut into phrases at content-defined seeds, and each phrase meets only the
+    hash partition that can hold its copies. A phrase that occurs elsewhere is repeated as a
+    whole. Where a seed occurs with different phrases, parts of them may still agree: there each
+    window is looked up by itself. Words in repeated windows are removed, in every place where
+    they occur; `n_factors` counts the stretches that they make up. A text shorter than `window`
+    words, empty or null keeps its words, whole texts are looked at whatever their length, and an empty
+    table gives no rows. A repeated row is a second occurrence of all its windows. Other columns are not
+    read. Equality is that of 128 bits of hashes.
     """
     texts = keyed(docs, id_col, text_col)
     spans = (repeated_spans(texts, window).groupBy("k_id", "k_text")
