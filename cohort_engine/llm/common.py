@@ -22,9 +22,22 @@ ODD = np.uint64(0x9E3779B97F4A7C15)  # base of the rolling hashes
 ODD_2 = np.uint64(0xD6E8FEB86659FD93)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that holds what operators store in this Spark application."""
+    return f"{shared_folder(spark)}/run-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder name in the shared folder."""
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new folder name in the run's folder."""
+    return f"{run_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def close_run(spark: SparkSession) -> None:
+    """Remove what operators have stored in this application. Frames that they returned read it, so
+    first store what is wanted of them elsewhere."""
+    system, folder = opened(run_folder(spark))
+    if system.get_file_info(folder).type == pyarrow.fs.FileType.Directory:
+        system.delete_dir(folder)
 
 
 def drop_attempts(folder: str) -> None:

@@ -50,6 +50,13 @@ def test_language(docs):
     assert {(4, "und"), (5, "und"), (6, "und"), (11, "und"), (None, "und")} <= got and len(got) == 14
 
 
+def test_language_ties(spark):
+    """Of languages that nothing tells apart the first in order is taken, and the text is ambiguous."""
+    rows = spark.createDataFrame([(i, "the same words", lang) for i, lang in enumerate(["b", "a", "c", "a", "b", "c"])], "doc_id long, text string, lang string")
+    got = language.predict(rows, language.train(rows, per_lang=2)).collect()
+    assert {(r["lang_pred"], r["ambiguous"]) for r in got} == {("a", True)} and got[0]["score"] == pytest.approx(1 / 3, abs=0.02)
+
+
 def test_language_without_labels(docs):
     got = language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r["lang_pred"], r["score"], r["ambiguous"]) for r in got} == {("und", 0.0, False)}
@@ -68,6 +75,8 @@ def test_personal_data(docs):
     assert got[10]["base"] == "email:5:14,phone:18:35,ip:40:48,card:55:74"
     assert got[10]["base"] in got[10]["spans"] or set(got[10]["base"].split(",")) <= set(got[10]["spans"].split(","))
     assert got[4]["spans"] == "" and got[12]["n_email"] == 0
+    rows = pii.find(docs).collect()
+    assert len(rows) == 16 and [r["base"] for r in rows if r["doc_id"] is None] == ["", ""]
 
 
 def test_quality(docs):
@@ -133,8 +142,23 @@ def test_empty_tables(spark, docs, benchmark):
 
 def test_stages(spark, docs, benchmark, tmp_path):
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    ids = {name: sorted(str(r["doc_id"]) for r in stage(spark, docs, str(tmp_path)).collect()) for name, stage in corpus_pipeline.STAGES[:3]}
+    assert ids["quality rules"] == ["1", "2", "3", "None"]
+    assert ids["simhash near-dedup"] == sorted(str(r["doc_id"]) for r in simhash.first_of_each(docs).collect())
+    assert ids["simhash near-dedup"].count("8") == 1 and "2" not in ids["simhash near-dedup"]
+    assert ids["benchmark decontamination"] == sorted(["4", "5", "6", "7", "8", "8", "10", "11", "12", "12", "None"])
     for name, stage in corpus_pipeline.STAGES:
         for given in (docs, docs.limit(0)):
             out = stage(spark, given, str(tmp_path))
             assert name == "token files" or out.columns == docs.columns
             assert (out.count() > 0) == (given is docs)
+
+
+def test_a_run_can_be_closed(spark, docs):
+    from cohort_engine.llm import common
+    assert common.stored(docs, "kept").count() == 16
+    system, folder = common.opened(common.run_folder(spark))
+    assert system.get_file_info(folder).type.name == "Directory"
+    common.close_run(spark)
+    assert system.get_file_info(folder).type.name == "NotFound"
+    common.close_run(spark)  # again, with nothing left
