@@ -13,7 +13,7 @@ from ..functions.text import null_marker, split_key, to_number
 from ..operators.collapse import dedupe
 from ..operators.filters import exclude, trim_by_sd
 from ..operators.keys import attach
-from ..operators.merge import lookup, map_to_person, merge_keep_or, merge_tables
+from ..operators.merge import assert_unique, lookup, map_to_person, merge_keep_or, merge_tables
 from ..operators.report import Attrition
 from ..session import stable
 
@@ -97,7 +97,8 @@ def build_sample(flags: DataFrame, patient: DataFrame, linked: DataFrame, index:
     df = df.withColumn("treated", F.col("first_enrol").isNotNull().cast("int"))
 
     flags_of = [f for _, f in p.conditions]
-    df = merge_tables(df, profile.select(person, *flags_of), person, "1:1", keep=(1, 3), indicator="__m")
+    # one row per person since `dedupe`, so only the profile is checked
+    df = merge_tables(df, assert_unique(profile.select(person, *flags_of), person), person, "1:1", keep=(1, 3), indicator="__m", validate=False)
     df = passed("with conditions or treated", df.filter((F.col("__m") == 3) | (F.col("treated") == 1)).drop("__m"))
     df = df.withColumns({s: F.when(F.col("treated") == 0, F.col(f)).otherwise(F.col(s))
                          for s, f in p.conditions}).drop(*[f for _, f in p.conditions if f not in
