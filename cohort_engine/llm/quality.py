@@ -62,27 +62,48 @@ def repeated_words(words: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))).cast("long")
 
 
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, words: F.size(words).cast("long"),
+    "word_chars": lambda text, words: word_chars(words),
+    "n_symbols": lambda text, words: symbols(text),
+    "n_dup_lines": lambda text, words: duplicate_lines(text),
+    "n_repeat_words": lambda text, words: repeated_words(words),
+}
+
+
+@dataclass(frozen=True)
+class Measured:
+    """A text, its words and its measures: those in `known` are columns already, others are computed where they are used."""
+
+    text: Column
+    words: Column
+    known: tuple[str, ...] = ()
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name) if name in self.known else MEASURES[name](self.text, self.words)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A reason to reject a text. `fails` takes the text and its words."""
+    """A reason to reject a text."""
 
     name: str
-    fails: Callable[[Column, Column], Column]
+    fails: Callable[[Measured], Column]
 
 
 def base_rules() -> list[Rule]:
-    return [Rule("few_words", lambda t, w: F.size(w) < 50),
-            Rule("repeated_words", lambda t, w: 100 * repeated_words(w) > 50 * F.size(w))]
+    return [Rule("few_words", lambda m: m["n_words"] < 50),
+            Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"])]
 
 
 def more_rules(symbol_share: float = 0.25, line_share: float = 0.7, short: float = 2.0, long: float = 20.0) -> list[Rule]:
     """Symbols per word, repeated lines per line, and words that are short or long on average."""
-    def lines(t: Column) -> Column:
-        return F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    def lines(text: Column) -> Column:
+        return F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
 
-    return [Rule("symbols", lambda t, w: symbols(t) > symbol_share * F.size(w)),
-            Rule("repeated_lines", lambda t, w: duplicate_lines(t) > line_share * lines(t)),
-            Rule("word_length", lambda t, w: (word_chars(w) < short * F.size(w)) | (word_chars(w) > long * F.size(w)))]
+    return [Rule("symbols", lambda m: m["n_symbols"] > symbol_share * m["n_words"]),
+            Rule("repeated_lines", lambda m: (m["n_dup_lines"] > 0) & (m["n_dup_lines"] > line_share * lines(m.text))),
+            Rule("word_length", lambda m: (m["word_chars"] < short * m["n_words"]) | (m["word_chars"] > long * m["n_words"]))]
 
 
 def default_rules() -> list[Rule]:
@@ -114,7 +135,7 @@ def estimate(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) ->
     number of words; it is never less than a fiftieth of that, so that noise cannot make it zero or less.
     """
     sample = sampled(docs, id_col, text_col)
-    tests = [r.fails(F.col("text"), F.col("words")) for r in rules]
+    tests = [r.fails(Measured(F.col("text"), F.col("words"))) for r in rules]
     got = sample.agg(*(F.avg(t.cast("int")).alias(f"r{i}") for i, t in enumerate(tests))).first()
     least = seconds(sample, F.size("words") < 0)
     return [(r.name, max(seconds(sample, t) - least, least / 50), got[f"r{i}"] or 0.0) for i, (r, t) in enumerate(zip(rules, tests))]
@@ -126,11 +147,11 @@ def ordered(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col
     return sorted(rules, key=lambda r: rank[r.name])
 
 
-def verdict(rules: list[Rule], text: Column, words: Column) -> Column:
+def verdict(rules: list[Rule], measured: Measured) -> Column:
     """The name of the first rule that fails, or null. Later rules are not computed then."""
     out = F.lit(None).cast("string")
     for rule in reversed(rules):
-        out = F.when(rule.fails(text, words), rule.name).otherwise(out)
+        out = F.when(rule.fails(measured), rule.name).otherwise(out)
     return out
 
 
@@ -148,13 +169,11 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("words", words_of(F.col("text")))
-    text, words = F.col("text"), F.col("words")
-    rows = rows.select("doc_id", F.size(words).cast("long").alias("n_words"), word_chars(words).alias("word_chars"),
-                       symbols(text).alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines"),
-                       repeated_words(words).alias("n_repeat_words"), verdict(order, text, words).alias("rejected_by"))
+    measured = Measured(F.col("text"), F.col("words"))
+    rows = rows.select("doc_id", "text", "words", *(measured[name].alias(name) for name in MEASURES))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (rows.withColumn("base_failed", base)
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by")
+    first = verdict(order, Measured(F.col("text"), F.col("words"), tuple(MEASURES)))
+    return (rows.select("doc_id", *MEASURES, base.alias("base_failed"), first.alias("rejected_by"))
             .withColumn("kept", F.col("rejected_by").isNull()))
 
 
@@ -167,4 +186,4 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     order = ordered(docs, rules or default_rules(), id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Words are bound inside the condition: a column of its own would be computed again at each use.
-    return docs.filter(let(words_of(text), lambda words: verdict(order, text, words)).isNull())
+    return docs.filter(let(words_of(text), lambda words: verdict(order, Measured(text, words))).isNull())

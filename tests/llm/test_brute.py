@@ -397,10 +397,10 @@ def test_rules_are_ordered_by_rejection_per_cost(spark):
     share = {"costly": 9, "cheap": 5, "cheap_rare": 1, "never": 0}
 
     def rejects(name):
-        return lambda t, w: F.get(w, F.lit(0)).cast("int") % 10 < share[name]
+        return lambda m: F.get(m.words, F.lit(0)).cast("int") % 10 < share[name]
 
-    def costly(t, w):
-        return (F.sha2(F.repeat(t, 200), 512) != "") & rejects("costly")(t, w)
+    def costly(m):
+        return (F.sha2(F.repeat(m.text, 200), 512) != "") & rejects("costly")(m)
 
     rules = [quality.Rule("never", rejects("never")), quality.Rule("costly", costly), quality.Rule("cheap_rare", rejects("cheap_rare")),
              quality.Rule("cheap", rejects("cheap"))]
