@@ -10,15 +10,16 @@ How it is laid out for Spark, for all outcomes, specifications and subgroups at
 1. `unit_profiles`: one aggregate per unit turns the long panel into one row holding
    the first treatment, the switch period and the outcomes by period. This is the only
    shuffle of the panel.
-2. `unit_cells`: each unit in each (switch period, horizon) cell that it serves as
-   switcher or control, and where its outcome is seen at both ends. `cell_stats` sums them per
-   cell in one aggregate that reduces on the map side; its result is bounded by the numbers of
-   periods, horizons and models, whatever outcomes are missing.
-3. A unit's influence is a sum over its cells, with coefficients that depend on the cell alone. So
-   standard errors need the cells of a model on every unit (a join that adaptive execution
-   plans by measured size and splits) and one more pass over `unit_cells`.
-
-No step pairs units with units, so the work is the rows of the panel times the horizons.
+2. `cohorts`: units of equal first treatment and switch that are seen in the same periods are
+   summed into one row, in one aggregate that reduces on the map side. `unit_cells` lays these rows
+   out over the (switch period, horizon) cells that they serve as switchers or controls, and
+   `cell_stats` sums them per cell.
+3. A unit's influence is linear in its outcomes, with coefficients that are those of its cohort. So
+   standard errors need a join of units with their cohort's coefficients (which adaptive execution
+   plans by measured size and splits) and one product of arrays per horizon.
+
+No step pairs units with units: the work is the rows of the panel times the horizons, and the
+cells times the cohorts. Only where outcomes are missing at random are those nearly as many as units.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.missing import truth
 from ..session import stable
+from .keys import attach
 
 Z95 = 1.959963984540054
 MODEL = ["outcome", "spec", "subgroup"]
 CELL = ["d1", "sf", "l"]
+COHORT = [*MODEL, "d1", "f", "s", "seen"]
 
 
 def _models(specs: Mapping[str, Mapping[str, Any]]) -> Column:
@@ -101,15 +104,27 @@ def unit_profiles(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d:
 
 def unit_models(profiles: DataFrame, outcomes: Sequence[str]) -> DataFrame:
     """A row per unit, outcome, specification and subgroup, with arrays by period of
-    the outcome and of |d - d1|."""
+    the outcome and of |d - d1|; `seen` has a 1 for each period with an outcome, else a 0."""
     def entry(i: int, name: str) -> Column:
         return F.struct(F.lit(name).alias("outcome"), F.transform("dense", lambda x: x[f"y{i}"]).alias("y"))
 
     entries = [entry(i, name) for i, name in enumerate(outcomes)]
+    seen = F.array_join(F.transform("y", lambda v: F.when(v.isNull(), "0").otherwise("1")), "")
     gaps = F.transform("dense", lambda x: F.abs(x["d"] - F.col("d1")))
     rows = profiles.select("__id", "__cluster", "d1", "f", "s", gaps.alias("dd"), "models",
                            F.inline(F.array(*entries)))
-    return rows.select("__id", "__cluster", "outcome", F.inline("models"), "d1", "f", "s", "y", "dd")
+    return rows.select("__id", "__cluster", "outcome", F.inline("models"), "d1", "f", "s", "y", "dd", seen.alias("seen"))
+
+
+def cohorts(units: DataFrame, n_periods: int) -> DataFrame:
+    """Units of one model, first treatment and switch that are seen in the same periods, as one row:
+    their number `n` and sums of `y` and `dd` by period. They serve the same cells in the same role and
+    changes are differences, so sums over cells come out of these rows as they do out of the units."""
+    known = [F.substring("seen", i + 1, 1) == "1" for i in range(n_periods)]
+    sums = units.groupBy(*COHORT).agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum(F.get(F.col(c), F.lit(i))).alias(f"{c}{i}") for c in ("y", "dd") for i in range(n_periods)])
+    return sums.select(*COHORT, "n", F.array(*[F.when(k, F.col(f"y{i}")) for i, k in enumerate(known)]).alias("y"),
+                       F.array(*[F.col(f"dd{i}") for i in range(n_periods)]).alias("dd"))
 
 
 def with_roles(rows: DataFrame, lo: int) -> DataFrame:
@@ -203,19 +218,36 @@ def cell_coefficients(stats: DataFrame, estimates: DataFrame) -> DataFrame:
         "sf", "l", "up", "down", "c", "per", F.when(F.col("l") > 0, F.col("per_0")).alias("per_0"))).alias("cells"))
 
 
-def influence(units: DataFrame, coefs: DataFrame, lo: int) -> DataFrame:
-    """Influence `u` of each cluster on each horizon `l`."""
+def influence(units: DataFrame, groups: DataFrame, coefs: DataFrame, periods: tuple[int, int]) -> DataFrame:
+    """Influence `u` of each cluster on each horizon `l`.
+
+    Within a cohort it is one and the same linear function of the outcomes. Its coefficients are added up
+    over the cells once per cohort (`groups`), and a unit's influence on a horizon is one
+    product of two arrays.
+    """
+    lo, hi = periods
     keys = [*MODEL, "d1"]
     renamed = coefs.withColumnsRenamed({c: f"__k_{c}" for c in keys})
-    # most units can have one first treatment; their rows are split by adaptive execution
-    joined = units.join(renamed, [F.col(c) == F.col(f"__k_{c}") for c in keys])
-    rows = with_roles(joined.select(*MODEL, "__cluster", "f", "s", "y", "dd", F.inline("cells")), lo)
+    served = groups.withColumn("y", F.transform("y", lambda v: v * 0)).join(renamed, [F.col(c) == F.col(f"__k_{c}") for c in keys])
+    rows = with_roles(served.select(*COHORT, "y", "dd", F.inline("cells")), lo)
     w = F.when(F.col("role") == "up", F.col("up")).when(F.col("role") == "down", F.col("down")).otherwise(F.col("c"))
-    rows = rows.select(*MODEL, "__cluster", "l", "per", "per_0", (w["k"] * F.col("dy") - w["shift"]).alias("u"))
-    sums = rows.groupBy(*MODEL, "__cluster", "l").agg(F.sum(F.col("u") / F.col("per")).alias("u"), F.sum(F.col("u") / F.col("per_0")).alias("u_0"))
-    both = F.array(F.struct("l", "u"), F.when(F.col("l") > 0, F.struct(F.lit(0).alias("l"), F.col("u_0").alias("u"))))
-    return (sums.select(*MODEL, "__cluster", F.inline(F.array_compact(both)))
-            .groupBy(*MODEL, "__cluster", "l").agg(F.sum("u").alias("u")))
+
+    def part(horizon: Column, per: Column) -> Column:
+        return F.struct(horizon.alias("h"), (w["k"] / per).alias("k"), (w["shift"] / per).alias("shift"))
+
+    both = F.array_compact(F.array(part(F.col("l"), F.col("per")), F.when(F.col("l") > 0, part(F.lit(0), F.col("per_0")))))
+    rows = rows.select(*COHORT, F.col("sf").alias("sf"), F.col("l").alias("cell"), F.inline(both))
+    start, end = F.col("sf") - 1 - lo, F.col("sf") - 1 + F.col("cell") - lo
+    sums = rows.groupBy(*COHORT, "h").agg(F.sum("shift").alias("shift"), *[
+        F.sum(F.when(end == i, F.col("k")).when(start == i, -F.col("k")).otherwise(0.0)).alias(f"k{i}") for i in range(hi - lo + 1)])
+    # at most a row per horizon
+    vectors = sums.groupBy(*COHORT).agg(F.collect_list(F.struct(
+        F.col("h").alias("l"), "shift", F.array(*[F.col(f"k{i}") for i in range(hi - lo + 1)]).alias("k"))).alias("vectors"))
+    # most units can be of one cohort; their rows are split by adaptive execution
+    joined = attach(units.select(*COHORT, "__cluster", "y"), vectors, COHORT, "inner")
+    rows = joined.select(*MODEL, "__cluster", "y", F.inline("vectors"))
+    u = F.aggregate(F.zip_with("k", "y", lambda k, y: k * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x) - F.col("shift")
+    return rows.select(*MODEL, "__cluster", "l", u.alias("u")).groupBy(*MODEL, "__cluster", "l").agg(F.sum("u").alias("u"))
 
 
 class DidPlan:
@@ -233,13 +265,14 @@ class DidPlan:
         profiles = unit_profiles(panel, outcomes, id, t, d, cluster, specs or {"baseline": {}}, periods)
         # the profiles are small next to the work on their cells, so their number of tasks is kept
         tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.lo = periods[0]
+        self.periods = periods
         self.units = unit_models(keep(profiles.repartition(tasks, "__id")), outcomes)
-        self.stats = keep(cell_stats(unit_cells(self.units, effects, placebo, periods)))
+        self.cohorts = keep(cohorts(self.units, periods[1] - periods[0] + 1))
+        self.stats = keep(cell_stats(unit_cells(self.cohorts, effects, placebo, periods), n=F.col("n")))
         self.estimates = _estimates(self.stats)
 
     def influence(self) -> DataFrame:
-        return influence(self.units, cell_coefficients(self.stats, self.estimates), self.lo)
+        return influence(self.units, self.cohorts, cell_coefficients(self.stats, self.estimates), self.periods)
 
 
 def did_batch(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str,
