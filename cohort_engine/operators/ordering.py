@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from .keys import as_list, attach
 
-COARSE = 16  # cuts that a row is compared with at once; slices are COARSE times as many
-SLICES = COARSE * COARSE
+SLICES = 256  # of an order, at most; a power of two
 SAMPLE_ROWS = 20 * SLICES  # rows that the cuts are chosen from, about
 
 
@@ -53,11 +52,13 @@ class Slices:
         row = chosen.select(F.to_json("c.p").alias("p"), "c.g").first()
         self.groups, self.n = row["g"], len(row["g"])
         cuts = F.from_json(F.lit(row["p"]), T.ArrayType(kind))
-        coarse = F.filter(cuts, lambda c, i: i % COARSE == COARSE - 1)
-        rows = df.withColumns({"__place": spot, "__group": group})
-        rows = rows.withColumn("__coarse", F.size(F.filter(coarse, lambda c: c <= F.col("__place"))) * COARSE)
-        near = F.slice(cuts, F.col("__coarse") + 1, F.lit(COARSE))
-        self.df = rows.withColumn("__slice", F.col("__coarse") + F.size(F.filter(near, lambda c: c <= F.col("__place"))))
+        # binary search, in columns that follow each other: all of it is compiled, and a row is compared eight times
+        rows, step = df.withColumns({"__place": spot, "__group": group, "__slice": F.lit(0)}), SLICES // 2
+        while step:
+            beyond = F.coalesce(F.get(cuts, F.col("__slice") + (step - 1)) <= F.col("__place"), F.lit(False))
+            rows = rows.withColumn("__slice", F.col("__slice") + F.when(beyond, step).otherwise(0))
+            step //= 2
+        self.df = rows
 
     def in_group_of(self, number: Column) -> Column:
         """Whether a row is in the group in which cut `number` falls."""
@@ -75,7 +76,7 @@ class Slices:
         return W.partitionBy("__slice", *by).orderBy(*nulls_last(self.order))
 
     def done(self) -> list[str]:
-        return ["__place", "__group", "__coarse", "__slice"]
+        return ["__place", "__group", "__slice"]
 
 
 def _before(totals: list) -> Column:
