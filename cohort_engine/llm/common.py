@@ -79,11 +79,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it again."""
-    folder = scratch(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, what: str, drop_shuffles: bool = False) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it again. With `drop_shuffles`, the shuffle files of
+    that job go when it ends, and not when the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    folder, before = scratch(spark, what), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    if drop_shuffles:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

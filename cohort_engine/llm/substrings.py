@@ -7,7 +7,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.keys import members
+from ..operators.keys import attach, members
 from .common import ODD_2, Ranges, gram_hashes, keyed, over_texts, pieces, raw, signed, spread, stored, word_hashes
 
 SEED_WORDS = 8  # words of a seed; every window of a phrase holds the phrase's seed
@@ -80,19 +80,22 @@ def boundary_windows(docs: DataFrame, open_phrases: DataFrame, window: int) -> D
 
 def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     """`k_id`, `k_text`, `at` (packed starts): windows whose words start anywhere else too."""
-    phrase = stored(index(docs, window), "phrases")
+    phrase = stored(index(docs, window), "phrases", drop_shuffles=True)
+    # Equal windows have equal seeds, so phrases whose seed occurs once are done with. A common seed gives
+    # very many rows of one key: `attach` and `members` let adaptive execution split them.
+    seeds = phrase.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), (F.min("phrase") < F.max("phrase")).alias("differs"))
+    again = stored(attach(phrase, seeds.filter("n > 1").select("seed", "differs"), "seed", "inner", null_safe=False),
+                   "repeated", drop_shuffles=True)
+    # A seed with different phrases around it: some may have copies, and their windows may still agree in part.
+    unsure = again.filter("differs")
     # Any one place stands for a phrase; which one it is makes no difference.
-    entry = phrase.groupBy("seed", "phrase").agg(
+    entry = unsure.groupBy("seed", "phrase").agg(
         F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("k_id", "k_text", "at")))
     copied = entry.filter("n > 1").select("seed", "phrase")
-    # A common passage gives very many rows of one key: `members` lets adaptive execution split them.
-    whole = members(phrase, copied, ["seed", "phrase"]).select("k_id", "k_text", "at")
-    # A seed with different phrases around it: their windows may still agree in part. A common seed can be split too.
-    differs = entry.groupBy("seed").agg(F.count(F.lit(1)).alias("n_phrases")).filter("n_phrases > 1").select("seed")
-    unsure = members(entry, differs, "seed", null_safe=False).select("k_id", "k_text", "at")
-    windows = stored(boundary_windows(docs, unsure, window), "windows")
-    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    part = members(windows, again, ["h1", "h2"]).select("k_id", "k_text", F.shiftleft("start", SHIFT).alias("at"))
+    whole = again.filter(~F.col("differs")).unionByName(members(unsure, copied, ["seed", "phrase"])).select("k_id", "k_text", "at")
+    windows = stored(boundary_windows(docs, entry.select("k_id", "k_text", "at"), window), "windows", drop_shuffles=True)
+    often = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    part = members(windows, often, ["h1", "h2"]).select("k_id", "k_text", F.shiftleft("start", SHIFT).alias("at"))
     return whole.unionByName(part)
 
 
@@ -119,8 +122,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read. Equality is that of 128 bits of hashes.
     """
     texts = keyed(docs, id_col, text_col)
-    spans = (repeated_spans(texts, window).groupBy("k_id", "k_text")
-             .agg(F.collect_set("at").alias("ranges")))
+    spans = stored(repeated_spans(texts, window).groupBy("k_id", "k_text")
+                   .agg(F.collect_set("at").alias("ranges")), "spans", drop_shuffles=True)
 
     def apply(batch):
         out = []

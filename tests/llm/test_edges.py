@@ -162,3 +162,26 @@ def test_a_run_can_be_closed(spark, docs):
     common.close_run(spark)
     assert system.get_file_info(folder).type.name == "NotFound"
     common.close_run(spark)  # again, with nothing left
+
+
+def test_substring_lookups_leave_no_shuffle_files(spark, docs):
+    """The lookups of operator 6 are stored; what they shuffled goes with their jobs, whenever garbage is collected."""
+    import time
+    from pathlib import Path
+
+    from cohort_engine.llm import common
+    top = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+
+    def files():
+        return {f.name for f in top.rglob("shuffle_*.data")}
+
+    before, setting = files(), spark.conf.get(common.SHUFFLE_CLEANUP)
+    out = substrings.deduplicate(docs)  # its last join is not run yet
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert spark.conf.get(common.SHUFFLE_CLEANUP) == setting
+    for _ in range(2):  # what is left reads stored rows, so it can run again
+        assert {r["n_removed"] for r in out.filter("doc_id IN (1, 2, 3)").collect()} == {60}
