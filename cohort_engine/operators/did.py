@@ -116,14 +116,15 @@ def unit_models(profiles: DataFrame, outcomes: Sequence[str]) -> DataFrame:
     return rows.select("__id", "__cluster", "outcome", F.inline("models"), "d1", "f", "s", "y", "dd", seen.alias("seen"))
 
 
-def cohorts(units: DataFrame, n_periods: int) -> DataFrame:
+def cohorts(units: DataFrame, n_periods: int, keys: Sequence[str] = COHORT, n: Column | None = None) -> DataFrame:
     """Units of one model, first treatment and switch that are seen in the same periods, as one row:
     their number `n` and sums of `y` and `dd` by period. They serve the same cells in the same role and
-    changes are differences, so sums over cells come out of these rows as they do out of the units."""
+    changes are differences, so sums over cells come out of these rows as they do out of the units. Rows may
+    also hold sums over `n` units."""
     known = [F.substring("seen", i + 1, 1) == "1" for i in range(n_periods)]
-    sums = units.groupBy(*COHORT).agg(F.count(F.lit(1)).alias("n"), *[
+    sums = units.groupBy(*keys).agg((F.count(F.lit(1)) if n is None else F.sum(n)).alias("n"), *[
         F.sum(F.get(F.col(c), F.lit(i))).alias(f"{c}{i}") for c in ("y", "dd") for i in range(n_periods)])
-    return sums.select(*COHORT, "n", F.array(*[F.when(k, F.col(f"y{i}")) for i, k in enumerate(known)]).alias("y"),
+    return sums.select(*keys, "n", F.array(*[F.when(k, F.col(f"y{i}")) for i, k in enumerate(known)]).alias("y"),
                        F.array(*[F.col(f"dd{i}") for i in range(n_periods)]).alias("dd"))
 
 
@@ -368,6 +369,63 @@ def weighted_cells(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
         *[F.sum(F.col("x")[v]).alias(v) for v in ("n", "dy", "dose")])
 
 
+HELD = 1 << 25  # bytes of weighted sums that a task holds at once
+FEW = 20  # units for each cohort from which on the replicates are drawn of cohorts
+
+
+def weighted_cohorts(units: DataFrame, n_periods: int, replicates: int, seed: int, held: int = HELD) -> DataFrame:
+    """Cohorts of all replicates: `replicate`, and the weighted sums `n`, `y` and `dd` of `cohorts`.
+
+    Sums over cells are sums over cohorts, whatever the weights, so units are weighted before they are laid out
+    over the cells: each row of a unit is read once. Each task adds the weighted rows to one matrix per cohort,
+    and gives out what it has when that takes more than `held` bytes.
+    """
+    kinds = {c: units.schema[c].dataType.simpleString() for c in COHORT}
+    most = held // (8 * replicates * (2 * n_periods + 1))  # cohorts
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
+        weights: dict[str, list[int]] = {}
+        sums: dict[tuple, Any] = {}
+
+        def given():
+            rows = list(sums)
+            for i in range(0, len(rows), 64):
+                some = rows[i:i + 64]
+                both = np.concatenate([sums[k] for k in some])
+                columns = [pa.array([x for x in c for _ in range(replicates)], arrow[k]) for c, k in zip(zip(*some), kinds.values())]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(np.tile(np.arange(replicates, dtype=np.int32), len(some))), pa.array(both[:, 0]),
+                     *[pa.array(list(x), pa.list_(pa.float64())) for x in (both[:, 1:1 + n_periods], both[:, 1 + n_periods:])]],
+                    [*COHORT, "replicate", "n", "y", "dd"])
+            sums.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("cluster").dictionary_encode()
+            weights = {c: weights[c] if c in weights else poisson_weights(c, replicates, seed) for c in names.dictionary.to_pylist()}
+            w = np.array([weights[c] for c in names.dictionary.to_pylist()], float)[names.indices.to_numpy()]
+            y, dd = (pc.fill_null(batch.column(c).flatten(), 0.0).to_numpy().reshape(-1, n_periods) for c in ("y", "dd"))
+            x = np.column_stack([np.ones(len(y)), y, dd])
+            places: dict[tuple, int] = {}
+            at = np.array([places.setdefault(k, len(places)) for k in zip(*(batch.column(c).to_pylist() for c in COHORT))])
+            order = np.argsort(at, kind="stable")
+            for key, own in zip(places, np.split(order, np.flatnonzero(np.diff(at[order])) + 1)):
+                added = w[own].T @ x[own]
+                sums[key] = sums[key] + added if key in sums else added
+                if len(sums) > most:
+                    yield from given()
+        yield from given()
+
+    schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "replicate int, n double, y array<double>, dd array<double>"])
+    rows = units.select(*COHORT, F.coalesce(F.col("__cluster").cast("string"), F.lit("")).alias("cluster"), "y", "dd")
+    return cohorts(rows.mapInArrow(add, schema), n_periods, [*COHORT, "replicate"], F.col("n"))
+
+
 def did_bootstrap(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d: str, effects: int = 10, placebo: int = 5,
                   cluster: str | None = None, specs: Mapping[str, Mapping[str, Any]] | None = None,
                   periods: tuple[int, int] | None = None, replicates: int = 200, seed: int = 1) -> DataFrame:
@@ -376,16 +434,23 @@ def did_bootstrap(panel: DataFrame, outcomes: Sequence[str], id: str, t: str, d:
     horizon can be estimated) and `n_replicates` of these.
 
     A replicate weighs each cluster by an independent Poisson draw, which at scale is a draw of clusters with
-    replacement. All replicates come from one pass over the cells.
+    replacement. All replicates come from one pass over the units, added up by cohort before they are laid out
+    over the cells. Where cohorts are nearly as many as units (outcomes missing at random), that would be more
+    than the cells; there they come from one pass over the units' cells.
     """
     if periods is None:
         edge = panel.agg(F.min(t), F.max(t)).first()
         periods = (int(edge[0]), int(edge[1]))
     units = unit_models(stable(unit_profiles(panel, outcomes, id, t, d, cluster, specs or {"baseline": {}}, periods)), outcomes)
-    cells, model = unit_cells(units, effects, placebo, periods), [*MODEL, "replicate"]
-    draws = _estimates(cell_stats(weighted_cells(cells, replicates, seed), model, F.col("n")), model)
+    n_periods, model = periods[1] - periods[0] + 1, [*MODEL, "replicate"]
+    groups = stable(cohorts(units, n_periods))
+    if groups.count() * FEW <= groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]:
+        cells = unit_cells(weighted_cohorts(units, n_periods, replicates, seed), effects, placebo, periods)
+    else:
+        cells = weighted_cells(unit_cells(units, effects, placebo, periods), replicates, seed)
+    draws = _estimates(cell_stats(cells, model, F.col("n")), model)
     errors = draws.groupBy(*MODEL, "l").agg(F.stddev_samp("estimate").alias("se"), F.count("estimate").alias("n_replicates"))
-    points = _estimates(cell_stats(cells)).select(*MODEL, "l", "estimate")
+    points = _estimates(cell_stats(unit_cells(groups, effects, placebo, periods), n=F.col("n"))).select(*MODEL, "l", "estimate")
     kind = F.when(F.col("l") > 0, "effect").when(F.col("l") < 0, "placebo").otherwise("average")
     return points.join(errors, [*MODEL, "l"], "left").select(
         *MODEL, kind.alias("kind"), F.abs("l").alias("horizon"), "estimate", "se", F.coalesce("n_replicates", F.lit(0)).cast("bigint").alias("n_replicates"))

@@ -230,3 +230,32 @@ def test_bootstrap_agrees_with_the_analytic_errors(spark):
     for r in boot:
         assert r["estimate"] == pytest.approx(plain[r["kind"], r["horizon"]]["estimate"]) and r["n_replicates"] == 600
         assert r["se"] == pytest.approx(plain[r["kind"], r["horizon"]]["se"], rel=0.1)
+
+
+def test_bootstrap_by_cohorts_equals_that_by_cells(spark, monkeypatch):
+    """Replicates of cohorts, also if a task gives out its sums often, are those of the units' cells; where cohorts are few no
+    unit is laid out over the cells."""
+    panel = spark.createDataFrame(simulate(120, 4, gaps=False)).withColumn("y", F.when((F.col("id") % 4 > 0) | (F.col("t") != 7), F.col("y")))
+    units = did.unit_models(did.unit_profiles(panel, ["y"], "id", "t", "d", "cl", {"g": {"by": "g"}, "all": {}}, (1, PERIODS)), ["y"]).repartition(5)
+    model = [*did.MODEL, "replicate"]
+
+    def estimates(cells):
+        rows = did._estimates(did.cell_stats(cells, model, F.col("n")), model).collect()
+        return {tuple(r[c] for c in [*model, "l"]): r["estimate"] for r in rows}
+
+    want = estimates(did.weighted_cells(did.unit_cells(units, 3, 2, (1, PERIODS)), 4, 1))
+    for held in (did.HELD, 0):
+        got = estimates(did.unit_cells(did.weighted_cohorts(units, PERIODS, 4, 1, held), 3, 2, (1, PERIODS)))
+        assert got.keys() == want.keys() and len(got) > 50
+        assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+    def shown(few):
+        monkeypatch.setattr(did, "FEW", few)
+        out = did.did_bootstrap(panel, ["y"], "id", "t", "d", 3, 2, cluster="cl", specs={"g": {"by": "g"}}, replicates=4).collect()
+        return {(r["subgroup"], r["kind"], r["horizon"], r["n_replicates"]): (r["estimate"], r["se"]) for r in out}
+
+    by_cells = shown(10**9)
+    monkeypatch.setattr(did, "weighted_cells", None)
+    by_cohorts = shown(1)
+    assert by_cohorts.keys() == by_cells.keys()
+    assert all(by_cohorts[k] == pytest.approx(by_cells[k]) for k in by_cells)
