@@ -44,12 +44,14 @@ def assert_unique(df: DataFrame, keys: str | Sequence[str], null_safe: bool = Tr
 def merge_tables(left: DataFrame, right: DataFrame, on: str | Sequence[str], kind: str,
                  keep: Sequence[int] = (LEFT_ONLY, RIGHT_ONLY, MATCHED),
                  using: Sequence[str] | None = None, indicator: str | None = "_merge",
-                 validate: bool = True, null_safe: bool = True) -> DataFrame:
+                 validate: bool = True, null_safe: bool = True, grouped: bool = False) -> DataFrame:
     """Merge on equal keys; the status is 1 left only, 2 right only, 3 matched.
 
     A column both sides have keeps the left value, except in right-only rows. `using`
     takes only those right columns. The query fails if a side said to be unique is not;
-    turn `validate` off only where the sides were just grouped by the key.
+    turn `validate` off only where the sides were just grouped by the key. With `grouped`, the
+    left side was just grouped by the key too: matched rows of keys that are not null-safe
+    then come from a join on plain equality, which moves neither side once more.
     """
     on = as_list(on)
     if kind not in KINDS:
@@ -58,12 +60,16 @@ def merge_tables(left: DataFrame, right: DataFrame, on: str | Sequence[str], kin
         right = right.select(*on, *[c for c in using if c not in on])
     if validate and kind[0] == "1":
         left = assert_unique(left, on, null_safe)
+    plainly = grouped and not null_safe and set(keep) == {MATCHED}
+    if plainly:  # rows missing a key match nothing, so only the others are looked at
+        right = with_known_keys(right, on)
     if validate and kind[2] == "1":
-        right = assert_unique(right, on, null_safe)
+        right = assert_unique(right, on, null_safe or plainly)
     keep = set(keep)
     extra = [c for c in right.columns if c not in left.columns]
     shared = set(right.columns) & set(left.columns)
-    cond = match_on(on)
+    # no key can be hot where both sides were grouped by it
+    cond = [F.col(k) == F.col(PREFIX + k) for k in on] if plainly else match_on(on)
 
     def matchable(df: DataFrame) -> DataFrame:
         """The side looked up in: without null-safe keys, rows missing one match nothing."""
@@ -152,18 +158,20 @@ def merge_keep_or(left: DataFrame, right: DataFrame, on: str | Sequence[str], co
 
 def lookup(df: DataFrame, table: DataFrame, key: str | Sequence[str],
            columns: Sequence[str] | None = None, required: bool = True,
-           null_safe: bool = False, validate: bool = True) -> DataFrame:
+           null_safe: bool = False, validate: bool = True, grouped: bool = False) -> DataFrame:
     """Columns of a table that holds one row per key, which is checked. Spark broadcasts the table when
-    its measured size allows; otherwise hot keys of `df` are split."""
+    its measured size allows; otherwise hot keys of `df` are split. With `grouped`, `df` was just grouped by
+    the key and has none."""
     keep = (MATCHED,) if required else (LEFT_ONLY, MATCHED)
     return merge_tables(df, table, key, "m:1", keep=keep, using=columns, indicator=None,
-                        null_safe=null_safe, validate=validate)
+                        null_safe=null_safe, validate=validate, grouped=grouped)
 
 
 def map_to_person(df: DataFrame, patient: DataFrame, site_key: str, person: str | Sequence[str],
-                  validate: bool = True) -> DataFrame:
-    """Person columns of a site-level key; rows with an unknown key drop out."""
-    return lookup(df, patient, site_key, as_list(person), validate=validate)
+                  validate: bool = True, grouped: bool = False) -> DataFrame:
+    """Person columns of a site-level key; rows with an unknown key drop out. `grouped` says that
+    `df` was just grouped by the key."""
+    return lookup(df, patient, site_key, as_list(person), validate=validate, grouped=grouped)
 
 
 def cross_panel(persons: DataFrame, start: int, end: int, period: str = "q") -> DataFrame:

@@ -79,7 +79,7 @@ def build_sample(flags: DataFrame, patient: DataFrame, linked: DataFrame, index:
     rows = rows.withColumn("site", split_key(key, 1))
     if excluded_sites is not None:
         rows = exclude(rows, excluded_sites.toDF("site"), "site")
-    rows = map_to_person(rows, patient, key, [person, *p.demographics])
+    rows = map_to_person(rows, patient, key, [person, *p.demographics], grouped=True)
     rows = rows.filter(null_marker("post_code").isNotNull())
     rows = rows.withColumn("post_code", to_number("post_code", kind="int"))
 

@@ -272,7 +272,10 @@ def study_sample(t: Tables, steps: Attrition | None = None) -> DataFrame:
         F.when(F.col("c_nationkey") == 11, "Unknown").otherwise(F.col("c_nationkey").cast("string")).alias("post_code"),
         F.col("c_mktsegment").alias("sex"), F.coalesce(F.year("died").cast("string"), F.lit("NULL")).alias("yod"),
         F.coalesce(F.month("died").cast("string"), F.lit("NULL")).alias("mod"))
-    patient = lines.select(key, "o_custkey").distinct().join(persons, "o_custkey").withColumnRenamed("o_custkey", "person")
+    # a customer's suppliers leave each map task as one set, which meets the customer where it is put together
+    pairs = lines.groupBy("o_custkey").agg(F.collect_set(F.struct("l_suppkey")).alias("pairs"))
+    patient = pairs.join(persons, "o_custkey").select("*", F.inline("pairs")).select(
+        key, F.col("o_custkey").alias("person"), "yob", "post_code", "sex", "yod", "mod")
     day, urgent = D.to_day("o_orderdate"), F.col("o_orderpriority") == "1-URGENT"
     spells = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.min(F.when(urgent, day)).alias("enrolled_1_a"), F.min(F.when(F.col("o_orderpriority") == "2-HIGH", day)).alias("enrolled_1_b"),

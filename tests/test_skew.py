@@ -84,3 +84,17 @@ def test_event_counts_of_a_hot_person(skewed):
     hot = [i for i in range(N) if i % 3 == 0]
     assert row["low"] == sum((i % 997) % 10 <= 4 for i in hot) and row["one"] == sum((i % 997) % 10 == 1 for i in hot)
     assert (row["prac"], row["prov"]) == (50, 7)
+
+
+def test_grouped_lookup_moves_neither_side_again(skewed, spark):
+    """Rows just grouped by the key meet a table whose key is checked: one exchange each, for the group and for the check."""
+    known = spark.range(6000).select(F.nullif("id", F.lit(7)).alias("k"), (F.col("id") * 2).alias("p"))
+    table = known.unionByName(spark.createDataFrame([(None, -1), (None, -2)], "k long, p long"))
+    groups = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).unionByName(spark.createDataFrame([(None, 5)], "k long, n long"))
+    groups = groups.groupBy("k").agg(F.sum("n").alias("n"))
+    out = M.map_to_person(groups, table, "k", "p", grouped=True)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, M.map_to_person(groups, table, "k", "p").collect()))
+    _, plan = plan_after(M.map_to_person(skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n")), known, "k", "p", grouped=True))
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
+    with pytest.raises(Exception, match="is not unique"):
+        M.map_to_person(groups, known.unionByName(known.filter("k = 9")), "k", "p", grouped=True).collect()
